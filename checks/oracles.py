@@ -691,13 +691,13 @@ _ORACLES: dict[str, tuple[str, str]] = {
                 b AS (SELECT pickup_site_id, CAST(sum(CAST(m.revenue_usd AS DECIMAL(18,4))) AS DOUBLE) AS revenue,
                              CAST(count(*) AS DOUBLE) AS rentals
                       FROM rentals r JOIN paid m ON r.rental_id = m.rental_id WHERE m.revenue_usd > 0 GROUP BY 1),
-                both AS (SELECT coalesce(a.pickup_site_id, b.pickup_site_id) AS pickup_site_id, a.revenue AS r1,
+                pair AS (SELECT coalesce(a.pickup_site_id, b.pickup_site_id) AS pickup_site_id, a.revenue AS r1,
                                 b.revenue AS r2, a.rentals AS n1, b.rentals AS n2
                          FROM a FULL JOIN b ON a.pickup_site_id = b.pickup_site_id)
            SELECT pickup_site_id, measure, round(l, 2) AS left_total, round(r, 2) AS right_total,
                   round(l - r, 2) + 0.0 AS difference, coalesce(abs(l - r) <= 0.02, false) AS matches
-           FROM (SELECT pickup_site_id, 'revenue' AS measure, r1 AS l, r2 AS r FROM both
-                 UNION ALL SELECT pickup_site_id, 'rentals', n1, n2 FROM both)""",
+           FROM (SELECT pickup_site_id, 'revenue' AS measure, r1 AS l, r2 AS r FROM pair
+                 UNION ALL SELECT pickup_site_id, 'rentals', n1, n2 FROM pair)""",
     ),
     "one_answer_two_ways": (
         "idle",

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from motorpool.functions import calendar
-from motorpool.functions.money import price_columns
+from motorpool.functions.money import exact_sum, price_columns
 from motorpool.functions.text import formatted_key
 from motorpool.lazy import LazyTables
 from motorpool.operators import cleaning, filters, gold, graph, joins, policy, quality, ranking, rollups
@@ -677,7 +677,7 @@ def layer_reconciliation(f: Fleet) -> DataFrame:
     paid = f["payments"].join(site, "rental_id").withColumnRenamed("total_amount_usd", "revenue_usd")
     fact = _fact(f, "rental_id", "pickup_site_id", "revenue_usd").filter("revenue_usd > 0")
     measures = {
-        "revenue": F.sum(F.col("revenue_usd").cast("decimal(18,4)")),
+        "revenue": exact_sum("revenue_usd"),
         "rentals": F.count_distinct("rental_id"),
     }
     # Each rental is rounded to cents in the fact, so totals may drift by cents.

@@ -1,15 +1,20 @@
 """Amounts and ratios.
 
-Amounts are summed as decimals, so a total does not depend on the order in which partitions
-arrive or on a task being run again; results are handed back as doubles.
+Totals of money are exact: they do not depend on the order in which partitions arrive or on a
+task being run again. Results are handed back as doubles.
 """
 
 from __future__ import annotations
 
+from decimal import Decimal
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-EXACT = "decimal(18,4)"
+# Amounts carry up to four decimals.
+UNIT = Decimal("0.0001")
+UNITS_PER_USD = 10_000
+LOW_BITS = 20
 
 # Fixed values of the price formula.
 ONE_WAY_FEE_USD = 75.0
@@ -21,7 +26,16 @@ def _col(column: str | Column) -> Column:
 
 
 def exact_sum(column: str | Column) -> Column:
-    return F.sum(_col(column).cast(EXACT))
+    """Total as a decimal.
+
+    Amounts are added as whole units of 0.0001, which stays in generated code and is several
+    times faster than adding decimals. High and low bits are added apart, so the total may
+    exceed what one long can hold.
+    """
+    units = F.floor(_col(column).cast("double") * UNITS_PER_USD + 0.5)
+    high = F.sum(F.shiftright(units, LOW_BITS)).cast("decimal(20,0)")
+    low = F.sum(units.bitwiseAND(F.lit(2**LOW_BITS - 1))).cast("decimal(20,0)")
+    return (high * F.lit(2**LOW_BITS) + low) * F.lit(UNIT)
 
 
 def usd_sum(column: str | Column) -> Column:

@@ -64,12 +64,12 @@ def _cast(df: DataFrame, column: str, dtype: str) -> Column:
         return calendar.parse_iso(col)
     if dtype == "date":
         return col.try_cast("date")
-    if dtype in ("int", "long"):
-        if isinstance(source, (T.FloatType, T.DoubleType)):
-            return F.when(~F.isnan(col), col).try_cast(dtype)
-        if isinstance(source, T.StringType):
-            # "2500.0" is how a nullable integer looks in some CSV exports.
-            return F.coalesce(col.try_cast(dtype), col.try_cast("double").try_cast(dtype))
+    if isinstance(source, (T.FloatType, T.DoubleType)):
+        # A missing number may arrive as NaN.
+        col = F.when(~F.isnan(col), col)
+    elif dtype in ("int", "long") and isinstance(source, T.StringType):
+        # "2500.0" is how a nullable integer looks in some CSV exports.
+        return F.coalesce(col.try_cast(dtype), col.try_cast("double").try_cast(dtype))
     return col.try_cast(dtype)
 
 

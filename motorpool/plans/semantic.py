@@ -15,7 +15,7 @@ from functools import partial, reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from motorpool.functions.money import safe_div
+from motorpool.functions.money import exact_sum, safe_div
 from motorpool.lazy import LazyTables
 from motorpool.operators import policy
 
@@ -270,8 +270,7 @@ def _sum(column: str) -> Callable[[], Column]:
 
 
 def _usd(column: str) -> Callable[[], Column]:
-    """Money is added as decimals, so a total is the same whatever the order of the rows."""
-    return lambda: F.sum(F.col(column).cast("decimal(18,4)")).cast("double")
+    return lambda: exact_sum(column).cast("double")
 
 
 def _ratio(name: str, top: Part, bottom: Part, display: str = "percent") -> Measure:

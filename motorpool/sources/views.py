@@ -136,9 +136,16 @@ def _rentals(f: Fleet) -> DataFrame:
     return rental_days(view)
 
 
+# Prices and rates of the line table in whole cents and percent: their products are exact.
+CENTS = "floor(l_extendedprice * 100 + 0.5)"
+DISCOUNT = "floor(l_discount * 100 + 0.5)"
+TAX = "floor(l_tax * 100 + 0.5)"
+
+
 def _payments(f: Fleet) -> DataFrame:
     paid = f.base("orders").filter("o_orderstatus <> 'O'").select(E("o_orderkey as l_orderkey"), "o_custkey")
-    price = "cast(l_extendedprice as decimal(12,2))"
+    base, tax = f"{CENTS} * (100 - {DISCOUNT})", f"{CENTS} * {TAX}"
+    fee = "case when l_orderkey % 100 < 18 then 75 else 0 end"
     return (
         f.base("lineitem")
         .join(paid, "l_orderkey")
@@ -146,20 +153,19 @@ def _payments(f: Fleet) -> DataFrame:
             E("concat(l_orderkey, '-', l_linenumber) as payment_id"),
             E("l_orderkey as rental_id"),
             E("o_custkey as customer_id"),
-            E(f"{price} * (1 - cast(l_discount as decimal(4,2))) as base_amount_usd"),
-            E("cast(case when l_orderkey % 100 < 18 then 75 else 0 end as decimal(5,2)) as one_way_fee_usd"),
-            E(f"{price} * cast(l_tax as decimal(4,2)) as taxes_fees_usd"),
+            E(f"({base}) / 10000D as base_amount_usd"),
+            E(f"cast({fee} as double) as one_way_fee_usd"),
+            E(f"({tax}) / 10000D as taxes_fees_usd"),
             E("'USD' as currency"),
             E("l_shipdate as payment_ts"),
             E("case when l_returnflag = 'R' then 'refunded' else 'captured' end as status"),
+            E(f"({base} + {tax} + ({fee}) * 10000) / 10000D as total_amount_usd"),
         )
-        .withColumn("total_amount_usd", E("base_amount_usd + one_way_fee_usd + taxes_fees_usd"))
     )
 
 
 def _maintenance(f: Fleet) -> DataFrame:
     shop = f.base("supplier").select(E("s_suppkey as l_suppkey"), E("s_nationkey as site_id"))
-    price = "cast(l_extendedprice as decimal(12,2))"
     return (
         f.base("lineitem")
         .filter("l_returnflag = 'R'")
@@ -168,12 +174,12 @@ def _maintenance(f: Fleet) -> DataFrame:
             E("concat(l_orderkey, '-', l_linenumber) as maintenance_id"),
             E("l_partkey as vehicle_id"),
             "site_id",
-            E(f"{price} * cast(l_discount as decimal(4,2)) as labor_cost_usd"),
-            E(f"{price} * cast(l_tax as decimal(4,2)) as parts_cost_usd"),
+            E(f"{CENTS} * {DISCOUNT} / 10000D as labor_cost_usd"),
+            E(f"{CENTS} * {TAX} / 10000D as parts_cost_usd"),
             E("l_shipdate as opened_ts"),
             E("case when l_linestatus = 'O' then 'open' else 'closed' end as status"),
+            E(f"{CENTS} * ({DISCOUNT} + {TAX}) / 10000D as total_cost_usd"),
         )
-        .withColumn("total_cost_usd", E("labor_cost_usd + parts_cost_usd"))
     )
 
 
