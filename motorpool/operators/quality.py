@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterable, Mapping, Sequence
+from dataclasses import dataclass
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -190,22 +191,33 @@ def reconcile(
     return both.select(*key_cols, F.inline(F.array(*entries)))
 
 
-# Patterns of personal data, written so that common engines read them alike.
+@dataclass(frozen=True)
+class Pattern:
+    """A kind of personal data. ``literal`` occurs in every match and is looked for first."""
+
+    regex: str
+    literal: str
+
+    def found_in(self, column: Column) -> Column:
+        return column.contains(self.literal) & column.rlike(self.regex)
+
+
+# Patterns of personal data.
 PII_PATTERNS = {
-    "email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}",
-    "phone": r"\+?[0-9]{1,3}-[0-9]{3}-[0-9]{3}-[0-9]{4}",
+    "email": Pattern(r"[A-Za-z0-9._%+-]@[A-Za-z0-9.-]+\.[A-Za-z]{2,}", "@"),
+    "phone": Pattern(r"[0-9]-[0-9]{3}-[0-9]{3}-[0-9]{4}", "-"),
 }
 
 
 def classify_pii(
-    df: DataFrame, patterns: Mapping[str, str] = PII_PATTERNS, min_ratio: float = 0.5
+    df: DataFrame, patterns: Mapping[str, Pattern] = PII_PATTERNS, min_ratio: float = 0.5
 ) -> DataFrame:
     """Per text column and kind of personal data: how many values hold it, and the verdict.
 
     Whole values are searched, all columns and kinds in one pass.
     """
     texts = [c for c, t in df.dtypes if t == "string"]
-    cells = [(c, kind, F.col(c).rlike(p)) for c in texts for kind, p in patterns.items()]
+    cells = [(c, kind, p.found_in(F.col(c))) for c in texts for kind, p in patterns.items()]
     counted = df.agg(
         *[F.count(F.col(c)).alias(f"n_{c}") for c in texts],
         *[F.count_if(found).alias(f"m{i}") for i, (_, _, found) in enumerate(cells)],

@@ -177,25 +177,24 @@ def evaluate(
         rows = _context(model, table, by, filters, use)
         named = [a.alias(n) for n, a in aggregates.items()]
         grouped.append(rows.groupBy(*keys).agg(*named))
-    joined = reduce(lambda a, b: _meet(a, b, keys), grouped)
+    joined = _meet(grouped, keys)
 
     values = [m.combine(*[F.col(f"`{m.name}#{i}`") for i in range(len(m.parts))]).alias(m.name) for m in chosen]
     out = joined.select(*[F.col(k).alias(_split(c)[1]) for k, c in zip(keys, by)], *values)
     return out.dropna("all", subset=list(measures)) if by else out
 
 
-def _meet(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Put two grouped results side by side; a null group matches a null group."""
-    # Without grouping columns both sides are one row and meet on a constant.
-    keys_left = [F.col(f"l.{k}") for k in keys] or [F.col("l._one")]
-    keys_right = [F.col(f"r.{k}") for k in keys] or [F.col("r._one")]
-    if not keys:
-        left, right = left.withColumn("_one", F.lit(1)), right.withColumn("_one", F.lit(1))
-    same = reduce(Column.__and__, [a.eqNullSafe(b) for a, b in zip(keys_left, keys_right)])
-    both = left.alias("l").join(right.alias("r"), same, "full")
-    merged = [F.coalesce(F.col(f"l.{k}"), F.col(f"r.{k}")).alias(k) for k in keys]
-    own = [F.col(f"`{c}`") for df in (left, right) for c in df.columns if c not in (*keys, "_one")]
-    return both.select(*merged, *own)
+def _meet(parts: Sequence[DataFrame], keys: Sequence[str]) -> DataFrame:
+    """Put grouped results side by side.
+
+    Every part has one row per group and columns of its own, so after a union each group holds
+    at most one value per column. Null groups meet like any other.
+    """
+    if len(parts) == 1:
+        return parts[0]
+    stacked = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
+    own = [c for c in stacked.columns if c not in keys]
+    return stacked.groupBy(*keys).agg(*[F.max(f"`{c}`").alias(c) for c in own])
 
 
 def secure(model: Model, dim: str, column: str, mapping: DataFrame, user: str) -> Model:

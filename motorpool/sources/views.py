@@ -10,12 +10,16 @@ from functools import partial
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from motorpool.lazy import LazyTables
 from motorpool.operators.cleaning import rental_days
 
 E = F.expr
 
+# Schemas already read from file footers, kept as a catalog would keep them.
+_SCHEMAS: dict[str, T.StructType] = {}
+
 
 class Fleet(LazyTables):
     """The fleet views of one data directory, by name."""
@@ -24,10 +28,17 @@ class Fleet(LazyTables):
         super().__init__({name: partial(view, self) for name, view in _VIEWS.items()})
         self.spark = spark
         self.directory = directory
+        self._read: dict[str, DataFrame] = {}
 
     def base(self, name: str) -> DataFrame:
-        """One of the underlying tables."""
-        return self.spark.read.parquet(f"{self.directory}/{name}.parquet")
+        """One of the underlying tables, listed once."""
+        if name not in self._read:
+            path = f"{self.directory}/{name}.parquet"
+            known = _SCHEMAS.get(path)
+            reader = self.spark.read.schema(known) if known is not None else self.spark.read
+            self._read[name] = reader.parquet(path)
+            _SCHEMAS[path] = self._read[name].schema
+        return self._read[name]
 
 
 def _sites(f: Fleet) -> DataFrame:
