@@ -827,7 +827,7 @@ def _event_stream(f: Fleet) -> DataFrame:
 
 
 def _stored(f: Fleet, path: str) -> DataFrame:
-    df = f.spark.read.parquet(path)
+    df = feed.read_flow(f.spark, path)
     times = [c for c, t in df.dtypes if t == "timestamp"]
     return df.withColumns({c: F.col(c).cast("timestamp_ntz") for c in times})
 
@@ -866,7 +866,7 @@ def stream_rule_alerts(f: Fleet) -> DataFrame:
     work = _work_dir(f.spark)
     alerts = rules.evaluate_rules(_event_stream(f))
     jobs.write_alerts(alerts, f"{work}/alerts", f"{work}/checkpoint").awaitTermination()
-    return _stored(f, f"{work}/alerts").drop("batch_id")
+    return _stored(f, f"{work}/alerts")
 
 
 @query

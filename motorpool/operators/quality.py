@@ -113,7 +113,7 @@ def validate(df: DataFrame, contract: Contract) -> DataFrame:
 
 def fingerprint(df: DataFrame) -> DataFrame:
     """Row count and an order-free hash of the content: equal tables agree on both."""
-    row_hash = F.xxhash64(*[F.col(c) for c in sorted(df.columns)])
+    row_hash = F.xxhash64(*[F.col(f"`{c}`") for c in sorted(df.columns)])
     return df.agg(
         F.count("*").alias("rows"),
         F.bit_xor(row_hash).alias("hash_xor"),

@@ -55,7 +55,7 @@ class Model:
     relationships: tuple[Relationship, ...]
     measures: Mapping[str, Measure]
 
-    def _steps(self, use: Sequence[str]) -> list[Relationship]:
+    def steps(self, use: Sequence[str]) -> list[Relationship]:
         """Relationships in force; one named in ``use`` replaces its active sibling."""
         chosen = [r for r in self.relationships if r.name in use]
         unknown = set(use) - {r.name for r in chosen}
@@ -66,7 +66,7 @@ class Model:
 
     def path(self, fact: str, dim: str, use: Sequence[str] = ()) -> list[Relationship] | None:
         """Shortest chain of relationships from a fact to a dimension, or None."""
-        steps = self._steps(use)
+        steps = self.steps(use)
         queue: deque[tuple[str, list[Relationship]]] = deque([(fact, [])])
         seen = {fact}
         while queue:
@@ -164,6 +164,7 @@ def evaluate(
     relationships to follow. The result has one column per grouping column (by its own name)
     and one per measure. Groups in which every measure is blank are left out.
     """
+    model.steps(use)  # refuses unknown names before anything is planned
     filters = filters or {}
     chosen = [model.measures[m] for m in measures]
     per_table: dict[str, dict[str, Column]] = {}

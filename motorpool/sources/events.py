@@ -60,15 +60,26 @@ def append_flow(
 ) -> StreamingQuery:
     """Append the chosen columns of a stream to files at ``path``, then stop when caught up.
 
-    The sink only ever grows: a new checkpoint over the same path appends again and does not
-    clear what an earlier run wrote.
+    Each micro-batch goes to a directory named after the query and the batch. A batch that runs
+    again after a failure overwrites its own directory, so rows are stored once. A new
+    checkpoint is a new query: it adds its rows and does not touch what earlier queries wrote.
+    (Spark's file sink would skip the batches of a new checkpoint over an old path.)
     """
-    writer = stream.select(*projection).writeStream.format(fmt).outputMode("append")
-    if partition_by:
-        writer = writer.partitionBy(*partition_by)
-    return (
-        writer.option("path", path).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
-    )
+
+    def store(batch: DataFrame, batch_id: int) -> None:
+        query = batch.sparkSession.read.json(f"{checkpoint}/metadata").first()["id"]
+        writer = batch.write.format(fmt).mode("overwrite")
+        if partition_by:
+            writer = writer.partitionBy(*partition_by)
+        writer.save(f"{path}/flow={query}/batch={batch_id}")
+
+    writer = stream.select(*projection).writeStream.outputMode("append").foreachBatch(store)
+    return writer.option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def read_flow(spark: SparkSession, path: str, fmt: str = "parquet") -> DataFrame:
+    """What :func:`append_flow` has stored so far."""
+    return spark.read.format(fmt).load(path).drop("flow", "batch")
 
 
 def land_events(stream: DataFrame, path: str, checkpoint: str) -> StreamingQuery:

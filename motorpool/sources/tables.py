@@ -10,6 +10,9 @@ from pyspark.sql import types as T
 
 DEFAULT_FORMAT = "parquet"
 
+# A text no field holds, so that no written value is taken for null.
+NO_TEXT = "\u0000"
+
 
 def qualified(*parts: str) -> str:
     """Dotted table name; empty parts are left out."""
@@ -52,8 +55,7 @@ def write_entity(df: DataFrame, directory: str, name: str, fmt: str = "both") ->
         path = f"{directory}/{name}.{one}"
         writer = df.write.mode("overwrite")
         if one == "csv":
-            # The empty string stays apart from null on the way back in.
-            writer.option("header", True).option("emptyValue", '""').csv(path)
+            writer.option("header", True).csv(path)
         else:
             writer.parquet(path)
         paths.append(path)
@@ -61,10 +63,15 @@ def write_entity(df: DataFrame, directory: str, name: str, fmt: str = "both") ->
 
 
 def read_entity(spark: SparkSession, directory: str, name: str, schema: T.StructType, fmt: str = "parquet") -> DataFrame:
-    """Read back what :func:`write_entity` wrote; the schema is given, never inferred."""
+    """Read back what :func:`write_entity` wrote; the schema is given, never inferred.
+
+    In CSV an empty field is null and a quoted empty field is the empty text.
+    """
     reader = spark.read.schema(schema)
     path = f"{directory}/{name}.{fmt}"
-    return reader.option("header", True).csv(path) if fmt == "csv" else reader.parquet(path)
+    if fmt != "csv":
+        return reader.parquet(path)
+    return reader.option("header", True).option("nullValue", NO_TEXT).csv(path)
 
 
 def overwrite_table(df: DataFrame, name: str, fmt: str = DEFAULT_FORMAT) -> DataFrame:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.query import StreamingQuery
 
 from motorpool.functions.text import not_empty
+from motorpool.sources.events import append_flow
 
 CURATED = (
     "telematics_id",
@@ -95,15 +96,9 @@ def _or(column: Column, default: float) -> Column:
 
 
 def write_alerts(alerts: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
-    """Append alert rows, each micro-batch to a directory of its own.
+    """Append alert rows as they are raised; read them back with ``read_flow``.
 
-    A batch that is replayed after a failure overwrites its directory, so every alert is stored
-    once. Read the alerts back with ``spark.read.parquet(path)``.
+    A replayed micro-batch replaces its own rows, so an alert (rule and event) of one query is
+    stored once. Feed the rules with :func:`dedup_events` where events may arrive repeatedly.
     """
-
-    def store(batch: DataFrame, batch_id: int) -> None:
-        once = batch.dropDuplicates(["rule", "event_id"])
-        once.write.mode("overwrite").parquet(f"{path}/batch_id={batch_id}")
-
-    writer = alerts.writeStream.foreachBatch(store).option("checkpointLocation", checkpoint)
-    return writer.trigger(availableNow=True).start()
+    return append_flow(alerts, path, checkpoint)
