@@ -1,4 +1,9 @@
-"""Entity-relationship questions as joins over node and edge tables."""
+"""Entity-relationship questions over vehicles, sites and rentals.
+
+Every relationship here leads from one node to at most one other, so an edge is a key column of
+its source node. A pattern that follows two edges of the same node reads both columns of one
+row, and only the reduced result meets the site names.
+"""
 
 from __future__ import annotations
 
@@ -9,70 +14,58 @@ from pyspark.sql import functions as F
 
 from motorpool.operators.joins import role_dim
 
+# Edge type -> (source node, key column of the source that names the site).
+EDGES = {
+    "located_at": ("vehicle", "current_site_id"),
+    "picked_up_at": ("rental", "pickup_site_id"),
+    "returned_at": ("rental", "return_site_id"),
+}
+
 
 @dataclass(frozen=True)
 class FleetGraph:
-    """Vehicle, Site and Rental nodes (``id`` first) and the three edge types (``src``, ``dst``)."""
+    """Node tables; each has its own key and the key columns of the edges that leave it."""
 
     vehicle: DataFrame
     site: DataFrame
     rental: DataFrame
-    located_at: DataFrame
-    picked_up_at: DataFrame
-    returned_at: DataFrame
 
+    def edges(self, kind: str) -> DataFrame:
+        """The edges of one type as ``src`` and ``dst`` keys."""
+        node, column = EDGES[kind]
+        table = getattr(self, node)
+        return role_dim(table, {f"{node}_id": "src", column: "dst"}).dropna()
 
-def _edge(df: DataFrame, src: str, dst: str) -> DataFrame:
-    return role_dim(df, {src: "src", dst: "dst"}).dropna()
+    def named(self, df: DataFrame, column: str, name: str) -> DataFrame:
+        """Replace a site key by the site's name; rows without a site drop out."""
+        return df.join(role_dim(self.site, {"site_id": column, "site_name": name}), column).drop(column)
 
 
 def fleet_graph(vehicles: DataFrame, sites: DataFrame, rentals: DataFrame) -> FleetGraph:
-    return FleetGraph(
-        vehicle=vehicles.withColumnRenamed("vehicle_id", "id"),
-        site=sites.withColumnRenamed("site_id", "id"),
-        rental=rentals.withColumnRenamed("rental_id", "id"),
-        located_at=_edge(vehicles, "vehicle_id", "current_site_id"),
-        picked_up_at=_edge(rentals, "rental_id", "pickup_site_id"),
-        returned_at=_edge(rentals, "rental_id", "return_site_id"),
-    )
-
-
-def _located(graph: FleetGraph, vehicles: DataFrame) -> DataFrame:
-    """Vehicle nodes that sit at a site, with the site's id as ``dst``."""
-    return vehicles.join(graph.located_at.withColumnRenamed("src", "id"), "id")
+    return FleetGraph(vehicle=vehicles, site=sites, rental=rentals)
 
 
 def idle_vehicles_by_site(graph: FleetGraph, status: str = "idle") -> DataFrame:
-    """Vehicles of one status per site name, most first.
-
-    Vehicles are counted per site id before names are looked up, then names are folded.
-    """
-    at_site = _located(graph, graph.vehicle.filter(F.col("status") == status))
-    per_site = at_site.groupBy("dst").agg(F.count("*").alias("_n"))
-    names = role_dim(graph.site, {"id": "dst", "site_name": "site_name"})
-    totals = per_site.join(names, "dst").groupBy("site_name").agg(F.sum("_n").alias("idle_vehicles"))
+    """Vehicles of one status per site name, most first."""
+    at_site = graph.vehicle.filter(F.col("status") == status).groupBy("current_site_id").agg(F.count("*").alias("_n"))
+    named = graph.named(at_site, "current_site_id", "site_name")
+    totals = named.groupBy("site_name").agg(F.sum("_n").alias("idle_vehicles"))
     return totals.orderBy(F.col("idle_vehicles").desc(), "site_name")
 
 
 def one_way_paths(graph: FleetGraph) -> DataFrame:
-    """Trips between two different sites by name: pickup <- rental -> return."""
-    start = graph.picked_up_at.withColumnRenamed("dst", "start_id")
-    end = graph.returned_at.withColumnRenamed("dst", "end_id")
+    """Trips between two different sites by name: pickup <- rental -> return, most first."""
     pairs = (
-        start.join(end, "src")
-        .filter(F.col("start_id") != F.col("end_id"))
-        .groupBy("start_id", "end_id")
+        graph.rental.filter(F.col("pickup_site_id") != F.col("return_site_id"))
+        .groupBy("pickup_site_id", "return_site_id")
         .agg(F.count("*").alias("_n"))
     )
-    named = pairs.join(role_dim(graph.site, {"id": "start_id", "site_name": "pickup_site"}), "start_id").join(
-        role_dim(graph.site, {"id": "end_id", "site_name": "return_site"}), "end_id"
-    )
+    named = graph.named(graph.named(pairs, "pickup_site_id", "pickup_site"), "return_site_id", "return_site")
     trips = named.groupBy("pickup_site", "return_site").agg(F.sum("_n").alias("trips"))
     return trips.orderBy(F.col("trips").desc(), "pickup_site", "return_site")
 
 
 def vehicles_at(graph: FleetGraph, site_name: str) -> DataFrame:
     """Vehicles located at the named site."""
-    here = graph.site.filter(F.col("site_name") == site_name).select(F.col("id").alias("dst"))
-    at_site = _located(graph, graph.vehicle).join(here, "dst", "left_semi")
-    return at_site.select("vin", "make", "model", "status")
+    here = graph.site.filter(F.col("site_name") == site_name).select(F.col("site_id").alias("current_site_id"))
+    return graph.vehicle.join(here, "current_site_id", "left_semi").select("vin", "make", "model", "status")
