@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Callable
 from datetime import datetime
@@ -17,7 +16,7 @@ from motorpool.lazy import LazyTables
 from motorpool.operators import cleaning, filters, gold, graph, joins, policy, quality, ranking, rollups
 from motorpool.plans import medallion, report, semantic
 from motorpool.schemas import EVENT, RENTALS, VEHICLES
-from motorpool.session import configure
+from motorpool.session import configure, shared_dir
 from motorpool.sources import events as feed
 from motorpool.sources import tables
 from motorpool.sources.views import Fleet, event_columns
@@ -814,9 +813,8 @@ def spike_windows(f: Fleet) -> DataFrame:
 
 
 def _work_dir(spark: SparkSession) -> str:
-    """A fresh directory in the cluster's shared checkpoint folder; a local one only in tests."""
-    root = spark.conf.get("spark.checkpoint.dir", "") or tempfile.mkdtemp(prefix="motorpool-")
-    return f"{root.rstrip('/')}/motorpool/{uuid.uuid4()}"
+    """A fresh directory for the files and the state of one stream."""
+    return f"{shared_dir(spark)}/motorpool/{uuid.uuid4()}"
 
 
 def _event_stream(f: Fleet) -> DataFrame:

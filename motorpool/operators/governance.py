@@ -7,6 +7,8 @@ from collections.abc import Iterable, Mapping, Sequence
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from motorpool.session import shared_dir
+
 CERTIFIED = "CERTIFIED"
 
 
@@ -52,6 +54,7 @@ def upstream(edges: DataFrame) -> DataFrame:
     number of rounds grows with the logarithm of the depth. Rounds are cut with a reliable
     checkpoint, which keeps the plan short and survives lost executors.
     """
+    shared_dir(edges.sparkSession)
     reached = edges.select("src", "dst").distinct().checkpoint()
     known = reached.count()
     while True:

@@ -1,7 +1,7 @@
-"""The layered batch pipeline: raw -> bronze -> silver -> gold -> aggregates.
+"""The layered batch pipeline: raw -> bronze -> silver -> curated and gold -> aggregates.
 
-``gold_tables`` and ``aggregate_tables`` only describe tables; nothing runs until they are read
-or written. ``run`` writes every layer and takes its counts from what was stored.
+``run`` writes every layer; the other functions only describe tables, and nothing runs until
+those are read or written.
 """
 
 from __future__ import annotations
@@ -17,6 +17,7 @@ from motorpool.operators.cleaning import to_silver, with_audit
 from motorpool.operators.joins import site_geo
 from motorpool.schemas import ENTITIES, SILVER_REFERENCES
 from motorpool.sources.tables import overwrite_table, qualified, read_table, write_optimized
+from motorpool.streaming.jobs import telematics_curated
 
 Tables = Mapping[str, DataFrame]
 
@@ -31,6 +32,10 @@ GOLD_INPUTS: dict[str, tuple[str, ...]] = {
     "kpi_one_way_flows": ("fact_rental",),
     "kpi_maintenance_cost": ("maintenance", "sites"),
 }
+CURATED_INPUTS: dict[str, tuple[str, ...]] = {
+    "rentals_curated": ("rentals", "sites"),
+    "telematics_curated": ("telematics",),
+}
 AGGREGATE_INPUTS: dict[str, tuple[str, ...]] = {
     "agg_revenue_by_site": ("fact_rental", "dim_site"),
     "agg_revenue_by_site_month": ("fact_rental",),
@@ -42,6 +47,11 @@ AGGREGATE_INPUTS: dict[str, tuple[str, ...]] = {
 }
 
 
+def pipeline_inputs() -> dict[str, tuple[str, ...]]:
+    """Every derived table with the tables it reads, for the lineage job."""
+    return {**GOLD_INPUTS, **CURATED_INPUTS, **AGGREGATE_INPUTS}
+
+
 def dimensions(silver: Tables) -> dict[str, DataFrame]:
     return {
         "dim_site": gold.dim_site(silver["sites"]),
@@ -106,12 +116,12 @@ def run(
 ) -> dict[str, int]:
     """Write all layers as managed tables ``<prefix><layer>.<table>`` and return row counts.
 
-    Each layer is read back from storage by the next, so no step is computed twice. The job
-    stops before gold when a reference does not resolve, and after each of the last two layers
-    when a table is empty.
+    Each layer is read back from storage by the next, so no step is computed twice, and counts
+    come from what was stored. The job stops before gold when a reference does not resolve, and
+    after each of the last two layers when a table is empty.
     """
     batch_id = batch_id or str(uuid.uuid4())
-    layers = {n: prefix + n for n in ("bronze", "silver", "gold", "thin_gold")}
+    layers = {n: prefix + n for n in ("bronze", "silver", "curated", "gold", "thin_gold")}
     for name in layers.values():
         spark.sql(f"CREATE DATABASE IF NOT EXISTS {name}")
 
@@ -133,13 +143,16 @@ def run(
     }
     quality.require_fks(silver, SILVER_REFERENCES)
 
+    write("curated", "rentals_curated", gold.rentals_curated(silver["rentals"], silver["sites"]))
+    telematics = write("curated", "telematics_curated", telematics_curated(silver["telematics"]))
+
     golden = {n: write("gold", n, df) for n, df in dimensions(silver).items()}
     golden["fact_rental"] = write("gold", "fact_rental", fact(silver))
     golden |= {n: write("gold", n, df) for n, df in kpis(golden["fact_rental"], silver).items()}
     quality.check_non_empty(golden)
 
     thin = {}
-    for table, df in aggregate_tables(golden, silver["telematics"], as_of).items():
+    for table, df in aggregate_tables(golden, telematics, as_of).items():
         thin[table] = write_optimized(df, name_in("thin_gold", table), sort_cols=LAYOUT[table])
         stored[f"thin_gold.{table}"] = thin[table]
     quality.check_non_empty(thin)

@@ -6,6 +6,8 @@ change results (time zone) or that guard against skew are set here.
 
 from __future__ import annotations
 
+import tempfile
+
 from pyspark.sql import SparkSession
 
 RESULT_CONF = {
@@ -32,3 +34,18 @@ def configure(spark: SparkSession, *, large_state: bool = False) -> SparkSession
     if large_state:
         spark.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
     return spark
+
+
+def shared_dir(spark: SparkSession) -> str:
+    """The folder for checkpoints and stream state: the one the cluster names.
+
+    Only a local session without one gets a temporary folder of its own.
+    """
+    context = spark.sparkContext
+    named = spark.conf.get("spark.checkpoint.dir", "") or context.getCheckpointDir()
+    if named:
+        return named.rstrip("/")
+    if not context.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
+    context.setCheckpointDir(tempfile.mkdtemp(prefix="motorpool-"))
+    return context.getCheckpointDir().rstrip("/")

@@ -119,6 +119,32 @@ def write_by_day(df: DataFrame, path: str, ts: str, fmt: str = DEFAULT_FORMAT) -
     writer.partitionBy("event_date").save(path)
 
 
+def add_missing_columns(spark: SparkSession, name: str, schema: T.StructType) -> list[str]:
+    """Let an event table grow: columns it lacks are added, none is dropped or retyped.
+
+    Creates the table when there is none. Returns the names of the added columns.
+    """
+    if not spark.catalog.tableExists(name):
+        spark.createDataFrame([], schema).write.format(DEFAULT_FORMAT).saveAsTable(name)
+        return list(schema.names)
+    present = {f.name.lower(): f.dataType for f in spark.table(name).schema}
+    retyped = [f.name for f in schema if present.get(f.name.lower(), f.dataType) != f.dataType]
+    if retyped:
+        raise ValueError(f"{name}: columns would change type: {', '.join(retyped)}")
+    missing = [f for f in schema if f.name.lower() not in present]
+    if missing:
+        columns = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in missing)
+        spark.sql(f"ALTER TABLE {name} ADD COLUMNS ({columns})")
+    return [f.name for f in missing]
+
+
+def describe_columns(spark: SparkSession, name: str, docs: Mapping[str, str]) -> None:
+    """Attach a comment to each named column."""
+    for column, text in docs.items():
+        quoted = text.replace("\\", "\\\\").replace("'", "\\'")
+        spark.sql(f"ALTER TABLE {name} ALTER COLUMN `{column}` COMMENT '{quoted}'")
+
+
 def manifest(tables: Mapping[str, DataFrame]) -> DataFrame:
     """One row per table: its name, row count and column list."""
     counts: Iterable[DataFrame] = (

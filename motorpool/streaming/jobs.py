@@ -29,7 +29,8 @@ def telematics_curated(stream: DataFrame) -> DataFrame:
 def dedup_events(stream: DataFrame, delay: str, ts: str = "ts") -> DataFrame:
     """Each event once, as long as its copies arrive within ``delay`` of each other.
 
-    The watermark lets Spark forget event ids, so state stays bounded by the event rate.
+    The watermark lets Spark forget event ids, so state stays bounded by the event rate. Events
+    that arrive later than ``delay`` behind the newest one are dropped.
     """
     return stream.withWatermark(ts, delay).dropDuplicatesWithinWatermark(["event_id"])
 

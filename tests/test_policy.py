@@ -112,8 +112,7 @@ def test_certification(spark, silver):
 
 
 def test_lineage_reaches_all_upstream_tables(spark):
-    pipeline = {**medallion.GOLD_INPUTS, **medallion.AGGREGATE_INPUTS}
-    edges = governance.lineage(spark, pipeline)
+    edges = governance.lineage(spark, medallion.pipeline_inputs())
     found = {r.src for r in governance.upstream(edges).filter("dst = 'agg_one_way_flows'").collect()}
     assert found == {
         "kpi_one_way_flows", "dim_site", "fact_rental", "rentals", "payments", "sites", "vehicles", "vehicle_classes"

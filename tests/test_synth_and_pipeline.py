@@ -115,7 +115,7 @@ def test_pipeline_end_to_end_and_again(spark):
     raw = fleet.entities(spark, fleet.Size(sites=6, vehicles=50, customers=40, reservations=200))
     options = {"source_system": "synthetic", "prefix": "t_", "batch_id": "b1", "as_of": ts("2025-01-01T01:00")}
     counts = medallion.run(spark, raw, **options)
-    assert len(counts) == 9 + 9 + 8 + 7
+    assert len(counts) == 9 + 9 + 2 + 8 + 7
     assert min(counts.values()) > 0
     assert counts["bronze.rentals"] == counts["silver.rentals"] == counts["gold.fact_rental"]
     paid = spark.table("t_silver.payments").agg(F.sum("total_amount_usd")).first()[0]
