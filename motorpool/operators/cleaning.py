@@ -89,12 +89,14 @@ def rental_days(df: DataFrame) -> DataFrame:
 
 
 def to_silver(entity: Entity, bronze: DataFrame, order_by: Sequence[Column] = ()) -> DataFrame:
-    """Clean one entity by its declaration: drop audit columns, de-duplicate, cast, fold text.
+    """Clean one entity by its declaration: drop audit columns, cast, fold text, de-duplicate.
 
     Columns the declaration does not know are carried through, so a source may add columns.
+    Values are typed before duplicates are dropped, which makes the rows that are shuffled
+    narrower than their text.
     """
-    df = dedup(read_without(bronze), entity.key, order_by)
+    df = read_without(bronze)
     df = cast_columns(df, {c: t for c, t in entity.types.items() if c in df.columns})
-    if entity.text:
-        df = normalize_text(df, entity.text)
+    folds = {c: m for c, m in entity.text.items() if c in df.columns}
+    df = dedup(normalize_text(df, folds) if folds else df, entity.key, order_by)
     return rental_days(df) if entity.name == "rentals" else df

@@ -4,13 +4,14 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from motorpool.functions.money import safe_div, usd_avg, usd_sum
 from motorpool.operators.filters import one_way
 from motorpool.operators.joins import lookup, role_dim
 
+# The columns of the dimensions and the fact.
 DIM_SITE = (
     "site_id",
     "site_code",
@@ -138,23 +139,32 @@ def fact_rental(
     return fact.select(*columns)
 
 
-def rental_totals(fact: DataFrame, by: Sequence[str]) -> DataFrame:
+def rental_count(unique: bool) -> Column:
+    """How many rentals a group has.
+
+    ``unique`` promises one row per rental, as :func:`fact_rental` gives it over cleaned tables.
+    Rentals are then counted row by row; without the promise their ids have to be shuffled.
+    """
+    return F.count("rental_id") if unique else F.count_distinct("rental_id")
+
+
+def rental_totals(fact: DataFrame, by: Sequence[str], unique: bool = False) -> DataFrame:
     """Rentals, revenue and mean length per group."""
     return fact.groupBy(*by).agg(
-        F.count_distinct("rental_id").alias("total_rentals"),
+        rental_count(unique).alias("total_rentals"),
         usd_sum("revenue_usd").alias("total_revenue_usd"),
         usd_avg("revenue_usd").alias("avg_revenue_per_rental_usd"),
         F.round(F.avg("rental_days"), 1).alias("avg_rental_days"),
     )
 
 
-def kpi_revenue_by_site(fact: DataFrame) -> DataFrame:
-    return rental_totals(fact, list(PICKUP_ROLE.values()))
+def kpi_revenue_by_site(fact: DataFrame, unique: bool = False) -> DataFrame:
+    return rental_totals(fact, list(PICKUP_ROLE.values()), unique)
 
 
-def rented_days_by_class(fact: DataFrame) -> DataFrame:
+def rented_days_by_class(fact: DataFrame, unique: bool = False) -> DataFrame:
     return fact.groupBy("vehicle_class_id", "class_name", "category").agg(
-        F.count_distinct("rental_id").alias("total_rentals"),
+        rental_count(unique).alias("total_rentals"),
         F.sum("rental_days").alias("total_rented_days"),
         F.round(F.avg("rental_days"), 1).alias("avg_rental_days"),
     )
@@ -164,19 +174,20 @@ def fleet_size(vehicles: DataFrame, by: str) -> DataFrame:
     return vehicles.groupBy(by).agg(F.count_distinct("vehicle_id").alias("fleet_size"))
 
 
-def kpi_fleet_utilization(fact: DataFrame, vehicles: DataFrame) -> DataFrame:
-    joined = rented_days_by_class(fact).join(fleet_size(vehicles, "vehicle_class_id"), "vehicle_class_id", "left")
+def kpi_fleet_utilization(fact: DataFrame, vehicles: DataFrame, unique: bool = False) -> DataFrame:
+    fleet = fleet_size(vehicles, "vehicle_class_id")
+    joined = rented_days_by_class(fact, unique).join(fleet, "vehicle_class_id", "left")
     per_vehicle = F.round(safe_div(F.col("total_rentals"), F.col("fleet_size")), 2)
     return joined.withColumn("rentals_per_vehicle", per_vehicle)
 
 
-def kpi_one_way_flows(fact: DataFrame) -> DataFrame:
+def kpi_one_way_flows(fact: DataFrame, unique: bool = False) -> DataFrame:
     ends = ["pickup_site_id", "pickup_site_name", "pickup_city", *RETURN_ROLE.values()]
     return (
         one_way(fact)
         .groupBy(*ends)
         .agg(
-            F.count_distinct("rental_id").alias("one_way_trips"),
+            rental_count(unique).alias("one_way_trips"),
             usd_sum("revenue_usd").alias("one_way_revenue_usd"),
         )
     )

@@ -1,4 +1,7 @@
-"""Report-ready aggregates built on the star schema."""
+"""Report-ready aggregates built on the star schema.
+
+``unique`` has the meaning it has in :func:`motorpool.operators.gold.rental_count`.
+"""
 
 from __future__ import annotations
 
@@ -12,21 +15,21 @@ from motorpool.functions import calendar
 from motorpool.functions.money import percent, usd_sum
 from motorpool.functions.text import not_empty
 from motorpool.operators.filters import freshness_minutes, in_range
-from motorpool.operators.gold import fleet_size, rental_totals
+from motorpool.operators.gold import fleet_size, rental_count, rental_totals
 from motorpool.operators.joins import enrich_geo, role_dim, site_geo
 
 # Fixed value: readings above this many idle minutes are alerts.
 IDLE_LIMIT_MINUTES = 120
 
 
-def agg_revenue_by_site(fact: DataFrame, geo: DataFrame) -> DataFrame:
-    return enrich_geo(rental_totals(fact, ["pickup_site_id"]), geo, "pickup_site_id")
+def agg_revenue_by_site(fact: DataFrame, geo: DataFrame, unique: bool = False) -> DataFrame:
+    return enrich_geo(rental_totals(fact, ["pickup_site_id"], unique), geo, "pickup_site_id")
 
 
-def agg_revenue_by_site_month(fact: DataFrame) -> DataFrame:
+def agg_revenue_by_site_month(fact: DataFrame, unique: bool = False) -> DataFrame:
     site = ["pickup_site_id", "pickup_site_name", "pickup_city", "pickup_state"]
     return fact.groupBy(*site, calendar.month_of("pickup_ts").alias("revenue_month")).agg(
-        F.count_distinct("rental_id").alias("total_rentals"),
+        rental_count(unique).alias("total_rentals"),
         usd_sum("revenue_usd").alias("total_revenue_usd"),
     )
 
@@ -42,14 +45,18 @@ def _utilization(rented: DataFrame, vehicles: DataFrame, geo: DataFrame, site_co
 
 
 def agg_fleet_utilization_by_site_month(
-    fact: DataFrame, vehicles: DataFrame, geo: DataFrame, site_col: str = "current_site_id"
+    fact: DataFrame,
+    vehicles: DataFrame,
+    geo: DataFrame,
+    site_col: str = "current_site_id",
+    unique: bool = False,
 ) -> DataFrame:
     """Rented days over fleet days, with all days of a rental credited to its pickup month.
 
     The percentage may therefore exceed 100; see :func:`fleet_utilization_prorated`.
     """
     rented = fact.groupBy("pickup_site_id", calendar.month_of("pickup_ts").alias("rental_month")).agg(
-        F.count_distinct("rental_id").alias("total_rentals"),
+        rental_count(unique).alias("total_rentals"),
         F.sum("rental_days").alias("total_rented_days"),
     )
     return _utilization(rented, vehicles, geo, site_col)
@@ -79,14 +86,18 @@ def days_by_month(fact: DataFrame) -> DataFrame:
 
 
 def fleet_utilization_prorated(
-    fact: DataFrame, vehicles: DataFrame, geo: DataFrame, site_col: str = "current_site_id"
+    fact: DataFrame,
+    vehicles: DataFrame,
+    geo: DataFrame,
+    site_col: str = "current_site_id",
+    unique: bool = False,
 ) -> DataFrame:
     """Utilization with each rented day counted in the month it falls in."""
     rented = (
         days_by_month(fact)
         .groupBy("pickup_site_id", "rental_month")
         .agg(
-            F.count_distinct("rental_id").alias("total_rentals"),
+            rental_count(unique).alias("total_rentals"),
             F.sum("days").alias("total_rented_days"),
         )
     )

@@ -65,25 +65,34 @@ def fact(silver: Tables, columns: tuple[str, ...] = gold.FACT_RENTAL) -> DataFra
     return gold.fact_rental(*inputs, columns=columns)
 
 
-def kpis(fact_rental: DataFrame, silver: Tables) -> dict[str, DataFrame]:
+def kpis(fact_rental: DataFrame, silver: Tables, unique: bool = False) -> dict[str, DataFrame]:
+    """The KPI tables. ``unique`` promises that the fact has one row per rental."""
     return {
-        "kpi_revenue_by_site": gold.kpi_revenue_by_site(fact_rental),
-        "kpi_fleet_utilization": gold.kpi_fleet_utilization(fact_rental, silver["vehicles"]),
-        "kpi_one_way_flows": gold.kpi_one_way_flows(fact_rental),
+        "kpi_revenue_by_site": gold.kpi_revenue_by_site(fact_rental, unique),
+        "kpi_fleet_utilization": gold.kpi_fleet_utilization(fact_rental, silver["vehicles"], unique),
+        "kpi_one_way_flows": gold.kpi_one_way_flows(fact_rental, unique),
         "kpi_maintenance_cost": gold.kpi_maintenance_cost(silver["maintenance"], silver["sites"]),
     }
 
 
 def aggregate_tables(
-    gold_tables: Tables, telematics: DataFrame, as_of: datetime | str | Column | None = None
+    gold_tables: Tables,
+    telematics: DataFrame,
+    as_of: datetime | str | Column | None = None,
+    unique: bool = False,
 ) -> dict[str, DataFrame]:
-    """The report-ready aggregates. ``as_of`` fixes the moment freshness is measured at."""
+    """The report-ready aggregates.
+
+    ``as_of`` fixes the moment freshness is measured at; ``unique`` is as in :func:`kpis`.
+    """
     rentals, vehicles = gold_tables["fact_rental"], gold_tables["dim_vehicle"]
     geo = site_geo(gold_tables["dim_site"])
     return {
-        "agg_revenue_by_site": rollups.agg_revenue_by_site(rentals, geo),
-        "agg_revenue_by_site_month": rollups.agg_revenue_by_site_month(rentals),
-        "agg_fleet_utilization_by_site_month": rollups.agg_fleet_utilization_by_site_month(rentals, vehicles, geo),
+        "agg_revenue_by_site": rollups.agg_revenue_by_site(rentals, geo, unique),
+        "agg_revenue_by_site_month": rollups.agg_revenue_by_site_month(rentals, unique),
+        "agg_fleet_utilization_by_site_month": rollups.agg_fleet_utilization_by_site_month(
+            rentals, vehicles, geo, unique=unique
+        ),
         "agg_idle_vehicles_by_site": rollups.agg_idle_vehicles_by_site(vehicles, geo),
         "agg_one_way_flows": rollups.agg_one_way_flows(gold_tables["kpi_one_way_flows"], geo),
         "agg_maintenance_cost_by_site": rollups.agg_maintenance_cost_by_site(
@@ -113,12 +122,17 @@ def run(
     prefix: str = "",
     batch_id: str | None = None,
     as_of: datetime | str | None = None,
+    rental_buckets: int = 0,
 ) -> dict[str, int]:
     """Write all layers as managed tables ``<prefix><layer>.<table>`` and return row counts.
 
     Each layer is read back from storage by the next, so no step is computed twice, and counts
     come from what was stored. The job stops before gold when a reference does not resolve, and
     after each of the last two layers when a table is empty.
+
+    With ``rental_buckets`` the cleaned rentals are stored in that many buckets by rental id, and
+    building the fact joins them to their payments without moving them. Rental ids are unique,
+    so buckets are even.
     """
     batch_id = batch_id or str(uuid.uuid4())
     layers = {n: prefix + n for n in ("bronze", "silver", "curated", "gold", "thin_gold")}
@@ -130,29 +144,30 @@ def run(
 
     stored: dict[str, DataFrame] = {}
 
-    def write(layer: str, table: str, df: DataFrame) -> DataFrame:
-        name = name_in(layer, table)
-        stored[f"{layer}.{table}"] = overwrite_table(df, name)
+    def write(layer: str, table: str, df: DataFrame, buckets: int = 0) -> DataFrame:
+        bucket_by = (buckets, ENTITIES[table].key) if buckets else None
+        stored[f"{layer}.{table}"] = overwrite_table(df, name_in(layer, table), bucket_by=bucket_by)
         return stored[f"{layer}.{table}"]
 
     for table, df in raw.items():
         write("bronze", table, with_audit(df, source_system, "raw", batch_id, as_of))
-    silver = {
-        table: write("silver", table, to_silver(ENTITIES[table], read_table(spark, layers["bronze"], table)))
-        for table in raw
-    }
+    silver = {}
+    for table in raw:
+        cleaned = to_silver(ENTITIES[table], read_table(spark, layers["bronze"], table))
+        silver[table] = write("silver", table, cleaned, rental_buckets if table == "rentals" else 0)
     quality.require_fks(silver, SILVER_REFERENCES)
 
     write("curated", "rentals_curated", gold.rentals_curated(silver["rentals"], silver["sites"]))
     telematics = write("curated", "telematics_curated", telematics_curated(silver["telematics"]))
 
+    # Cleaning leaves one row per key in every table, so the fact has one row per rental.
     golden = {n: write("gold", n, df) for n, df in dimensions(silver).items()}
     golden["fact_rental"] = write("gold", "fact_rental", fact(silver))
-    golden |= {n: write("gold", n, df) for n, df in kpis(golden["fact_rental"], silver).items()}
+    golden |= {n: write("gold", n, df) for n, df in kpis(golden["fact_rental"], silver, unique=True).items()}
     quality.check_non_empty(golden)
 
     thin = {}
-    for table, df in aggregate_tables(golden, telematics, as_of).items():
+    for table, df in aggregate_tables(golden, telematics, as_of, unique=True).items():
         thin[table] = write_optimized(df, name_in("thin_gold", table), sort_cols=LAYOUT[table])
         stored[f"thin_gold.{table}"] = thin[table]
     quality.check_non_empty(thin)

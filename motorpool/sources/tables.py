@@ -74,9 +74,23 @@ def read_entity(spark: SparkSession, directory: str, name: str, schema: T.Struct
     return reader.option("header", True).option("nullValue", NO_TEXT).csv(path)
 
 
-def overwrite_table(df: DataFrame, name: str, fmt: str = DEFAULT_FORMAT) -> DataFrame:
-    """Replace a managed table, schema included, and hand back the stored table."""
-    df.write.format(fmt).mode("overwrite").option("overwriteSchema", "true").saveAsTable(name)
+def overwrite_table(
+    df: DataFrame, name: str, fmt: str = DEFAULT_FORMAT, bucket_by: tuple[int, str] | None = None
+) -> DataFrame:
+    """Replace a managed table, schema included, and hand back the stored table.
+
+    ``bucket_by`` (number, column) lets later joins on the column read the table where it lies,
+    given at least as many buckets as ``spark.sql.shuffle.partitions``. Use it for unique columns
+    only: a value that repeats much would fill one bucket.
+    """
+    if bucket_by:
+        number, column = bucket_by
+        # One task per bucket, hence one file per bucket.
+        df = df.repartition(number, column)
+    writer = df.write.format(fmt).mode("overwrite").option("overwriteSchema", "true")
+    if bucket_by:
+        writer = writer.bucketBy(number, column).sortBy(column)
+    writer.saveAsTable(name)
     return df.sparkSession.table(name)
 
 

@@ -8,7 +8,9 @@ from pathlib import Path
 import pytest
 from pyspark.sql import functions as F
 
-from motorpool.operators import cleaning, gold, joins, ranking
+from motorpool.operators import cleaning, gold, joins, ranking, rollups
+from motorpool.plans import medallion
+from motorpool.sources import tables
 from tests.conftest import rows
 
 LIBRARY = sorted((Path(__file__).resolve().parent.parent / "motorpool").rglob("*.py"))
@@ -120,3 +122,21 @@ def test_filters_and_columns_reach_the_scan(spark, silver, tmp_path):
     plan = plan_of(gold.fleet_size(spark.read.parquet(path).filter("status = 'idle'"), "current_site_id"))
     assert "PushedFilters: [IsNotNull(status), EqualTo(status,idle)]" in plan
     assert "ReadSchema: struct<vehicle_id:string,current_site_id:string,status:string>" in plan
+
+
+def test_bucketed_rentals_stay_in_place(spark, silver, small_joins_shuffle):
+    stored = tables.overwrite_table(silver["rentals"], "bucketed_rentals", bucket_by=(8, "rental_id"))
+    assert rows(stored, "rental_id", "pickup_ts") == rows(silver["rentals"], "rental_id", "pickup_ts")
+    fact = medallion.fact({**silver, "rentals": stored}, ("rental_id", "pickup_site_id", "revenue_usd"))
+    # Only the payments move.
+    assert plan_of(fact).count("Exchange") == 1
+    assert rows(fact) == rows(medallion.fact(silver, ("rental_id", "pickup_site_id", "revenue_usd")))
+
+
+def test_unique_rentals_are_counted_without_moving_their_ids(golden):
+    fact = golden["fact_rental"]
+    plain, promised = gold.kpi_revenue_by_site(fact), gold.kpi_revenue_by_site(fact, unique=True)
+    assert rows(plain) == rows(promised)
+    assert "distinct" in plan_of(plain) and "distinct" not in plan_of(promised)
+    assert rows(rollups.agg_revenue_by_site_month(fact, unique=True)) == rows(rollups.agg_revenue_by_site_month(fact))
+    assert rows(gold.kpi_one_way_flows(fact, unique=True)) == rows(gold.kpi_one_way_flows(fact))
