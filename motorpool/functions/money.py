@@ -59,8 +59,12 @@ def safe_div(numerator: Column, denominator: Column) -> Column:
 
 
 def percent(part: Column, whole: Column, digits: int = 1) -> Column:
-    """``part`` of ``whole`` on a 0-100 scale."""
-    return F.round(safe_div(part, whole) * F.lit(100.0), digits)
+    """``part`` of ``whole`` on a 0-100 scale.
+
+    Multiplied before it is divided, so that the quotient is off by no more than its last bit
+    and a value such as 1.85 rounds up.
+    """
+    return F.round(safe_div(part * F.lit(100.0), whole), digits)
 
 
 def base_price(daily_rate: Column, days: Column) -> Column:

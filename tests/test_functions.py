@@ -58,6 +58,11 @@ def test_division_by_zero_is_null(spark):
     assert [r[0] for r in df.select(money.safe_div(F.col("a"), F.col("b"))).collect()] == [None, 0.5, None]
 
 
+def test_percent_rounds_the_exact_quotient(spark):
+    df = spark.createDataFrame([(444, 24000), (1, 0)], "a long, b long")
+    assert [r[0] for r in df.select(money.percent(F.col("a"), F.col("b"))).collect()] == [1.9, None]
+
+
 def test_total_is_exact_in_any_order(spark):
     amounts = [0.1, 0.2, 0.3, -0.6, 1e11, -1e11, 0.0001] * 50
     forward = spark.createDataFrame([(a,) for a in amounts], "x double").repartition(7)
