@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterable, Mapping, Sequence
+from datetime import date, timedelta
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -133,6 +134,23 @@ def write_by_day(df: DataFrame, path: str, ts: str, fmt: str = DEFAULT_FORMAT) -
     writer.partitionBy("event_date").save(path)
 
 
+def expire_days(
+    spark: SparkSession, name: str, keep_days: int, as_of: date, column: str = "event_date"
+) -> list[date]:
+    """Drop the days of a table partitioned by day that are older than ``keep_days``.
+
+    Whole partitions go, so no row is read or written. Returns the days dropped.
+    """
+    days = spark.sql(f"SHOW PARTITIONS {name}").select(
+        F.try_to_date(F.split_part("partition", F.lit("="), F.lit(2))).alias("day")
+    )
+    oldest = as_of - timedelta(days=keep_days)
+    expired = [r.day for r in days.filter(F.col("day") < F.lit(oldest)).orderBy("day").collect()]
+    for day in expired:
+        spark.sql(f"ALTER TABLE {name} DROP IF EXISTS PARTITION ({column} = '{day.isoformat()}')")
+    return expired
+
+
 def add_missing_columns(spark: SparkSession, name: str, schema: T.StructType) -> list[str]:
     """Let an event table grow: columns it lacks are added, none is dropped or retyped.
 

@@ -27,22 +27,43 @@ OPERATORS: dict[str, Callable[[Column, object], Column]] = {
 
 @dataclass(frozen=True)
 class Rule:
-    """``attribute`` of an object, compared with ``threshold``; ``action`` says what follows."""
+    """``attribute`` of an object, compared with ``threshold``; ``action`` says what follows.
+
+    ``headline`` is what a notified person reads.
+    """
 
     name: str
     attribute: str
     operator: str
     threshold: object = None
     action: str = "notify"
+    headline: str = ""
 
     def condition(self) -> Column:
         return F.coalesce(OPERATORS[self.operator](F.col(self.attribute), self.threshold), F.lit(False))
 
 
 # The rules the fleet is watched with.
-IDLE = Rule("IdleVehicleAlert", "idle_minutes", "GreaterThan", IDLE_LIMIT_MINUTES)
-FAULT = Rule("MaintenanceFaultAlert", "fault_code", "IsNotEmpty")
-OVERDUE = Rule("MaintenanceOverdueAlert", "odometer_miles", "GreaterThan", SERVICE_DUE_MILES)
+IDLE = Rule(
+    "IdleVehicleAlert",
+    "idle_minutes",
+    "GreaterThan",
+    IDLE_LIMIT_MINUTES,
+    headline="Vehicle idle for too long: consider moving it",
+)
+FAULT = Rule(
+    "MaintenanceFaultAlert",
+    "fault_code",
+    "IsNotEmpty",
+    headline="Vehicle reports a fault: schedule maintenance before its next rental",
+)
+OVERDUE = Rule(
+    "MaintenanceOverdueAlert",
+    "odometer_miles",
+    "GreaterThan",
+    SERVICE_DUE_MILES,
+    headline="Vehicle is due for service",
+)
 WORK_ORDER = Rule("WorkOrderOnFault", "fault_code", "IsNotEmpty", action="work_order")
 FLEET_RULES = (IDLE, FAULT, OVERDUE, WORK_ORDER)
 
@@ -109,3 +130,29 @@ def work_orders(alerts: DataFrame) -> DataFrame:
         F.col("value").alias("reason"),
         F.col("ts").alias("opened_ts"),
     )
+
+
+def notifications(
+    alerts: DataFrame, recipients: DataFrame, default: str, rules: Sequence[Rule] = FLEET_RULES
+) -> DataFrame:
+    """Messages for alerts that notify: to whom, what about and on which grounds.
+
+    ``recipients`` maps ``site_id`` to ``recipient``; other sites go to ``default``. Sending
+    them is somebody else's job.
+    """
+    headline = F.lit(None).cast("string")
+    for r in rules:
+        headline = F.when(F.col("rule") == r.name, r.headline).otherwise(headline)
+    routed = alerts.filter(F.col("action") == "notify").join(
+        recipients.select("site_id", "recipient"), "site_id", "left"
+    )
+    return routed.select(
+        F.coalesce("recipient", F.lit(default)).alias("sent_to"),
+        headline.alias("headline"),
+        F.concat_ws(" ", F.col("attribute"), F.lit("="), F.col("value")).alias("reason"),
+        F.col("object_key").alias("vehicle_id"),
+        "site_id",
+        "ts",
+        "rule",
+        "event_id",
+    )

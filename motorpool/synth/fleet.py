@@ -265,6 +265,7 @@ def rentals(spark: SparkSession, size: Size) -> DataFrame:
 
     A rental keeps the number of its reservation and walk-ins count on from there, so numbers
     are unique without ranking the rows. Should no trip end elsewhere, the first one is made to.
+    Both rules need a count of the rows, which is taken when the table is described.
     """
     booked = _bookings(spark, size).filter("status = 'fulfilled'")
     met = booked.agg(F.count("*").alias("rows")).first()["rows"]
@@ -302,9 +303,7 @@ def _walk_ins(spark: SparkSession, size: Size, count: int) -> DataFrame:
     pickup_site, return_site = _trip_sites(d, size)
     pickup = _plus(_moment(size, d, "pickup"), hours=_hours(d, "pickup_hour"))
     first = size.reservations + 1
-    return spark.range(first, first + count).select(
-        F.col("id").alias("n"),
-    ).select(
+    return spark.range(first, first + count).withColumnRenamed("id", "n").select(
         "n",
         F.lit(None).cast("string").alias("reservation_id"),
         _key(CUSTOMER, d.integer("customer", 1, size.customers + 1)).alias("customer_id"),

@@ -3,7 +3,7 @@ from __future__ import annotations
 import pytest
 
 from motorpool.operators import gold, governance, policy
-from motorpool.plans import medallion
+from motorpool.plans import medallion, semantic
 from tests.conftest import rows
 
 BRANCHES = (("admins", policy.ALL), ("north", "Aville"), ("south", "Btown"))
@@ -85,6 +85,16 @@ def test_filter_sees_values_before_the_mask(silver):
     assert rows(got, "customer_id", "home_city") == [("C1", "hidden")]
 
 
+def test_constrained_user_sees_the_same_on_every_surface(spark, silver, golden, curated):
+    """Row filter, row security through the dimension, and the secured model agree."""
+    grants = spark.createDataFrame([("ana", "Aville")], "principal string, city string")
+    filtered = policy.row_filter(curated, "site_city", {"north"}, BRANCHES)
+    secured = policy.rls(silver["rentals"], "pickup_site_id", silver["sites"], "site_id", "city", grants, "ana")
+    model = semantic.fleet_model({n: golden[n] for n in ("dim_site", "dim_vehicle", "dim_customer", "fact_rental")})
+    seen = semantic.secure(model, "dim_site", "city", grants, "ana").tables["fact_rental"]
+    assert rows(filtered, "rental_id") == rows(secured, "rental_id") == rows(seen, "rental_id")
+
+
 def test_sql_functions_agree_with_the_operators(spark, silver, curated):
     curated.createOrReplaceTempView("curated_rentals")
     silver["customers"].createOrReplaceTempView("some_customers")

@@ -1,5 +1,7 @@
 from __future__ import annotations
 
+from datetime import date
+
 from pyspark.sql import functions as F
 
 from motorpool.operators import quality
@@ -74,6 +76,15 @@ def test_days_are_replaced_one_by_one(spark, tmp_path):
     assert "PartitionFilters: [isnotnull(event_date" in plan._jdf.queryExecution().executedPlan().toString()
 
 
+def test_old_days_expire_as_whole_partitions(spark):
+    df = spark.createDataFrame([(i, date(2024, 1, i)) for i in range(1, 11)], "id int, event_date date")
+    df.write.mode("overwrite").partitionBy("event_date").saveAsTable("daily_events")
+    gone = tables.expire_days(spark, "daily_events", 3, date(2024, 1, 10))
+    assert gone == [date(2024, 1, i) for i in range(1, 7)]
+    assert rows(spark.table("daily_events"), "id") == [(10,), (7,), (8,), (9,)]
+    assert tables.expire_days(spark, "daily_events", 3, date(2024, 1, 10)) == []
+
+
 def test_manifest(silver):
     got = {r.entity: (r.rows, r.columns) for r in tables.manifest(silver).collect()}
     assert got["sites"][0] == 3 and got["sites"][1].startswith("site_id,site_code")

@@ -68,6 +68,23 @@ def test_thresholds_are_strict(spark):
     assert rows(rules.work_orders(rules.evaluate_rules(df)), "work_order_id", "reason") == [("WorkOrderOnFault:e3", "P1")]
 
 
+def test_notifications_are_routed_by_site(spark):
+    alerts = spark.createDataFrame(
+        [
+            ("IdleVehicleAlert", "notify", "V1", "e1", "S1", "idle_minutes", "130"),
+            ("MaintenanceFaultAlert", "notify", "V2", "e2", "S2", "fault_code", "P0300"),
+            ("WorkOrderOnFault", "work_order", "V2", "e2", "S2", "fault_code", "P0300"),
+        ],
+        "rule string, action string, object_key string, event_id string, site_id string, attribute string, value string",
+    ).withColumn("ts", F.lit(START))
+    who = spark.createDataFrame([("S1", "north@example.com")], "site_id string, recipient string")
+    got = rows(rules.notifications(alerts, who, "office@example.com"), "sent_to", "headline", "reason", "vehicle_id")
+    assert got == [
+        ("north@example.com", rules.IDLE.headline, "idle_minutes = 130", "V1"),
+        ("office@example.com", rules.FAULT.headline, "fault_code = P0300", "V2"),
+    ]
+
+
 def test_landing_stamps_and_partitions_by_day(spark, feed_dir, tmp_path):
     path = str(tmp_path / "landed")
     feed.land_events(feed.read_events(spark, feed_dir), path, str(tmp_path / "c")).awaitTermination()
