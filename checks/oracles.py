@@ -390,6 +390,19 @@ _ORACLES: dict[str, tuple[str, str]] = {
     ),
     "kpi_one_way_flows": ("flows", "SELECT * FROM flows"),
     "kpi_maintenance_cost": ("repair", "SELECT * FROM repair"),
+    "maintenance_cost_by_vehicle": (
+        "maintenance",
+        """SELECT vehicle_id, count(maintenance_id) AS maintenance_events,
+                  CAST(round(sum(total_cost_usd), 2) AS DOUBLE) AS total_maintenance_cost_usd,
+                  CAST(round(sum(labor_cost_usd), 2) AS DOUBLE) AS total_labor_cost_usd,
+                  CAST(round(sum(parts_cost_usd), 2) AS DOUBLE) AS total_parts_cost_usd
+           FROM maintenance GROUP BY vehicle_id""",
+    ),
+    "payment_revenue_by_site": (
+        "payments rentals",
+        """SELECT pickup_site_id, count(*) AS payments, CAST(round(sum(total_amount_usd), 2) AS DOUBLE) AS total_revenue_usd
+           FROM payments p JOIN rentals r ON p.rental_id = r.rental_id GROUP BY pickup_site_id""",
+    ),
     # report-ready aggregates
     "agg_revenue_by_site": (
         "revenue_by_site sites",

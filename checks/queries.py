@@ -297,6 +297,18 @@ def kpi_maintenance_cost(f: Fleet) -> DataFrame:
     return gold.kpi_maintenance_cost(f["maintenance"], f["sites"])
 
 
+@query
+def maintenance_cost_by_vehicle(f: Fleet) -> DataFrame:
+    return gold.maintenance_totals(f["maintenance"], by="vehicle_id")
+
+
+@query
+def payment_revenue_by_site(f: Fleet) -> DataFrame:
+    """Payments carry the pickup site of their rental, as landed payments do."""
+    site = f["rentals"].select("rental_id", "pickup_site_id")
+    return gold.payment_revenue(f["payments"].join(site, "rental_id"))
+
+
 # --- report-ready aggregates ------------------------------------------------------------------
 
 
@@ -650,7 +662,8 @@ def key_uniqueness(f: Fleet) -> DataFrame:
 def contract_rentals(f: Fleet) -> DataFrame:
     rentals = f["rentals"]
     rules_of = quality.contract_of(RENTALS, rentals.columns)
-    return quality.validate(rentals, {**rules_of, "closed_without_return": F.expr("status = 'closed' and return_ts is null")})
+    unreturned = F.expr("status = 'closed' and return_ts is null")
+    return quality.validate(rentals, {**rules_of, "closed_without_return": unreturned})
 
 
 @query

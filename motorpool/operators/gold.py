@@ -193,16 +193,28 @@ def kpi_one_way_flows(fact: DataFrame, unique: bool = False) -> DataFrame:
     )
 
 
-def kpi_maintenance_cost(maintenance: DataFrame, sites: DataFrame) -> DataFrame:
-    """Events and cost per site. Events are summed by site before the site is looked up."""
-    names = {"site_id": "site_id", "site_name": "site_name", "city": "site_city", "state": "site_state"}
-    costs = maintenance.groupBy("site_id").agg(
+def maintenance_totals(maintenance: DataFrame, by: str = "site_id") -> DataFrame:
+    """Events and cost per site, or per vehicle with ``by="vehicle_id"``."""
+    return maintenance.groupBy(by).agg(
         F.count("maintenance_id").alias("maintenance_events"),
         usd_sum("total_cost_usd").alias("total_maintenance_cost_usd"),
         usd_sum("labor_cost_usd").alias("total_labor_cost_usd"),
         usd_sum("parts_cost_usd").alias("total_parts_cost_usd"),
     )
-    return lookup(costs, role_dim(sites, names), "site_id")
+
+
+def kpi_maintenance_cost(maintenance: DataFrame, sites: DataFrame) -> DataFrame:
+    """Maintenance totals per site. Events are summed by site before the site is looked up."""
+    names = {"site_id": "site_id", "site_name": "site_name", "city": "site_city", "state": "site_state"}
+    return lookup(maintenance_totals(maintenance), role_dim(sites, names), "site_id")
+
+
+def payment_revenue(payments: DataFrame, by: str = "pickup_site_id") -> DataFrame:
+    """Revenue straight from payments, by the site they carry; the fact gives the same by rental."""
+    return payments.groupBy(by).agg(
+        F.count("payment_id").alias("payments"),
+        usd_sum("total_amount_usd").alias("total_revenue_usd"),
+    )
 
 
 def rentals_curated(rentals: DataFrame, sites: DataFrame) -> DataFrame:
