@@ -101,3 +101,8 @@ def display_usd(column: str | Column, digits: int = 0) -> Column:
 def display_percent(ratio: str | Column, digits: int = 1) -> Column:
     """Text such as ``12.5%`` from a 0-1 ratio."""
     return F.concat(F.format_number(_col(ratio) * 100, digits), F.lit("%"))
+
+
+def display_number(column: str | Column, digits: int = 0) -> Column:
+    """Text such as ``1,234.5``."""
+    return F.format_number(_col(column), digits)

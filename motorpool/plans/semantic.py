@@ -15,6 +15,7 @@ from functools import partial, reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from motorpool.functions import money
 from motorpool.functions.money import exact_sum, safe_div
 from motorpool.lazy import LazyTables
 from motorpool.operators import policy
@@ -46,7 +47,7 @@ class Measure:
     name: str
     parts: tuple[Part, ...]
     combine: Callable[..., Column] = lambda value: value
-    display: str = "number"
+    display: Callable[[Column], Column] = money.display_number
 
 
 @dataclass(frozen=True)
@@ -198,6 +199,12 @@ def _meet(parts: Sequence[DataFrame], keys: Sequence[str]) -> DataFrame:
     return stacked.groupBy(*keys).agg(*[F.max(f"`{c}`").alias(c) for c in own])
 
 
+def formatted(model: Model, answer: DataFrame) -> DataFrame:
+    """The answer as text for a reader, each measure in its own format."""
+    shown = {c: model.measures[c].display(F.col(f"`{c}`")) for c in answer.columns if c in model.measures}
+    return answer.withColumns(shown)
+
+
 def secure(model: Model, dim: str, column: str, mapping: DataFrame, user: str) -> Model:
     """The model as one user sees it.
 
@@ -258,8 +265,16 @@ HIERARCHIES = {
 }
 
 
+Display = Callable[[Column], Column]
+WHOLE_USD: Display = money.display_usd
+CENTS: Display = partial(money.display_usd, digits=2)
+PERCENT: Display = money.display_percent
+COUNT: Display = money.display_number
+TENTHS: Display = partial(money.display_number, digits=1)
+
+
 def _of(table: str) -> Callable[..., Measure]:
-    def measure(name: str, aggregate: Callable[[], Column], display: str = "number") -> Measure:
+    def measure(name: str, aggregate: Callable[[], Column], display: Display = COUNT) -> Measure:
         return Measure(name, ((table, aggregate),), display=display)
 
     return measure
@@ -273,7 +288,7 @@ def _usd(column: str) -> Callable[[], Column]:
     return lambda: exact_sum(column).cast("double")
 
 
-def _ratio(name: str, top: Part, bottom: Part, display: str = "percent") -> Measure:
+def _ratio(name: str, top: Part, bottom: Part, display: Display = PERCENT) -> Measure:
     return Measure(name, (top, bottom), safe_div, display)
 
 
@@ -288,20 +303,20 @@ def _fleet_measures() -> dict[str, Measure]:
     rows: Part = ("fact_rental", lambda: F.count(F.lit(1)))
     # A count over no rows is blank, not zero.
     one_way: Part = ("fact_rental", lambda: F.nullif(F.count_if("is_one_way"), F.lit(0)))
-    money: Part = ("fact_rental", _usd("revenue_usd"))
+    earned: Part = ("fact_rental", _usd("revenue_usd"))
     available = lambda: F.sum(F.col("fleet_size") * F.col("days_in_month"))
     listed = [
         Measure("Total Rentals", (rows,)),
-        Measure("Total Revenue", (money,), display="usd"),
-        _ratio("Revenue per Rental", money, rows, "usd"),
-        _ratio("Revenue per Site", money, ("dim_site", lambda: F.count_distinct("site_id")), "usd"),
-        rental("Average Rental Duration", lambda: F.avg("rental_days")),
+        Measure("Total Revenue", (earned,), display=WHOLE_USD),
+        _ratio("Revenue per Rental", earned, rows, CENTS),
+        _ratio("Revenue per Site", earned, ("dim_site", lambda: F.count_distinct("site_id")), WHOLE_USD),
+        rental("Average Rental Duration", lambda: F.avg("rental_days"), TENTHS),
         rental("Total Miles Driven", _sum("miles_driven")),
         rental("Active Vehicles", lambda: F.count_distinct("vehicle_id")),
         Measure("One-Way Rentals", (one_way,)),
         _ratio("One-Way Rental %", one_way, rows),
-        revenue("Site Revenue", _usd("total_revenue_usd"), "usd"),
-        month("Monthly Revenue", _usd("total_revenue_usd"), "usd"),
+        revenue("Site Revenue", _usd("total_revenue_usd"), WHOLE_USD),
+        month("Monthly Revenue", _usd("total_revenue_usd"), WHOLE_USD),
         _ratio(
             "Fleet Utilization %",
             ("agg_fleet_utilization_by_site_month", _sum("total_rented_days")),
@@ -314,18 +329,18 @@ def _fleet_measures() -> dict[str, Measure]:
             ("agg_idle_vehicles_by_site", _sum("vehicles_at_site")),
         ),
         flows("One-Way Trips", _sum("one_way_trips")),
-        repair("Maintenance Cost", _usd("total_maintenance_cost_usd"), "usd"),
+        repair("Maintenance Cost", _usd("total_maintenance_cost_usd"), WHOLE_USD),
         tele("Telematics Vehicles Tracked", lambda: F.count_distinct("vehicle_id")),
-        tele("Avg Telematics Freshness (min)", lambda: F.avg("minutes_since_last_snapshot")),
-        tele("Max Telematics Idle (min)", lambda: F.max("max_idle_minutes")),
-        repair("Labor Cost", _usd("total_labor_cost_usd"), "usd"),
-        repair("Parts Cost", _usd("total_parts_cost_usd"), "usd"),
+        tele("Avg Telematics Freshness (min)", lambda: F.avg("minutes_since_last_snapshot"), TENTHS),
+        tele("Max Telematics Idle (min)", lambda: F.max("max_idle_minutes"), TENTHS),
+        repair("Labor Cost", _usd("total_labor_cost_usd"), WHOLE_USD),
+        repair("Parts Cost", _usd("total_parts_cost_usd"), WHOLE_USD),
         repair("Maintenance Events", _sum("maintenance_events")),
         idle("Fleet Size", _sum("vehicles_at_site")),
         idle("Vehicles In Maintenance", _sum("maintenance_vehicles")),
-        flows("One-Way Revenue", _usd("one_way_revenue_usd"), "usd"),
+        flows("One-Way Revenue", _usd("one_way_revenue_usd"), WHOLE_USD),
         use("Rented Vehicle-Days", _sum("total_rented_days")),
-        revenue("Avg Revenue per Rental", lambda: F.avg("avg_revenue_per_rental_usd"), "usd"),
+        revenue("Avg Revenue per Rental", lambda: F.avg("avg_revenue_per_rental_usd"), CENTS),
     ]
     return {m.name: m for m in listed}
 

@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Callable, Mapping, Sequence
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -50,15 +51,18 @@ def with_ingestion_time(events: DataFrame) -> DataFrame:
     return events.withColumn("ingested_at", F.current_timestamp())
 
 
-def append_flow(
-    stream: DataFrame,
-    path: str,
-    checkpoint: str,
-    projection: Sequence[str | Column] = ("*",),
-    fmt: str = "parquet",
-    partition_by: Sequence[str] = (),
-) -> StreamingQuery:
-    """Append the chosen columns of a stream to files at ``path``, then stop when caught up.
+@dataclass(frozen=True)
+class Output:
+    """Where a stream goes: files at ``path`` holding ``select`` of each micro-batch."""
+
+    path: str
+    select: Callable[[DataFrame], DataFrame] = lambda batch: batch
+    partition_by: tuple[str, ...] = ()
+    fmt: str = "parquet"
+
+
+def append_outputs(stream: DataFrame, checkpoint: str, outputs: Sequence[Output]) -> StreamingQuery:
+    """Append a stream to one or more outputs, reading it once, then stop when caught up.
 
     Each micro-batch goes to a directory named after the query and the batch. A batch that runs
     again after a failure overwrites its own directory, so rows are stored once. A new
@@ -68,21 +72,42 @@ def append_flow(
 
     def store(batch: DataFrame, batch_id: int) -> None:
         query = batch.sparkSession.read.json(f"{checkpoint}/metadata").first()["id"]
-        writer = batch.write.format(fmt).mode("overwrite")
-        if partition_by:
-            writer = writer.partitionBy(*partition_by)
-        writer.save(f"{path}/flow={query}/batch={batch_id}")
-
-    writer = stream.select(*projection).writeStream.outputMode("append").foreachBatch(store)
+        if len(outputs) > 1:
+            batch.persist()
+        for output in outputs:
+            writer = output.select(batch).write.format(output.fmt).mode("overwrite")
+            if output.partition_by:
+                writer = writer.partitionBy(*output.partition_by)
+            writer.save(f"{output.path}/flow={query}/batch={batch_id}")
+        batch.unpersist()
+
+    writer = stream.writeStream.outputMode("append").foreachBatch(store)
     return writer.option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
+def append_flow(
+    stream: DataFrame,
+    path: str,
+    checkpoint: str,
+    projection: Sequence[str | Column] = ("*",),
+    fmt: str = "parquet",
+    partition_by: Sequence[str] = (),
+) -> StreamingQuery:
+    """Append the chosen columns of a stream to files at ``path``; see :func:`append_outputs`."""
+    output = Output(path, partition_by=tuple(partition_by), fmt=fmt)
+    return append_outputs(stream.select(*projection), checkpoint, [output])
+
+
 def read_flow(spark: SparkSession, path: str, fmt: str = "parquet") -> DataFrame:
     """What :func:`append_flow` has stored so far."""
     return spark.read.format(fmt).load(path).drop("flow", "batch")
 
 
+def landed(events: DataFrame) -> DataFrame:
+    """Events with their ingestion time and their day, which the event table is laid out by."""
+    return with_ingestion_time(events).withColumn("event_date", F.to_date("ts"))
+
+
 def land_events(stream: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
     """Append events with their ingestion time, in one directory per event day."""
-    dated = with_ingestion_time(stream).withColumn("event_date", F.to_date("ts"))
-    return append_flow(dated, path, checkpoint, partition_by=("event_date",))
+    return append_flow(landed(stream), path, checkpoint, partition_by=("event_date",))

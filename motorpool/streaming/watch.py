@@ -8,8 +8,8 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession
 
 from motorpool.operators.cleaning import dedup
-from motorpool.sources.events import land_events, read_events, read_flow
-from motorpool.streaming.jobs import dedup_events, write_alerts
+from motorpool.sources.events import Output, append_outputs, landed, read_events, read_flow
+from motorpool.streaming.jobs import dedup_events
 from motorpool.streaming.rules import FLEET_RULES, Rule, evaluate_rules, work_orders
 
 
@@ -38,21 +38,18 @@ def watch(
     delay: str | None = None,
     rules: Sequence[Rule] = FLEET_RULES,
 ) -> Watched:
-    """Catch up with the feed: land new events and raise their alerts.
+    """Catch up with the feed: land new events and raise their alerts, reading them once.
 
-    Run again to continue; both streams go on where their checkpoints stand. Without ``delay``
-    every event is kept, however late, as often as it was delivered. With ``delay`` copies are
-    dropped on the way in, and so are events that arrive later than that.
+    Run again to continue where the checkpoint stands. Without ``delay`` every event is kept,
+    however late, as often as it was delivered. With ``delay`` copies are dropped on the way in,
+    and so are events that arrive later than that.
     """
-
-    def fresh() -> DataFrame:
-        stream = read_events(spark, events_dir)
-        return stream if delay is None else dedup_events(stream, delay)
-
-    running = [
-        land_events(fresh(), f"{out}/events", f"{checkpoint}/events"),
-        write_alerts(evaluate_rules(fresh(), rules), f"{out}/alerts", f"{checkpoint}/alerts"),
+    stream = read_events(spark, events_dir)
+    if delay is not None:
+        stream = dedup_events(stream, delay)
+    outputs = [
+        Output(f"{out}/events", partition_by=("event_date",)),
+        Output(f"{out}/alerts", lambda batch: evaluate_rules(batch, rules)),
     ]
-    for query in running:
-        query.awaitTermination()
+    append_outputs(landed(stream), checkpoint, outputs).awaitTermination()
     return Watched(read_flow(spark, f"{out}/events"), read_flow(spark, f"{out}/alerts"))

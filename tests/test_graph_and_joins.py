@@ -25,6 +25,12 @@ def test_vehicles_at_a_named_site(silver):
     assert rows(graph.vehicles_at(_graph(silver), "Nowhere")) == []
 
 
+def test_edges_leave_out_missing_ends(silver):
+    g = _graph(silver)
+    assert rows(g.edges("located_at")) == [("V1", "S1"), ("V2", "S2"), ("V3", "S2"), ("V4", "S1")]
+    assert rows(g.edges("returned_at"), "src") == rows(silver["rentals"].filter("return_site_id is not null"), "rental_id")
+
+
 def test_sites_of_one_name_are_counted_together(silver):
     sites = silver["sites"].withColumn("site_name", F.lit("Same"))
     g = graph.fleet_graph(silver["vehicles"], sites, silver["rentals"])

@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from motorpool.plans import report
-from motorpool.plans.semantic import MEASURES, NoPathError, evaluate, fleet_model, secure
+from motorpool.plans.semantic import MEASURES, NoPathError, evaluate, fleet_model, formatted, secure
 from tests.conftest import rows
 
 
@@ -105,6 +105,12 @@ def test_report_questions(model):
     assert (3, "WA", "Aville", "Economy", 90.8) in tree
 
 
+def test_formatted_answers(model):
+    names = ["Total Rentals", "Total Revenue", "Revenue per Rental", "One-Way Rental %", "Average Rental Duration"]
+    shown = formatted(model, evaluate(model, names, by=["dim_site.city"]))
+    assert rows(shown)[0] == ("Aville", "3", "$494", "$164.58", "33.3%", "1.7")
+
+
 def test_forecast_continues_a_straight_line(spark):
     data = [("a", date(2024, m, 1), 10.0 * m) for m in range(1, 5)] + [("b", date(2023, 11, 1), 7.0)]
     series = spark.createDataFrame(data, "site string, month date, usd double")
