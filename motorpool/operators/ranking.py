@@ -23,10 +23,13 @@ def top_k(
 ) -> DataFrame:
     """The ``k`` largest rows by ``by``, overall or in each group of ``within``.
 
-    With ``ties`` all rows equal to the last one kept are kept too and carry ``rank``. Spark
-    keeps at most ``k`` rows (plus ties) per map task and group before any shuffle.
+    Equal rows are ordered by ``keys``, then by all other columns, so the choice is the same in
+    every run. With ``ties`` all rows equal to the last one kept are kept too and carry
+    ``rank``. Spark keeps at most ``k`` rows (plus ties) per map task and group before any
+    shuffle.
     """
-    order = [F.col(by).desc_nulls_last(), *([] if ties else [F.col(c).asc_nulls_last() for c in keys])]
+    rest = [c for c in df.columns if c != by and c not in keys]
+    order = [F.col(by).desc_nulls_last(), *([] if ties else [F.col(c).asc_nulls_last() for c in (*keys, *rest)])]
     if not within and not ties:
         return df.orderBy(*order).limit(k)
     window = Window.partitionBy(*within).orderBy(*order) if within else Window.orderBy(*order)

@@ -4,18 +4,33 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from motorpool.operators import quality
-from motorpool.schemas import ENTITIES
+from motorpool.operators.cleaning import cast_columns
+from motorpool.schemas import ENTITIES, Entity
 from motorpool.sources import tables
 from motorpool.synth import fleet
 
 
+def read_raw(spark: SparkSession, directory: str, entity: Entity, fmt: str = "parquet") -> DataFrame:
+    """One landed entity in its raw form, whichever tool wrote the files.
+
+    Columns with gaps may have been written as floating-point numbers; they come back as the
+    declared whole numbers. Dates and timestamps stay text.
+    """
+    if fmt == "csv":
+        text = T.StructType([T.StructField(c, T.StringType()) for c in entity.columns])
+        df = tables.read_entity(spark, directory, entity.name, text, "csv")
+    else:
+        df = spark.read.parquet(f"{directory}/{entity.name}.parquet")
+    typed = {c: t for c, t in entity.types.items() if t not in ("string", "date", "timestamp")}
+    return cast_columns(df, typed).select(*entity.columns)
+
+
 def read_fleet(spark: SparkSession, directory: str, fmt: str = "parquet") -> dict[str, DataFrame]:
-    """The nine raw entities as :func:`write_fleet` leaves them."""
-    return {
-        name: tables.read_entity(spark, directory, name, entity.raw_schema(), fmt) for name, entity in ENTITIES.items()
-    }
+    """The nine landed entities."""
+    return {name: read_raw(spark, directory, entity, fmt) for name, entity in ENTITIES.items()}
 
 
 def write_fleet(spark: SparkSession, size: fleet.Size, directory: str, fmt: str = "both") -> DataFrame:

@@ -1,13 +1,15 @@
 from __future__ import annotations
 
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from motorpool.__main__ import main
 from motorpool.operators import quality
+from motorpool.operators.cleaning import to_silver
 from motorpool.plans import generate
-from motorpool.schemas import EVENT
+from motorpool.schemas import EVENT, RENTALS
 from motorpool.sources import tables
 from motorpool.sources.events import read_flow
 from motorpool.streaming.watch import watch
@@ -30,6 +32,37 @@ def test_generate_then_pipeline(spark, tmp_path, capsys):
     assert spark.table("cli_gold.dim_vehicle").count() == 30
 
 
+def test_files_written_by_another_tool(spark, tmp_path):
+    """Whole numbers with gaps arrive as floats, missing text as an empty field."""
+    frame = pd.DataFrame(
+        {
+            "rental_id": ["RN1", "RN2"],
+            "reservation_id": ["R1", None],
+            "customer_id": ["C1", "C2"],
+            "vehicle_id": ["V1", "V2"],
+            "vehicle_class_id": ["VC1", "VC1"],
+            "pickup_site_id": ["S1", "S1"],
+            "return_site_id": ["S1", "S2"],
+            "pickup_ts": ["2024-01-01T10:00:00Z", "2024-01-02T10:00:00Z"],
+            "planned_return_ts": ["2024-01-03T10:00:00Z", "2024-01-04T10:00:00Z"],
+            "return_ts": ["2024-01-03T11:00:00Z", None],
+            "odometer_out": [2500, 2600],
+            "odometer_in": [2700.0, float("nan")],
+            "miles_driven": [200.0, float("nan")],
+            "is_one_way": [False, True],
+            "status": ["closed", "open"],
+        }
+    )
+    frame.to_csv(tmp_path / "rentals.csv", index=False)
+    frame.to_parquet(tmp_path / "rentals.parquet", index=False)
+    for fmt in ("csv", "parquet"):
+        raw = generate.read_raw(spark, str(tmp_path), RENTALS, fmt)
+        assert raw.schema == RENTALS.raw_schema()
+        clean = to_silver(RENTALS, raw)
+        got = rows(clean, "rental_id", "reservation_id", "odometer_in", "miles_driven", "is_one_way", "rental_days")
+        assert got == [("RN1", "R1", 2700, 200, False, 2), ("RN2", None, None, None, True, None)]
+
+
 def test_feed_then_watch(spark, tmp_path):
     feed, out, state = str(tmp_path / "feed"), str(tmp_path / "out"), str(tmp_path / "state")
     main(["events", "--out", feed, "--count", "400", "--inject-spike", "--spike-type", "idle", "--files", "3", *SMALL])
