@@ -1,8 +1,9 @@
-"""Command line: make a fleet, make a feed, run the pipeline, watch the feed.
+"""Command line: make a fleet, make a feed, run the pipeline, certify it, watch the feed.
 
     spark-submit ... -m motorpool generate --out DIR --reservations 4000
     python -m motorpool events --out DIR --count 200 --inject-spike
     python -m motorpool pipeline --raw DIR
+    python -m motorpool certify --by "data team" --date 2025-01-01
     python -m motorpool watch --events DIR --out DIR --checkpoint DIR
 """
 
@@ -51,6 +52,10 @@ def _pipeline(spark: SparkSession, opts: argparse.Namespace) -> None:
         print(f"{table:45s} {rows:>12d}")
 
 
+def _certify(spark: SparkSession, opts: argparse.Namespace) -> None:
+    medallion.certify_gold(spark, opts.by, opts.date, opts.prefix, opts.comment).show(truncate=False)
+
+
 def _watch(spark: SparkSession, opts: argparse.Namespace) -> None:
     seen = watch(spark, opts.events, opts.out, opts.checkpoint, opts.delay)
     seen.alerts.groupBy("rule").count().show(truncate=False)
@@ -91,6 +96,12 @@ def parser() -> argparse.ArgumentParser:
     pipeline.add_argument("--source-system", default="synthetic")
     pipeline.add_argument("--prefix", default="")
 
+    seal = command("certify", _certify)
+    seal.add_argument("--by", required=True)
+    seal.add_argument("--date", required=True)
+    seal.add_argument("--comment", default="Checked, de-duplicated and approved for use.")
+    seal.add_argument("--prefix", default="")
+
     live = command("watch", _watch)
     live.add_argument("--events", required=True)
     live.add_argument("--out", required=True)

@@ -12,7 +12,7 @@ from datetime import datetime
 
 from pyspark.sql import Column, DataFrame, SparkSession
 
-from motorpool.operators import gold, quality, rollups
+from motorpool.operators import gold, governance, quality, rollups
 from motorpool.operators.cleaning import to_silver, with_audit
 from motorpool.operators.joins import site_geo
 from motorpool.schemas import ENTITIES, SILVER_REFERENCES
@@ -172,3 +172,17 @@ def run(
         stored[f"thin_gold.{table}"] = thin[table]
     quality.check_non_empty(thin)
     return {name: df.count() for name, df in stored.items()}
+
+
+REGISTRY = "_table_certifications"
+
+
+def certify_gold(spark: SparkSession, by: str, on: str, prefix: str = "", comment: str = "") -> DataFrame:
+    """Mark the gold tables as certified: a registry row and table properties for each.
+
+    Run again to replace the registry and the properties.
+    """
+    names = [qualified(prefix + "gold", table) for table in GOLD_INPUTS]
+    for name in names:
+        governance.tag_table(spark, name, by, on, comment=comment)
+    return overwrite_table(governance.certify(spark, names, by, on), qualified(prefix + "gold", REGISTRY))

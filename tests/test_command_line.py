@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from motorpool.__main__ import main
-from motorpool.operators import quality
+from motorpool.operators import governance, quality
 from motorpool.operators.cleaning import to_silver
 from motorpool.plans import generate
 from motorpool.schemas import EVENT, RENTALS
@@ -30,6 +30,11 @@ def test_generate_then_pipeline(spark, tmp_path, capsys):
     main(["pipeline", "--raw", out, "--format", "csv", "--prefix", "cli_"])
     assert "thin_gold.agg_revenue_by_site" in capsys.readouterr().out
     assert spark.table("cli_gold.dim_vehicle").count() == 30
+    for _ in range(2):
+        main(["certify", "--by", "data team", "--date", "2025-01-01", "--prefix", "cli_"])
+    registry = spark.table("cli_gold._table_certifications")
+    assert registry.count() == 8 and registry.filter("certification_status <> 'CERTIFIED'").count() == 0
+    assert governance.table_tags(spark, "cli_gold.fact_rental").count() == 4
 
 
 def test_files_written_by_another_tool(spark, tmp_path):

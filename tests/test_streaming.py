@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from motorpool.operators import quality
 from motorpool.schemas import EVENT
+from motorpool.session import configure
 from motorpool.sources import events as feed
 from motorpool.streaming import jobs, rules
 from motorpool.synth import fleet
@@ -134,6 +135,19 @@ def test_duplicates_are_stored_once(spark, feed_dir, batch, tmp_path):
     quality.assert_same(batch, got)
 
 
+def test_large_state_is_kept_in_rocksdb(spark, feed_dir, batch, tmp_path):
+    key = "spark.sql.streaming.stateStore.providerClass"
+    before = spark.conf.get(key)
+    configure(spark, large_state=True)
+    try:
+        stream = feed.read_events(spark, feed_dir)
+        got = finish(spark, jobs.dedup_events(stream.union(stream), "1 day"), tmp_path)
+        quality.assert_same(batch, got)
+        assert list((tmp_path / "checkpoint" / "state").rglob("*.zip"))
+    finally:
+        spark.conf.set(key, before)
+
+
 def test_windows_close_behind_the_watermark(spark, feed_dir, batch, tmp_path):
     stream = jobs.spike_windows(feed.read_events(spark, feed_dir), "10 minutes", delay="5 minutes")
     got = finish(spark, stream, tmp_path)
