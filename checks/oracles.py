@@ -475,6 +475,14 @@ _ORACLES: dict[str, tuple[str, str]] = {
         f"""SELECT f.class_name, {RENTAL_LINES} FROM {SITE_OF_FACT}
             WHERE s.state IN ('ASIA', 'EUROPE') GROUP BY f.class_name""",
     ),
+    "revenue_per_site_by_class": (
+        "fact sites customers",
+        f"""SELECT f.class_name, c.loyalty_tier,
+                   round({SUM_USD} / (SELECT count(DISTINCT site_id) FROM sites WHERE state IN ('ASIA', 'EUROPE')), 4)
+                     AS revenue_per_site
+            FROM {SITE_OF_FACT} LEFT JOIN customers c ON f.customer_id = c.customer_id
+            WHERE s.state IN ('ASIA', 'EUROPE') GROUP BY ALL""",
+    ),
     "measures_rental_by_tier": (
         "fact sites customers",
         f"""SELECT c.loyalty_tier, s.state, count(*) AS total_rentals, round({SUM_USD}, 4) AS total_revenue

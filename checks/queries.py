@@ -445,6 +445,18 @@ def measures_rental_by_class_sliced(f: Fleet) -> DataFrame:
     return _plain(_rounded(sliced, 4))
 
 
+@query
+def revenue_per_site_by_class(f: Fleet) -> DataFrame:
+    """A ratio whose lower part the grouping does not reach: all sites in the slicer count."""
+    ratio = semantic.evaluate(
+        _model(f),
+        ["Revenue per Site"],
+        by=["dim_vehicle.class_name", "dim_customer.loyalty_tier"],
+        filters={"dim_site.state": ["ASIA", "EUROPE"]},
+    )
+    return _plain(_rounded(ratio, 4))
+
+
 @query
 def measures_rental_by_tier(f: Fleet) -> DataFrame:
     by = ["dim_customer.loyalty_tier", "dim_site.state"]

@@ -168,24 +168,48 @@ def evaluate(
     model.steps(use)  # refuses unknown names before anything is planned
     filters = filters or {}
     chosen = [model.measures[m] for m in measures]
-    per_table: dict[str, dict[str, Column]] = {}
+    leading = {m.parts[0][0] for m in chosen}
+    per_table: dict[str, list[Column]] = {}
     for m in chosen:
         for i, (table, aggregate) in enumerate(m.parts):
-            per_table.setdefault(table, {})[f"{m.name}#{i}"] = aggregate()
-    keys = [_flat(*_split(c)) for c in by]
+            per_table.setdefault(table, []).append(aggregate().alias(f"{m.name}#{i}"))
 
-    grouped = []
+    grouped: list[DataFrame] = []
+    coarser: list[tuple[list[str], DataFrame]] = []
     for table, aggregates in per_table.items():
-        rows = _context(model, table, by, filters, use)
-        named = [a.alias(n) for n, a in aggregates.items()]
-        grouped.append(rows.groupBy(*keys).agg(*named))
+        reach = [c for c in by if model.path(table, _split(c)[0], use) is not None]
+        if reach != list(by) and table in leading:
+            raise NoPathError(f"{table} has no relationship to {sorted(set(by) - set(reach))}")
+        rows = _context(model, table, reach, filters, use)
+        part = rows.groupBy(*[_flat(*_split(c)) for c in reach]).agg(*aggregates)
+        if reach == list(by):
+            grouped.append(part)
+        else:
+            coarser.append((reach, part))
+    keys = [_flat(*_split(c)) for c in by]
     joined = _meet(grouped, keys)
+    for reach, part in coarser:
+        joined = _attach(joined, part, [_flat(*_split(c)) for c in reach])
 
     values = [m.combine(*[F.col(f"`{m.name}#{i}`") for i in range(len(m.parts))]).alias(m.name) for m in chosen]
     out = joined.select(*[F.col(k).alias(_split(c)[1]) for k, c in zip(keys, by)], *values)
     return out.dropna("all", subset=list(measures)) if by else out
 
 
+def _attach(groups: DataFrame, part: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Give each group the values of a part that knows only some of the grouping columns.
+
+    Such a part is not filtered by the others, so its value repeats: the sites in a ratio by
+    vehicle class are all sites in context.
+    """
+    own = [c for c in part.columns if c not in keys]
+    if not keys:
+        return groups.withColumns({c: part.select(f"`{c}`").scalar() for c in own})
+    renamed = part.withColumnsRenamed({k: f"_{k}" for k in keys})
+    same = reduce(Column.__and__, [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in keys])
+    return groups.join(renamed, same, "left").drop(*[f"_{k}" for k in keys])
+
+
 def _meet(parts: Sequence[DataFrame], keys: Sequence[str]) -> DataFrame:
     """Put grouped results side by side.
 

@@ -59,6 +59,17 @@ def test_filters_flow_from_dimension_to_fact_only(model):
     assert got["Revenue per Site"] == pytest.approx(90.8 / 3)
 
 
+def test_part_of_a_ratio_that_cannot_be_grouped_repeats(model):
+    by_make = dict(rows(evaluate(model, ["Revenue per Site"], by=["dim_vehicle.make"])))
+    assert by_make == {"m": pytest.approx(90.8 / 3), "n": pytest.approx(402.93 / 3), None: pytest.approx(175.93 / 3)}
+    both = rows(evaluate(model, ["Revenue per Site"], by=["dim_site.state", "dim_vehicle.make"]))
+    # Two sites lie in OR, one in WA.
+    assert ("OR", None, pytest.approx(175.93 / 2)) in both
+    assert ("WA", "m", pytest.approx(90.8)) in both
+    sliced = evaluate(model, ["Revenue per Site"], by=["dim_vehicle.make"], filters={"dim_site.state": "OR"})
+    assert dict(rows(sliced)) == {"m": 0.0, "n": 0.0, None: pytest.approx(175.93 / 2)}
+
+
 def test_filter_forms(model):
     one = evaluate(model, ["Total Rentals"], filters={"dim_site.city": "Aville"}).first()[0]
     many = evaluate(model, ["Total Rentals"], filters={"dim_site.city": ["Aville", "Btown"]}).first()[0]
