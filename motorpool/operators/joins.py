@@ -31,6 +31,11 @@ def lookup(fact: DataFrame, dim: DataFrame, on: str, spread_nulls_by: str | None
     return dealt.join(dim.withColumn("_slice", F.lit(0).cast("long")), [on, "_slice"], "left").drop("_slice")
 
 
+def keep(df: DataFrame, wanted: DataFrame, on: str) -> DataFrame:
+    """Rows whose key is among the wanted ones, columns in their old order."""
+    return df.join(wanted, on, "left_semi").select(*df.columns)
+
+
 def orphan_keys(child: DataFrame, child_key: str, parent: DataFrame, parent_key: str) -> DataFrame:
     """Child keys without a parent, with the number of child rows under each.
 
@@ -45,7 +50,7 @@ def orphan_keys(child: DataFrame, child_key: str, parent: DataFrame, parent_key:
 def orphans(child: DataFrame, child_key: str, parent: DataFrame, parent_key: str) -> DataFrame:
     """Child rows whose non-null key has no parent."""
     missing = orphan_keys(child, child_key, parent, parent_key).select(F.col("orphan_key").alias(child_key))
-    return child.join(missing, child_key, "left_semi")
+    return keep(child, missing, child_key)
 
 
 def fk_resolves(child: DataFrame, child_key: str, parent: DataFrame, parent_key: str) -> DataFrame:

@@ -12,6 +12,8 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from motorpool.operators.joins import keep
+
 ALL = "*"
 # Fixed value of the library; give another literal where the table needs it.
 MASK = "***@masked.invalid"
@@ -55,7 +57,7 @@ def deny(df: DataFrame) -> DataFrame:
 def allowed_dim(dim: DataFrame, column: str, mapping: DataFrame, user: str) -> DataFrame:
     """Dimension rows that ``mapping`` (columns ``principal`` and ``column``) grants to the user."""
     granted = mapping.filter(F.col("principal") == user).select(column)
-    return dim.join(granted, column, "left_semi")
+    return keep(dim, granted, column)
 
 
 def rls(
@@ -71,7 +73,7 @@ def rls(
     if fact_key is None:
         return deny(fact)
     visible = allowed_dim(dim, column, mapping, user).select(F.col(dim_key).alias(fact_key))
-    return fact.join(visible, fact_key, "left_semi")
+    return keep(fact, visible, fact_key)
 
 
 @dataclass(frozen=True)

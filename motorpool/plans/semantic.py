@@ -19,6 +19,7 @@ from motorpool.functions import money
 from motorpool.functions.money import exact_sum, safe_div
 from motorpool.lazy import LazyTables
 from motorpool.operators import policy
+from motorpool.operators.joins import keep
 
 
 @dataclass(frozen=True)
@@ -258,9 +259,9 @@ def _follow(model: Model, df: DataFrame, chain: Sequence[Relationship], visible:
     *inner, last = chain
     keys = visible.select(F.col(last.dim_key).alias(last.fact_key))
     for r, after in zip(reversed(inner), reversed(chain)):
-        holder = model.tables[r.dim].join(keys, after.fact_key, "left_semi")
+        holder = keep(model.tables[r.dim], keys, after.fact_key)
         keys = holder.select(F.col(r.dim_key).alias(r.fact_key))
-    return df.join(keys, chain[0].fact_key, "left_semi")
+    return keep(df, keys, chain[0].fact_key)
 
 
 # --- the fleet model --------------------------------------------------------------------------

@@ -41,6 +41,14 @@ def test_feed_reads_back_typed(batch):
     assert batch.agg(F.max("ts")).first()[0] == ts("2024-06-01T01:39:50")
 
 
+def test_mapping_text_lines_gives_the_same_events(spark, feed_dir, batch, tmp_path):
+    """The way a message queue delivers events: one JSON text per row."""
+    lines = spark.readStream.text(feed_dir)
+    got = finish(spark, feed.apply_json_mapping(lines, "value", feed.EVENT_MAPPING), tmp_path)
+    assert got.columns == batch.columns
+    quality.assert_same(batch, got)
+
+
 def test_replay_takes_one_file_per_batch(spark, feed_dir, tmp_path):
     query = feed.append_flow(feed.replay(spark, feed_dir, 1), str(tmp_path / "o"), str(tmp_path / "c"))
     query.awaitTermination()
