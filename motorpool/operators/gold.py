@@ -119,23 +119,24 @@ def fact_rental(
 
     Only the joins that ``columns`` need are made: every side is unique on its key, so leaving
     one out cannot change the rows. Class attributes come from the vehicle handed over, not
-    from the class that was booked.
+    from the class that was booked. The two joins that may move the rentals come first, while
+    rows are narrow; site names are added last.
     """
     wanted = set(columns)
     fact = rentals.drop("vehicle_class_id")
     if wanted & {"revenue_usd", *AMOUNTS}:
         fact = fact.join(payments_by_rental(payments), "rental_id", "left")
         fact = fact.withColumn("revenue_usd", F.coalesce("revenue_usd", F.lit(0.0)))
-    if wanted & {"pickup_site_name", "pickup_city", "pickup_state"}:
-        fact = lookup(fact, role_dim(sites, PICKUP_ROLE), "pickup_site_id")
-    if wanted & {"return_site_name", "return_city"}:
-        fact = lookup(fact, role_dim(sites, RETURN_ROLE), "return_site_id")
     if wanted & {"vehicle_class_id", "class_name", "category"}:
         of_vehicle = vehicles.select("vehicle_id", "vehicle_class_id")
         if wanted & {"class_name", "category"}:
             names = classes.select("vehicle_class_id", "class_name", "category")
             of_vehicle = lookup(of_vehicle, names, "vehicle_class_id")
         fact = lookup(fact, of_vehicle, "vehicle_id", spread_nulls_by="rental_id")
+    if wanted & {"pickup_site_name", "pickup_city", "pickup_state"}:
+        fact = lookup(fact, role_dim(sites, PICKUP_ROLE), "pickup_site_id")
+    if wanted & {"return_site_name", "return_city"}:
+        fact = lookup(fact, role_dim(sites, RETURN_ROLE), "return_site_id")
     return fact.select(*columns)
 
 

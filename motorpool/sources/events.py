@@ -71,7 +71,7 @@ def append_outputs(stream: DataFrame, checkpoint: str, outputs: Sequence[Output]
     """
 
     def store(batch: DataFrame, batch_id: int) -> None:
-        query = batch.sparkSession.read.json(f"{checkpoint}/metadata").first()["id"]
+        query = batch.sparkSession.read.schema("id string").json(f"{checkpoint}/metadata").first()["id"]
         if len(outputs) > 1:
             batch.persist()
         for output in outputs:
