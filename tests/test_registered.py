@@ -8,10 +8,11 @@ import io
 import pytest
 
 import __spark_entry__ as entry
+from checks import oracles, queries
 from checks.compare import differences, duck, plain
 
 DATA = "/root/testdata/sf0.001"
-QUERIES, SQL = entry.queries(), entry.oracle_sql()
+QUERIES, SQL = queries.all_queries(), oracles.all_oracles()
 
 
 @pytest.fixture(scope="module")
