@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from motorpool.llm import bpe, shards, token_counts
+from motorpool.llm import archive, bpe, html_text, shards, token_counts
 from motorpool.llm.common import scratch, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -29,5 +29,37 @@ def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.token_counts(docs, public_tokenizers.path(TOKENIZER), scratch(spark, "token-cache"))
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op2_bpe, op4_sharding, op6_token_counts)}
-SQL: dict[str, str] = {}
+def op5_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.extract(table(spark, sf_dir, "pages"))
+
+
+def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Reads the result from the ordered index of the archives it has written."""
+    pages = table(spark, sf_dir, "pages")
+    archive.write(pages, archives := scratch(spark, "warc"))
+    index = archive.merged_index(spark, archives, scratch(spark, "warc-runs"))
+    return index.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+# The digest's 40 hexadecimal digits are 160 bits: 32 digits of 5 bits.
+OP7_SQL = """
+WITH p AS (
+  SELECT page_id, coalesce(html, '') AS html FROM pages
+), d AS (
+  SELECT page_id, CAST(strlen(html) AS BIGINT) AS payload_bytes, sha1(html) AS hex, max(page_id) OVER (PARTITION BY html) AS head FROM p
+), b AS (
+  SELECT page_id, payload_bytes, head,
+    array_to_string(list_transform(range(0, 4), lambda q: array_to_string(list_transform(range(0, 8), lambda i:
+      substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+        1 + CAST((CAST('0x' || substr(hex, 1 + CAST(q AS INTEGER) * 10, 10) AS BIGINT) >> CAST(35 - 5 * i AS BIGINT)) & 31 AS INTEGER), 1)), '')), '') AS payload_digest
+  FROM d
+)
+SELECT page_id, payload_bytes, payload_digest,
+  CASE WHEN page_id = head THEN 'response' ELSE 'revisit' END AS record_type,
+  CASE WHEN page_id = head THEN NULL ELSE head END AS refers_to
+FROM b
+"""
+
+
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op2_bpe, op4_sharding, op5_html_extraction, op6_token_counts, op7_warc)}
+SQL: dict[str, str] = {"op7_warc": OP7_SQL}
