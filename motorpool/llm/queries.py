@@ -7,13 +7,17 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from motorpool.llm import archive, bpe, html_text, shards, token_counts
+from motorpool.llm import archive, bpe, html_text, secret_scan, shards, token_counts, toxicity
 from motorpool.llm.common import scratch, table
 
 Query = Callable[[SparkSession, str], DataFrame]
 TOKENIZER = "byte_bpe_50k.json"
 
 
+def op1_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secret_scan.scan(table(spark, sf_dir, "documents"))
+
+
 def op2_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return bpe.encoding_digests(docs, public_tokenizers.path(TOKENIZER))
@@ -41,6 +45,11 @@ def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return index.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return toxicity.score(docs, toxicity.train(docs, table(spark, sf_dir, "labels")))
+
+
 # The digest's 40 hexadecimal digits are 160 bits: 32 digits of 5 bits.
 OP7_SQL = """
 WITH p AS (
@@ -61,5 +70,16 @@ FROM b
 """
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op2_bpe, op4_sharding, op5_html_extraction, op6_token_counts, op7_warc)}
+QUERIES: dict[str, Query] = {
+    f.__name__: f
+    for f in (
+        op1_secret_scans,
+        op2_bpe,
+        op4_sharding,
+        op5_html_extraction,
+        op6_token_counts,
+        op7_warc,
+        op9_toxicity,
+    )
+}
 SQL: dict[str, str] = {"op7_warc": OP7_SQL}
