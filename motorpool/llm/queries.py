@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from motorpool.llm import archive, bpe, html_text, secret_scan, shards, token_counts, toxicity
+from motorpool.llm import archive, bpe, html_text, leaks, secret_scan, shards, shingle_join, token_counts, toxicity
 from motorpool.llm.common import scratch, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -45,11 +45,19 @@ def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return index.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return leaks.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return toxicity.score(docs, toxicity.train(docs, table(spark, sf_dir, "labels")))
 
 
+def op10_shingle_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return shingle_join.near_copies(table(spark, sf_dir, "documents"))
+
+
 # The digest's 40 hexadecimal digits are 160 bits: 32 digits of 5 bits.
 OP7_SQL = """
 WITH p AS (
@@ -79,7 +87,9 @@ QUERIES: dict[str, Query] = {
         op5_html_extraction,
         op6_token_counts,
         op7_warc,
+        op8_decontamination,
         op9_toxicity,
+        op10_shingle_join,
     )
 }
 SQL: dict[str, str] = {"op7_warc": OP7_SQL}
