@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from motorpool.llm import archive, bpe, html_text, leaks, secret_scan, shards, shingle_join, token_counts, toxicity
+from motorpool.llm import archive, bpe, html_text, leaks, secret_scan, shards, shingle_join, token_counts, toxicity, vector_dedup
 from motorpool.llm.common import scratch, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -23,6 +23,10 @@ def op2_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encoding_digests(docs, public_tokenizers.path(TOKENIZER))
 
 
+def op3_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_dedup.near_vectors(table(spark, sf_dir, "embeddings"))
+
+
 def op4_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shards.shard(table(spark, sf_dir, "documents"), 24)
 
@@ -83,6 +87,7 @@ QUERIES: dict[str, Query] = {
     for f in (
         op1_secret_scans,
         op2_bpe,
+        op3_embedding_dedup,
         op4_sharding,
         op5_html_extraction,
         op6_token_counts,
