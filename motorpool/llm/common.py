@@ -98,3 +98,22 @@ def per_text(
             )
 
     return narrow.mapInArrow(run, shape)
+
+
+def per_row(
+    df: DataFrame, text: str, build: Callable[[], Callable[[list[str], pa.RecordBatch], pa.RecordBatch]], limit: int = STRETCH_BYTES
+) -> DataFrame:
+    """The rows of ``df`` as ``build()`` returns them: it gets the texts of a stretch (null as empty) and its batch.
+
+    It may drop rows and replace values; the columns stay as they are. ``build`` runs once in each task.
+    """
+    place = df.columns.index(text)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        of = build()
+        for batch in stretches(batches, text=place, limit=limit):
+            done = of([t or "" for t in batch.column(place).to_pylist()], batch)
+            if done.num_rows:
+                yield done
+
+    return df.mapInArrow(run, df.schema)

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from motorpool.llm.common import stretches, text_or_empty
+from motorpool.llm.common import per_row, stretches, text_or_empty
 
 Q = 8
 # Edits allowed for each character of an item; items shorter than this say too little to be recognised.
@@ -277,3 +277,33 @@ def _portions(texts: list[str]) -> Iterator[list[tuple[int, str]]]:
             part, held = [], 0
     if part:
         yield part
+
+
+def without_leaks(
+    docs: DataFrame,
+    benchmark: DataFrame,
+    *,
+    text: str = "text",
+    item_key: str = "item_id",
+    item_text: str = "text",
+    rate: float = EDIT_RATE,
+    least: int = LEAST_CHARS,
+) -> DataFrame:
+    """The rows of ``docs``, as they are, in whose text no item stands. One pass over the rows for each portion."""
+    kept = docs
+    for portion in _passes(benchmark, item_key, item_text):
+        shared = docs.sparkSession.sparkContext.broadcast(index(portion, rate, least))
+
+        def build(shared=shared):
+            items = shared.value
+
+            def clean(texts: list[str], batch: pa.RecordBatch) -> pa.RecordBatch:
+                mask = np.ones(len(texts), dtype=bool)
+                for part in _portions(texts):
+                    mask[[part[r[0]][0] for r in matches([t for _, t in part], items)]] = False
+                return batch.filter(pa.array(mask))
+
+            return clean
+
+        kept = per_row(kept, text, build, limit=TEXT_BYTES)
+    return kept

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from motorpool.llm.common import hex_sha256, stretches, text_or_empty
+from motorpool.llm.common import hex_sha256, per_row, stretches, text_or_empty
 
 # Fixed patterns of the base kinds.
 ASSIGN = re.compile(r"(password|passwd|secret|token|api_?key)[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9+/_.=-]+)", re.I | re.A)
@@ -367,21 +367,17 @@ def _listed(found: list[tuple[int, int, str]]) -> str:
     return ",".join(f"{kind}:{a}:{b}" for a, b, kind in found)
 
 
-def scan(
-    docs: DataFrame, *, key: str = "doc_id", text: str = "text", field: Field | None = None, redacted: bool = False
-) -> DataFrame:
+def scan(docs: DataFrame, *, key: str = "doc_id", text: str = "text", field: Field | None = None) -> DataFrame:
     """Secrets of every whole text: ``key``, ``n_assign``, ``n_access``, ``n_hex``, ``base_sha256``, ``spans``.
 
     Spans are "kind:start:end" in code points, end exclusive, by start and then kind; an assign span is the whole match.
-    With ``redacted`` one more column has the text with every secret replaced by "[secret]". Null texts count as
-    empty and have no spans; repeated rows and null keys are kept; an empty table gives no rows and trains nothing.
+    Null texts count as empty and have no spans; repeated rows and null keys are kept; an empty table gives no rows
+    and trains nothing.
     """
     field = train(docs, key=key, text=text) if field is None else field
     kind = docs.schema[key].dataType.simpleString()
     shared = docs.sparkSession.sparkContext.broadcast(field)
     shape = f"`{key}` {kind}, n_assign long, n_access long, n_hex long, base_sha256 string, spans string"
-    if redacted:
-        shape += ", redacted string"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = shared.value
@@ -393,9 +389,6 @@ def scan(
             columns += [pa.array([sum(s[2] == k for s in f) for f in base], pa.int64()) for k in KINDS[:3]]
             columns += [pa.array([hex_sha256(_listed(f)) for f in base]), pa.array([_listed(f) for f in found])]
             names = [key, "n_assign", "n_access", "n_hex", "base_sha256", "spans"]
-            if redacted:
-                columns.append(pa.array([redact(t, f) for t, f in zip(texts, found)]))
-                names.append("redacted")
             yield pa.RecordBatch.from_arrays(columns, names)
 
     return docs.select(F.col(key), text_or_empty(text).alias("__text")).mapInArrow(run, shape)
@@ -411,3 +404,34 @@ def redact(text: str, found: list[tuple[int, int, str]]) -> str:
             parts += [text[at:a], "[secret]"]
         at = b
     return "".join([*parts, text[at:]])
+
+
+def without_secrets(
+    docs: DataFrame, *, key: str = "doc_id", text: str = "text", length: str = "n_chars", field: Field | None = None
+) -> DataFrame:
+    """All rows of ``docs`` with every secret in ``text`` replaced; column ``length``, if there, counts again.
+
+    Rows without a secret stay as they are, null texts too.
+    """
+    field = train(docs, key=key, text=text) if field is None else field
+    shared = docs.sparkSession.sparkContext.broadcast(field)
+    place = docs.columns.index(text)
+    counted = docs.columns.index(length) if length in docs.columns else None
+
+    def build():
+        model = shared.value
+
+        def clean(texts: list[str], batch: pa.RecordBatch) -> pa.RecordBatch:
+            found = spans(texts, model)
+            if not any(found):
+                return batch
+            new = [redact(t, f) if f else old for t, f, old in zip(texts, found, batch.column(place).to_pylist())]
+            changed = batch.set_column(place, batch.schema.field(place), pa.array(new, batch.schema.field(place).type))
+            if counted is None:
+                return changed
+            sizes = [len(t) if f else n for t, f, n in zip(new, found, batch.column(counted).to_pylist())]
+            return changed.set_column(counted, batch.schema.field(counted), pa.array(sizes, batch.schema.field(counted).type))
+
+        return clean
+
+    return per_row(docs, text, build, limit=2 << 20)

@@ -33,6 +33,8 @@ LONG = 64
 EXTRA = 0.05
 # Documents of one list compared in one piece; longer lists are cut into blocks, each pair of blocks a piece.
 BLOCK = 2048
+# Rows of groups broadcast at most: a key and a hash each, 32 MB in all.
+BROADCAST_ROWS = 1_000_000
 MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -274,6 +276,12 @@ class _Join:
         union = F.size("set_a") + F.size("set_b") - shared
         return both.where(shared * 100 >= union * self.percent).select("a", "b")
 
+    def grouped(self) -> DataFrame:
+        """``key``, ``text_hash``, ``n`` and ``group`` of every row; rows without words have no group."""
+        found = written(components(written(self.links(), "links")), "components")
+        named = self.sets.select("key", "text_hash", "n", "sid").join(found, F.col("sid") == F.col("vertex"), "left")
+        return named.select("key", "text_hash", "n", F.coalesce("component", "sid").alias("group"))
+
     def links(self) -> DataFrame:
         """Links (a, b) between set names that connect every component of similar sets."""
         sets = self.sets.where("tokens IS NOT NULL")
@@ -314,6 +322,32 @@ class _Join:
         return first.unionAll(second)
 
 
+def one_of_each(
+    docs: DataFrame, *, key: str = "doc_id", text: str = "text", words: int = WORDS, percent: int = PERCENT
+) -> DataFrame:
+    """The rows of ``docs`` with one row of each group of similar documents: that with the smallest key.
+
+    Of equal keys the text with the smaller hash stays, of repeated rows one; null keys come last. Documents without
+    words all stay.
+    """
+    named = written(_Join(docs, key, text, words, percent).grouped().where("group IS NOT NULL"), "grouped")
+    large = named.groupBy(F.col("group").alias("g")).agg(
+        F.count(F.lit(1)).alias("size"), F.min(F.struct(F.col("key").isNull(), "key", "text_hash")).alias("first")
+    ).where("size > 1")
+    members = named.join(large, F.col("group") == F.col("g")).select(
+        F.col("key").alias("__key"), F.col("text_hash").alias("__hash"),
+        (F.col("key").eqNullSafe(F.col("first.key")) & (F.col("text_hash") == F.col("first.text_hash"))).alias("__first"),
+    )
+    members = written(members.distinct(), "members")
+    few = members.count() <= BROADCAST_ROWS
+    hashed = docs.withColumn("__text_hash", F.xxhash64(text_or_empty(text)))
+    same = F.col(key).eqNullSafe(F.col("__key")) & (F.col("__text_hash") == F.col("__hash"))
+    firsts = members.where("__first")
+    alone = hashed.join(F.broadcast(members) if few else members, same, "left_anti")
+    kept = hashed.join(F.broadcast(firsts) if few else firsts, same, "left_semi").dropDuplicates([key, "__text_hash"])
+    return alone.unionByName(kept).drop("__text_hash")
+
+
 def near_copies(
     docs: DataFrame, *, key: str = "doc_id", text: str = "text", words: int = WORDS, percent: int = PERCENT
 ) -> DataFrame:
@@ -324,10 +358,7 @@ def near_copies(
     Repeated rows are rows of one component; rows with a null key take part and get the smallest key of their
     component, if any. An empty table gives no rows.
     """
-    join = _Join(docs, key, text, words, percent)
-    found = written(components(written(join.links(), "links")), "components")
-    named = join.sets.select("key", "n", "sid").join(found, F.col("sid") == F.col("vertex"), "left")
-    named = named.select("key", "n", F.coalesce("component", "sid").alias("group"))
+    named = _Join(docs, key, text, words, percent).grouped()
     groups = named.where("group IS NOT NULL").groupBy(F.col("group").alias("g"))
     groups = groups.agg(F.min("key").alias("smallest"), F.count(F.lit(1)).alias("size")).where("size > 1")
     return named.join(groups, F.col("group") == F.col("g"), "left").select(

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from motorpool.llm.common import stretches, text_or_empty
+from motorpool.llm.common import per_row, stretches, text_or_empty
 
 # Labelled training rows used, of each class at most.
 ROWS_PER_CLASS = 4000
@@ -289,3 +289,14 @@ def score(
     scored = docs.select(F.col(key), text_or_empty(text).alias("__text")).mapInArrow(run, f"`{key}` {kind}, score double")
     held_out = F.coalesce(~training_fold(F.col(key)), F.lit(False)).alias("held_out")
     return scored.select(key, held_out, "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
+
+
+def without_toxic(docs: DataFrame, model: Classifier, *, text: str = "text", threshold: float = 0.7) -> DataFrame:
+    """The rows of ``docs``, as they are, whose text scores below the threshold."""
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+
+    def build():
+        of = shared.value
+        return lambda texts, batch: batch.filter(pa.array([of.score(t) < threshold for t in texts], pa.bool_()))
+
+    return per_row(docs, text, build)
