@@ -29,6 +29,10 @@ EDIT_RATE, LEAST_CHARS = 0.08, 32
 TEXT_BYTES, ITEM_BYTES = 2 << 20, 4 << 20
 GAP = 1  # between documents; no plain form contains it
 TABLE_BITS = 22
+# An item in which a q-gram occurs more often than this is too repetitive for diagonals to tell places apart.
+REPEATS = 16
+# Postings of shared q-grams held at once.
+POSTINGS = 4 << 20
 
 
 @functools.cache
@@ -90,6 +94,7 @@ class Items:
     count: np.ndarray
     item: np.ndarray
     offset: np.ndarray
+    repetitive: list[tuple[int, np.ndarray]]  # items left out of the postings, with their q-grams
 
 
 def index(items: list[tuple[int, str]], rate: float = EDIT_RATE, least: int = LEAST_CHARS) -> Items:
@@ -105,6 +110,9 @@ def index(items: list[tuple[int, str]], rate: float = EDIT_RATE, least: int = LE
     sizes = np.array([len(c) for c in codes], dtype=np.int64)
     budget = np.minimum((sizes * rate).astype(np.int64), np.maximum(sizes - Q, 0) // Q)
     hashed = [grams(c) for c in codes]
+    repetitive = [(i, np.unique(h)) for i, h in enumerate(hashed) if np.unique(h, return_counts=True)[1].max() > REPEATS]
+    for i, _ in repetitive:
+        hashed[i] = hashed[i][:0]
     every = np.concatenate([np.zeros(0, np.uint64), *hashed])
     item = np.repeat(np.arange(len(codes)), [len(h) for h in hashed])
     offset = np.concatenate([np.zeros(0, np.int64), *(np.arange(len(h)) for h in hashed)])
@@ -113,7 +121,7 @@ def index(items: list[tuple[int, str]], rate: float = EDIT_RATE, least: int = LE
     found = np.zeros(1 << TABLE_BITS, dtype=bool)
     found[(hashes >> np.uint64(64 - TABLE_BITS)).astype(np.int64)] = True
     needed = sizes - Q + 1 - budget * Q
-    return Items(ids, codes, budget, needed, found, hashes, first, count, item[order], offset[order])
+    return Items(ids, codes, budget, needed, found, hashes, first, count, item[order], offset[order], repetitive)
 
 
 def aligned(pattern: np.ndarray, text: np.ndarray, anchored: bool) -> tuple[int, int]:
@@ -134,48 +142,71 @@ def aligned(pattern: np.ndarray, text: np.ndarray, anchored: bool) -> tuple[int,
     return (int(row[best]), len(pattern) + best) if row[best] < far else (far, 0)
 
 
+def _bands(form: Plain, hashed: np.ndarray, items: Items) -> Iterator[tuple[int, int, int]]:
+    """(item, low, high): stretches of the plain form that share enough q-grams with an item in a band of diagonals."""
+    if not len(items.hashes):
+        return
+    at = np.flatnonzero(items.found[(hashed >> np.uint64(64 - TABLE_BITS)).astype(np.int64)])
+    own = hashed[at]
+    where = np.minimum(np.searchsorted(items.hashes, own), len(items.hashes) - 1)
+    real = items.hashes[where] == own
+    at, where = at[real], where[real]
+    shift = 2 * max(len(c) for c in items.codes)
+    keys, shared = np.zeros(0, np.int64), np.zeros(0, np.int64)
+    ends = np.cumsum(items.count[where])
+    start = 0
+    while start < len(at):
+        stop = max(start + 1, int(np.searchsorted(ends, (ends[start - 1] if start else 0) + POSTINGS)))
+        pos, gram = at[start:stop], where[start:stop]
+        count = items.count[gram]
+        total = int(count.sum())
+        post = np.arange(total) - np.repeat(np.cumsum(count) - count, count) + np.repeat(items.first[gram], count)
+        item = items.item[post]
+        diagonal = np.repeat(pos, count) - items.offset[post] + shift
+        key, n = np.unique(item.astype(np.int64) << 40 | diagonal // (items.budget[item] + 1), return_counts=True)
+        keys, back = np.unique(np.concatenate((keys, key)), return_inverse=True)
+        shared = np.bincount(back, np.concatenate((shared, n))).astype(np.int64)
+        start = stop
+    if not len(keys):
+        return
+    # A band is a slot and the next one: any budget + 1 diagonals in a row lie within one band. A band whose first
+    # slot is empty shares what its second slot does, which is less than the band that begins there.
+    follows = np.concatenate((keys[1:] == keys[:-1] + 1, [False]))
+    in_band = shared + np.where(follows, np.concatenate((shared[1:], [0])), 0)
+    for key in keys[in_band >= items.needed[keys >> 40]].tolist():
+        i, slot = key >> 40, key & ((1 << 40) - 1)
+        k = int(items.budget[i])
+        low, high = slot * (k + 1) - shift - k, (slot + 2) * (k + 1) - shift + len(items.codes[i]) + k
+        yield i, max(0, low), min(len(form.codes), high)
+
+
+def _dense(form: Plain, hashed: np.ndarray, items: Items) -> Iterator[tuple[int, int, int]]:
+    """The same for repetitive items: stretches in which enough positions hold any q-gram of the item."""
+    for i, own in items.repetitive:
+        m, k = len(items.codes[i]), int(items.budget[i])
+        seen = np.concatenate(([0], np.cumsum(np.isin(hashed, own))))
+        width = min(m + k - Q + 1, len(hashed))
+        full = np.flatnonzero(seen[width:] - seen[: len(seen) - width] >= items.needed[i])
+        for run in np.split(full, np.flatnonzero(np.diff(full) > m) + 1):
+            if len(run):
+                yield i, max(0, int(run[0]) - k), min(len(form.codes), int(run[-1]) + m + 2 * k)
+
+
 def matches(texts: list[str], items: Items) -> list[tuple[int, int, int, int, int]]:
     """(text, item, start, end, edits) of every place where an item stands, in code points of the text.
 
-    Of places of one item that overlap the one with the fewest edits counts, the first of equals.
+    Of places of one item that overlap the one with the fewest edits counts, the first of equals; a repetitive item
+    is reported once for each stretch that looks like it.
     """
     if not items.ids or not texts:
         return []
     form = plain(texts)
     hashed = grams(form.codes)
-    at = np.flatnonzero(items.found[(hashed >> np.uint64(64 - TABLE_BITS)).astype(np.int64)])
-    own = hashed[at]
-    where = np.minimum(np.searchsorted(items.hashes, own), len(items.hashes) - 1)
-    real = items.hashes[where] == own
-    at, where = at[real], where[real]
-    if not len(at):
-        return []
-    count = items.count[where]
-    total = int(count.sum())
-    # All postings of all shared q-grams.
-    post = np.arange(total) - np.repeat(np.cumsum(count) - count, count) + np.repeat(items.first[where], count)
-    item = items.item[post]
-    diagonal = np.repeat(at, count) - items.offset[post] + 2 * max(len(c) for c in items.codes)
-    width = items.budget[item] + 1
-    key = item.astype(np.int64) << 40 | diagonal // width
-    keys, shared = np.unique(key, return_counts=True)
-    # A band is a slot and the next one: any budget + 1 diagonals in a row lie within one band.
-    follows = np.concatenate((keys[1:] == keys[:-1] + 1, [False]))
-    in_band = shared + np.where(follows, np.concatenate((shared[1:], [0])), 0)
-    alone = np.concatenate(([True], keys[1:] != keys[:-1] + 1))
-    full = np.flatnonzero(in_band >= items.needed[keys >> 40])
-    # A band that begins with an empty slot has no key of its own; its count is that of its second slot.
-    early = np.flatnonzero(alone & (shared >= items.needed[keys >> 40]))
-    bands = sorted({(int(keys[i] >> 40), int(keys[i] & ((1 << 40) - 1))) for i in full}
-                   | {(int(keys[i] >> 40), int(keys[i] & ((1 << 40) - 1)) - 1) for i in early})
-    shift = 2 * max(len(c) for c in items.codes)
     gaps = np.flatnonzero(form.codes == GAP)
     found: dict[tuple[int, int], list[tuple[int, int, int]]] = {}
-    for i, slot in bands:
+    for i, low, high in (*_bands(form, hashed, items), *_dense(form, hashed, items)):
         pattern, k = items.codes[i], int(items.budget[i])
-        low = max(0, slot * (k + 1) - shift - k)
-        high = min(len(form.codes), (slot + 2) * (k + 1) - shift + len(pattern) + k)
-        # Stay inside the documents the band touches: each is tried by itself.
+        # Each document the stretch touches is tried by itself.
         cuts = gaps[(gaps >= low) & (gaps < high)]
         for a, b in zip([low, *(cuts + 1)], [*cuts, high]):
             text = form.codes[a:b]
