@@ -10,7 +10,7 @@ OUT = "24 * (1 + o_orderkey % 13) + o_orderkey % 48 - 12"
 
 VIEWS = {
     "sites": """
-        SELECT n_nationkey AS site_id, 'ST' || n_nationkey AS site_code, n_name AS site_name, n_name AS city,
+        SELECT n_nationkey AS site_id, 'ST' || n_nationkey AS site_code, n_name AS site_name, r_name || '-' || (n_nationkey % 3) AS city,
                r_name AS state, CAST(n_nationkey * 7 - 90 AS DOUBLE) AS latitude,
                CAST(n_nationkey * 14 - 180 AS DOUBLE) AS longitude, n_nationkey = 0 AS is_hq,
                40 + n_nationkey * 5 AS parking_capacity,
@@ -38,7 +38,7 @@ VIEWS = {
         SELECT c_custkey AS customer_id, split_part(c_name, '#', 1) AS first_name,
                split_part(c_name, '#', 2) AS last_name, lower(c_name) || '@example.com' AS email,
                '+1-555-' || (100 + c_custkey % 900) || '-' || (1000 + c_custkey % 9000) AS phone,
-               c_mktsegment AS loyalty_tier, n_name AS home_city, r_name AS home_state,
+               c_mktsegment AS loyalty_tier, r_name || '-' || (n_nationkey % 3) AS home_city, r_name AS home_state,
                CAST(DATE '2018-01-01' + CAST(c_custkey % 2400 AS INTEGER) AS DATE) AS join_date
         FROM customer LEFT JOIN (nation JOIN region ON n_regionkey = r_regionkey) ON c_nationkey = n_nationkey""",
     "rentals": f"""
@@ -57,6 +57,17 @@ VIEWS = {
         FROM orders JOIN customer ON o_custkey = c_custkey
         LEFT JOIN (SELECT l_orderkey, min(l_partkey) AS vehicle_id FROM lineitem GROUP BY l_orderkey)
           ON l_orderkey = o_orderkey""",
+    "reservations": """
+        SELECT o_orderkey AS reservation_id, o_custkey AS customer_id,
+               CASE WHEN o_orderkey % 53 <> 0 THEN ['ECONOMY', 'LARGE', 'PROMO', 'SMALL', 'STANDARD', 'MEDIUM'][1 + o_orderkey % 6]
+                 ELSE 'NONE' END AS vehicle_class_id,
+               CAST(o_custkey % 25 AS INTEGER) AS pickup_site_id, CAST(o_orderkey % 25 AS INTEGER) AS return_site_id,
+               o_orderdate - to_days(CAST(1 + o_orderkey % 40 AS INTEGER)) AS reserved_at,
+               CAST(o_orderdate AS DATE) AS pickup_date,
+               CAST(CAST(o_orderdate AS DATE) + CAST(1 + o_orderkey % 13 AS INTEGER) AS DATE) AS planned_return_date,
+               CASE WHEN o_orderkey % 19 = 0 THEN 'noshow' WHEN o_orderkey % 17 = 0 THEN 'cancelled'
+                 WHEN o_orderstatus = 'O' THEN 'booked' ELSE 'fulfilled' END AS status
+        FROM orders WHERE o_orderkey % 7 <> 0""",
     "payments": f"""
         SELECT l_orderkey || '-' || l_linenumber AS payment_id, l_orderkey AS rental_id, o_custkey AS customer_id,
                {PRICE} * (1 - CAST(l_discount AS DECIMAL(4,2))) AS base_amount_usd,
@@ -75,7 +86,7 @@ VIEWS = {
                {PRICE} * CAST(l_discount AS DECIMAL(4,2)) + {PRICE} * CAST(l_tax AS DECIMAL(4,2)) AS total_cost_usd
         FROM lineitem JOIN supplier ON l_suppkey = s_suppkey WHERE l_returnflag = 'R'""",
     "tele": """
-        SELECT event_id, user_id % 200 AS vehicle_id, CAST(user_id % 25 AS INTEGER) AS site_id, ts,
+        SELECT event_id, CASE WHEN event_id % 41 <> 0 THEN user_id % 200 END AS vehicle_id, CAST(user_id % 25 AS INTEGER) AS site_id, ts,
                CASE WHEN event_type IN ('click', 'view') THEN 'on' ELSE 'off' END AS ignition_state,
                CAST(floor(value) AS INTEGER) AS idle_minutes, (event_id * 97) % 100000 AS odometer_miles,
                CASE event_type WHEN 'error' THEN 'P0' || json_extract_string(props, '$.k')
@@ -216,6 +227,8 @@ COUNTED = {
     "vehicles": "vehicle_id,vin,vehicle_class_id,make,model,model_year,color,license_plate,home_site_id,"
     "current_site_id,status,odometer_miles,acquired_date",
     "customers": "customer_id,first_name,last_name,email,phone,loyalty_tier,home_city,home_state,join_date",
+    "reservations": "reservation_id,customer_id,vehicle_class_id,pickup_site_id,return_site_id,reserved_at,pickup_date,"
+    "planned_return_date,status",
     "rentals": "rental_id,reservation_id,customer_id,vehicle_id,pickup_site_id,return_site_id,pickup_ts,"
     "planned_return_ts,return_ts,odometer_out,miles_driven,is_one_way,status,rental_days",
     "payments": "payment_id,rental_id,customer_id,base_amount_usd,one_way_fee_usd,taxes_fees_usd,currency,payment_ts,"
@@ -242,12 +255,18 @@ FK = (
     ("rentals", "return_site_id", "sites", "site_id"),
     ("payments", "rental_id", "rentals", "rental_id"),
     ("maintenance", "vehicle_id", "vehicles", "vehicle_id"),
+    ("maintenance", "site_id", "sites", "site_id"),
     ("telematics", "vehicle_id", "vehicles", "vehicle_id"),
-    ("vehicles", "vehicle_id", "telematics", "vehicle_id"),
+    ("telematics", "site_id", "sites", "site_id"),
+    ("reservations", "customer_id", "customers", "customer_id"),
+    ("reservations", "vehicle_class_id", "vehicle_classes", "vehicle_class_id"),
+    ("reservations", "pickup_site_id", "sites", "site_id"),
+    ("reservations", "return_site_id", "sites", "site_id"),
+    ("rentals", "reservation_id", "reservations", "reservation_id"),
 )
 FK_REPORT = " UNION ALL ".join(
     f"SELECT '{c}' AS child, '{col}' AS \"column\", '{p}' AS parent, count(*) AS orphans FROM {SQL_VIEW.get(c, c)}"
-    f" WHERE {col} IS NOT NULL AND {col} NOT IN (SELECT {key} FROM {SQL_VIEW.get(p, p)})"
+    f" WHERE {col} IS NOT NULL AND {col} NOT IN (SELECT {key} FROM {SQL_VIEW.get(p, p)} WHERE {key} IS NOT NULL)"
     for c, col, p, key in FK
 )
 
@@ -296,7 +315,7 @@ _ORACLES: dict[str, tuple[str, str]] = {
     ),
     "retention": ("tele", "SELECT event_id, vehicle_id, ts FROM tele WHERE ts >= TIMESTAMP '2024-01-17'"),
     "hot_set": ("tele", "SELECT event_id, ts FROM tele WHERE ts >= TIMESTAMP '2024-01-24'"),
-    "manifest": ("sites classes vehicles customers rentals payments maintenance tele", MANIFEST),
+    "manifest": ("sites classes vehicles customers reservations rentals payments maintenance tele", MANIFEST),
     # cleaning, projections, filters
     "dedup_by_key": (
         "",
@@ -553,8 +572,10 @@ _ORACLES: dict[str, tuple[str, str]] = {
     ),
     "site_map": (
         "fact sites",
-        f"""SELECT s.city, avg(s.latitude) AS latitude, avg(s.longitude) AS longitude, round({SUM_USD}, 2) AS site_revenue
-            FROM {SITE_OF_FACT} GROUP BY s.city""",
+        f"""SELECT r.city, latitude, longitude, site_revenue
+            FROM (SELECT s.city, round({SUM_USD}, 2) AS site_revenue FROM {SITE_OF_FACT} GROUP BY s.city) r
+            JOIN (SELECT city, avg(latitude) AS latitude, avg(longitude) AS longitude FROM sites GROUP BY city) m
+              ON r.city = m.city""",
     ),
     "revenue_decomposition": (
         "fact",
@@ -578,7 +599,7 @@ _ORACLES: dict[str, tuple[str, str]] = {
            FROM fact GROUP BY ROLLUP (category, class_name, vehicle_id)""",
     ),
     "revenue_forecast": (
-        "revenue_by_month",
+        "fact",
         """SELECT pickup_city, CAST(step AS INTEGER) AS step,
                   CAST(CAST(last + to_months(CAST(step AS INTEGER)) AS DATE) AS VARCHAR) AS month,
                   round(b + a * (te + step), 2) AS forecast,
@@ -588,18 +609,30 @@ _ORACLES: dict[str, tuple[str, str]] = {
                         regr_slope(y, t) AS a, regr_intercept(y, t) AS b,
                         sqrt(greatest(0.0, regr_syy(y, t) * (1 - regr_r2(y, t)))
                           / CASE WHEN count(*) > 2 THEN count(*) - 2 END) AS sigma
-                 FROM (SELECT pickup_city, revenue_month, total_revenue_usd AS y,
-                              CAST(year(revenue_month) * 12 + month(revenue_month)
-                                - min(year(revenue_month) * 12 + month(revenue_month)) OVER (PARTITION BY pickup_city)
-                                AS DOUBLE) AS t
-                       FROM revenue_by_month) GROUP BY pickup_city),
+                 FROM (SELECT pickup_city, CAST(date_trunc('month', pickup_ts) AS DATE) AS revenue_month,
+                              CAST(sum(CAST(revenue_usd AS DECIMAL(18,4))) AS DOUBLE) AS y,
+                              CAST(year(revenue_month) * 12 + month(revenue_month) - 24000 AS DOUBLE) AS t
+                       FROM fact GROUP BY ALL) GROUP BY pickup_city),
+                range(1, 4) AS r(step)""",
+    ),
+    "revenue_forecast_total": (
+        "fact",
+        """SELECT CAST(step AS INTEGER) AS step, CAST(CAST(last + to_months(CAST(step AS INTEGER)) AS DATE) AS VARCHAR) AS month,
+                  round(b + a * (te + step), 2) AS forecast, round(b + a * (te + step) - 1.96 * sigma, 2) AS lower,
+                  round(b + a * (te + step) + 1.96 * sigma, 2) AS upper
+           FROM (SELECT max(m) AS last, max(t) AS te, regr_slope(y, t) AS a, regr_intercept(y, t) AS b,
+                        sqrt(greatest(0.0, regr_syy(y, t) * (1 - regr_r2(y, t)))
+                          / CASE WHEN count(*) > 2 THEN count(*) - 2 END) AS sigma
+                 FROM (SELECT CAST(date_trunc('month', pickup_ts) AS DATE) AS m,
+                              CAST(sum(CAST(revenue_usd AS DECIMAL(18,4))) AS DOUBLE) AS y,
+                              CAST(year(m) * 12 + month(m) - 24000 AS DOUBLE) AS t FROM fact GROUP BY ALL)),
                 range(1, 4) AS r(step)""",
     ),
     # windows and ranking
     "latest_snapshot": (
         "tele",
         """SELECT vehicle_id, event_id AS telematics_id, ts AS snapshot_ts, odometer_miles, idle_minutes FROM tele
-           QUALIFY row_number() OVER (PARTITION BY vehicle_id ORDER BY ts DESC, event_id) = 1""",
+           WHERE vehicle_id IS NOT NULL QUALIFY row_number() OVER (PARTITION BY vehicle_id ORDER BY ts DESC, event_id) = 1""",
     ),
     "new_since": ("", "SELECT event_id, ts FROM events WHERE ts > TIMESTAMP '2024-01-20'"),
     "reading_change": (
@@ -654,7 +687,7 @@ _ORACLES: dict[str, tuple[str, str]] = {
                   count(*) FILTER (WHERE r.vehicle_id IS NULL) AS null_keys
            FROM rentals r LEFT JOIN vehicles v ON r.vehicle_id = v.vehicle_id""",
     ),
-    "fk_report": ("sites classes vehicles customers rentals payments maintenance tele", FK_REPORT),
+    "fk_report": ("sites classes vehicles customers reservations rentals payments maintenance tele", FK_REPORT),
     "key_uniqueness": (
         "",
         """SELECT CAST(sum(n) AS BIGINT) AS rows, 0::BIGINT AS null_keys, count(*) FILTER (WHERE n > 1) AS repeated_keys,
@@ -670,6 +703,7 @@ _ORACLES: dict[str, tuple[str, str]] = {
                     "rental_id customer_id vehicle_id pickup_site_id return_site_id pickup_ts planned_return_ts"
                     " odometer_out is_one_way status"
                 ),
+                "missing:vehicle_class_id": "true",
                 "enum:status": "status NOT IN ('open', 'closed')",
                 "closed_without_return": "status = 'closed' AND return_ts IS NULL",
             },
@@ -694,11 +728,12 @@ _ORACLES: dict[str, tuple[str, str]] = {
         _violations(
             "tele",
             {
-                "required:event_id": "event_id IS NULL",
-                "required:site_id": "site_id IS NULL",
-                "required:ts": "ts IS NULL",
-                "required:ignition_state": "ignition_state IS NULL",
+                **_required(
+                    "event_id vehicle_id site_id ts ignition_state odometer_miles speed_mph fuel_or_soc_pct is_spike"
+                ),
                 "required:idle_minutes": "fault_code IS NULL",
+                "missing:latitude": "true",
+                "missing:longitude": "true",
                 "enum:ignition_state": "ignition_state NOT IN ('on', 'off')",
                 "type:idle_minutes": "fault_code IS NOT NULL AND TRY_CAST(fault_code AS INTEGER) IS NULL",
             },
@@ -742,13 +777,21 @@ _ORACLES: dict[str, tuple[str, str]] = {
     "row_filter_manager": (
         "rentals sites",
         """SELECT rental_id, city AS site_city, status FROM rentals JOIN sites ON pickup_site_id = site_id
-           WHERE city = 'NATION_2'""",
+           WHERE city = 'ASIA-2'""",
     ),
     "row_filter_admin": (
         "rentals sites",
         "SELECT rental_id, city AS site_city FROM rentals LEFT JOIN sites ON pickup_site_id = site_id",
     ),
-    "row_filter_outsider": ("", "SELECT count(*) AS visible_rentals FROM orders WHERE false"),
+    "row_filter_outsider": (
+        "rentals sites",
+        """SELECT 'all_sites' AS principal, count(*) AS visible_rentals FROM rentals
+           UNION ALL SELECT 'managers_asia', count(*) FILTER (WHERE city = 'ASIA-2')
+             FROM rentals LEFT JOIN sites ON pickup_site_id = site_id
+           UNION ALL SELECT 'managers_europe', count(*) FILTER (WHERE city = 'EUROPE-1')
+             FROM rentals LEFT JOIN sites ON pickup_site_id = site_id
+           UNION ALL SELECT 'guests', 0""",
+    ),
     "masked_customers": (
         "customers",
         "SELECT customer_id, '***@masked.invalid' AS email, loyalty_tier FROM customers",
@@ -765,9 +808,12 @@ _ORACLES: dict[str, tuple[str, str]] = {
     "policy_set": (
         "customers",
         """SELECT * EXCLUDE (phone) REPLACE (CAST(join_date AS VARCHAR) AS join_date, '***' AS email) FROM customers
-           WHERE home_city = 'NATION_2'""",
+           WHERE home_city = 'ASIA-2'""",
+    ),
+    "policy_set_denied": (
+        "rentals",
+        "SELECT 'applied' AS rule, '***@masked.invalid' AS status, count(*) AS visible_rentals FROM rentals",
     ),
-    "policy_set_denied": ("", "SELECT count(*) AS visible_rentals FROM orders WHERE false"),
     # alerts on a table
     "idle_alerts": ("tele sites", IDLE_ALERTS),
     "fault_alerts": ("tele", FAULT_ALERTS),

@@ -6,7 +6,7 @@ import uuid
 from collections.abc import Callable
 from datetime import datetime
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from motorpool.functions import calendar
@@ -553,14 +553,23 @@ def rentals_by_fleet_hierarchy(f: Fleet) -> DataFrame:
     return _plain(report.hierarchy(_model(f), "fact_rental", levels, "Total Rentals"))
 
 
-@query
-def revenue_forecast(f: Fleet) -> DataFrame:
+def _forecast(f: Fleet, by: list[str]) -> DataFrame:
     series = rollups.agg_revenue_by_site_month(_fact(f, *SITE_FACT))
-    trend = report.forecast_linear(series, ["pickup_city"], "revenue_month", "total_revenue_usd")
+    trend = report.forecast_linear(series, by, "revenue_month", "total_revenue_usd")
     kept = trend.drop("slope", "r2").withColumns({c: F.round(c, 2) for c in ("forecast", "lower", "upper")})
     return text_dates(kept, "month")
 
 
+@query
+def revenue_forecast(f: Fleet) -> DataFrame:
+    return _forecast(f, ["pickup_city"])
+
+
+@query
+def revenue_forecast_total(f: Fleet) -> DataFrame:
+    return _forecast(f, [])
+
+
 # --- windows and ranking ----------------------------------------------------------------------
 
 
@@ -640,7 +649,6 @@ def fk_resolution(f: Fleet) -> DataFrame:
 
 @query
 def fk_report(f: Fleet) -> DataFrame:
-    views = {**f, "events": f["events"]}
     relations = [
         ("vehicles", "vehicle_class_id", "vehicle_classes"),
         ("vehicles", "home_site_id", "sites"),
@@ -651,8 +659,14 @@ def fk_report(f: Fleet) -> DataFrame:
         ("rentals", "return_site_id", "sites"),
         ("payments", "rental_id", "rentals"),
         ("maintenance", "vehicle_id", "vehicles"),
+        ("maintenance", "site_id", "sites"),
         ("telematics", "vehicle_id", "vehicles"),
-        ("vehicles", "vehicle_id", "telematics"),
+        ("telematics", "site_id", "sites"),
+        ("reservations", "customer_id", "customers"),
+        ("reservations", "vehicle_class_id", "vehicle_classes"),
+        ("reservations", "pickup_site_id", "sites"),
+        ("reservations", "return_site_id", "sites"),
+        ("rentals", "reservation_id", "reservations"),
     ]
     keys = {
         "vehicle_classes": "vehicle_class_id",
@@ -660,9 +674,9 @@ def fk_report(f: Fleet) -> DataFrame:
         "vehicles": "vehicle_id",
         "customers": "customer_id",
         "rentals": "rental_id",
-        "telematics": "vehicle_id",
+        "reservations": "reservation_id",
     }
-    return quality.check_fks(views, relations, keys)
+    return quality.check_fks(f, relations, keys)
 
 
 @query
@@ -689,7 +703,7 @@ def contract_vehicles(f: Fleet) -> DataFrame:
 def contract_events(f: Fleet) -> DataFrame:
     """Raw text properties against the declared types of the event."""
     events = f["events"]
-    raw = events.select("event_id", F.col("fault_code").alias("idle_minutes"), "ignition_state", "site_id", "ts")
+    raw = events.withColumn("idle_minutes", F.col("fault_code"))
     checks = {**quality.contract_of(EVENT, raw.columns), **quality.type_rules(EVENT, ["idle_minutes"])}
     return quality.validate(raw, checks)
 
@@ -738,7 +752,17 @@ def pii_customers(f: Fleet) -> DataFrame:
 
 # --- policies ---------------------------------------------------------------------------------
 
-BRANCHES = (("all_sites", policy.ALL), ("managers_asia", "NATION_2"), ("managers_europe", "NATION_3"))
+BRANCHES = (("all_sites", policy.ALL), ("managers_asia", "ASIA-2"), ("managers_europe", "EUROPE-1"))
+
+
+VISITORS = ("all_sites", "managers_asia", "managers_europe", "guests")
+
+
+def _visible(f: Fleet, conditions: dict[str, Column], df: DataFrame) -> DataFrame:
+    """Rows visible to each principal, counted in one pass."""
+    counted = df.agg(*[F.count_if(c).alias(name) for name, c in conditions.items()])
+    pairs = [F.struct(F.lit(n).alias("principal"), F.col(n).alias("visible_rentals")) for n in conditions]
+    return counted.select(F.inline(F.array(*pairs)))
 
 
 @query
@@ -757,9 +781,9 @@ def row_filter_admin(f: Fleet) -> DataFrame:
 
 @query
 def row_filter_outsider(f: Fleet) -> DataFrame:
-    curated = gold.rentals_curated(f["rentals"], f["sites"])
-    seen = policy.row_filter(curated, "site_city", {"guests"}, BRANCHES)
-    return seen.agg(F.count("*").alias("visible_rentals"))
+    """Rentals each of several principals sees: a guest sees none."""
+    curated = gold.rentals_curated(f["rentals"], f["sites"]).select("rental_id", "site_city")
+    return _visible(f, {g: policy.row_predicate(F.col("site_city"), {g}, BRANCHES) for g in VISITORS}, curated)
 
 
 @query
@@ -784,8 +808,8 @@ def policy_set(f: Fleet) -> DataFrame:
     """Row filter, mask and hidden column together, for one principal."""
     rules_ = [
         policy.Policy("customers", "row_filter", "home_city", branches=BRANCHES),
-        policy.Policy("customers", "mask", "email", allowed=("pii_readers",), literal="***"),
-        policy.Policy("customers", "hide", "phone"),
+        policy.Policy("Customers", "mask", "Email", allowed=("pii_readers",), literal="***"),
+        policy.Policy("customers", "hide", "PHONE"),
         policy.Policy("rentals", "unheard_of", "status"),
     ]
     who = policy.Principal("cem", frozenset({"managers_asia"}))
@@ -794,11 +818,21 @@ def policy_set(f: Fleet) -> DataFrame:
 
 @query
 def policy_set_denied(f: Fleet) -> DataFrame:
-    """A rule of unknown kind: nothing may be shown."""
-    rules_ = [policy.Policy("rentals", "unheard_of", "status")]
+    """What is left under a rule that can be applied, and under rules that cannot: those deny the table."""
     who = policy.Principal("cem", frozenset({"all_sites"}))
-    seen = policy.apply_policies(f["rentals"], "rentals", who, rules_)
-    return seen.agg(F.count("*").alias("visible_rentals"))
+    kinds = {
+        "applied": policy.Policy("rentals", "mask", "STATUS"),
+        "unknown kind": policy.Policy("rentals", "unheard_of", "status"),
+        "absent column": policy.Policy("rentals", "hide", "phone"),
+    }
+    parts = [
+        policy.apply_policies(f["rentals"].select("rental_id", "status"), "rentals", who, [rule]).select(
+            F.lit(name).alias("rule"), "rental_id", "status"
+        )
+        for name, rule in kinds.items()
+    ]
+    seen = parts[0].unionByName(parts[1]).unionByName(parts[2])
+    return seen.groupBy("rule", "status").agg(F.count("*").alias("visible_rentals"))
 
 
 # --- alerts on a table ------------------------------------------------------------------------

@@ -11,9 +11,9 @@ from decimal import Decimal
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# Amounts carry up to four decimals.
-UNIT = Decimal("0.0001")
-UNITS_PER_USD = 10_000
+# Decimals an amount is expected to carry, and how many more are kept if it carries them.
+DECIMALS = 4
+FINER = 8
 LOW_BITS = 20
 
 # Fixed values of the price formula.
@@ -25,17 +25,29 @@ def _col(column: str | Column) -> Column:
     return F.col(column) if isinstance(column, str) else column
 
 
-def exact_sum(column: str | Column) -> Column:
-    """Total as a decimal.
+def exact_sum(column: str | Column, decimals: int = DECIMALS) -> Column:
+    """Total as a decimal; amounts carry up to ``decimals`` decimals, NaN counts as missing.
 
-    Amounts are added as whole units of 0.0001, which stays in generated code and is several
+    Amounts are added as whole units of that size, which stays in generated code and is several
     times faster than adding decimals. High and low bits are added apart, so the total may
-    exceed what one long can hold.
+    exceed what one long can hold. What an amount holds beyond its units is added as well, to
+    eight more decimals; an amount of 2^62 units or more stops the query.
     """
-    units = F.floor(_col(column).cast("double") * UNITS_PER_USD + 0.5)
-    high = F.sum(F.shiftright(units, LOW_BITS)).cast("decimal(20,0)")
-    low = F.sum(units.bitwiseAND(F.lit(2**LOW_BITS - 1))).cast("decimal(20,0)")
-    return (high * F.lit(2**LOW_BITS) + low) * F.lit(UNIT)
+    amount = _col(column).cast("double")
+    scaled = F.nanvl(amount, F.lit(None).cast("double")) * 10**decimals
+    units = F.floor(scaled + 0.5)
+    held = F.when(
+        F.abs(scaled) >= float(2**62), F.raise_error(F.concat(F.lit("amount too large to add: "), amount.cast("string"))).cast("long")
+    ).otherwise(units)
+    # A double that means a whole number of units misses it by its last bits; that is no amount.
+    beyond = scaled - units
+    rest = F.when(F.abs(beyond) > F.greatest(F.lit(1e-7), F.abs(scaled) * 2.0**-50), F.floor(beyond * 10**FINER + 0.5)).otherwise(F.lit(0))
+    high = F.sum(F.shiftright(held, LOW_BITS)).cast("decimal(20,0)")
+    low = F.sum(held.bitwiseAND(F.lit(2**LOW_BITS - 1))).cast("decimal(20,0)")
+    whole = high * F.lit(2**LOW_BITS) + low
+    unit = F.lit(Decimal(1).scaleb(-decimals))
+    finer = F.sum(F.when(scaled.isNotNull(), rest)).cast("decimal(20,0)") * F.lit(Decimal(1).scaleb(-FINER))
+    return ((whole + finer) * unit).cast(f"decimal(38,{decimals + FINER})")
 
 
 def usd_sum(column: str | Column) -> Column:

@@ -97,25 +97,35 @@ class Principal:
 COLUMN_KINDS = ("mask", "hide")
 
 
+def resolved(df: DataFrame, column: str) -> str | None:
+    """The name under which the table has the column, as Spark resolves names; None if it has none or several."""
+    exact = df.sparkSession.conf.get("spark.sql.caseSensitive") == "true"
+    found = [c for c in df.columns if c == column or not exact and c.lower() == column.lower()]
+    return found[0] if len(found) == 1 else None
+
+
 def apply_policies(df: DataFrame, table: str, principal: Principal, policies: Iterable[Policy]) -> DataFrame:
     """Apply every rule on the table. Row filters see the values before any mask.
 
-    A rule of unknown kind denies: no rows are shown. A row filter on a column the table does
-    not have denies as well.
+    A rule of unknown kind denies: no rows are shown. So does a rule of any kind on a column the
+    table does not have, and its columns are still hidden or masked as far as they are there.
+    Tables and columns are found as Spark finds them, by default without regard to case.
     """
-    rules = [p for p in policies if p.table == table]
-    for p in rules:
-        if p.kind not in ("row_filter", *COLUMN_KINDS):
+    exact = df.sparkSession.conf.get("spark.sql.caseSensitive") == "true"
+    rules = [p for p in policies if p.table == table or not exact and p.table.lower() == table.lower()]
+    columns = [resolved(df, p.column) for p in rules]
+    for p, column in zip(rules, columns):
+        if column is None or p.kind not in ("row_filter", *COLUMN_KINDS):
             df = deny(df)
         elif p.kind == "row_filter":
-            df = row_filter(df, p.column, principal.groups, p.branches) if p.column in df.columns else deny(df)
-    for p in rules:
-        if p.column not in df.columns:
+            df = row_filter(df, column, principal.groups, p.branches)
+    for p, column in zip(rules, columns):
+        if column is None or column not in df.columns:
             continue
         if p.kind == "mask":
-            df = mask(df, p.column, principal.groups, p.allowed, p.literal)
+            df = mask(df, column, principal.groups, p.allowed, p.literal)
         elif p.kind == "hide" and not principal.groups & set(p.allowed):
-            df = hide(df, [p.column])
+            df = hide(df, [column])
     return df
 
 

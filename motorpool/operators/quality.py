@@ -9,7 +9,6 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from motorpool.operators.joins import orphan_keys
 from motorpool.schemas import ENTITIES, Entity
 
 
@@ -28,17 +27,35 @@ def check_fks(
 ) -> DataFrame:
     """Orphan rows per relation ``(child, column, parent)``; 0 where all resolve."""
     keys = parent_keys or {n: e.key for n, e in ENTITIES.items()}
+    by_child: dict[str, list[int]] = {}
+    for i, (child, _, _) in enumerate(relations):
+        by_child.setdefault(child, []).append(i)
+
+    def key_counts(child: str, numbers: list[int]) -> DataFrame:
+        # All keys of a row in one pass, counted per relation and key before they are shuffled.
+        pairs = [F.struct(F.lit(i).alias("relation"), _key_text(tables[child], relations[i][1]).alias("key")) for i in numbers]
+        found = tables[child].select(F.inline(F.array(*pairs))).filter("key IS NOT NULL")
+        return found.groupBy("relation", "key").agg(F.count("*").alias("child_rows"))
+
+    parents = sorted({p for _, _, p in relations})
+    number = {p: n for n, p in enumerate(parents)}
+    known = _union(
+        tables[p].select(F.lit(number[p]).alias("parent"), _key_text(tables[p], keys[p]).alias("key")) for p in parents
+    )
+    of_relation = F.array(*[F.lit(number[p]) for _, _, p in relations])
+    children = _union(key_counts(c, n) for c, n in by_child.items())
+    tagged = children.withColumn("parent", F.element_at(of_relation, F.col("relation") + 1))
+    missing = tagged.join(known, ["parent", "key"], "left_anti")
+    zeros = tables[parents[0]].sparkSession.range(len(relations)).select(F.col("id").cast("int").alias("relation"), F.lit(0).cast("long").alias("child_rows"))
+    total = missing.select("relation", "child_rows").unionByName(zeros).groupBy("relation").agg(F.sum("child_rows").alias("orphans"))
+    names = [F.array(*[F.lit(r[k]) for r in relations]) for k in range(3)]
+    columns = [F.element_at(n, F.col("relation") + 1).alias(c) for n, c in zip(names, ("child", "column", "parent"))]
+    return total.select(*columns, "orphans")
 
-    def one(child: str, column: str, parent: str) -> DataFrame:
-        missing = orphan_keys(tables[child], column, tables[parent], keys[parent])
-        return missing.agg(F.coalesce(F.sum("child_rows"), F.lit(0)).alias("orphans")).select(
-            F.lit(child).alias("child"),
-            F.lit(column).alias("column"),
-            F.lit(parent).alias("parent"),
-            "orphans",
-        )
 
-    return _union(one(*r) for r in relations)
+def _key_text(df: DataFrame, column: str) -> Column:
+    """Keys as text, so that those of all relations fit one column; whole numbers of any width agree."""
+    return F.col(column).cast("string")
 
 
 def require_fks(tables: Mapping[str, DataFrame], relations: Sequence[tuple[str, str, str]]) -> None:
@@ -84,9 +101,15 @@ Contract = Mapping[str, Column]
 
 
 def contract_of(entity: Entity, columns: Iterable[str] | None = None) -> dict[str, Column]:
-    """Violation conditions of an entity by rule name: missing values and unknown codes."""
+    """Violation conditions of an entity by rule name: missing values and unknown codes.
+
+    A required column that the table (``columns``) lacks is violated by every row, under ``missing:``.
+    """
     present = set(entity.columns if columns is None else columns)
-    rules = {f"required:{c}": F.col(c).isNull() for c in entity.required if c in present}
+    rules = {
+        f"required:{c}" if c in present else f"missing:{c}": F.col(c).isNull() if c in present else F.lit(True)
+        for c in entity.required
+    }
     for column, allowed in entity.enums.items():
         if column in present:
             rules[f"enum:{column}"] = ~F.col(column).isin(*allowed)
@@ -94,12 +117,17 @@ def contract_of(entity: Entity, columns: Iterable[str] | None = None) -> dict[st
 
 
 def type_rules(entity: Entity, columns: Iterable[str]) -> dict[str, Column]:
-    """For raw text columns: a value is there but does not parse as the declared type."""
-    return {
-        f"type:{c}": F.col(c).isNotNull() & F.col(c).cast("string").try_cast(t).isNull()
-        for c, t in entity.types.items()
-        if c in set(columns) and t != "string"
-    }
+    """For raw columns: a value is there but does not parse as the declared type, or is no number."""
+
+    def broken(column: str, dtype: str) -> Column:
+        parsed = F.col(column).cast("string").try_cast(dtype)
+        bad = parsed.isNull()
+        if dtype == "double":
+            bad = bad | F.isnan(parsed)
+        return F.col(column).isNotNull() & bad
+
+    present = set(columns)
+    return {f"type:{c}": broken(c, t) for c, t in entity.types.items() if c in present and t != "string"}
 
 
 def validate(df: DataFrame, contract: Contract) -> DataFrame:

@@ -4,11 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from motorpool.functions import calendar
-from motorpool.functions.money import safe_div
+from motorpool.functions.money import exact_sum, safe_div
 from motorpool.operators.rollups import drill
 from motorpool.plans.semantic import Model, evaluate, star
 
@@ -65,15 +65,16 @@ def forecast_linear(
 ) -> DataFrame:
     """Straight-line trend per series, carried ``horizon`` months past its last month.
 
-    The band is ``z`` residual standard deviations around the line, with two degrees of freedom
-    spent on it; a series of fewer than three months has a line at best and no band. ``value``
-    is fitted against months counted from the first month of its series.
+    Rows are summed to one value per series (``by``) and month first, so the table may be of a
+    finer grain. The band is ``z`` residual standard deviations around the line, with two degrees
+    of freedom spent on it; a series of fewer than three months has a line at best and no band.
+    Months are numbered through all years, counted from 2000 to keep the numbers small.
     """
-    number = calendar.month_number(month)
-    first = F.min(number).over(Window.partitionBy(*by)) if by else F.min(number).over(Window.partitionBy())
-    y = F.col(value).cast("double")
+    y = F.col("_y")
     fitted = (
-        series.withColumn("_t", (number - first).cast("double"))
+        series.groupBy(*by, month)
+        .agg(exact_sum(value).cast("double").alias("_y"))
+        .withColumn("_t", (calendar.month_number(month) - 12 * 2000).cast("double"))
         .groupBy(*by)
         .agg(
             F.count(y).alias("months"),

@@ -144,8 +144,13 @@ def _context(model: Model, table: str, by: Sequence[str], filters: Filters, use:
     """The rows of ``table`` in the filter context.
 
     As in any star model a filter on a table that ``table`` is not related to leaves it alone,
-    while grouping by an unrelated column is an error.
+    while grouping by an unrelated column is an error. A filter on a table or column that the
+    model does not have is an error too.
     """
+    for c in filters:
+        known = model.tables.get(_split(c)[0])
+        if known is None or _split(c)[1] not in known.columns:
+            raise KeyError(f"the model has no column {c}")
     reaching = {c: v for c, v in filters.items() if model.path(table, _split(c)[0], use) is not None}
     df = star(model, table, list(dict.fromkeys([*by, *reaching])), use)
     for column, wanted in reaching.items():

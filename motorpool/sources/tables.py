@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterable, Mapping, Sequence
 from datetime import date, timedelta
+from urllib.parse import unquote
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -125,30 +126,45 @@ def write_optimized(
 
 
 def write_by_day(df: DataFrame, path: str, ts: str, fmt: str = DEFAULT_FORMAT) -> None:
-    """Write rows under one directory per event day, replacing only the days present.
+    """Append rows under one directory per event day; rows of a day that come later join it.
 
-    Retention then drops whole days, and time filters read only the days they name.
+    Retention then drops whole days, and time filters read only the days they name. Appending is
+    not repeated by Spark when a task is; a caller that runs the whole write again stores the rows
+    again (:func:`replace_days` does not).
     """
-    dated = df.withColumn("event_date", F.to_date(ts)).hint("rebalance", "event_date")
-    writer = dated.write.format(fmt).mode("overwrite").option("partitionOverwriteMode", "dynamic")
+    _by_day(df, ts).write.format(fmt).mode("append").partitionBy("event_date").save(path)
+
+
+def replace_days(df: DataFrame, path: str, ts: str, fmt: str = DEFAULT_FORMAT) -> None:
+    """Write whole days: every day that ``df`` has rows of is replaced, other days stay."""
+    writer = _by_day(df, ts).write.format(fmt).mode("overwrite").option("partitionOverwriteMode", "dynamic")
     writer.partitionBy("event_date").save(path)
 
 
+def _by_day(df: DataFrame, ts: str) -> DataFrame:
+    return df.withColumn("event_date", F.to_date(ts)).hint("rebalance", "event_date")
+
+
 def expire_days(
     spark: SparkSession, name: str, keep_days: int, as_of: date, column: str = "event_date"
 ) -> list[date]:
-    """Drop the days of a table partitioned by day that are older than ``keep_days``.
+    """Drop the days of a table that are older than ``keep_days``; it may be partitioned by more than the day.
 
-    Whole partitions go, so no row is read or written. Returns the days dropped.
+    Whole partitions go, so no row is read or written: only names of expired partitions come to
+    the driver, and one statement drops them. Returns the days dropped.
     """
-    days = spark.sql(f"SHOW PARTITIONS {name}").select(
-        F.try_to_date(F.split_part("partition", F.lit("="), F.lit(2))).alias("day")
+    parts = spark.sql(f"SHOW PARTITIONS {name}").withColumn(
+        "day", F.try_to_date(F.regexp_extract("partition", f"(?:^|/){column}=([^/]*)", 1))
     )
     oldest = as_of - timedelta(days=keep_days)
-    expired = [r.day for r in days.filter(F.col("day") < F.lit(oldest)).orderBy("day").collect()]
-    for day in expired:
-        spark.sql(f"ALTER TABLE {name} DROP IF EXISTS PARTITION ({column} = '{day.isoformat()}')")
-    return expired
+    expired = parts.filter(F.col("day") < F.lit(oldest)).orderBy("day", "partition").collect()
+    if expired:
+        specs = (
+            ", ".join("`{}` = '{}'".format(*map(unquote, level.split("=", 1))) for level in row.partition.split("/"))
+            for row in expired
+        )
+        spark.sql(f"ALTER TABLE {name} DROP IF EXISTS " + ", ".join(f"PARTITION ({s})" for s in specs))
+    return sorted({row.day for row in expired})
 
 
 def add_missing_columns(spark: SparkSession, name: str, schema: T.StructType) -> list[str]:

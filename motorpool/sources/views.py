@@ -10,16 +10,12 @@ from functools import partial
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from motorpool.lazy import LazyTables
 from motorpool.operators.cleaning import rental_days
 
 E = F.expr
 
-# Schemas already read from file footers, kept as a catalog would keep them.
-_SCHEMAS: dict[str, T.StructType] = {}
-
 
 class Fleet(LazyTables):
     """The fleet views of one data directory, by name."""
@@ -33,11 +29,7 @@ class Fleet(LazyTables):
     def base(self, name: str) -> DataFrame:
         """One of the underlying tables, listed once."""
         if name not in self._read:
-            path = f"{self.directory}/{name}.parquet"
-            known = _SCHEMAS.get(path)
-            reader = self.spark.read.schema(known) if known is not None else self.spark.read
-            self._read[name] = reader.parquet(path)
-            _SCHEMAS[path] = self._read[name].schema
+            self._read[name] = self.spark.read.parquet(f"{self.directory}/{name}.parquet")
         return self._read[name]
 
 
@@ -47,7 +39,8 @@ def _sites(f: Fleet) -> DataFrame:
         E("n_nationkey as site_id"),
         E("concat('ST', n_nationkey) as site_code"),
         E("n_name as site_name"),
-        E("n_name as city"),
+        # Several sites to a city and several cities to a state: the grains differ.
+        E("concat(r_name, '-', n_nationkey % 3) as city"),
         E("r_name as state"),
         E("cast(n_nationkey * 7 - 90 as double) as latitude"),
         E("cast(n_nationkey * 14 - 180 as double) as longitude"),
@@ -147,6 +140,28 @@ def _rentals(f: Fleet) -> DataFrame:
     return rental_days(view)
 
 
+def _reservations(f: Fleet) -> DataFrame:
+    classes = "array('ECONOMY', 'LARGE', 'PROMO', 'SMALL', 'STANDARD', 'MEDIUM')"
+    return (
+        f.base("orders")
+        .filter("o_orderkey % 7 <> 0")
+        .select(
+            E("o_orderkey as reservation_id"),
+            E("o_custkey as customer_id"),
+            E(f"case when o_orderkey % 53 <> 0 then {classes}[cast(o_orderkey % 6 as int)] else 'NONE' end as vehicle_class_id"),
+            E("cast(o_custkey % 25 as int) as pickup_site_id"),
+            E("cast(o_orderkey % 25 as int) as return_site_id"),
+            E("o_orderdate - make_dt_interval(cast(1 + o_orderkey % 40 as int)) as reserved_at"),
+            E("cast(o_orderdate as date) as pickup_date"),
+            E("date_add(cast(o_orderdate as date), cast(1 + o_orderkey % 13 as int)) as planned_return_date"),
+            E(
+                "case when o_orderkey % 19 = 0 then 'noshow' when o_orderkey % 17 = 0 then 'cancelled'"
+                " when o_orderstatus = 'O' then 'booked' else 'fulfilled' end as status"
+            ),
+        )
+    )
+
+
 # Prices and rates of the line table in whole cents and percent: their products are exact.
 CENTS = "floor(l_extendedprice * 100 + 0.5)"
 DISCOUNT = "floor(l_discount * 100 + 0.5)"
@@ -198,7 +213,8 @@ def event_columns(raw: DataFrame) -> DataFrame:
     """Telematics events from the generic event table; works on a stream as well."""
     return raw.select(
         "event_id",
-        E("user_id % 200 as vehicle_id"),
+        # Some devices do not say which vehicle they are in.
+        E("case when event_id % 41 <> 0 then user_id % 200 end as vehicle_id"),
         E("cast(user_id % 25 as int) as site_id"),
         "ts",
         E("case when event_type in ('click', 'view') then 'on' else 'off' end as ignition_state"),
@@ -227,6 +243,7 @@ _VIEWS: dict[str, Callable[[Fleet], DataFrame]] = {
     "vehicle_classes": _vehicle_classes,
     "vehicles": _vehicles,
     "customers": _customers,
+    "reservations": _reservations,
     "rentals": _rentals,
     "payments": _payments,
     "maintenance": _maintenance,

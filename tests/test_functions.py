@@ -76,6 +76,24 @@ def test_total_beyond_one_long(spark):
     assert df.select(money.exact_sum("x").cast("double")).first()[0] == 1.8e15
 
 
+def test_total_keeps_more_decimals_than_expected(spark):
+    df = spark.range(200).select(F.lit(0.00004).alias("x"))
+    assert float(df.select(money.exact_sum("x")).first()[0]) == 0.008
+    assert float(df.select(money.exact_sum("x", decimals=2)).first()[0]) == 0.008
+
+
+def test_no_number_counts_as_missing(spark):
+    df = spark.createDataFrame([(float("nan"),), (1.0,), (None,)], "x double")
+    assert float(df.select(money.exact_sum("x")).first()[0]) == 1.0
+    assert df.limit(1).select(money.exact_sum("x")).first()[0] is None
+
+
+@pytest.mark.parametrize("amount", [1e18, -1e300, float("inf")])
+def test_an_amount_too_large_to_add_stops(spark, amount):
+    with pytest.raises(Exception, match="amount too large"):
+        spark.createDataFrame([(amount,)], "x double").select(money.exact_sum("x")).collect()
+
+
 def test_total_of_nothing_is_null(spark):
     df = spark.createDataFrame([(None,)], "x double")
     assert df.select(money.usd_sum("x"), money.usd_avg("x")).first() == (None, None)

@@ -36,6 +36,31 @@ def test_mask_never_leaks(silver):
     assert rows(policy.mask(silver["customers"], "email", {"pii", "staff"}, {"pii"})) == rows(silver["customers"])
 
 
+@pytest.mark.parametrize("kind", ["mask", "hide", "row_filter"])
+def test_rules_find_columns_as_spark_does(silver, kind):
+    who = policy.Principal("x", frozenset({"north"}))
+    column = "HOME_City" if kind == "row_filter" else "EMAIL"
+    got = policy.apply_policies(silver["customers"], "customers", who, [policy.Policy("Customers", kind, column, branches=BRANCHES)])
+    if kind == "row_filter":
+        assert {r.home_city for r in got.collect()} == {"Aville"}
+    else:
+        assert got.count() == 2 and "ann@example.com" not in repr(got.collect())
+
+
+@pytest.mark.parametrize("kind", ["mask", "hide", "row_filter", "unheard_of"])
+def test_a_rule_that_cannot_be_applied_denies(silver, kind):
+    who = policy.Principal("x", frozenset({"admins"}))
+    got = policy.apply_policies(silver["customers"], "customers", who, [policy.Policy("customers", kind, "e_mail", branches=BRANCHES)])
+    assert got.count() == 0
+
+
+def test_a_mask_holds_beside_a_hidden_column(silver):
+    who = policy.Principal("x", frozenset())
+    rules = [policy.Policy("customers", "hide", "phone"), policy.Policy("customers", "mask", "phone"), policy.Policy("customers", "mask", "Email")]
+    got = policy.apply_policies(silver["customers"], "customers", who, rules)
+    assert "phone" not in got.columns and {r.email for r in got.collect()} == {policy.MASK}
+
+
 def test_hidden_columns_are_gone(silver):
     assert not {"email", "phone"} & set(policy.hide(silver["customers"], ["email", "phone"]).columns)
 

@@ -41,7 +41,9 @@ def test_contract(spark):
         [("V1", "idle"), ("V2", "lost"), (None, None)], "vehicle_id string, status string"
     )
     got = dict(rows(quality.validate(df, quality.contract_of(VEHICLES, df.columns))))
-    assert got == {"required:vehicle_id": 1, "required:status": 1, "enum:status": 1}
+    missing = {f"missing:{c}": 3 for c in VEHICLES.required if c not in df.columns}
+    assert got == {"required:vehicle_id": 1, "required:status": 1, "enum:status": 1, **missing}
+    assert "missing:vin" in missing
     assert "enum:currency" in quality.contract_of(PAYMENTS)
 
 
@@ -51,6 +53,19 @@ def test_types_of_raw_text(spark):
     assert got == {"type:idle_minutes": 1, "type:is_spike": 1}
 
 
+def test_no_number_is_a_violation(spark):
+    df = spark.createDataFrame([("NaN",), ("1.5",), ("x",), (None,)], "latitude string")
+    assert rows(quality.validate(df, quality.type_rules(EVENT, df.columns))) == [("type:latitude", 2)]
+
+
+def test_keys_of_a_child_are_checked_in_one_pass(spark):
+    child = spark.createDataFrame([(1, 1, "a"), (2, 9, None), (None, 1, "z")], "x int, y long, z string")
+    parents = {"child": child, "p": spark.createDataFrame([(1,), (2,)], "k long"), "q": spark.createDataFrame([("a",)], "k string")}
+    relations = [("child", "x", "p"), ("child", "y", "p"), ("child", "z", "q")]
+    found = quality.check_fks(parents, relations, {"p": "k", "q": "k"})
+    assert rows(found) == [("child", "x", "p", 0), ("child", "y", "p", 1), ("child", "z", "q", 1)]
+
+
 def test_fingerprint_ignores_order_and_sees_change(spark):
     df = spark.createDataFrame([(1, "a"), (2, "b"), (2, "b")], "n int, s string")
     same = df.orderBy(F.desc("n")).repartition(3).select("s", "n")

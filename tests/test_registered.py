@@ -41,3 +41,13 @@ def test_plan_has_no_cross_join_and_no_python(spark, name):
 
 def test_entry(spark):
     assert entry.entry(spark).count() == 25
+
+
+def test_the_fleet_tells_its_grains_apart(spark):
+    """Sites, cities and states are three grains, and some events name no vehicle: else wrong grains would agree."""
+    from motorpool.sources.views import Fleet
+
+    fleet = Fleet(spark, DATA)
+    sites = fleet["sites"].selectExpr("count(*)", "count(distinct city)", "count(distinct state)").first()
+    assert sites[0] > sites[1] > sites[2] > 1
+    assert fleet["events"].filter("vehicle_id is null").count() > 0

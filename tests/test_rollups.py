@@ -123,7 +123,9 @@ def test_change_reaches_across_slices_and_gaps(spark):
         (3, "v", ts("2024-01-05T01:00"), 40),
         (4, "v", ts("2024-01-05T01:00"), 41),
         (5, "w", ts("2024-01-03T00:00"), 7),
+        (6, None, ts("2024-01-01T00:00"), 10),
+        (7, None, ts("2024-01-02T00:00"), 12),
     ]
     df = spark.createDataFrame(data, "id int, key string, ts timestamp, miles long")
     got = rows(ranking.change(df, "key", "ts", "miles", tiebreak="id"), "id", "previous_miles", "miles_change")
-    assert got == [(1, None, None), (2, 10, 5), (3, 15, 25), (4, 40, 1), (5, None, None)]
+    assert got == [(1, None, None), (2, 10, 5), (3, 15, 25), (4, 40, 1), (5, None, None), (6, None, None), (7, 10, 2)]

@@ -133,6 +133,22 @@ def test_forecast_continues_a_straight_line(spark):
     assert all(r.forecast is None and r.upper is None for r in got if r.site == "b")
 
 
+@pytest.mark.parametrize("column", ["dim_sites.state", "dim_site.stat", "nothing.x"])
+def test_filter_on_what_the_model_lacks_is_refused(model, column):
+    with pytest.raises(KeyError, match="no column"):
+        evaluate(model, ["Total Revenue"], filters={column: "X"})
+
+
+def test_forecast_sums_to_its_own_grain(spark):
+    data = [(s, date(2024, m, 1), 100.0 * k) for m in range(1, 5) for k, s in ((1, "s1"), (3, "s2"))]
+    series = spark.createDataFrame(data, "site string, month date, usd double").selectExpr("'c' as city", "*")
+    for by in (["city"], []):
+        got = report.forecast_linear(series, by, "month", "usd").collect()
+        assert len(got) == 3
+        for r in got:
+            assert (r.forecast, r.lower, r.upper) == tuple(pytest.approx(x) for x in (400.0, 400.0, 400.0))
+
+
 def test_forecast_counts_missing_months(spark):
     data = [("a", date(2024, 1, 1), 0.0), ("a", date(2024, 2, 1), 10.0), ("a", date(2024, 5, 1), 40.0)]
     series = spark.createDataFrame(data, "site string, month date, usd double")

@@ -63,13 +63,21 @@ def test_optimised_write(spark):
     assert values == sorted(values)
 
 
+def test_rows_of_a_day_that_come_later_join_it(spark, tmp_path):
+    path = str(tmp_path / "events")
+    df = spark.createDataFrame([(1, ts("2024-01-01T05:00")), (2, ts("2024-01-02T05:00"))], "id int, ts timestamp")
+    tables.write_by_day(df, path, "ts")
+    tables.write_by_day(df.filter("id = 2").withColumn("id", F.lit(9)), path, "ts")
+    assert rows(spark.read.parquet(path), "id") == [(1,), (2,), (9,)]
+
+
 def test_days_are_replaced_one_by_one(spark, tmp_path):
     path = str(tmp_path / "events")
     df = spark.createDataFrame(
         [(1, ts("2024-01-01T05:00")), (2, ts("2024-01-02T05:00"))], "id int, ts timestamp"
     )
-    tables.write_by_day(df, path, "ts")
-    tables.write_by_day(df.filter("id = 2").withColumn("id", F.lit(9)), path, "ts")
+    tables.replace_days(df, path, "ts")
+    tables.replace_days(df.filter("id = 2").withColumn("id", F.lit(9)), path, "ts")
     assert rows(spark.read.parquet(path), "id") == [(1,), (9,)]
     plan = spark.read.parquet(path).filter("event_date = date'2024-01-02'")
     assert len(plan.inputFiles()) >= 1
@@ -85,6 +93,22 @@ def test_old_days_expire_as_whole_partitions(spark):
     assert tables.expire_days(spark, "daily_events", 3, date(2024, 1, 10)) == []
 
 
+def test_old_days_of_landed_events_expire(spark, tmp_path):
+    """Landed files lie under flow, batch and day."""
+    from motorpool.sources import events as feed
+
+    source = str(tmp_path / "source")
+    old_and_new = [(1, ts("2020-05-05T05:00")), (2, ts("2024-01-09T05:00"))]
+    spark.createDataFrame(old_and_new, "event_id int, ts timestamp").write.parquet(source)
+    stream = feed.stream_table(spark, source, "event_id int, ts timestamp")
+    feed.land_events(stream, out := str(tmp_path / "out"), str(tmp_path / "checkpoint")).awaitTermination()
+    tables.register_external(spark, "landed_feed", out)
+    spark.sql("MSCK REPAIR TABLE landed_feed")
+    assert tables.expire_days(spark, "landed_feed", 30, date(2024, 1, 10)) == [date(2020, 5, 5)]
+    assert rows(spark.table("landed_feed"), "event_id") == [(2,)]
+    spark.sql("DROP TABLE landed_feed")
+
+
 def test_manifest(silver):
     got = {r.entity: (r.rows, r.columns) for r in tables.manifest(silver).collect()}
     assert got["sites"][0] == 3 and got["sites"][1].startswith("site_id,site_code")
