@@ -52,6 +52,17 @@ SEPARATOR, HEXLETTER, LOWER, UPPER, DIGIT, SIGN, WIDE = range(7)
 _CLASS = np.full(129, SIGN, dtype=np.uint8)
 _CLASS[[*range(33), 127, *map(ord, "\"'`()[]{}<>,;|:=")]] = SEPARATOR
 _CLASS[48:58], _CLASS[65:91], _CLASS[97:123], _CLASS[97:103], _CLASS[128] = DIGIT, UPPER, LOWER, HEXLETTER, WIDE
+# What a sign adds to three counters of 21 bits each: classes first, then signs and what stands between tokens.
+_MASK = np.uint64((1 << 21) - 1)
+
+
+def _counters(*sets: np.ndarray) -> np.ndarray:
+    return sum((held.astype(np.uint64) << np.uint64(21 * i) for i, held in enumerate(sets)), np.zeros(129, np.uint64))
+
+
+_SIGNS = np.arange(129)
+_COUNT_A = _counters(_CLASS == DIGIT, _CLASS == UPPER, _CLASS == HEXLETTER)
+_COUNT_B = _counters(_CLASS == LOWER, (_CLASS == SIGN) | np.isin(_SIGNS, (61, 58)), (_CLASS == WIDE) | np.isin(_SIGNS, (34, 39, 96)))
 _LENGTHS = np.array([4, 8, 12, 16, 20, 24, 32, 40])
 _CHANGES = np.array([1, 2, 4, 8])
 # Sizes of the feature groups, in the order in which ``features`` lists them.
@@ -85,7 +96,8 @@ def features(texts: list[str]) -> Tokens:
     """Cut the texts into tokens and list the features of each, all at once."""
     joined = "\n".join(texts) + "\n"
     codes = np.frombuffer(joined.encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
-    kind = _CLASS[np.minimum(codes, 128)]
+    sign = np.minimum(codes, 128).astype(np.uint8)
+    kind = _CLASS[sign]
     inside = np.concatenate(([False], kind != SEPARATOR, [False]))
     edges = np.flatnonzero(inside[1:] != inside[:-1])
     start, end = edges[::2], edges[1::2]
@@ -95,36 +107,32 @@ def features(texts: list[str]) -> Tokens:
         return Tokens(start, end, start, np.zeros((0, len(GROUPS)), dtype=np.int32))
     text = np.searchsorted(offsets, start, side="right") - 1
     length = end - start
+    # Counts within tokens and, of the same signs, between them (what follows a token stands before the next one).
+    counted = [np.add.reduceat(table[sign], edges) for table in (_COUNT_A, _COUNT_B)]
 
-    def per_token(mask: np.ndarray) -> np.ndarray:
-        return np.add.reduceat(mask.astype(np.int32), edges)[::2]
+    def part(which: int, field: int, gaps: bool = False) -> np.ndarray:
+        return ((counted[which][1 if gaps else 0 :: 2] >> np.uint64(21 * field)) & _MASK).astype(np.int64)
 
-    digits, uppers = per_token(kind == DIGIT), per_token(kind == UPPER)
-    hexes, lowers = per_token(kind == HEXLETTER), per_token(kind == LOWER)
-    signs, wide = per_token(kind == SIGN), per_token(kind == WIDE)
+    digits, uppers, hexes, lowers, signs, wide = (part(w, f) for w in (0, 1) for f in range(3))
+    assigned, quoted = (np.concatenate(([0], part(1, f, gaps=True)[:-1] > 0)).astype(np.int64) for f in (1, 2))
     coarse = np.where(kind == HEXLETTER, LOWER, kind)
-    changes = per_token(np.concatenate(([False], (coarse[1:] != coarse[:-1]) & (kind[:-1] != SEPARATOR))))
+    changed = np.concatenate(([False], (coarse[1:] != coarse[:-1]) & (kind[:-1] != SEPARATOR)))
+    changes = np.add.reduceat(changed, edges, dtype=np.int32)[::2]
     letters = lowers + hexes + uppers
     long = np.searchsorted(_LENGTHS, length, side="right")
-    varied = np.searchsorted(_CHANGES, changes, side="right")
-    share = np.select([digits == 0, digits * 4 < length, digits * 2 < length, digits < length], [0, 1, 2, 3], 4)
+    varied_ = np.searchsorted(_CHANGES, changes, side="right")
+    share = (digits > 0) + (digits * 4 >= length) * 1 + (digits * 2 >= length) + (digits >= length)
     first_upper = kind[start] == UPPER
-    case = np.select(
-        [letters == 0, uppers == 0, uppers == letters, (uppers == 1) & first_upper, wide > 0], [0, 1, 2, 3, 4], 5
+    case = np.where(
+        letters == 0, 0, np.where(uppers == 0, 1, np.where(uppers == letters, 2, np.where((uppers == 1) & first_upper, 3, np.where(wide > 0, 4, 5))))
     )
     pure_hex = (hexes + digits == length) & (digits > 0) & (hexes > 0)
-    # Signs between a token and the one before it.
-    is_assign = np.concatenate(([0], np.cumsum((codes == 61) | (codes == 58))))
-    is_quote = np.concatenate(([0], np.cumsum((codes == 34) | (codes == 39) | (codes == 96))))
-    before = np.concatenate(([0], end[:-1]))
-    assigned = (is_assign[start] > is_assign[before]).astype(np.int64)
-    quoted = (is_quote[start] > is_quote[before]).astype(np.int64)
-    low = codes + np.where(kind == UPPER, 32, 0).astype(np.uint32)
-    word = np.full(len(start), 7, dtype=np.uint64)
-    for j in range(12):
-        here = start + j
-        held = here < end
-        word[held] = word[held] * np.uint64(1099511628211) ^ low[here[held]]
+    # A word is known by its first six and last two signs and its length.
+    low = codes | ((kind == UPPER).astype(np.uint32) << np.uint32(5))
+    word = length.astype(np.uint64)
+    for j in range(8):
+        here = np.minimum(start + j, end - 1) if j < 6 else np.maximum(end - (j - 5), start)
+        word = word * np.uint64(1099511628211) ^ low[here]
     word = ((word ^ (word >> np.uint64(29))) % np.uint64(HASHES - 1)).astype(np.int64) + 1
     # Of the whole file.
     n_text = len(texts)
@@ -135,7 +143,7 @@ def features(texts: list[str]) -> Tokens:
     ]
     size = np.searchsorted([50, 1000], count, side="right")[text]
     columns = (
-        long * 5 + varied, share, case, pure_hex, signs > 0, quoted, assigned * 2 + (length >= 6),
+        long * 5 + varied_, share, case, pure_hex, signs > 0, quoted, assigned * 2 + (length >= 6),
         _shifted(word, -1, text, 0), _shifted(word, -2, text, 0), _shifted(word, 1, text, 0), *of_file, size,
     )
     table = np.stack([c.astype(np.int32) for c in columns], axis=1) + STARTS.astype(np.int32)
@@ -326,9 +334,11 @@ def train(docs: DataFrame, *, key: str = "doc_id", text: str = "text", sample: i
     Which documents is decided by a hash of their key, so the same table gives the same field. Their windows (at most
     six of 33 tokens each) are made on the executors; only those reach the driver.
     """
-    rows = docs.select(text_or_empty(text).alias("text"), F.xxhash64(F.col(key)).alias("order"))
-    hinted = rows.where(F.col("text").rlike(HINT)).orderBy("order", F.xxhash64("text")).limit(sample)
-    chosen = hinted.select("text").unionAll(rows.orderBy("order", F.xxhash64("text")).limit(sample).select("text"))
+    rows = docs.select(text_or_empty(text).alias("text"), F.xxhash64(F.col(key)).alias("order"), F.xxhash64(text).alias("hash"))
+    # The sample is found by two hashes alone, 2 * sample rows in all, and its texts are fetched after that.
+    hinted = rows.where(F.col("text").rlike(HINT)).select("order", "hash").orderBy("order", "hash").limit(sample)
+    wanted = hinted.unionAll(rows.select("order", "hash").orderBy("order", "hash").limit(sample)).distinct()
+    chosen = rows.join(F.broadcast(wanted), ["order", "hash"], "left_semi").dropDuplicates(["order", "hash"]).select("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in stretches(batches, text=0):
@@ -338,7 +348,7 @@ def train(docs: DataFrame, *, key: str = "doc_id", text: str = "text", sample: i
     got = chosen.mapInArrow(run, "table binary, tag binary").collect()
     if not got:
         return Field.blank()
-    got.sort()
+    got.sort()  # the same windows in the same order, whichever task made them
     table = np.stack([np.frombuffer(r[0], np.int32).reshape(WIDTH, -1) for r in got])
     return fit(table, np.stack([np.frombuffer(r[1], np.int8) for r in got]))
 
