@@ -566,6 +566,42 @@ _ORACLES: dict[str, tuple[str, str]] = {
                      AS maintenance_cost,
                    (SELECT count(DISTINCT vehicle_id) FROM fresh) AS telematics_vehicles_tracked""",
     ),
+    "kpi_cards_sliced": (
+        "fact use_month idle repair fresh sites",
+        f"""WITH s AS (SELECT site_id FROM sites WHERE state IN ('ASIA', 'EUROPE'))
+            SELECT (SELECT round({SUM_USD}, 4) FROM fact f WHERE pickup_site_id IN (FROM s)) AS total_revenue,
+                   (SELECT round(sum(total_rented_days) / CAST(sum(fleet_size * days_in_month) AS DOUBLE), 4)
+                    FROM use_month WHERE pickup_site_id IN (FROM s)) AS fleet_utilization_pct,
+                   (SELECT CAST(sum(idle_vehicles) AS BIGINT) FROM idle WHERE current_site_id IN (FROM s)) AS idle_vehicle_count,
+                   (SELECT round(CAST(sum(CAST(total_maintenance_cost_usd AS DECIMAL(18,4))) AS DOUBLE), 4) FROM repair
+                    WHERE site_id IN (FROM s)) AS maintenance_cost,
+                   (SELECT count(DISTINCT vehicle_id) FROM fresh) AS telematics_vehicles_tracked""",
+    ),
+    "revenue_decomposition_sliced": (
+        "fact",
+        f"""SELECT pickup_state AS state, pickup_city AS city, class_name,
+                   CAST(3 - grouping(pickup_state) - grouping(pickup_city) - grouping(class_name) AS INTEGER) AS depth,
+                   round({SUM_USD}, 2) AS total_revenue
+            FROM fact f WHERE pickup_state IN ('ASIA', 'EUROPE') GROUP BY ROLLUP (pickup_state, pickup_city, class_name)""",
+    ),
+    "revenue_per_rental_by_geography": (
+        "fact",
+        f"""SELECT pickup_state AS state, pickup_city AS city, pickup_site_name AS site_name,
+                   CAST(3 - grouping(pickup_state) - grouping(pickup_city) - grouping(pickup_site_name) AS INTEGER) AS depth,
+                   round({SUM_USD} / count(*), 4) AS revenue_per_rental
+            FROM fact f GROUP BY ROLLUP (pickup_state, pickup_city, pickup_site_name)""",
+    ),
+    "sites_by_revenue_in_order": (
+        "revenue_by_site",
+        """SELECT pickup_site_id, total_revenue_usd, row_number() OVER (ORDER BY total_revenue_usd DESC, pickup_site_id) AS position
+           FROM revenue_by_site""",
+    ),
+    "idle_vehicles_in_order": (
+        "vehicles sites",
+        """SELECT *, row_number() OVER (ORDER BY idle_vehicles DESC, site_name) AS position
+           FROM (SELECT s.site_name, count(*) AS idle_vehicles FROM vehicles v JOIN sites s ON v.current_site_id = s.site_id
+                 WHERE v.status = 'idle' GROUP BY 1)""",
+    ),
     "revenue_by_city": (
         "fact",
         f"SELECT pickup_city AS city, round({SUM_USD}, 2) AS site_revenue FROM fact f GROUP BY 1",
@@ -845,8 +881,7 @@ _ORACLES: dict[str, tuple[str, str]] = {
         "tele",
         """SELECT w AS window_start, w + INTERVAL 1 HOUR AS window_end, count(*) AS events, avg(idle_minutes) AS avg_idle,
                   count(*) FILTER (WHERE fault_code <> '') AS faults
-           FROM (SELECT *, time_bucket(INTERVAL 1 HOUR, ts) AS w FROM tele) GROUP BY w
-           HAVING w + INTERVAL 1 HOUR <= (SELECT max(ts) - INTERVAL 10 MINUTE FROM events)""",
+           FROM (SELECT *, time_bucket(INTERVAL 1 HOUR, ts) AS w FROM tele) GROUP BY w""",
     ),
     "stream_dedup_events": ("tele", "SELECT event_id, vehicle_id, ts, odometer_miles FROM tele"),
     "stream_landed_events": (

@@ -6,7 +6,7 @@ import uuid
 from collections.abc import Callable
 from datetime import datetime
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from motorpool.functions import calendar
@@ -526,6 +526,45 @@ def kpi_cards(f: Fleet) -> DataFrame:
     return _plain(_rounded(report.kpi_cards(_model(f)), 4))
 
 
+SLICER = {"dim_site.state": ["ASIA", "EUROPE"]}
+
+
+@query
+def kpi_cards_sliced(f: Fleet) -> DataFrame:
+    """The cards under a slicer; events are not related to sites and stay whole."""
+    return _plain(_rounded(report.kpi_cards(_model(f), filters=SLICER), 4))
+
+
+@query
+def revenue_decomposition_sliced(f: Fleet) -> DataFrame:
+    return _plain(_rounded(report.revenue_decomposition(_model(f), filters=SLICER), 2))
+
+
+@query
+def revenue_per_rental_by_geography(f: Fleet) -> DataFrame:
+    """A ratio drilled: parts are added up at each depth, then divided."""
+    levels = semantic.HIERARCHIES["Geography"]
+    return _plain(_rounded(report.hierarchy(_model(f), "fact_rental", levels, "Revenue per Rental"), 4))
+
+
+@query
+def sites_by_revenue_in_order(f: Fleet) -> DataFrame:
+    """Sites from the highest revenue down; the place in the result is a column, so that the order is compared."""
+    kpi = gold.kpi_revenue_by_site(_fact(f, *SITE_FACT)).select("pickup_site_id", "total_revenue_usd")
+    return _placed(ranking.ordered(kpi, "total_revenue_usd", ["pickup_site_id"]))
+
+
+@query
+def idle_vehicles_in_order(f: Fleet) -> DataFrame:
+    return _placed(ranking.ordered(graph.idle_vehicles_by_site(_graph(f)), "idle_vehicles", ["site_name"]))
+
+
+def _placed(df: DataFrame) -> DataFrame:
+    """Rows with their position in the order in which the result holds them."""
+    place = Window.orderBy(F.monotonically_increasing_id())
+    return df.withColumn("position", F.row_number().over(place).cast("long"))
+
+
 @query
 def revenue_by_city(f: Fleet) -> DataFrame:
     return _plain(_rounded(report.revenue_by_city(_model(f)), 2))
@@ -884,7 +923,10 @@ def _event_stream(f: Fleet) -> DataFrame:
 
 
 def _stored(f: Fleet, path: str) -> DataFrame:
-    df = feed.read_flow(f.spark, path)
+    return _zoneless(feed.read_flow(f.spark, path))
+
+
+def _zoneless(df: DataFrame) -> DataFrame:
     times = [c for c, t in df.dtypes if t == "timestamp"]
     return df.withColumns({c: F.col(c).cast("timestamp_ntz") for c in times})
 
@@ -936,7 +978,10 @@ def stream_work_orders(f: Fleet) -> DataFrame:
 
 @query
 def stream_spike_windows(f: Fleet) -> DataFrame:
-    return _run(f, jobs.spike_windows(_event_stream(f), "1 hour", delay="10 minutes"))
+    work = _work_dir(f.spark)
+    windows = jobs.spike_windows(_event_stream(f), "1 hour", delay="10 minutes")
+    feed.upsert_flow(windows, f"{work}/out", f"{work}/checkpoint").awaitTermination()
+    return _zoneless(feed.read_latest(f.spark, f"{work}/out", "window_start"))
 
 
 @query

@@ -64,12 +64,15 @@ def _cast(df: DataFrame, column: str, dtype: str) -> Column:
         return calendar.parse_iso(col)
     if dtype == "date":
         return col.try_cast("date")
+    whole = dtype in ("int", "long")
     if isinstance(source, (T.FloatType, T.DoubleType)):
-        # A missing number may arrive as NaN.
-        col = F.when(~F.isnan(col), col)
-    elif dtype in ("int", "long") and isinstance(source, T.StringType):
-        # "2500.0" is how a nullable integer looks in some CSV exports.
-        return F.coalesce(col.try_cast(dtype), col.try_cast("double").try_cast(dtype))
+        # A missing number may arrive as NaN; a fraction is no whole number.
+        col = F.when(~F.isnan(col) & (F.lit(not whole) | (col == F.rint(col))), col)
+    elif whole and isinstance(source, T.StringType):
+        # "2500.0" is how a nullable integer looks in some CSV exports; "2500.7" is not one. A plain cast would cut it.
+        number = col.try_cast("double")
+        as_whole = F.when(number == F.rint(number), number.try_cast(dtype))
+        return F.when(col.contains("."), as_whole).otherwise(F.coalesce(col.try_cast(dtype), as_whole))
     return col.try_cast(dtype)
 
 

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from motorpool.functions import calendar
 from motorpool.functions.money import exact_sum, safe_div
 from motorpool.operators.rollups import drill
-from motorpool.plans.semantic import Model, evaluate, star
+from motorpool.plans.semantic import Filters, Model, context, evaluate
 
 CARDS = (
     "Total Revenue",
@@ -21,38 +21,46 @@ CARDS = (
 )
 
 
-def kpi_cards(model: Model, measures: Sequence[str] = CARDS) -> DataFrame:
+def kpi_cards(model: Model, measures: Sequence[str] = CARDS, filters: Filters | None = None) -> DataFrame:
     """The headline numbers, one row."""
-    return evaluate(model, measures)
+    return evaluate(model, measures, filters=filters)
 
 
-def revenue_by_city(model: Model) -> DataFrame:
-    return evaluate(model, ["Site Revenue"], by=["dim_site.city"])
+def revenue_by_city(model: Model, filters: Filters | None = None) -> DataFrame:
+    return evaluate(model, ["Site Revenue"], by=["dim_site.city"], filters=filters)
 
 
-def site_map(model: Model) -> DataFrame:
+def site_map(model: Model, filters: Filters | None = None) -> DataFrame:
     """Revenue per city with the middle of the city's sites."""
     places = model.tables["dim_site"].groupBy("city").agg(
         F.avg("latitude").alias("latitude"), F.avg("longitude").alias("longitude")
     )
-    return revenue_by_city(model).join(places, "city", "left")
+    return revenue_by_city(model, filters).join(places, "city", "left")
 
 
-def hierarchy(model: Model, table: str, levels: Sequence[str], measure: str) -> DataFrame:
-    """One measure at every depth of a hierarchy of ``table.column`` levels."""
+def hierarchy(
+    model: Model, table: str, levels: Sequence[str], measure: str, filters: Filters | None = None
+) -> DataFrame:
+    """One measure at every depth of a hierarchy of ``table.column`` levels, in the context of ``filters``.
+
+    A measure of several parts is combined at each depth; all of them must be of ``table``.
+    """
     m = model.measures[measure]
-    if len(m.parts) != 1:
-        raise ValueError(f"{measure} spans several aggregates and cannot be drilled in one pass")
-    rows = star(model, table, levels)
+    others = {t for t, _ in m.parts if t != table}
+    if others:
+        raise ValueError(f"{measure} also reads {sorted(others)} and cannot be drilled along {table}")
+    rows = context(model, table, levels, filters or {}, ())
     names = [c.replace(".", "__") for c in levels]
-    opened = drill(rows, names, [m.combine(m.parts[0][1]()).alias(measure)])
+    parts = [f"_part{i}" for i in range(len(m.parts))]
+    opened = drill(rows, names, [aggregate().alias(p) for p, (_, aggregate) in zip(parts, m.parts)])
+    opened = opened.withColumn(measure, m.combine(*[F.col(p) for p in parts])).drop(*parts)
     return opened.withColumnsRenamed({n: c.split(".")[1] for n, c in zip(names, levels)})
 
 
-def revenue_decomposition(model: Model) -> DataFrame:
+def revenue_decomposition(model: Model, filters: Filters | None = None) -> DataFrame:
     """Total revenue by state, then city, then vehicle class."""
     levels = ["dim_site.state", "dim_site.city", "dim_vehicle.class_name"]
-    return hierarchy(model, "fact_rental", levels, "Total Revenue")
+    return hierarchy(model, "fact_rental", levels, "Total Revenue", filters)
 
 
 def forecast_linear(

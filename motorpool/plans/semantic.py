@@ -140,7 +140,7 @@ def _condition(column: str, wanted: object) -> Column:
     return col == F.lit(wanted)
 
 
-def _context(model: Model, table: str, by: Sequence[str], filters: Filters, use: Sequence[str]) -> DataFrame:
+def context(model: Model, table: str, by: Sequence[str], filters: Filters, use: Sequence[str]) -> DataFrame:
     """The rows of ``table`` in the filter context.
 
     As in any star model a filter on a table that ``table`` is not related to leaves it alone,
@@ -186,7 +186,7 @@ def evaluate(
         reach = [c for c in by if model.path(table, _split(c)[0], use) is not None]
         if reach != list(by) and table in leading:
             raise NoPathError(f"{table} has no relationship to {sorted(set(by) - set(reach))}")
-        rows = _context(model, table, reach, filters, use)
+        rows = context(model, table, reach, filters, use)
         part = rows.groupBy(*[_flat(*_split(c)) for c in reach]).agg(*aggregates)
         if reach == list(by):
             grouped.append(part)

@@ -61,7 +61,9 @@ class Output:
     fmt: str = "parquet"
 
 
-def append_outputs(stream: DataFrame, checkpoint: str, outputs: Sequence[Output]) -> StreamingQuery:
+def append_outputs(
+    stream: DataFrame, checkpoint: str, outputs: Sequence[Output], mode: str = "append"
+) -> StreamingQuery:
     """Append a stream to one or more outputs, reading it once, then stop when caught up.
 
     Each micro-batch goes to a directory named after the query and the batch. A batch that runs
@@ -74,14 +76,16 @@ def append_outputs(stream: DataFrame, checkpoint: str, outputs: Sequence[Output]
         query = batch.sparkSession.read.schema("id string").json(f"{checkpoint}/metadata").first()["id"]
         if len(outputs) > 1:
             batch.persist()
-        for output in outputs:
-            writer = output.select(batch).write.format(output.fmt).mode("overwrite")
-            if output.partition_by:
-                writer = writer.partitionBy(*output.partition_by)
-            writer.save(f"{output.path}/flow={query}/batch={batch_id}")
-        batch.unpersist()
-
-    writer = stream.writeStream.outputMode("append").foreachBatch(store)
+        try:
+            for output in outputs:
+                writer = output.select(batch).write.format(output.fmt).mode("overwrite")
+                if output.partition_by:
+                    writer = writer.partitionBy(*output.partition_by)
+                writer.save(f"{output.path}/flow={query}/batch={batch_id}")
+        finally:
+            batch.unpersist()
+
+    writer = stream.writeStream.outputMode(mode).foreachBatch(store)
     return writer.option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
@@ -103,6 +107,27 @@ def read_flow(spark: SparkSession, path: str, fmt: str = "parquet") -> DataFrame
     return spark.read.format(fmt).load(path).drop("flow", "batch")
 
 
+def upsert_flow(stream: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
+    """Store every row of an aggregate each time it changes; :func:`read_latest` shows the last state of each.
+
+    Groups that a watermark has not closed yet are stored as they stand, so nothing waits for later events.
+    """
+    return append_outputs(stream, checkpoint, [Output(path)], mode="update")
+
+
+def read_latest(spark: SparkSession, path: str, key: str, fmt: str = "parquet") -> DataFrame:
+    """The last stored row of each key of one :func:`upsert_flow` query."""
+    stored = spark.read.format(fmt).load(path)
+    columns = [c for c in stored.columns if c not in ("flow", "batch")]
+    last = stored.groupBy(F.col(key).alias("_key")).agg(F.max_by(F.struct(*columns), "batch").alias("_row"))
+    return last.select("_row.*")
+
+
+def dropped_late(query: StreamingQuery) -> int:
+    """Events a finished query left out because they came later than its watermark allows."""
+    return sum(s["numRowsDroppedByWatermark"] for p in query.recentProgress for s in p["stateOperators"])
+
+
 def landed(events: DataFrame) -> DataFrame:
     """Events with their ingestion time and their day, which the event table is laid out by."""
     return with_ingestion_time(events).withColumn("event_date", F.to_date("ts"))

@@ -30,7 +30,7 @@ def dedup_events(stream: DataFrame, delay: str, ts: str = "ts") -> DataFrame:
     """Each event once, as long as its copies arrive within ``delay`` of each other.
 
     The watermark lets Spark forget event ids, so state stays bounded by the event rate. Events
-    that arrive later than ``delay`` behind the newest one are dropped.
+    that arrive later than ``delay`` behind the newest one are dropped; ``dropped_late`` counts them.
     """
     return stream.withWatermark(ts, delay).dropDuplicatesWithinWatermark(["event_id"])
 
@@ -44,7 +44,9 @@ def spike_windows(
 ) -> DataFrame:
     """Mean idle time and faults per time bucket, optionally only the elevated buckets.
 
-    On a stream give ``delay``: buckets are then final once the watermark has passed them.
+    On a stream give ``delay``: buckets are then final once the watermark has passed them. Store
+    them with ``upsert_flow``, which keeps the buckets that are still open too; how many events
+    came too late for theirs tells ``dropped_late``.
     """
     if delay is not None:
         events = events.withWatermark(ts, delay)

@@ -163,7 +163,8 @@ def vehicles(spark: SparkSession, size: Size) -> DataFrame:
         parts["class"].cast("int"),
     )
     car = F.element_at(of_class, (F.floor(d.uniform("model") * F.size(of_class)) + 1).cast("int"))
-    plate = F.concat(F.lit("ZV"), d.integer("plate", 1000, 9999).cast("string"), d.pick("letter", v.LETTERS))
+    letters = [d.pick(f"letter{i}", v.LETTERS) for i in range(3)]
+    plate = F.concat(*letters, F.lit("-"), d.integer("plate", 100, 1000).cast("string"))
     df = _rows(spark, size.vehicles).select(
         _key(VEHICLE, n).alias("vehicle_id"),
         F.concat(F.lit("SYNVIN"), F.lpad(n.cast("string"), 11, "0")).alias("vin"),
@@ -367,9 +368,6 @@ def maintenance(spark: SparkSession, size: Size) -> DataFrame:
     return _raw(made, "maintenance")
 
 
-VISITS = 64
-
-
 def _repairs(spark: SparkSession, size: Size) -> DataFrame:
     n = F.col("n")
     count = Draws(size.seed, "maintenance", n).poisson("visits", v.REPAIRS_PER_VEHICLE)
@@ -378,7 +376,8 @@ def _repairs(spark: SparkSession, size: Size) -> DataFrame:
         .withColumn("_count", count)
         .filter("_count > 0")
         .withColumn("visit", F.explode(F.sequence(F.lit(1), F.col("_count"))))
-        .withColumn("m", F.col("n") * VISITS + F.col("visit"))
+        # Numbered along the diagonals of (vehicle, visit): no two pairs meet, however many visits there are.
+        .withColumn("m", _diagonal(F.col("n"), F.col("visit").cast("long")))
     )
     d = Draws(size.seed, "maintenance", F.col("m"))
     vehicle = _vehicle_parts(n, size)
@@ -402,6 +401,10 @@ def _repairs(spark: SparkSession, size: Size) -> DataFrame:
     )
 
 
+def _diagonal(a: Column, b: Column) -> Column:
+    return F.shiftright((a + b) * (a + b + 1), 1) + b
+
+
 def _one_repair(spark: SparkSession, size: Size) -> DataFrame:
     vehicle = _vehicle_parts(F.col("n"), size)
     opened = F.timestamp_seconds(F.lit(_epoch(size.start)))
@@ -409,13 +412,13 @@ def _one_repair(spark: SparkSession, size: Size) -> DataFrame:
         formatted_key("M", 7, F.lit(1)).alias("maintenance_id"),
         _key(VEHICLE, F.col("n")).alias("vehicle_id"),
         _key(SITE, vehicle["current"]).alias("site_id"),
-        F.lit("Oil Change").alias("maintenance_type"),
+        F.lit(v.FALLBACK_REPAIR[0]).alias("maintenance_type"),
         F.lit(None).cast("string").alias("fault_code"),
         opened.alias("opened_ts"),
         _plus(opened, hours=F.lit(3)).alias("closed_ts"),
-        F.lit(120.0).alias("labor_cost_usd"),
-        F.lit(45.0).alias("parts_cost_usd"),
-        F.lit(165.0).alias("total_cost_usd"),
+        F.lit(v.FALLBACK_REPAIR[1]).alias("labor_cost_usd"),
+        F.lit(v.FALLBACK_REPAIR[2]).alias("parts_cost_usd"),
+        F.lit(sum(v.FALLBACK_REPAIR[1:])).alias("total_cost_usd"),
         vehicle["odometer"].alias("odometer_at_service"),
         F.lit("closed").alias("status"),
     )
