@@ -282,6 +282,84 @@ def _required(columns: str) -> dict[str, str]:
     return {f"required:{c}": f"{c} IS NULL" for c in columns.split()}
 
 
+ALL_VIEWS = "sites classes vehicles customers reservations rentals payments maintenance tele"
+
+# Required columns of each entity; the first is its key.
+REQUIRED = {
+    "vehicle_classes": "vehicle_class_id class_name category daily_base_rate_usd seats is_ev",
+    "sites": "site_id site_code site_name city state latitude longitude is_hq parking_capacity opened_date",
+    "vehicles": "vehicle_id vin vehicle_class_id make model model_year color license_plate home_site_id current_site_id status"
+    " odometer_miles acquired_date",
+    "customers": "customer_id first_name last_name email phone loyalty_tier home_city home_state join_date",
+    "reservations": "reservation_id customer_id vehicle_class_id pickup_site_id return_site_id reserved_at pickup_date"
+    " planned_return_date status",
+    "rentals": "rental_id customer_id vehicle_id vehicle_class_id pickup_site_id return_site_id pickup_ts planned_return_ts"
+    " odometer_out is_one_way status",
+    "payments": "payment_id rental_id customer_id pickup_site_id rental_days base_amount_usd one_way_fee_usd taxes_fees_usd"
+    " total_amount_usd currency payment_method payment_ts status",
+    "maintenance": "maintenance_id vehicle_id site_id maintenance_type opened_ts labor_cost_usd parts_cost_usd total_cost_usd"
+    " odometer_at_service status",
+    "telematics": "telematics_id vehicle_id site_id snapshot_ts ignition_state idle_minutes odometer_miles latitude longitude"
+    " speed_mph fuel_or_soc_pct",
+}
+CODES = {
+    "vehicle_classes": {"category": "'Car', 'SUV', 'Luxury', 'Van', 'Truck', 'EV'"},
+    "vehicles": {"status": "'available', 'rented', 'idle', 'maintenance'"},
+    "customers": {"loyalty_tier": "'None', 'Silver', 'Gold', 'Platinum'"},
+    "reservations": {"status": "'booked', 'fulfilled', 'cancelled', 'noshow'"},
+    "rentals": {"status": "'open', 'closed'"},
+    "payments": {"currency": "'USD'", "status": "'captured', 'refunded', 'failed'"},
+    "maintenance": {"status": "'open', 'closed'"},
+    "telematics": {"ignition_state": "'on', 'off'"},
+}
+RENAMED = {"telematics_id": "event_id", "snapshot_ts": "ts"}
+
+
+def _name(entity: str, column: str) -> str:
+    return RENAMED.get(column, column) if entity == "telematics" else column
+
+
+def _contract(entity: str) -> str:
+    held = COUNTED[entity].split(",")
+    rules = {
+        f"required:{c}" if c in held else f"missing:{c}": f"{_name(entity, c)} IS NULL" if c in held else "true"
+        for c in REQUIRED[entity].split()
+    }
+    rules |= {f"enum:{c}": f"{c} NOT IN ({codes})" for c, codes in CODES.get(entity, {}).items()}
+    return f"SELECT '{entity}' AS entity, * FROM ({_violations(SQL_VIEW.get(entity, entity), rules)})"
+
+
+CONTRACTS = " UNION ALL ".join(map(_contract, REQUIRED))
+
+NUMBERS = (
+    "daily_base_rate_usd seats latitude longitude parking_capacity model_year odometer_miles odometer_out miles_driven"
+    " base_amount_usd one_way_fee_usd taxes_fees_usd total_amount_usd labor_cost_usd parts_cost_usd total_cost_usd"
+    " idle_minutes speed_mph fuel_or_soc_pct"
+).split()
+DATES = (
+    "opened_date acquired_date join_date reserved_at pickup_date planned_return_date pickup_ts planned_return_ts return_ts"
+    " payment_ts opened_ts snapshot_ts"
+).split()
+
+
+def _silver(entity: str) -> str:
+    """Values left after cleaning: which keys, numbers and dates the faults take away follows from the key's last sign."""
+    view, key = SQL_VIEW.get(entity, entity), _name(entity, REQUIRED[entity].split()[0])
+    last = f"right(CAST({key} AS VARCHAR), 1)"
+    rows = f"(SELECT * FROM {view} WHERE {last} <> '7' QUALIFY row_number() OVER (PARTITION BY {key}) = 1)"
+    parts = []
+    for c in COUNTED[entity].split(","):
+        if c == "rental_days":
+            continue
+        gone = "3" if c in NUMBERS else "5" if c in DATES else ""
+        test = f" FILTER (WHERE {last} <> '{gone}')" if gone and _name(entity, c) != key else ""
+        parts.append(f"SELECT '{entity}' AS entity, '{c}' AS \"column\", count(*) AS rows, count({_name(entity, c)}){test} AS \"values\" FROM {rows}")
+    return " UNION ALL ".join(parts)
+
+
+SILVER = " UNION ALL ".join(map(_silver, REQUIRED))
+
+
 def _pii(table: str, columns: list[str], min_ratio: float) -> str:
     kinds = {
         "email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}",
@@ -775,6 +853,14 @@ _ORACLES: dict[str, tuple[str, str]] = {
             },
         ),
     ),
+    "contracts_of_all_entities": (ALL_VIEWS, CONTRACTS),
+    "bronze_ingest_all": (
+        ALL_VIEWS,
+        " UNION ALL ".join(
+            f"SELECT '{n}' AS entity, count(*) AS rows, count(*) AS stamped, 'shop' AS source FROM {SQL_VIEW.get(n, n)}" for n in REQUIRED
+        ),
+    ),
+    "silver_of_all_entities": (ALL_VIEWS, SILVER),
     "layer_reconciliation": (
         "rentals payments paid",
         """WITH a AS (SELECT pickup_site_id, CAST(sum(total_amount_usd) AS DOUBLE) AS revenue,

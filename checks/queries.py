@@ -5,6 +5,7 @@ from __future__ import annotations
 import uuid
 from collections.abc import Callable
 from datetime import datetime
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -15,7 +16,7 @@ from motorpool.functions.text import formatted_key
 from motorpool.lazy import LazyTables
 from motorpool.operators import cleaning, filters, gold, graph, joins, policy, quality, ranking, rollups
 from motorpool.plans import medallion, report, semantic
-from motorpool.schemas import EVENT, RENTALS, VEHICLES
+from motorpool.schemas import ENTITIES, EVENT, RENTALS, VEHICLES, Entity
 from motorpool.session import configure, shared_dir
 from motorpool.sources import events as feed
 from motorpool.sources import tables
@@ -747,6 +748,64 @@ def contract_events(f: Fleet) -> DataFrame:
     return quality.validate(raw, checks)
 
 
+@query
+def contracts_of_all_entities(f: Fleet) -> DataFrame:
+    """Every entity against its contract: missing columns, missing values, unknown codes."""
+    return _by_entity(lambda e: quality.validate(f[e.name], quality.contract_of(e, f[e.name].columns)))
+
+
+@query
+def bronze_ingest_all(f: Fleet) -> DataFrame:
+    """Every entity with its audit columns: rows, and how many carry the batch they came with."""
+
+    def counted(e: Entity) -> DataFrame:
+        audited = cleaning.with_audit(f[e.name], "shop", "raw", f"batch-{e.name}", AS_OF)
+        stamped = F.count_if((F.col("_batch_id") == f"batch-{e.name}") & F.col("_ingested_at").isNotNull())
+        return audited.agg(F.count("*").alias("rows"), stamped.alias("stamped"), F.max("_source_system").alias("source"))
+
+    return _by_entity(counted)
+
+
+def _raw_text(f: Fleet, e: Entity) -> DataFrame:
+    """An entity as text with faults, every row twice: no key where it ends in 7, no number in 3, no date in 5."""
+    view = f[e.name]
+    last = F.right(F.col(e.key).cast("string"), F.lit(1))
+    texts = []
+    for c in view.columns:
+        kind, text = e.types.get(c, "string"), F.col(c).cast("string")
+        if kind == "timestamp":
+            text = F.date_format(c, "yyyy-MM-dd'T'HH:mm:ss'Z'")
+        if c == e.key:
+            text = F.when(last != "7", text)
+        elif kind in ("timestamp", "date"):
+            text = F.when(last == "5", "no date").otherwise(text)
+        elif kind in ("int", "long", "double"):
+            text = F.when(last == "3", "n/a").otherwise(text)
+        elif c in e.text:
+            text = F.concat(F.lit("  "), text, F.lit(" "))
+        texts.append(text.alias(c))
+    raw = cleaning.with_audit(view.select(*texts), "shop", "raw", "batch-1", AS_OF)
+    return raw.unionByName(raw)
+
+
+@query
+def silver_of_all_entities(f: Fleet) -> DataFrame:
+    """Faulty text of every entity cleaned: rows, and values left per column."""
+
+    def counted(e: Entity) -> DataFrame:
+        silver = cleaning.to_silver(e, _raw_text(f, e)).select(*[c for c in f[e.name].columns if c != "rental_days"])
+        per_column = silver.agg(F.count("*").alias("rows"), *[F.count(c).alias(f"n_{c}") for c in silver.columns])
+        pairs = [F.struct(F.lit(c).alias("column"), F.col(f"n_{c}").alias("values")) for c in silver.columns]
+        return per_column.select("rows", F.inline(F.array(*pairs)))
+
+    return _by_entity(counted)
+
+
+def _by_entity(build: Callable[[Entity], DataFrame]) -> DataFrame:
+    parts = [build(e).withColumn("entity", F.lit(e.name)) for e in ENTITIES.values()]
+    return reduce(DataFrame.unionByName, parts)
+
+
 @query
 def layer_reconciliation(f: Fleet) -> DataFrame:
     """Payments by pickup site against the paid rentals of the fact."""
