@@ -19,7 +19,11 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from motorpool.llm.common import written
+
 END = "\r\n\r\n"
+# Payloads with copies that are broadcast at most: digest and key, 64 MB in all. More are joined by shuffling pages.
+BROADCAST_ROWS = 1_000_000
 # Records in one archive file at most: bounds what one task reads back at once.
 RECORDS_PER_FILE = 2000
 ENTRY = (
@@ -74,7 +78,9 @@ def records(
     )
     large = rows.where(F.col("bytes") >= least_bytes).groupBy("digest")
     heads = large.agg(F.max("page_id").alias("head"), F.count(F.lit(1)).alias("copies")).where("copies > 1")
-    known = rows.join(heads.drop("copies").withColumnRenamed("digest", "d"), F.col("digest") == F.col("d"), "left")
+    heads = written(heads.select(F.col("digest").alias("d"), "head"), "heads")
+    few = heads.count() <= BROADCAST_ROWS
+    known = rows.join(F.broadcast(heads) if few else heads, F.col("digest") == F.col("d"), "left")
     revisit = F.coalesce((F.col("bytes") >= least_bytes) & ~F.col("page_id").eqNullSafe(F.col("head")) & F.col("head").isNotNull(), F.lit(False))
     line = "\r\n"
     # A url may hold anything, line ends too: it is written percent-encoded in the header.
