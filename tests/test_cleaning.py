@@ -84,3 +84,13 @@ def test_declared_schemas_agree_with_their_references():
         assert set(entity.refs.values()) <= set(ENTITIES)
         assert set(entity.enums) <= set(entity.columns)
         assert entity.schema().names == entity.raw_schema().names
+
+
+def test_whole_numbers_are_never_cut(spark):
+    from motorpool.operators.cleaning import cast_columns
+
+    texts = ["2500", "2500.0", "2500.7", " 12 ", "1e3", "x", None, "9223372036854775807", "-3.0"]
+    df = spark.createDataFrame([(t,) for t in texts], "n string")
+    assert [r.n for r in cast_columns(df, {"n": "long"}).collect()] == [2500, 2500, None, 12, 1000, None, None, 2**63 - 1, -3]
+    numbers = spark.createDataFrame([(2500.0,), (2500.7,), (float("nan"),), (None,)], "n double")
+    assert [r.n for r in cast_columns(numbers, {"n": "int"}).collect()] == [2500, None, None, None]

@@ -165,6 +165,16 @@ def test_windows_close_behind_the_watermark(spark, feed_dir, batch, tmp_path):
     quality.assert_same(closed, got)
 
 
+def test_stored_windows_are_complete(spark, feed_dir, batch, tmp_path):
+    """Fed file by file, with windows still open at the end: every window is there as it stands."""
+    stream = jobs.spike_windows(feed.replay(spark, feed_dir, 1), "10 minutes", delay="2 hours")
+    out, checkpoint = str(tmp_path / "out"), str(tmp_path / "checkpoint")
+    query = feed.upsert_flow(stream, out, checkpoint)
+    query.awaitTermination()
+    quality.assert_same(jobs.spike_windows(batch, "10 minutes"), feed.read_latest(spark, out, "window_start"))
+    assert feed.dropped_late(query) == 0
+
+
 def test_elevated_windows_show_the_spike(batch):
     calm_or_not = {r.window_start: r.avg_idle for r in jobs.spike_windows(batch, "10 minutes").collect()}
     elevated = {r.window_start for r in jobs.spike_windows(batch, "10 minutes", min_avg_idle=100.0).collect()}
