@@ -20,7 +20,7 @@ from motorpool.llm.pretokens import Unknown, pretokens
 
 NEVER = 1 << 62
 # Entries a worker keeps of words and of pairs before it starts anew.
-CACHE = 1_500_000
+CACHE = 400_000
 
 
 def byte_signs() -> dict[str, int]:

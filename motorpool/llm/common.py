@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from motorpool.session import configure, shared_dir
 
 # Text handled at once inside a task, in bytes: bounds the Python memory of every operator.
-STRETCH_BYTES = 8 << 20
+STRETCH_BYTES = 4 << 20
 
 
 def prepared(spark: SparkSession) -> SparkSession:

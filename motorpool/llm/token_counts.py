@@ -21,7 +21,7 @@ CACHE_SCHEMA = "content binary, tokenizer string, n_tokens long"
 # Digests broadcast at most: 32 bytes each, 32 MB in all. More are joined by shuffling.
 BROADCAST_DIGESTS = 1_000_000
 # Words a worker remembers before it starts anew.
-WORDS = 1_500_000
+WORDS = 400_000
 
 
 def tokenizer_digest(path: str) -> str:

@@ -34,7 +34,7 @@ WORD = re.compile(r"[^\W\d_]+")
 INSULTS = frozenset("idiot stupid moron loser scum trash worthless pathetic disgusting clown imbecile vermin dumb ugly".split())
 PATTERNS = ("insult", "two insults", "shouting", "exclaiming", "you are", "masked", "no letters", "short")
 # Words a worker remembers the features of.
-WORDS = 1_000_000
+WORDS = 250_000
 
 
 def training_fold(key: Column) -> Column:
