@@ -1,7 +1,7 @@
 """Self-join of documents whose sets of word n-grams have a Jaccard similarity of at least a threshold.
 
 Two such sets must share a minimum number of elements (T-occurrence). Each document posts only the start of its set,
-in the order of a hash, and a little more: with o the least overlap, the first |x| - o + 1 + e elements of both share
+in the order of a hash with elements that a sample shows to be common last, and a little more: with o the least overlap, the first |x| - o + 1 + e elements of both share
 more than e. Lists of an element with many documents are long. A document may leave out all its long lists if they are
 no more than e, for then one of its short lists still leads to every partner (DivideSkip: merge the short lists, look
 into the long ones for what they turned up). Only documents that are mostly made of long lists join through those.
@@ -27,12 +27,17 @@ from motorpool.llm.common import stretches, text_or_empty, written
 from motorpool.llm.graph import components
 
 WORDS, PERCENT = 5, 80
+# Elements that so many of a sample of documents hold are common: they come last in the order, so that hardly any
+# document posts them. Which ones these are changes the cost alone, any fixed choice gives the same pairs.
+SAMPLE, COMMON, MOST_COMMON = 10_000, 4, 200_000
 # Lists with more documents than this are long.
 LONG = 64
 # Elements posted beyond the least, as a share of the set.
 EXTRA = 0.05
 # Documents of one list compared in one piece; longer lists are cut into blocks, each pair of blocks a piece.
 BLOCK = 2048
+# Pairs held at once while a list is compared.
+PAIRS = 1 << 20
 # Rows of groups broadcast at most: a key and a hash each, 32 MB in all.
 BROADCAST_ROWS = 1_000_000
 MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
@@ -105,7 +110,29 @@ _SETS = (
 )
 
 
-def _describe(words: int, percent: int):
+def _elements(words: int):
+    """All elements of the distinct sets of a task."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[int] = set()
+        for batch in stretches(batches, text=0):
+            found = [e for e in (shingles(t, words) for t in batch.column(0).to_pylist()) if len(e)]
+            fresh = [e for e in found if not ((sid := signature(e)) in seen or seen.add(sid))]
+            if fresh:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(fresh).view(np.int64))], ["token"])
+
+    return run
+
+
+def ordered(elements: np.ndarray, common: np.ndarray) -> np.ndarray:
+    """The elements with those among the sorted ``common`` ones last."""
+    if not len(common):
+        return elements
+    last = common[np.minimum(np.searchsorted(common, elements), len(common) - 1)] == elements
+    return np.concatenate((elements[~last], elements[last]))
+
+
+def _describe(words: int, percent: int, shared):
     """Names, sizes and postings of sets; a set met before in the same task is only named.
 
     Elements that more than LONG documents of a batch post are long already here: they are listed by the smallest
@@ -113,6 +140,7 @@ def _describe(words: int, percent: int):
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        common = shared.value
         seen: set[int] = set()
         for batch in stretches(batches, text=2):
             rows, fresh = [], []
@@ -123,7 +151,7 @@ def _describe(words: int, percent: int):
                 row = [sid, n, None, None, None, None, None]
                 if n and sid not in seen:
                     seen.add(sid)
-                    row[2] = elements[: posted(n, percent)].view(np.int64)
+                    row[2] = ordered(elements, common)[: posted(n, percent)].view(np.int64)
                     row[6] = bucket_counts(elements)
                     fresh.append(row)
                 rows.append(row)
@@ -194,38 +222,34 @@ def _block_pairs(percent: int):
         token, low, high, block, sid, n, component = (table.column(i).to_numpy() for i in range(7))
         order = np.lexsort((sid, n, high, low, token))
         token, low, high, block, sid, n, component = (c[order] for c in (token, low, high, block, sid, n, component))
-        change = np.flatnonzero((token[1:] != token[:-1]) | (low[1:] != low[:-1]) | (high[1:] != high[:-1])) + 1
-        found: set[tuple[int, int]] = set()
-
-        def flushed() -> pa.RecordBatch:
-            pairs = np.array(sorted(found), dtype=np.int64).reshape(-1, 2)
-            found.clear()
-            return pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], ["a", "b"])
-
-        for a, b in zip([0, *change.tolist()], [*change.tolist(), len(token)]):
-            sizes, sids, comps, blocks, cross = n[a:b], sid[a:b], component[a:b], block[a:b], low[a] != high[a]
-            # Sorted by size: partners of a set are as large or larger, up to the size that can still be similar.
-            until = np.searchsorted(sizes * percent, sizes * 100, side="right")
-            for i in range(b - a - 1):
-                other = slice(i + 1, int(until[i]))
-                fit = (comps[other] != comps[i]) & (sids[other] != sids[i])
-                if cross:
-                    fit &= blocks[other] != blocks[i]
-                for s in sids[other][fit].tolist():
-                    mine = int(sids[i])
-                    found.add((mine, s) if mine < s else (s, mine))
-                if len(found) > 200_000:
-                    yield flushed()
-        if found:
-            yield flushed()
+        change = (token[1:] != token[:-1]) | (low[1:] != low[:-1]) | (high[1:] != high[:-1])
+        group = np.concatenate(([0], np.cumsum(change)))
+        # Sorted by size: partners of a set are as large or larger, up to the size that can still be similar.
+        place = group << 32 | n
+        until = np.searchsorted(place, group << 32 | n * 100 // percent, side="right")
+        count = until - np.arange(len(n)) - 1
+        ends = np.cumsum(count)
+        start = 0
+        while start < len(n):
+            stop = max(start + 1, int(np.searchsorted(ends, (ends[start - 1] if start else 0) + PAIRS, side="right")))
+            own = np.repeat(np.arange(start, stop), count[start:stop])
+            first = np.cumsum(count[start:stop]) - count[start:stop]
+            other = own + 1 + np.arange(len(own)) - np.repeat(first, count[start:stop])
+            fit = (component[own] != component[other]) & (sid[own] != sid[other])
+            fit &= (low[own] == high[own]) | (block[own] != block[other])
+            own, other = sid[own[fit]], sid[other[fit]]
+            pairs = np.unique(np.stack([np.minimum(own, other), np.maximum(own, other)]), axis=1)
+            if pairs.shape[1]:
+                yield pa.RecordBatch.from_arrays([pa.array(pairs[0]), pa.array(pairs[1])], ["a", "b"])
+            start = stop
 
     return run
 
 
 def _bounded(percent: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            a, b, n, m, x, y = (batch.column(i).to_pylist() for i in range(6))
+        for batch in (b.slice(i, 1000) for b in batches for i in range(0, b.num_rows, 1000)):
+            n, m, x, y = (batch.column(i).to_pylist() for i in range(2, 6))
             keep = [
                 100 * min(p, q) >= percent * max(p, q) and similar(min(overlap_bound(u, v), p, q), p, q, percent)
                 for p, q, u, v in zip(n, m, x, y)
@@ -241,7 +265,17 @@ class _Join:
         whole = text_or_empty(text)
         self.rows = docs.select(F.col(key).alias("key"), F.xxhash64(whole).alias("text_hash"), whole.alias("text"))
         kind = self.rows.schema["key"].dataType.simpleString()
-        self.sets = written(self.rows.mapInArrow(_describe(words, percent), f"key {kind}, {_SETS}"), "sets")
+        shared = docs.sparkSession.sparkContext.broadcast(self._common())
+        self.sets = written(self.rows.mapInArrow(_describe(words, percent, shared), f"key {kind}, {_SETS}"), "sets")
+
+    def _common(self) -> np.ndarray:
+        """Elements of at least COMMON of about SAMPLE documents, the MOST_COMMON most frequent ones, sorted."""
+        total = self.rows.select(F.count(F.lit(1))).first()[0]
+        share = max(1, ceil(total / SAMPLE))
+        sample = self.rows.where(F.pmod(F.xxhash64("key", "text_hash"), F.lit(share)) == 0).select("text")
+        counts = sample.mapInArrow(_elements(self.words), "token long").groupBy("token").count()
+        best = counts.where(F.col("count") >= COMMON).orderBy(F.col("count").desc(), "token").limit(MOST_COMMON)
+        return np.sort(best.select("token").toArrow().column(0).to_numpy().astype(np.int64).view(np.uint64))
 
     def verified(self, pairs: DataFrame) -> DataFrame:
         """The pairs (a, b) whose sets are similar."""
