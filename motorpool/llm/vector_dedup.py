@@ -141,7 +141,7 @@ _ASSIGNED = (
 _FOUND = "id long, other long, links long"
 
 
-def _assign(shared, least: float):
+def _assign(shared, least: float, kind: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = shared.value
         for batch in batches:
@@ -162,7 +162,7 @@ def _assign(shared, least: float):
                 near &= np.arange(near.shape[1])[None, :] >= own[:, None]  # each pair of cells once
                 who, cell = np.nonzero(near)
                 n = len(members)
-                raw = [v.tobytes() for v in x]
+                raw = [v.tobytes() for v in x.astype(kind)]
                 order = np.concatenate((np.arange(n), who))
                 index = np.arange(len(order)) < n
                 yield pa.RecordBatch.from_pydict(
@@ -203,7 +203,7 @@ class _Forest:
             self.kept.append((x, y))
 
 
-def _search(shared, least: float):
+def _search(shared, least: float, kind: str):
     """Compares the queries of a (label, cell, block) with its coded vectors, which come first."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -242,13 +242,13 @@ def _search(shared, least: float):
                     continue
                 quantiser = model.of(key[0], key[1])
                 if held is None:
-                    x = np.stack([np.frombuffer(r[8]) for r in index])
+                    x = np.stack([np.frombuffer(r[8], kind) for r in index]).astype(float)
                     held = (
                         x, _units(x)[1], np.array([r[6] for r in index]), np.array([r[7] for r in index]),
                         np.stack([np.frombuffer(r[9], np.uint8) for r in index]), np.array([r[10] for r in index]),
                     )
                 x, x_length, x_id, x_copies, code, left = held
-                y = np.stack([np.frombuffer(r[8]) for r in part])
+                y = np.stack([np.frombuffer(r[8], kind) for r in part]).astype(float)
                 unit, y_length = _units(y)
                 y_id, y_copies = np.array([r[6] for r in part]), np.array([r[7] for r in part])
                 own = np.array([r[5] for r in part]) == key[2]
@@ -281,6 +281,8 @@ def near_vectors(
     Repeated rows link with each other. A row with a null key takes part and is not kept. No rows give no rows.
     """
     spark = vectors.sparkSession
+    # Vectors travel in the width of their column; all arithmetic is in double precision.
+    kind = "<f4" if vectors.schema[vector].dataType.simpleString() == "array<float>" else "<f8"
     usable = (
         F.col("label").isNotNull()
         & F.col("vector").isNotNull()
@@ -294,7 +296,7 @@ def near_vectors(
     total = distinct.count()
     sample = [(r[0], np.array(r[1])) for r in distinct.select("label", "vector", "id").orderBy("id").limit(SAMPLE).collect()]
     model = spark.sparkContext.broadcast(fit(sample, total))
-    assigned = written(distinct.mapInArrow(_assign(model, least), _ASSIGNED), "assigned")
+    assigned = written(distinct.mapInArrow(_assign(model, least, kind), _ASSIGNED), "assigned")
     place = ["label", "width", "cell"]
     large = assigned.where("NOT is_query").groupBy(*place).count().where(F.col("count") > BLOCK)
     large = large.select(*place, F.ceil(F.col("count") / BLOCK).cast("int").alias("blocks"))
@@ -303,7 +305,7 @@ def near_vectors(
     one = F.array(F.pmod(F.col("id"), F.col("blocks")).cast("int"))
     pieces = cut.withColumn("block", F.explode(F.when(F.col("is_query"), every).otherwise(one))).drop("blocks")
     dealt = pieces.repartition(*place, "block").sortWithinPartitions(*place, "block", "is_query")
-    found = written(dealt.mapInArrow(_search(model, least), _FOUND), "found")
+    found = written(dealt.mapInArrow(_search(model, least, kind), _FOUND), "found")
     links = found.where("other IS NULL").groupBy("id").agg(F.sum("links").alias("links"))
     trees = components(found.where("other IS NOT NULL").select(F.col("id").alias("a"), F.col("other").alias("b")))
     known = distinct.select("id", "copies").join(links, "id", "left").join(trees, F.col("id") == F.col("vertex"), "left")
