@@ -34,6 +34,8 @@ SAMPLE, COMMON, MOST_COMMON = 10_000, 4, 200_000
 LONG = 64
 # Elements posted beyond the least, as a share of the set.
 EXTRA = 0.05
+# Documents of a long list that propose themselves to the others in the first step.
+LEADERS = 8
 # Documents of one list compared in one piece; longer lists are cut into blocks, each pair of blocks a piece.
 BLOCK = 2048
 # Pairs held at once while a list is compared.
@@ -202,8 +204,19 @@ def _lists(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     is_long |= count > LONG
     first = np.cumsum(count) - count
     keep = (count[group] > 1) | is_long[group]
-    leader = sid[first][group]
-    pairs = np.unique(np.stack([leader[keep], sid[keep]]), axis=1)
+    proposals = [np.stack([sid[first][group][keep], sid[keep]])]
+    # A long list may hold a large group of near copies, not all of them close to the first one: more of its documents
+    # propose themselves, each the first in an order of its own.
+    large = np.flatnonzero(count[group] > LONG)
+    for turn in range(1, LEADERS if len(large) else 1):
+        own, members = group[large], sid[large]
+        rank = _mixed(members.view(np.uint64) ^ np.uint64(int(MULTIPLIER) * turn % 2**64))
+        by_rank = np.lexsort((rank, own))
+        top = np.concatenate(([True], own[by_rank][1:] != own[by_rank][:-1]))
+        leader = np.zeros(len(count), np.int64)
+        leader[own[by_rank][top]] = members[by_rank][top]
+        proposals.append(np.stack([np.minimum(leader[own], members), np.maximum(leader[own], members)]))
+    pairs = np.unique(np.concatenate(proposals, axis=1), axis=1)
     pairs = pairs[:, pairs[0] != pairs[1]]
     for t, s, l in ((token[keep], sid[keep], is_long[group][keep]), (pairs[0], pairs[1], None)):
         for i in range(0, len(t), 100_000):
