@@ -51,8 +51,6 @@ class WordCounter:
 
     def _learn(self, words: list[str]) -> None:
         """Letters after a blank keep their borders when joined; all other words are encoded one by one."""
-        if len(self.counts) > WORDS:
-            self.counts.clear()
         joined = [w for w in words if w[0] == " " and w[1:].isalpha()]
         for i in range(0, len(joined), 5000):
             part = joined[i : i + 5000]
@@ -74,6 +72,8 @@ class WordCounter:
                 cut.append(None if any(s in t for s in self.special) else pretokens(t))
             except Unknown:
                 cut.append(None)
+        if len(self.counts) > WORDS:
+            self.counts.clear()  # before asking what is missing: all words of these texts have to be known below
         missing = {w for words in cut if words for w in words}.difference(self.counts)
         if missing:
             self._learn(list(missing))

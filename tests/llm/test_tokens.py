@@ -98,6 +98,14 @@ def test_counts_and_what_the_cache_learns(spark, odd):
     assert token_counts.read_cache(spark, path).count() == distinct + 1
 
 
+def test_words_forgotten_and_met_again(monkeypatch):
+    monkeypatch.setattr(token_counts, "WORDS", 3)
+    of = token_counts.WordCounter(TOKENIZER)
+    for texts in (["one two three four five"], ["one two six"], ["six seven one", "eight nine", ""], ["five one"]):
+        assert of.count_all(texts) == [len(ids_of(t)) for t in texts]
+        assert set(of.counts) >= {w for t in texts for w in pretokens(t)}
+
+
 def test_counts_come_from_the_cache_and_only_of_the_same_tokenizer(spark):
     path, version = scratch(spark, "cache"), token_counts.tokenizer_digest(TOKENIZER)
     docs = spark.createDataFrame([(1, "some text")], "doc_id long, text string")
