@@ -62,6 +62,11 @@ def op10_shingle_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shingle_join.near_copies(table(spark, sf_dir, "documents"))
 
 
+def op10_shingle_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same with the number of links of every document."""
+    return shingle_join.near_copies(table(spark, sf_dir, "documents"), links=True)
+
+
 # The digest's 40 hexadecimal digits are 160 bits: 32 digits of 5 bits.
 OP7_SQL = """
 WITH p AS (
@@ -95,6 +100,7 @@ QUERIES: dict[str, Query] = {
         op8_decontamination,
         op9_toxicity,
         op10_shingle_join,
+        op10_shingle_links,
     )
 }
 SQL: dict[str, str] = {"op7_warc": OP7_SQL}

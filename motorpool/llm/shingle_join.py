@@ -15,7 +15,7 @@ the rest is decided on the full sets, computed again from the texts.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from math import ceil
+from math import ceil, log
 
 import numpy as np
 import pyarrow as pa
@@ -40,6 +40,10 @@ LEADERS = 8
 BLOCK = 2048
 # Pairs held at once while a list is compared.
 PAIRS = 1 << 20
+# Elements of the sets in one block of a component, about: they bound a block of long documents.
+ELEMENTS = 1 << 21
+# Sets compared at once within a piece of a component, and elements that are a column of the comparison.
+ROWS, COLUMNS = 256, 4096
 # Rows of groups broadcast at most: a key and a hash each, 32 MB in all.
 BROADCAST_ROWS = 1_000_000
 MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
@@ -259,6 +263,73 @@ def _block_pairs(percent: int):
     return run
 
 
+def _incidence(sets: list[np.ndarray], columns: np.ndarray) -> np.ndarray:
+    every, row = np.concatenate(sets), np.repeat(np.arange(len(sets)), [len(s) for s in sets])
+    at = np.minimum(np.searchsorted(columns, every), len(columns) - 1)
+    hit = columns[at] == every
+    held = np.zeros((len(sets), len(columns)), np.float32)
+    held[row[hit], at[hit]] = 1
+    return held
+
+
+def overlaps(a: list[np.ndarray], b: list[np.ndarray]) -> np.ndarray:
+    """How many elements each set of ``a`` shares with each of ``b``."""
+    common = np.intersect1d(np.concatenate(a), np.concatenate(b))
+    shared = np.zeros((len(a), len(b)), np.int64)
+    for i in range(0, len(common), COLUMNS):
+        columns = common[i : i + COLUMNS]
+        shared += (_incidence(a, columns) @ _incidence(b, columns).T).astype(np.int64)
+    return shared
+
+
+def _pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
+    """Rows of equal first three columns, which come one after another."""
+    held, last = [], None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        names = np.stack([batch.column(i).to_numpy() for i in range(3)])
+        cuts = (np.flatnonzero((names[:, 1:] != names[:, :-1]).any(axis=0)) + 1).tolist()
+        for start, stop in zip([0, *cuts], [*cuts, batch.num_rows]):
+            name = tuple(names[:, start])
+            if held and name != last:
+                yield pa.Table.from_batches(held)
+                held = []
+            held.append(batch.slice(start, stop - start))
+            last = name
+    if held:
+        yield pa.Table.from_batches(held)
+
+
+def _partners(percent: int):
+    """From sets (component, low, high, block, sid, copies, elements) in the order of their pieces: (sid, partners),
+    the rows that hold a similar set of the piece, in the same block if low is high, else in the other one."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for piece in _pieces(batches):
+            low, high = piece.column(1)[0].as_py(), piece.column(2)[0].as_py()
+            block, sid, copies = (piece.column(i).to_numpy() for i in (3, 4, 5))
+            sets = [np.asarray(e.values.to_numpy()) for e in piece.column(6)]
+            n = np.array([len(e) for e in sets], np.int64)
+            found = np.zeros(len(sets), np.int64)
+            sides = [(p := np.flatnonzero(block == b))[np.argsort(n[p], kind="stable")] for b in (low, high)]
+            for i in range(0, len(sides[0]), ROWS):
+                a = sides[0][i : i + ROWS]
+                for j in range(i if low == high else 0, len(sides[1]), ROWS):
+                    b = sides[1][j : j + ROWS]
+                    if 100 * n[a[-1]] < percent * n[b[0]] or 100 * n[b[-1]] < percent * n[a[0]]:
+                        continue
+                    shared = overlaps([sets[k] for k in a], [sets[k] for k in b])
+                    linked = similar(shared, n[a][:, None], n[b][None, :], percent)
+                    if low == high and i == j:
+                        linked = np.triu(linked, 1)
+                    found[a] += linked @ copies[b]
+                    found[b] += copies[a] @ linked
+            yield pa.RecordBatch.from_arrays([pa.array(sid), pa.array(found)], ["sid", "partners"])
+
+    return run
+
+
 def _bounded(percent: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in (b.slice(i, 1000) for b in batches for i in range(0, b.num_rows, 1000)):
@@ -300,6 +371,15 @@ class _Join:
         likely = written(known.mapInArrow(_bounded(self.percent), "a long, b long"), "likely")
         involved = likely.select(F.explode(F.array("a", "b")).alias("sid")).distinct()
         holders = self.sets.select("sid", "text_hash").join(involved, "sid", "left_semi").groupBy("sid").agg(F.min("text_hash").alias("text_hash"))
+        sets = self.elements(holders)
+        left, right = (sets.select(F.col("sid").alias(s), F.col("elements").alias(f"set_{s}")) for s in "ab")
+        both = likely.join(left, "a").join(right, "b")
+        shared = F.size(F.array_intersect("set_a", "set_b"))
+        union = F.size("set_a") + F.size("set_b") - shared
+        return both.where(shared * 100 >= union * self.percent).select("a", "b")
+
+    def elements(self, holders: DataFrame) -> DataFrame:
+        """``sid`` and ``elements`` of the texts with the ``text_hash`` of the holders."""
         texts = self.rows.join(holders.select("text_hash").distinct(), "text_hash", "left_semi").select("text_hash", "text")
         words = self.words
 
@@ -316,12 +396,7 @@ class _Join:
                         sets.append(elements.view(np.int64))
                 yield pa.RecordBatch.from_arrays([pa.array(names, pa.int64()), pa.array(sets, pa.list_(pa.int64()))], ["sid", "elements"])
 
-        sets = texts.mapInArrow(run, "sid long, elements array<long>").dropDuplicates(["sid"])
-        left, right = (sets.select(F.col("sid").alias(s), F.col("elements").alias(f"set_{s}")) for s in "ab")
-        both = likely.join(left, "a").join(right, "b")
-        shared = F.size(F.array_intersect("set_a", "set_b"))
-        union = F.size("set_a") + F.size("set_b") - shared
-        return both.where(shared * 100 >= union * self.percent).select("a", "b")
+        return texts.mapInArrow(run, "sid long, elements array<long>").dropDuplicates(["sid"])
 
     def grouped(self) -> DataFrame:
         """``key``, ``text_hash``, ``n`` and ``group`` of every row; rows without words have no group."""
@@ -329,6 +404,51 @@ class _Join:
         named = self.sets.select("key", "text_hash", "n", "sid").join(found, F.col("sid") == F.col("vertex"), "left")
         return named.select("key", "text_hash", "n", F.coalesce("component", "sid").alias("group"))
 
+    def counted(self) -> DataFrame:
+        """``key``, ``n``, ``group`` and ``n_links`` of every row: how many other rows its set is similar to.
+
+        Links never leave a component, so all pairs of distinct sets inside each are compared, but for those whose
+        sizes rule them out. Large components are cut into blocks of sets of like sizes, each pair of blocks a piece.
+        """
+        found = written(components(written(self.links(), "links")), "components")
+        named = self.sets.where("sid IS NOT NULL").groupBy("sid").agg(
+            F.count(F.lit(1)).alias("copies"), F.min("text_hash").alias("text_hash"), F.max("n").alias("n")
+        )
+        # A little wider than the largest ratio of similar sizes: partners are in the same class or the next.
+        width = max(log(100 / self.percent), 0.001) * 1.001
+        size_class = F.floor(F.log("n") / width)
+        members = named.join(found, F.col("sid") == F.col("vertex"), "left").withColumn("class", size_class).drop("vertex")
+        members = written(members, "members")
+        linked = members.where("component IS NOT NULL")
+        classes = linked.groupBy("component", "class").agg(F.count(F.lit(1)).alias("size"), F.sum("n").alias("total"))
+        classes = written(classes, "classes")
+        large = classes.groupBy("component").agg(F.sum("size").alias("s"), F.sum("total").alias("t"))
+        large = large.where((F.col("s") > BLOCK) | (F.col("t") > ELEMENTS)).select("component")
+        blocks = F.ceil(F.greatest(F.col("size") / BLOCK, F.col("total") / ELEMENTS))
+        cut = classes.join(large, "component", "left_semi").select("component", "class", blocks.alias("blocks"))
+        other = cut.select(
+            F.col("component").alias("c"), F.col("class").alias("next"),
+            F.explode(F.expr(f"transform(sequence(0L, blocks - 1), i -> class * {1 << 32} + i)")).alias("other"),
+        )
+        near = (F.col("component") == F.col("c")) & (F.abs(F.col("class") - F.col("next")) <= 1)
+        cut = cut.join(other, near).groupBy("component", "class", "blocks").agg(F.collect_list("other").alias("others"))
+        own = F.coalesce(F.expr(f"class * {1 << 32} + pmod(xxhash64(sid), blocks)"), F.lit(0))
+        dealt = linked.join(F.broadcast(cut), ["component", "class"], "left").withColumn("block", own)
+        dealt = dealt.withColumn("other", F.explode(F.coalesce("others", F.array(F.lit(0).cast("long")))))
+        dealt = dealt.select(
+            "component", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), "block", "sid", "copies"
+        )
+        pieces = dealt.join(self.elements(linked), "sid").select("component", "low", "high", "block", "sid", "copies", "elements")
+        piece = ["component", "low", "high"]
+        compared = pieces.repartition(*piece).sortWithinPartitions(*piece).mapInArrow(_partners(self.percent), "sid long, partners long")
+        partners = compared.groupBy("sid").agg(F.sum("partners").alias("partners"))
+        links = members.join(partners, "sid", "left").select(
+            F.col("sid").alias("s"), F.coalesce("component", "sid").alias("group"),
+            (F.col("copies") - 1 + F.coalesce("partners", F.lit(0))).alias("n_links"),
+        )
+        rows = self.sets.select("key", "n", "sid").join(written(links, "counts"), F.col("sid") == F.col("s"), "left")
+        return rows.select("key", "n", "group", F.coalesce("n_links", F.lit(0).cast("long")).alias("n_links"))
+
     def links(self) -> DataFrame:
         """Links (a, b) between set names that connect every component of similar sets."""
         sets = self.sets.where("tokens IS NOT NULL")
@@ -396,18 +516,21 @@ def one_of_each(
 
 
 def near_copies(
-    docs: DataFrame, *, key: str = "doc_id", text: str = "text", words: int = WORDS, percent: int = PERCENT
+    docs: DataFrame, *, key: str = "doc_id", text: str = "text", words: int = WORDS, percent: int = PERCENT, links: bool = False
 ) -> DataFrame:
-    """``key``, ``n_shingles`` and ``component_id`` of every row.
+    """``key``, ``n_shingles`` and ``component_id`` of every row; with ``links`` also ``n_links``.
 
     Documents link when their sets are similar; ``component_id`` is the smallest key reachable by links, the own one
-    included. Documents without words (or text) have 0 shingles and link with nothing, not even with each other.
-    Repeated rows are rows of one component; rows with a null key take part and get the smallest key of their
-    component, if any. An empty table gives no rows.
+    included. ``n_links`` counts all other rows a row links with, copies and members of its component alike; without
+    it only links that span each component are looked for. Documents without words (or text) have 0 shingles and link
+    with nothing, not even with each other. Repeated rows are rows of one component; rows with a null key take part and
+    get the smallest key of their component, if any. An empty table gives no rows.
     """
-    named = _Join(docs, key, text, words, percent).grouped()
+    join = _Join(docs, key, text, words, percent)
+    named = join.counted() if links else join.grouped()
     groups = named.where("group IS NOT NULL").groupBy(F.col("group").alias("g"))
     groups = groups.agg(F.min("key").alias("smallest"), F.count(F.lit(1)).alias("size")).where("size > 1")
     return named.join(groups, F.col("group") == F.col("g"), "left").select(
-        F.col("key").alias(key), F.col("n").alias("n_shingles"), F.coalesce("smallest", "key").alias("component_id")
-    )
+        F.col("key").alias(key), F.col("n").alias("n_shingles"), F.coalesce("smallest", "key").alias("component_id"),
+        *["n_links"] * links,
+    )

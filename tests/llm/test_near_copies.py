@@ -156,6 +156,33 @@ def test_query_against_all_pairs(spark):
     assert sorted(map(tuple, op10_shingle_join(spark, DATA).collect())) == plain_components(docs)
 
 
+@pytest.mark.parametrize("block, elements", [(2048, 1 << 21), (8, 1 << 21), (2048, 400)])
+def test_every_link_is_counted(spark, monkeypatch, block, elements):
+    monkeypatch.setattr(J, "BLOCK", block)
+    monkeypatch.setattr(J, "ELEMENTS", elements)
+    monkeypatch.setattr(J, "ROWS", 16)
+    monkeypatch.setattr(J, "COLUMNS", 50)
+    draw = random.Random(9)
+    group, small = words(draw, 120), words(draw, 9)
+    docs = [edited(draw, group, draw.randint(0, 4))[: draw.randint(90, 120)] for _ in range(60)]
+    docs += [small, small, small, small + ["x"], [], [], *[words(draw, 30) for _ in range(5)]]
+    texts = [(i, " ".join(d)) for i, d in enumerate(docs)]
+    sets = {i: set_of(t) for i, t in texts}
+    links = {
+        i: sum(1 for j in sets if i != j and sets[i] and 100 * len(sets[i] & sets[j]) >= 80 * len(sets[i] | sets[j])) for i in sets
+    }
+    got = J.near_copies(spark.createDataFrame(texts, "doc_id long, text string"), links=True).collect()
+    assert {r.doc_id: r.n_links for r in got} == links and sum(links.values()) > 500
+    assert sorted(tuple(r)[:3] for r in got) == plain_components(texts)
+
+
+def test_links_of_odd_rows(spark, odd):
+    got = J.near_copies(odd, links=True)
+    assert got.columns == ["doc_id", "n_shingles", "component_id", "n_links"] and got.count() == odd.count()
+    assert {r.n_links for r in got.collect() if r.component_id == 5} == {3}
+    assert J.near_copies(odd.limit(0), links=True).count() == 0
+
+
 # --- vectors -----------------------------------------------------------------------------------
 
 
