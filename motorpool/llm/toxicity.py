@@ -47,7 +47,7 @@ def patterns(text: str, words: list[str]) -> list[int]:
     insults = len(INSULTS.intersection(words))
     letters = sum(map(len, words))
     found = [insults > 0, insults > 1]
-    found.append(len(text) > 20 and text[:2000].upper() == text[:2000] and text[:2000].lower() != text[:2000])
+    found.append(len(text) > 20 and text.isupper())
     found += ["!!" in text, "you are" in text or "You are" in text, "**" in text or "@#" in text, letters == 0, len(text) < 100]
     return [i for i, x in enumerate(found) if x]
 

@@ -43,6 +43,13 @@ def test_levels_need_number_and_density():
     assert set(X.leveled(["loser", "loser"], {"=loser": 1})) == {"=loser", "=loser 2"}
 
 
+def test_shouting_is_of_the_whole_text():
+    shouting = X.PATTERNS.index("shouting")
+    shows = lambda t: shouting in X.patterns(t, X.words_of(t))
+    assert shows("LOUD WORDS, 1 AFTER ANOTHER! " * 100) and not shows("LOUD " * 500 + "and then quietly on " * 500)
+    assert not shows("LOUD") and not shows("1234567890 " * 10)
+
+
 @pytest.fixture(scope="module")
 def scored(spark):
     return op9_toxicity(spark, SF).toPandas().set_index("doc_id")
