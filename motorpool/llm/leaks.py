@@ -2,7 +2,8 @@
 
 An item of m characters that stands in a document with at most k edits shares at least m - q + 1 - k * q of its
 character q-grams with it, and all of them within k diagonals of each other. Shared q-grams are counted in overlapping
-bands of diagonals; only bands that reach the count are aligned, within the band, to learn the true distance.
+bands of diagonals; only bands that reach the count are aligned, within the band, to learn the true distance. Short
+items share too few q-grams for that and are found exactly, between borders of words.
 
 Both sides are compared in a plain form: lower case, everything but letters and digits as one blank, and "s" for "ß"
 and runs of "s", so that upper case ("SS") and decoration hide nothing.
@@ -22,8 +23,12 @@ from pyspark.sql import functions as F
 from motorpool.llm.common import per_row, stretches, text_or_empty
 
 Q = 8
-# Edits allowed for each character of an item; items shorter than this say too little to be recognised.
+# Edits allowed for each character of an item; items shorter than this are matched without any, on borders of words.
 EDIT_RATE, LEAST_CHARS = 0.08, 32
+# Short items with fewer words and fewer characters than this are phrases any text may hold, and match nothing.
+SHORT_WORDS, SHORT_CHARS = 3, 24
+# From here on (East Asian scripts) signs stand without blanks: each has borders, and two count as a word.
+UNSPACED = 0x2E80
 # Text handled at once, and benchmark text handled in one pass over the documents (its index is broadcast, about
 # thirty times as large): more items take more passes.
 TEXT_BYTES, ITEM_BYTES = 2 << 20, 4 << 20
@@ -95,11 +100,20 @@ class Items:
     item: np.ndarray
     offset: np.ndarray
     repetitive: list[tuple[int, np.ndarray]]  # items left out of the postings, with their q-grams
+    short: dict[bytes, list[int]]  # codes of short items, which come after all others in ``ids``
+
+
+def _says_enough(form: np.ndarray) -> bool:
+    unspaced = int((form >= UNSPACED).sum())
+    spaced = (form > GAP) & (form < UNSPACED)
+    words = int((spaced & ~np.concatenate(([False], spaced[:-1]))).sum())
+    return words + unspaced // 2 >= SHORT_WORDS or len(form) + unspaced >= SHORT_CHARS
 
 
 def index(items: list[tuple[int, str]], rate: float = EDIT_RATE, least: int = LEAST_CHARS) -> Items:
-    """Items whose plain form is shorter than ``least`` are left out."""
+    """Items whose plain form is shorter than ``least`` are short; those that say too little are left out."""
     ids, codes = [], []
+    brief: list[tuple[int, np.ndarray]] = []
     for item_id, text in items:
         form = plain([text]).codes
         form = form[form != GAP]
@@ -107,6 +121,12 @@ def index(items: list[tuple[int, str]], rate: float = EDIT_RATE, least: int = LE
         if len(form) >= max(least, Q):
             ids.append(item_id)
             codes.append(form)
+        elif _says_enough(form):
+            brief.append((item_id, form))
+    short: dict[bytes, list[int]] = {}
+    for item_id, form in brief:
+        short.setdefault(form.tobytes(), []).append(len(ids))
+        ids.append(item_id)
     sizes = np.array([len(c) for c in codes], dtype=np.int64)
     budget = np.minimum((sizes * rate).astype(np.int64), np.maximum(sizes - Q, 0) // Q)
     hashed = [grams(c) for c in codes]
@@ -121,7 +141,7 @@ def index(items: list[tuple[int, str]], rate: float = EDIT_RATE, least: int = LE
     found = np.zeros(1 << TABLE_BITS, dtype=bool)
     found[(hashes >> np.uint64(64 - TABLE_BITS)).astype(np.int64)] = True
     needed = sizes - Q + 1 - budget * Q
-    return Items(ids, codes, budget, needed, found, hashes, first, count, item[order], offset[order], repetitive)
+    return Items(ids, codes, budget, needed, found, hashes, first, count, item[order], offset[order], repetitive, short)
 
 
 def aligned(pattern: np.ndarray, text: np.ndarray, anchored: bool) -> tuple[int, int]:
@@ -192,6 +212,39 @@ def _dense(form: Plain, hashed: np.ndarray, items: Items) -> Iterator[tuple[int,
                 yield i, max(0, int(run[0]) - k), min(len(form.codes), int(run[-1]) + m + 2 * k)
 
 
+def _short(form: Plain, items: Items) -> Iterator[tuple[int, int, int]]:
+    """(item, start, end): every place of a short item, hashes of its length compared first."""
+    if not items.short or not len(form.codes):
+        return
+    n, base = len(form.codes), 0x9E3779B97F4A7C15
+    powers, inverse = (np.full(n, b, np.uint64) for b in (base, pow(base, -1, 2**64)))
+    powers[0] = inverse[0] = 1
+    powers, inverse = np.cumprod(powers), np.cumprod(inverse)
+    total = np.concatenate((np.zeros(1, np.uint64), np.cumsum(form.codes.astype(np.uint64) * powers)))
+    apart = (form.codes <= GAP) | (form.codes >= UNSPACED)
+    border = np.concatenate(([True], apart[1:] | apart[:-1], [True]))
+    begins = np.flatnonzero(border)
+    of_size: dict[int, list[tuple[np.ndarray, list[int]]]] = {}
+    for code, which in items.short.items():
+        pattern = np.frombuffer(code, form.codes.dtype)
+        of_size.setdefault(len(pattern), []).append((pattern, which))
+    for size, patterns in of_size.items():
+        starts = begins[begins + size <= n]
+        starts = starts[border[starts + size]]
+        hashed = (total[starts + size] - total[starts]) * inverse[starts]
+        sums = [int((p.astype(np.uint64) * powers[:size]).sum(dtype=np.uint64)) for p, _ in patterns if size <= n]
+        of_sum: dict[int, list[int]] = {}
+        for i, x in enumerate(sums):
+            of_sum.setdefault(x, []).append(i)
+        likely = np.isin(hashed, np.array(sums, np.uint64))
+        for start, x in zip(starts[likely].tolist(), hashed[likely].tolist()):
+            for i in of_sum[x]:
+                pattern, which = patterns[i]
+                if np.array_equal(form.codes[start : start + size], pattern):
+                    for item in which:
+                        yield item, start, start + size
+
+
 def matches(texts: list[str], items: Items) -> list[tuple[int, int, int, int, int]]:
     """(text, item, start, end, edits) of every place where an item stands, in code points of the text.
 
@@ -225,6 +278,10 @@ def matches(texts: list[str], items: Items) -> list[tuple[int, int, int, int, in
             first, last = form.place[a + start], form.place[a + end - 1]
             t = int(np.searchsorted(form.text, first, side="right")) - 1
             found.setdefault((t, i), []).append((int(first - form.text[t]), int(last - form.text[t]) + 1, edits))
+    for i, start, end in _short(form, items):
+        first, last = form.place[start], form.place[end - 1]
+        t = int(np.searchsorted(form.text, first, side="right")) - 1
+        found.setdefault((t, i), []).append((int(first - form.text[t]), int(last - form.text[t]) + 1, 0))
     kept = []
     for (t, i), places in found.items():
         taken: list[tuple[int, int, int]] = []
@@ -262,7 +319,8 @@ def leaks(
 ) -> DataFrame:
     """One row for each place where an item stands in a document: ``key``, ``item_id``, ``start``, ``end``, ``edits``.
 
-    Every whole text is searched for every item with at least ``least`` plain characters. Null texts and items match
+    Every whole text is searched for every item, those with fewer than ``least`` plain characters without edits and on
+    borders of words, down to SHORT_WORDS words or SHORT_CHARS characters; shorter ones match nothing. Null texts and items match
     nothing; equal items are each reported; repeated documents give repeated rows; documents without a match give none.
     The benchmark passes through the driver in portions of ITEM_BYTES, each broadcast for one pass over the documents.
     """

@@ -88,6 +88,25 @@ def test_every_place_and_every_item():
     assert [(m[0], index.ids[m[1]]) for m in found] == [(0, 1), (0, 1), (0, 2), (0, 2), (1, 1), (1, 2)]
 
 
+def test_short_items_are_found_exactly_and_on_borders():
+    index = L.index([(1, "What is DNA?"), (2, "who is it"), (3, "光合作用是什么"), (4, "a b c"), (5, "is it"), (6, "What is DNA?")])
+    texts = ["Q: WHAT is -- DNA! what is dna", "what is dnas, somewhat is dna", "请问光合作用是什么意思", "who is", "it", "ba b c; a b c", "", "is it"]
+    found = [(t, index.ids[i], texts[t][a:b], k) for t, i, a, b, k in L.matches(texts, index)]
+    assert sorted(found) == [
+        (0, 1, "WHAT is -- DNA", 0), (0, 1, "what is dna", 0), (0, 6, "WHAT is -- DNA", 0), (0, 6, "what is dna", 0),
+        (2, 3, "光合作用是什么", 0), (5, 4, "a b c", 0),
+    ]
+    both = L.index([(1, ITEM), (2, "three seas and has")])
+    assert {(both.ids[m[1]], m[4]) for m in L.matches([ITEM], both)} == {(1, 0), (2, 0)}
+
+
+def test_documents_with_a_short_item_go(spark):
+    bench = spark.createDataFrame([(1, "What is DNA?")], "item_id long, text string")
+    docs = spark.createDataFrame([(1, "so what is DNA, then"), (2, "what is RNA"), (3, None)], "doc_id long, text string")
+    assert [tuple(r) for r in L.leaks(docs, bench).collect()] == [(1, 1, 3, 14, 0)]
+    assert {r.doc_id for r in L.without_leaks(docs, bench).collect()} == {2, 3}
+
+
 def test_repetitive_items():
     items = [(1, "ab " * 40), (2, "x" * 5000), (3, "ha" * 30 + "no " + "ha" * 30)]
     index = L.index(items)
