@@ -2,8 +2,9 @@
 
 Every paragraph passes points for its length and its commas to the elements around it: in full to the nearest, half to
 the next, less further out. The sum of an element is discounted by the share of its text that is link text. The best
-element is kept together with those of its siblings that score well or read like text. Elements that are never part of
-an article (navigation, forms, scripts, notices, adverts, comments ...) are cut from the tree first.
+element is kept together with those of its siblings that score well or read like text. Elements that are never part of an article (navigation,
+scripts, notices, adverts, comments ...) are cut from the tree first; those only their name or a form speaks against are
+not cut if they hold the article.
 """
 
 from __future__ import annotations
@@ -26,7 +27,7 @@ VOID = frozenset("area base br col embed hr img input link meta param source tra
 # Their content is no markup.
 RAW = frozenset("script style textarea title xmp iframe noembed noframes".split())
 DROPPED = frozenset(
-    "script style noscript template iframe svg math canvas object embed form button input select textarea nav footer aside menu"
+    "script style noscript template iframe svg math canvas object embed button input select textarea nav footer aside menu"
     " dialog head title audio video map datalist fieldset noembed noframes".split()
 )
 BLOCK = frozenset(
@@ -52,14 +53,17 @@ WORD = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])")
 START = {"article": 25.0, "main": 20.0, "section": 4.0, "div": 5.0, "pre": 3.0, "td": 3.0, "blockquote": 3.0}
 START |= dict.fromkeys(("address", "ol", "ul", "dl", "dd", "dt", "li"), -3.0)
 START |= dict.fromkeys(("h1", "h2", "h3", "h4", "h5", "h6", "th"), -5.0)
+ARTICLES = frozenset(("article", "main"))
+# How much the name of an element speaks against it: a word among others, or nothing else.
+PARTLY, WHOLLY = 1, 2
 HEADINGS = frozenset(("h1", "h2", "h3"))
 
 
 class Element:
-    __slots__ = ("tag", "parent", "parts", "dropped", "score", "text", "links")
+    __slots__ = ("tag", "parent", "parts", "dropped", "doubt", "score", "text", "links")
 
-    def __init__(self, tag: str, parent: Element | None, dropped: bool) -> None:
-        self.tag, self.parent, self.dropped = tag, parent, dropped
+    def __init__(self, tag: str, parent: Element | None, dropped: bool, doubt: int = 0) -> None:
+        self.tag, self.parent, self.dropped, self.doubt = tag, parent, dropped, doubt
         self.parts: list[Element | str] = []
         self.score: float | None = None
         self.text = self.links = 0
@@ -76,20 +80,30 @@ def _unwanted(tag: str, attributes: str, inside: set[str]) -> bool:
         name, value = name.lower(), a or b or c
         if name == "hidden" or name == "aria-hidden" and value.lower() == "true":
             return True
-        if name == "role" and value.lower() in UNLIKELY_ROLES:
+        if name == "role" and value.lower() in UNLIKELY_ROLES and (tag, value.lower()) != ("form", "form"):
             return True
         if name == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value, re.I):
             return True
-        if name in ("class", "id") and not UNLIKELY.isdisjoint(w.lower() for w in WORD.findall(value)):
-            return True
     return False
 
 
+def _doubt(tag: str, attributes: str) -> int:
+    doubt = PARTLY if tag == "form" else 0
+    if not attributes or tag in ("html", "body"):
+        return doubt
+    for name, a, b, c in ATTRIBUTE.findall(attributes):
+        if name.lower() in ("class", "id"):
+            words = [w.lower() in UNLIKELY for w in WORD.findall(a or b or c)]
+            doubt = max(doubt, any(words) and (WHOLLY if all(words) else PARTLY))
+    return doubt
+
+
 def parse(page: str) -> Element:
     """The tree of a page; never fails, whatever the markup."""
     root = Element("html", None, False)
     at, here, length = 0, root, len(page)
     open_tags: dict[str, int] = {}
+    doubtful: list[Element] = []
 
     def close(until: Element) -> None:
         nonlocal here
@@ -140,8 +154,10 @@ def parse(page: str) -> Element:
                 close(found)
                 found = nearest(CLOSES[tag], FENCES)
         inside = {t for t in ("article", "main") if open_tags.get(t)}
-        node = Element(tag, here, here.dropped or _unwanted(tag, attributes, inside))
+        node = Element(tag, here, here.dropped or _unwanted(tag, attributes, inside), _doubt(tag, attributes))
         here.parts.append(node)
+        if node.doubt and not node.dropped:
+            doubtful.append(node)
         if tag in VOID:
             continue
         if tag in RAW:
@@ -153,9 +169,71 @@ def parse(page: str) -> Element:
             continue
         here = node
         open_tags[tag] = open_tags.get(tag, 0) + 1
+    if doubtful:
+        _settle(root, doubtful)
     return root
 
 
+def _above(node: Element) -> Iterator[Element]:
+    while node.parent is not None:
+        node = node.parent
+        yield node
+
+
+def _settle(root: Element, doubtful: list[Element]) -> None:
+    """Cut the doubtful elements, given in page order, but for those that hold the article.
+
+    These are or contain an article or main part that nothing speaks against, or hold most of the points of a page that
+    has no such part elsewhere. What has no other name than an unlikely one has to be the only one, or hold nearly all.
+    """
+    points: dict[int, float] = {}
+    total = 0.0
+    articles: dict[int, Element] = {}
+    for text, node, _ in blocks(root):
+        worth = _points(text)
+        total += worth
+        for e in (node, *_above(node)):
+            points[id(e)] = points.get(id(e), 0.0) + worth
+            if e.tag in ARTICLES and e.doubt != WHOLLY:
+                articles[id(e)] = e
+    # Of each article what is around it, and what of that is doubtful, from the inside out.
+    around = {i: {id(e) for e in _above(a)} for i, a in articles.items()}
+    doubts = {i: [e for e in _above(a) if e.doubt] for i, a in articles.items()}
+    holders: set[int] = set()
+    for article in articles.values():
+        for e in () if article.doubt else _above(article):
+            holders.add(id(e))
+            if e.doubt == WHOLLY:
+                break
+    for node in doubtful:
+        if any(e.dropped for e in _above(node)):
+            continue
+        outer = {id(e) for e in _above(node)}
+        elsewhere = any(
+            (node.doubt == WHOLLY or not a.doubt) and i not in outer and a is not node and id(node) not in around[i]
+            and all(id(e) in outer for e in doubts[i])
+            for i, a in articles.items()
+        )
+        holds = node.tag in ARTICLES or id(node) in holders
+        share = points.get(id(node), 0.0) / (total or 1.0)
+        if node.doubt == WHOLLY:
+            kept = not elsewhere and (holds or share > 0.9)
+        else:
+            kept = holds or share > 0.5 and not elsewhere
+        node.dropped = not kept
+    _inherit(root)
+
+
+def _inherit(root: Element) -> None:
+    stack = [root]
+    while stack:
+        node = stack.pop()
+        for part in node.parts:
+            if not isinstance(part, str):
+                part.dropped = part.dropped or node.dropped
+                stack.append(part)
+
+
 def blocks(root: Element) -> Iterator[tuple[str, Element, int]]:
     """Paragraphs in page order: (text, element that holds it, characters of it inside links)."""
     parts: list[str] = []

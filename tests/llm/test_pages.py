@@ -46,6 +46,21 @@ def test_article_and_nothing_else(body, want):
     assert main_text(page(body)) == "\n\n".join(w.strip() for w in want)
 
 
+@pytest.mark.parametrize(
+    "body, want",
+    [
+        (f'<div class="content with-sidebar"><p>{LONG}</p><p>end</p></div>', [LONG, "end"]),
+        (f'<article class="post comments-open"><p>{LONG}</p></article><article class="comment"><p>{LONG}</p></article>', [LONG]),
+        (f'<div id="no-ads-wrapper"><article><p>{LONG}</p></article><div class="cookie-notice">{LONG}{LONG}</div></div>', [LONG]),
+        (f'<form id="f"><input value="x">{NAV}<div><p>{LONG}</p><button>go</button></div></form>', [LONG]),
+        (f'<main><article><p>{LONG}</p></article><div class="related"><article><p>{LONG}2</p></article></div></main>', [LONG]),
+        (f'<div><p>{LONG}</p></div><ol class="comment-list"><li><article class="comment-body"><p>{LONG}</p></article></ol>', [LONG]),
+    ],
+)
+def test_a_name_or_a_form_does_not_cut_the_article(body, want):
+    assert main_text(page(body)) == "\n\n".join(w.strip() for w in want)
+
+
 @pytest.mark.parametrize("text", ["just words, no markup", "", "<", "<p", "</p></div>", "<!--", "<a href='x", "&#xD800; &bogus;", "<p>" * 5000])
 def test_whatever_the_markup(text):
     main_text(text)
