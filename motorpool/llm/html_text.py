@@ -1,8 +1,9 @@
 """Main text of a web page by scoring the tree of its elements.
 
 Every paragraph passes points for its length and its commas to the elements around it: in full to the nearest, half to
-the next, less further out. The sum of an element is discounted by the share of its text that is link text. The best
-element is kept together with those of its siblings that score well or read like text. Elements that are never part of an article (navigation,
+the next, less further out. The sum of an element is discounted by the share of its text that is link text. The article
+or main part around the best element is kept, with those of its siblings that score well or read like text; on a page
+without one, all but the lists of links around the best element. Elements that are never part of an article (navigation,
 scripts, notices, adverts, comments ...) are cut from the tree first; those only their name or a form speaks against are
 not cut if they hold the article.
 """
@@ -311,10 +312,18 @@ def main_text(page: str) -> str:
         return (e.score or 0.0) * (1 - e.links / max(e.text, 1))
 
     best = max(candidates.values(), key=value)
-    kept = {id(best)}
-    if best.parent is not None:
+    path = [best, *_above(best)]
+    whole = [e for e in path if e.tag == "article"] or [e for e in path if e.tag == "main"] or path
+    scope = whole[-1]
+    kept, linked_lists = {id(scope)}, set()
+    if scope.parent is None:
+        for node, outer in zip(path, path[1:]):
+            for sibling in outer.parts:
+                if not isinstance(sibling, str) and sibling is not node and sibling.links >= 0.5 * sibling.text > 0:
+                    linked_lists.add(id(sibling))
+    else:
         least = max(10.0, 0.2 * value(best))
-        for sibling in best.parent.parts:
+        for sibling in scope.parent.parts:
             if isinstance(sibling, str) or sibling.dropped or not sibling.text:
                 continue
             density = sibling.links / sibling.text
@@ -324,6 +333,8 @@ def main_text(page: str) -> str:
 
     def inside(e: Element | None) -> bool:
         while e is not None:
+            if id(e) in linked_lists:
+                return False
             if id(e) in kept:
                 return True
             e = e.parent

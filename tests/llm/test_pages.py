@@ -49,7 +49,7 @@ def test_article_and_nothing_else(body, want):
 @pytest.mark.parametrize(
     "body, want",
     [
-        (f'<div class="content with-sidebar"><p>{LONG}</p><p>end</p></div>', [LONG, "end"]),
+        (f'<div class="content with-sidebar"><p>{LONG}</p><p>end</p></div><div>two words</div>', [LONG, "end", "two words"]),
         (f'<article class="post comments-open"><p>{LONG}</p></article><article class="comment"><p>{LONG}</p></article>', [LONG]),
         (f'<div id="no-ads-wrapper"><article><p>{LONG}</p></article><div class="cookie-notice">{LONG}{LONG}</div></div>', [LONG]),
         (f'<form id="f"><input value="x">{NAV}<div><p>{LONG}</p><button>go</button></div></form>', [LONG]),
@@ -61,6 +61,14 @@ def test_a_name_or_a_form_does_not_cut_the_article(body, want):
     assert main_text(page(body)) == "\n\n".join(w.strip() for w in want)
 
 
+def test_all_sections_of_an_article():
+    long = "".join(f"<p>{LONG}{i}</p>" for i in range(40))
+    sections = f"<section>{long}</section><section><h4>Note</h4><p>Two, three words.</p></section>"
+    for body in (f"<article><header><h1>T</h1></header>{sections}</article>", f"<main><div><h5>T</h5></div>{sections}</main>", f"<div><h5>T</h5>{sections}</div>"):
+        got = main_text(page(f'{body}<div><a href="x">{LONG}</a></div>')).split("\n\n")
+        assert len(got) == 43 and got[0] == "T" and got[-2:] == ["Note", "Two, three words."]
+
+
 @pytest.mark.parametrize("text", ["just words, no markup", "", "<", "<p", "</p></div>", "<!--", "<a href='x", "&#xD800; &bogus;", "<p>" * 5000])
 def test_whatever_the_markup(text):
     main_text(text)
