@@ -3,11 +3,12 @@
 Two such sets must share a minimum number of elements (T-occurrence). Each document posts only the start of its set,
 in the order of a hash with elements that a sample shows to be common last, and a little more: with o the least overlap, the first |x| - o + 1 + e elements of both share
 more than e. Lists of an element with many documents are long. A document may leave out all its long lists if they are
-no more than e, for then one of its short lists still leads to every partner (DivideSkip: merge the short lists, look
-into the long ones for what they turned up). Only documents that are mostly made of long lists join through those.
+no more than e, for then one of its short lists still leads to every partner. Only documents that are mostly made of
+long lists join through those. Elements shared in the lists are not counted: one of them makes a candidate.
 
 Groups of near copies would turn up all their pairs. Therefore every list first proposes just its smallest document to
-the others; what is linked that way is one component, and the second step proposes no pairs inside a component. A
+the others; what is linked that way is one component, and the second step proposes no pairs inside a component. Where links
+are counted, all pairs inside the components found are compared afterwards. A
 count of elements by hash bucket bounds the overlap of a proposed pair from above and drops nearly all wrong ones;
 the rest is decided on the full sets, computed again from the texts.
 """
