@@ -5,9 +5,24 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
-
-from motorpool.llm import archive, bpe, html_text, leaks, secret_scan, shards, shingle_join, token_counts, toxicity, vector_dedup
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from motorpool.llm import (
+    archive,
+    bpe,
+    html_text,
+    leaks,
+    packing,
+    periodic_runs,
+    secret_scan,
+    shards,
+    shingle_join,
+    token_counts,
+    toxicity,
+    vector_codes,
+    vector_dedup,
+)
 from motorpool.llm.common import scratch, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -67,6 +82,58 @@ def op10_shingle_links(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shingle_join.near_copies(table(spark, sf_dir, "documents"), links=True)
 
 
+def op11_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document in sequences of 1024 tokens, 128 segments and 1024 loss-bearing tokens at most."""
+    return packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path(TOKENIZER))
+
+
+def planted(docs: DataFrame) -> DataFrame:
+    """The documents whose hash ends in 0 go on periodically from a word on; all others stay as they are."""
+    h = F.crc32(F.col("doc_id").cast("string").cast("binary"))
+    text = F.coalesce(F.col("text"), F.lit(""))
+    words = F.filter(F.split(text, r"[\x20\x09-\x0D]+"), lambda w: w != "")
+
+    def periodic(words: Column) -> Column:
+        g, n = F.floor(h / 10), F.size(words).cast("long")
+        a = g % n
+        p = 1 + F.floor((n - a) / (3 + g % 8))
+        at = F.transform(F.sequence(F.lit(0).cast("long"), n - 1), lambda i: F.when(i < a, i).otherwise(a + (i - a) % p))
+        return F.array_join(F.transform(at, lambda i: F.get(words, i.cast("int"))), " ")
+
+    # An array of one, so that the words are cut once.
+    changed = F.transform(F.array(words), lambda w: F.when(F.size(w) > 0, periodic(w)).otherwise(text))[0]
+    return docs.select("doc_id", F.when(h % 10 == 0, changed).otherwise(text).alias("text"))
+
+
+def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Runs of all documents, some of which are made periodic first; the digests of the runs and of what is kept."""
+    found = periodic_runs.periodic_runs(planted(table(spark, sf_dir, "documents")))
+    order = lambda r: F.struct(r["length"].alias("length"), (-r["start"]).alias("start"), (-r["period"]).alias("period"))
+    best = F.array_max(F.transform("runs", order))
+    lines = F.transform("runs", lambda r: F.concat(F.concat_ws(",", r["start"], r["length"], r["period"]), F.lit("\n")))
+    return found.withColumn("best", best).select(
+        "doc_id",
+        F.size("runs").cast("long").alias("n_runs"),
+        (-F.col("best.start")).alias("start"),
+        F.col("best.length").alias("length"),
+        (-F.col("best.period")).alias("period"),
+        F.floor(F.col("best.length") * 1000 / -F.col("best.period")).alias("exponent_milli"),
+        F.sha2(F.array_join(lines, "").cast("binary"), 256).alias("runs_sha256"),
+        F.sha2(F.col("collapsed").cast("binary"), 256).alias("collapsed_sha256"),
+    )
+
+
+def op13_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    coded, books = vector_codes.compress(table(spark, sf_dir, "embeddings"))
+    return coded.select(
+        "vec_id",
+        F.array_join(F.transform("codes", lambda c: F.lower(F.lpad(F.hex(c), 2, "0"))), "").alias("code"),
+        "error",
+        "label_error",
+        F.lit(books.sha256() if books else None).cast("string").alias("codebooks_sha256"),
+    )
+
+
 # The digest's 40 hexadecimal digits are 160 bits: 32 digits of 5 bits.
 OP7_SQL = """
 WITH p AS (
@@ -101,6 +168,9 @@ QUERIES: dict[str, Query] = {
         op9_toxicity,
         op10_shingle_join,
         op10_shingle_links,
+        op11_packing,
+        op12_periodic_runs,
+        op13_vector_codes,
     )
 }
 SQL: dict[str, str] = {"op7_warc": OP7_SQL}
