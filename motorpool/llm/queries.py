@@ -77,11 +77,6 @@ def op10_shingle_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shingle_join.near_copies(table(spark, sf_dir, "documents"))
 
 
-def op10_shingle_links(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The same with the number of links of every document."""
-    return shingle_join.near_copies(table(spark, sf_dir, "documents"), links=True)
-
-
 def op11_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document in sequences of 1024 tokens, 128 segments and 1024 loss-bearing tokens at most."""
     return packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path(TOKENIZER))
@@ -167,7 +162,6 @@ QUERIES: dict[str, Query] = {
         op8_decontamination,
         op9_toxicity,
         op10_shingle_join,
-        op10_shingle_links,
         op11_packing,
         op12_periodic_runs,
         op13_vector_codes,

@@ -1,16 +1,24 @@
 """Self-join of documents whose sets of word n-grams have a Jaccard similarity of at least a threshold.
 
-Two such sets must share a minimum number of elements (T-occurrence). Each document posts only the start of its set,
-in the order of a hash with elements that a sample shows to be common last, and a little more: with o the least overlap, the first |x| - o + 1 + e elements of both share
-more than e. Lists of an element with many documents are long. A document may leave out all its long lists if they are
-no more than e, for then one of its short lists still leads to every partner. Only documents that are mostly made of
-long lists join through those. Elements shared in the lists are not counted: one of them makes a candidate.
-
-Groups of near copies would turn up all their pairs. Therefore every list first proposes just its smallest document to
-the others; what is linked that way is one component, and the second step proposes no pairs inside a component. Where links
-are counted, all pairs inside the components found are compared afterwards. A
-count of elements by hash bucket bounds the overlap of a proposed pair from above and drops nearly all wrong ones;
-the rest is decided on the full sets, computed again from the texts.
+Two similar sets share a minimum number T of elements (T-occurrence). As in DivideSkip, each set divides the lists of
+its elements: the longest ones, as far as T allows, are skipped, and the rest is merged and counted; sets that occur
+often enough there are candidates, and the skipped lists are then only searched for the candidates.
+
+* Divide: elements a sample shows to be common come last in the order of elements, the others go by hash. A set posts
+  the start of that order, all but T - 1 - e elements. Posted elements held by more than LONG sets are long as well,
+  and a set skips those too, unless they are more than e.
+* Merge: every list sends each of its sets the others that fit in size and position. What a set receives is merged,
+  and the occurrences of each other set are counted; those that reach T less the lists skipped are candidates.
+* Probe: the elements of a candidate pair are looked up in each other by binary search, the rarest first, until the
+  pair reaches T or can no longer do so.
+
+Sets that are mostly made of long lists cannot skip them. Groups of near copies are of that kind, and would turn up all
+their pairs. Therefore every long list first proposes just a few of its sets to the others; what is linked that way is
+one component, and inside a component no pair is listed. Sets of different components meet in blocks of the long list;
+position, size and a count of elements by hash bucket rule out pairs before they leave it.
+
+The links of each set are counted within its component, again by merging lists: of a block of sets, elements that most
+of them hold are kept as the lists of the sets that lack them, so that lists are short at both ends.
 """
 
 from __future__ import annotations
@@ -37,14 +45,14 @@ LONG = 64
 EXTRA = 0.05
 # Documents of a long list that propose themselves to the others in the first step.
 LEADERS = 8
-# Documents of one list compared in one piece; longer lists are cut into blocks, each pair of blocks a piece.
-BLOCK = 2048
+# Sets of one list or component compared in one piece; longer ones are cut into blocks, each pair of blocks a piece.
+BLOCK = 4096
 # Pairs held at once while a list is compared.
 PAIRS = 1 << 20
 # Elements of the sets in one block of a component, about: they bound a block of long documents.
 ELEMENTS = 1 << 21
-# Sets compared at once within a piece of a component, and elements that are a column of the comparison.
-ROWS, COLUMNS = 256, 4096
+# Hash buckets of the counts that travel with the members of long lists.
+BUCKETS = 64
 # Rows of groups broadcast at most: a key and a hash each, 32 MB in all.
 BROADCAST_ROWS = 1_000_000
 MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
@@ -81,6 +89,16 @@ def posted(n: int, percent: int = PERCENT) -> int:
     return min(n, n - ceil(n * percent / 100) + 1 + extra(n))
 
 
+def least_overlap(n: np.ndarray, m: np.ndarray, percent: int = PERCENT) -> np.ndarray:
+    """How many elements sets of n and m share at least if they are similar."""
+    return -(-percent * (n + m) // (100 + percent))
+
+
+def skipped(n: np.ndarray, percent: int = PERCENT) -> np.ndarray:
+    """How many elements of a set of n are not posted."""
+    return n - np.minimum(n, n + -n * percent // 100 + 1 + np.ceil(n * EXTRA).astype(np.int64))
+
+
 def signature(elements: np.ndarray) -> int:
     """A 64-bit name of a set: equal sets are one vertex of the graph.
 
@@ -111,9 +129,16 @@ def similar(shared: int, n: int, m: int, percent: int = PERCENT) -> bool:
     return 100 * shared >= percent * (n + m - shared)
 
 
+def folded_counts(elements: np.ndarray) -> bytes:
+    """Elements by BUCKETS hash buckets, none of which counts further than a 16-bit number."""
+    counts = np.bincount((elements & np.uint64(BUCKETS - 1)).astype(np.int64), minlength=BUCKETS)
+    return np.minimum(counts, 65535).astype("<u2").tobytes()
+
+
+_POST = "array<struct<token:long,at:int>>"
 _SETS = (
-    "text_hash long, sid long, n long, tokens array<long>, hot array<long>, leads array<long>, leaders array<long>,"
-    " buckets binary"
+    f"text_hash long, sid long, n long, tokens {_POST}, hot {_POST}, leads array<long>, leaders array<long>,"
+    " buckets binary, folded binary"
 )
 
 
@@ -139,6 +164,16 @@ def ordered(elements: np.ndarray, common: np.ndarray) -> np.ndarray:
     return np.concatenate((elements[~last], elements[last]))
 
 
+def _posts(rows: list[tuple[np.ndarray, np.ndarray] | None]) -> pa.ListArray:
+    """Elements with their places in the order; null for rows that post nothing."""
+    held = [r for r in rows if r is not None]
+    places = np.concatenate([r[1] for r in held]) if held else np.zeros(0, np.int64)
+    tokens = np.concatenate([r[0][r[1]] for r in held]) if held else np.zeros(0, np.int64)
+    ends = np.cumsum([0, *(len(r[1]) if r is not None else 0 for r in rows)]).astype(np.int32)
+    values = pa.StructArray.from_arrays([pa.array(tokens), pa.array(places.astype(np.int32))], ["token", "at"])
+    return pa.ListArray.from_arrays(pa.array(ends), values, mask=pa.array([r is None for r in rows]))
+
+
 def _describe(words: int, percent: int, shared):
     """Names, sizes and postings of sets; a set met before in the same task is only named.
 
@@ -155,11 +190,11 @@ def _describe(words: int, percent: int, shared):
                 elements = shingles(t, words)
                 n = len(elements)
                 sid = signature(elements) if n else None
-                row = [sid, n, None, None, None, None, None]
+                row = [sid, n, None, None, None, None, None, None]
                 if n and sid not in seen:
                     seen.add(sid)
                     row[2] = ordered(elements, common)[: posted(n, percent)].view(np.int64)
-                    row[6] = bucket_counts(elements)
+                    row[6], row[7] = bucket_counts(elements), folded_counts(elements)
                     fresh.append(row)
                 rows.append(row)
             if fresh:
@@ -168,169 +203,280 @@ def _describe(words: int, percent: int, shared):
                 leader: dict[int, int] = {}
                 for r in fresh:
                     is_hot = np.isin(r[2], hot, assume_unique=True) if len(hot) else np.zeros(len(r[2]), bool)
-                    r[2], r[3] = r[2][~is_hot], r[2][is_hot]
-                    for token in r[3].tolist():
+                    r[2], r[3] = (r[2], np.flatnonzero(~is_hot)), (r[2], np.flatnonzero(is_hot))
+                    for token in r[3][0][r[3][1]].tolist():
                         leader[token] = min(leader.get(token, r[0]), r[0])
                 for r in fresh:
-                    mine = r[3].tolist()
+                    mine = r[3][0][r[3][1]].tolist()
                     r[4] = [t for t in mine if leader[t] == r[0]]
                     r[5] = sorted({leader[t] for t in mine} - {r[0]})
             columns = list(zip(*rows))
-            kinds = [pa.int64(), pa.int64(), *[pa.list_(pa.int64())] * 4, pa.binary()]
-            arrays = [batch.column(0), batch.column(1), *(pa.array(c, k) for c, k in zip(columns, kinds))]
-            names = [batch.schema.names[0], "text_hash", "sid", "n", "tokens", "hot", "leads", "leaders", "buckets"]
+            numbers, lists = pa.int64(), pa.list_(pa.int64())
+            arrays = [
+                *batch.columns[:2], pa.array(columns[0], numbers), pa.array(columns[1], numbers), _posts(columns[2]), _posts(columns[3]),
+                pa.array(columns[4], lists), pa.array(columns[5], lists), pa.array(columns[6], pa.binary()), pa.array(columns[7], pa.binary()),
+            ]
+            names = [batch.schema.names[0], "text_hash", "sid", "n", "tokens", "hot", "leads", "leaders", "buckets", "folded"]
             yield pa.RecordBatch.from_arrays(arrays, names)
 
     return run
 
 
-def _collected(batches: Iterator[pa.RecordBatch]) -> pa.Table | None:
-    held = [b for b in batches if b.num_rows]
-    return pa.Table.from_batches(held) if held else None
+def whole_groups(batches: Iterator[pa.RecordBatch], columns: int) -> Iterator[pa.Table]:
+    """Rows that come group by group, in tables that hold whole groups; the first ``columns`` name the group."""
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        names = [batch.column(i).to_numpy() for i in range(columns)]
+        cuts = np.flatnonzero(np.logical_or.reduce([c[1:] != c[:-1] for c in names])) + 1
+        if held and any(held[-1].column(i)[-1].as_py() != names[i][0] for i in range(columns)):
+            yield pa.Table.from_batches(held)
+            held = []
+        if len(cuts):
+            last = int(cuts[-1])
+            yield pa.Table.from_batches([*held, batch.slice(0, last)])
+            held = []
+            batch = batch.slice(last)
+        held.append(batch)
+    if held:
+        yield pa.Table.from_batches(held)
+
+
+_LIST = "token long, sid long, long boolean, n long, at int"
 
 
 def _lists(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """From postings dealt by token: (token, sid, long) of tokens with several documents, and proposals (leader, sid).
+    """From postings by token: those of tokens with several sets, and proposals (sid, sid, null).
 
     A token has at most one posting for each batch that has found it long, and LONG for any other batch.
     """
-    table = _collected(batches)
-    if table is None:
-        return
-    token, sid = table.column(0).to_numpy(), table.column(1).to_numpy()
-    known_long = table.column(2).to_numpy(zero_copy_only=False)
-    order = np.lexsort((sid, token))
-    token, sid, known_long = token[order], sid[order], known_long[order]
-    new = np.concatenate(([True], (token[1:] != token[:-1]) | (sid[1:] != sid[:-1])))
-    group = np.cumsum(np.concatenate(([True], token[1:] != token[:-1]))) - 1
-    is_long = np.bincount(group, known_long) > 0
-    token, sid, group = token[new], sid[new], group[new]
-    count = np.bincount(group)
-    is_long |= count > LONG
-    first = np.cumsum(count) - count
-    keep = (count[group] > 1) | is_long[group]
-    proposals = [np.stack([sid[first][group][keep], sid[keep]])]
-    # A long list may hold a large group of near copies, not all of them close to the first one: more of its documents
-    # propose themselves, each the first in an order of its own.
-    large = np.flatnonzero(count[group] > LONG)
-    for turn in range(1, LEADERS if len(large) else 1):
-        own, members = group[large], sid[large]
-        rank = _mixed(members.view(np.uint64) ^ np.uint64(int(MULTIPLIER) * turn % 2**64))
-        by_rank = np.lexsort((rank, own))
-        top = np.concatenate(([True], own[by_rank][1:] != own[by_rank][:-1]))
-        leader = np.zeros(len(count), np.int64)
-        leader[own[by_rank][top]] = members[by_rank][top]
-        proposals.append(np.stack([np.minimum(leader[own], members), np.maximum(leader[own], members)]))
-    pairs = np.unique(np.concatenate(proposals, axis=1), axis=1)
-    pairs = pairs[:, pairs[0] != pairs[1]]
-    for t, s, l in ((token[keep], sid[keep], is_long[group][keep]), (pairs[0], pairs[1], None)):
-        for i in range(0, len(t), 100_000):
-            part = slice(i, i + 100_000)
-            flag = pa.array(l[part], pa.bool_()) if l is not None else pa.nulls(len(t[part]), pa.bool_())
-            yield pa.RecordBatch.from_arrays([pa.array(t[part]), pa.array(s[part]), flag], ["token", "sid", "long"])
+    for table in whole_groups(batches, 1):
+        token, sid, n, at = (table.column(i).to_numpy() for i in (0, 1, 3, 4))
+        known_long = table.column(2).to_numpy()
+        order = np.lexsort((sid, token))
+        token, sid, known_long, n, at = (c[order] for c in (token, sid, known_long, n, at))
+        new = np.concatenate(([True], (token[1:] != token[:-1]) | (sid[1:] != sid[:-1])))
+        group = np.cumsum(np.concatenate(([True], token[1:] != token[:-1]))) - 1
+        is_long = np.bincount(group, known_long) > 0
+        token, sid, group, n, at = (c[new] for c in (token, sid, group, n, at))
+        count = np.bincount(group)
+        is_long |= count > LONG
+        first = np.cumsum(count) - count
+        keep = (count[group] > 1) | is_long[group]
+        # Long lists propose: the first set to all, and of large ones more sets, each the first in an order of its own,
+        # as a list may hold a large group of near copies that are not all close to the first one.
+        listed = is_long[group]
+        proposals = [np.stack([sid[first][group][listed], sid[listed]])]
+        large = np.flatnonzero(count[group] > LONG)
+        for turn in range(1, LEADERS if len(large) else 1):
+            own, members = group[large], sid[large]
+            rank = _mixed(members.view(np.uint64) ^ np.uint64(int(MULTIPLIER) * turn % 2**64))
+            by_rank = np.lexsort((rank, own))
+            top = np.concatenate(([True], own[by_rank][1:] != own[by_rank][:-1]))
+            leader = np.zeros(len(count), np.int64)
+            leader[own[by_rank][top]] = members[by_rank][top]
+            proposals.append(np.stack([np.minimum(leader[own], members), np.maximum(leader[own], members)]))
+        pairs = np.unique(np.concatenate(proposals, axis=1), axis=1)
+        pairs = pairs[:, pairs[0] != pairs[1]]
+        names = ["token", "sid", "long", "n", "at"]
+        for i in range(0, int(keep.sum()), 100_000):
+            part = np.flatnonzero(keep)[i : i + 100_000]
+            yield pa.RecordBatch.from_arrays([pa.array(c[part]) for c in (token, sid, is_long[group], n, at)], names)
+        for i in range(0, pairs.shape[1], 100_000):
+            a, b = pairs[:, i : i + 100_000]
+            none = [pa.nulls(len(a), k) for k in (pa.bool_(), pa.int64(), pa.int32())]
+            yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), *none], names)
+
+
+def _partners_in_lists(percent: int):
+    """From short lists by token: for each set of a list (own, others, needed) the later sets of other components that
+    fit in size and position, and how often such a pair has to occur in all short lists."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table in whole_groups(batches, 1):
+            token, sid, n, at, hot, component = (table.column(i).to_numpy() for i in range(6))
+            order = np.lexsort((sid, n, token))
+            token, sid, n, at, hot, component = (c[order] for c in (token, sid, n, at, hot, component))
+            ends = np.searchsorted(token, token, side="right")
+            columns: list[list[np.ndarray]] = [[], [], []]
+            # The k-th set after each in its list, for all lists at once: lists are short.
+            for k in range(1, int((ends - np.arange(len(token))).max(initial=1))):
+                own = np.flatnonzero(np.arange(len(token)) + k < ends)
+                other = own + k
+                least = least_overlap(n[own], n[other], percent)
+                fit = (100 * n[own] >= percent * n[other]) & (component[own] != component[other])
+                # All that comes before in both, and all from here on, has to reach the least overlap.
+                fit &= np.minimum(at[own], at[other]) + np.minimum(n[own] - at[own], n[other] - at[other]) >= least
+                own, other, least = own[fit], other[fit], least[fit]
+                unseen = np.maximum(skipped(n[own], percent), skipped(n[other], percent)) + np.minimum(hot[own], hot[other])
+                for column, values in zip(columns, (own, other, np.maximum(1, least - unseen))):
+                    column.append(values)
+            if not sum(map(len, columns[0])):
+                continue
+            own, other, needed = (np.concatenate(c) for c in columns)
+            order = np.argsort(own, kind="stable")
+            own, other, needed = own[order], other[order], needed[order]
+            starts = np.flatnonzero(np.diff(own, prepend=-1))
+            ends = pa.array(np.append(starts, len(own)).astype(np.int32))
+            arrays = [pa.array(sid[own[starts]]), pa.ListArray.from_arrays(ends, pa.array(sid[other])), pa.ListArray.from_arrays(ends, pa.array(needed))]
+            yield pa.RecordBatch.from_arrays(arrays, ["own", "others", "needed"])
+
+    return run
+
+
+def _occurrences(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Merges the lists each set has received, and keeps the sets that occur as often as needed."""
+    for table in whole_groups(batches, 1):
+        table = table.combine_chunks()
+        lists, needs = table.column(1).chunk(0), table.column(2).chunk(0)
+        own = np.repeat(table.column(0).to_numpy(), np.diff(lists.offsets.to_numpy()))
+        other, needed = lists.flatten().to_numpy(), needs.flatten().to_numpy()
+        order = np.lexsort((other, own))
+        own, other, needed = own[order], other[order], needed[order]
+        starts = np.flatnonzero(np.concatenate(([True], (own[1:] != own[:-1]) | (other[1:] != other[:-1]))))
+        enough = np.diff(np.append(starts, len(own))) >= needed[starts]
+        a, b = own[starts[enough]], other[starts[enough]]
+        if len(a):
+            yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], ["a", "b"])
 
 
 def _block_pairs(percent: int):
-    """Pairs of different components, and of sizes that can be similar, within each list or pair of blocks."""
+    """Pairs of different components, and of sizes, places and counts that can be similar, within each long list or
+    pair of its blocks."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = _collected(batches)
-        if table is None:
-            return
-        token, low, high, block, sid, n, component = (table.column(i).to_numpy() for i in range(7))
-        order = np.lexsort((sid, n, high, low, token))
-        token, low, high, block, sid, n, component = (c[order] for c in (token, low, high, block, sid, n, component))
-        change = (token[1:] != token[:-1]) | (low[1:] != low[:-1]) | (high[1:] != high[:-1])
-        group = np.concatenate(([0], np.cumsum(change)))
-        # Sorted by size: partners of a set are as large or larger, up to the size that can still be similar.
-        place = group << 32 | n
-        until = np.searchsorted(place, group << 32 | n * 100 // percent, side="right")
-        count = until - np.arange(len(n)) - 1
-        ends = np.cumsum(count)
-        start = 0
-        while start < len(n):
-            stop = max(start + 1, int(np.searchsorted(ends, (ends[start - 1] if start else 0) + PAIRS, side="right")))
-            own = np.repeat(np.arange(start, stop), count[start:stop])
-            first = np.cumsum(count[start:stop]) - count[start:stop]
-            other = own + 1 + np.arange(len(own)) - np.repeat(first, count[start:stop])
-            fit = (component[own] != component[other]) & (sid[own] != sid[other])
-            fit &= (low[own] == high[own]) | (block[own] != block[other])
-            own, other = sid[own[fit]], sid[other[fit]]
-            pairs = np.unique(np.stack([np.minimum(own, other), np.maximum(own, other)]), axis=1)
-            if pairs.shape[1]:
-                yield pa.RecordBatch.from_arrays([pa.array(pairs[0]), pa.array(pairs[1])], ["a", "b"])
-            start = stop
+        for table in whole_groups(batches, 3):
+            token, low, high, block, sid, n, at, component = (table.column(i).to_numpy() for i in range(8))
+            counts = np.frombuffer(b"".join(table.column(8).to_pylist()), "<u2").reshape(-1, BUCKETS)
+            order = np.lexsort((sid, n, high, low, token))
+            token, low, high, block, sid, n, at, component = (c[order] for c in (token, low, high, block, sid, n, at, component))
+            counts = counts[order]
+            change = (token[1:] != token[:-1]) | (low[1:] != low[:-1]) | (high[1:] != high[:-1])
+            group = np.concatenate(([0], np.cumsum(change)))
+            # Sorted by size: partners of a set are as large or larger, up to the size that can still be similar.
+            place = group << 32 | n
+            until = np.searchsorted(place, group << 32 | n * 100 // percent, side="right")
+            count = until - np.arange(len(n)) - 1
+            ends = np.cumsum(count)
+            start = 0
+            while start < len(n):
+                stop = max(start + 1, int(np.searchsorted(ends, (ends[start - 1] if start else 0) + PAIRS, side="right")))
+                own = np.repeat(np.arange(start, stop), count[start:stop])
+                first = np.cumsum(count[start:stop]) - count[start:stop]
+                other = own + 1 + np.arange(len(own)) - np.repeat(first, count[start:stop])
+                fit = (component[own] != component[other]) & (sid[own] != sid[other])
+                fit &= (low[own] == high[own]) | (block[own] != block[other])
+                least = least_overlap(n[own], n[other], percent)
+                # A pair that short lists do not show has its first element in common here, in one of its long lists.
+                fit &= np.minimum(n[own] - at[own], n[other] - at[other]) >= least
+                own, other, least = own[fit], other[fit], least[fit]
+                shared = [
+                    np.minimum(counts[own[i : i + 20_000]], counts[other[i : i + 20_000]]).sum(axis=1, dtype=np.int64)
+                    for i in range(0, len(own), 20_000)
+                ]
+                # A count that is full says nothing.
+                open_ended = counts.max(axis=1) == 65535
+                fit = (np.concatenate(shared) >= least) | open_ended[own] | open_ended[other] if shared else np.zeros(0, bool)
+                own, other = sid[own[fit]], sid[other[fit]]
+                pairs = np.unique(np.stack([np.minimum(own, other), np.maximum(own, other)]), axis=1)
+                if pairs.shape[1]:
+                    yield pa.RecordBatch.from_arrays([pa.array(pairs[0]), pa.array(pairs[1])], ["a", "b"])
+                start = stop
 
     return run
 
 
-def _incidence(sets: list[np.ndarray], columns: np.ndarray) -> np.ndarray:
-    every, row = np.concatenate(sets), np.repeat(np.arange(len(sets)), [len(s) for s in sets])
-    at = np.minimum(np.searchsorted(columns, every), len(columns) - 1)
-    hit = columns[at] == every
-    held = np.zeros((len(sets), len(columns)), np.float32)
-    held[row[hit], at[hit]] = 1
-    return held
-
-
-def overlaps(a: list[np.ndarray], b: list[np.ndarray]) -> np.ndarray:
-    """How many elements each set of ``a`` shares with each of ``b``."""
-    common = np.intersect1d(np.concatenate(a), np.concatenate(b))
-    shared = np.zeros((len(a), len(b)), np.int64)
-    for i in range(0, len(common), COLUMNS):
-        columns = common[i : i + COLUMNS]
-        shared += (_incidence(a, columns) @ _incidence(b, columns).T).astype(np.int64)
-    return shared
+class Merger:
+    """Counts what sets share with the sets of a block, by merging inverted lists of the block.
 
+    Elements that more than half of the sets hold are listed by the sets that lack them: with the number of such
+    elements c, two sets that lack x and y of them share c - x - y of these, and once more each they both lack.
+    """
 
-def _pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
-    """Rows of equal first three columns, which come one after another."""
-    held, last = [], None
-    for batch in batches:
-        if not batch.num_rows:
-            continue
-        names = np.stack([batch.column(i).to_numpy() for i in range(3)])
-        cuts = (np.flatnonzero((names[:, 1:] != names[:, :-1]).any(axis=0)) + 1).tolist()
-        for start, stop in zip([0, *cuts], [*cuts, batch.num_rows]):
-            name = tuple(names[:, start])
-            if held and name != last:
-                yield pa.Table.from_batches(held)
-                held = []
-            held.append(batch.slice(start, stop - start))
-            last = name
-    if held:
-        yield pa.Table.from_batches(held)
+    def __init__(self, block: list[np.ndarray]) -> None:
+        self.size = np.array([len(e) for e in block], np.int64)
+        every = np.concatenate(block)
+        owner = np.repeat(np.arange(len(block)), self.size)
+        self.names, inverse, held = np.unique(every, return_inverse=True, return_counts=True)
+        self.dense = np.flatnonzero(2 * held > len(block))
+        is_dense = np.zeros(len(self.names), bool)
+        is_dense[self.dense] = True
+        sparse = ~is_dense[inverse]
+        lacks = np.ones((len(self.dense), len(block)), bool)
+        rank = np.cumsum(is_dense) - 1
+        lacks[rank[inverse[~sparse]], owner[~sparse]] = False
+        lacked, lacking = np.nonzero(lacks)
+        element = np.concatenate((inverse[sparse], self.dense[lacked]))
+        order = np.argsort(element, kind="stable")
+        self.listed = np.concatenate((owner[sparse], lacking))[order]
+        self.starts = np.searchsorted(element[order], np.arange(len(self.names) + 1))
+        self.lacks = lacks.sum(axis=0)
+        self.is_dense = is_dense
+
+    def shared(self, elements: np.ndarray) -> np.ndarray:
+        """How many elements (sorted) each set of the block has in common with these."""
+        at = np.searchsorted(self.names, elements)
+        at = at[at < len(self.names)]
+        mine = at[self.names[at] == elements[: len(at)]]
+        dense = self.is_dense[mine]
+        missing = np.setdiff1d(self.dense, mine[dense], assume_unique=True)
+        lists = np.concatenate((mine[~dense], missing))
+        sizes = self.starts[lists + 1] - self.starts[lists]
+        place = np.repeat(self.starts[lists] - np.cumsum(sizes) + sizes, sizes) + np.arange(sizes.sum())
+        counts = np.bincount(self.listed[place], minlength=len(self.size))
+        return counts + len(self.dense) - len(missing) - self.lacks
 
 
 def _partners(percent: int):
-    """From sets (component, low, high, block, sid, copies, elements) in the order of their pieces: (sid, partners),
-    the rows that hold a similar set of the piece, in the same block if low is high, else in the other one."""
+    """From sets (component, low, high, block, sid, copies, elements) by piece: (sid, partners), the rows that hold a
+    similar set of the piece, in the same block if low is high, else in the other one."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for piece in _pieces(batches):
-            low, high = piece.column(1)[0].as_py(), piece.column(2)[0].as_py()
-            block, sid, copies = (piece.column(i).to_numpy() for i in (3, 4, 5))
-            sets = [np.asarray(e.values.to_numpy()) for e in piece.column(6)]
-            n = np.array([len(e) for e in sets], np.int64)
-            found = np.zeros(len(sets), np.int64)
-            sides = [(p := np.flatnonzero(block == b))[np.argsort(n[p], kind="stable")] for b in (low, high)]
-            for i in range(0, len(sides[0]), ROWS):
-                a = sides[0][i : i + ROWS]
-                for j in range(i if low == high else 0, len(sides[1]), ROWS):
-                    b = sides[1][j : j + ROWS]
-                    if 100 * n[a[-1]] < percent * n[b[0]] or 100 * n[b[-1]] < percent * n[a[0]]:
-                        continue
-                    shared = overlaps([sets[k] for k in a], [sets[k] for k in b])
-                    linked = similar(shared, n[a][:, None], n[b][None, :], percent)
-                    if low == high and i == j:
-                        linked = np.triu(linked, 1)
-                    found[a] += linked @ copies[b]
-                    found[b] += copies[a] @ linked
+        for table in whole_groups(batches, 3):
+            component, low, high, block, sid, copies = (table.column(i).to_numpy() for i in range(6))
+            every = [np.sort(e.values.to_numpy()) for e in table.column(6)]
+            found = np.zeros(len(sid), np.int64)
+            cuts = np.flatnonzero((component[1:] != component[:-1]) | (low[1:] != low[:-1]) | (high[1:] != high[:-1])) + 1
+            for start, stop in zip([0, *cuts.tolist()], [*cuts.tolist(), len(sid)]):
+                piece = np.arange(start, stop)
+                same = low[start] == high[start]
+                first = piece if same else piece[block[piece] == low[start]]
+                second = piece if same else piece[block[piece] == high[start]]
+                if not len(first) or not len(second):
+                    continue
+                merger = Merger([every[i] for i in second])
+                for i in first.tolist():
+                    linked = similar(merger.shared(every[i]), len(every[i]), merger.size, percent)
+                    others = second[linked]
+                    if same:
+                        found[i] += copies[others].sum() - copies[i]
+                    else:
+                        found[i] += copies[others].sum()
+                        found[others] += copies[i]
             yield pa.RecordBatch.from_arrays([pa.array(sid), pa.array(found)], ["sid", "partners"])
 
     return run
 
 
+def _probed(percent: int):
+    """The pairs (a, b, elements of each) that reach the least overlap, by binary search of one in the other."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keep = []
+            for x, y in zip(batch.column(2), batch.column(3)):
+                x, y = (v.values.to_numpy().view(np.uint64) for v in (x, y))
+                x, y = (x, y) if len(x) <= len(y) else (y, x)
+                x, y = np.sort(x), np.sort(y)
+                at = np.minimum(np.searchsorted(y, x), len(y) - 1)
+                keep.append(similar(int((y[at] == x).sum()), len(x), len(y), percent))
+            chosen = pa.array(keep, pa.bool_())
+            yield pa.RecordBatch.from_arrays([batch.column(i).filter(chosen) for i in range(2)], ["a", "b"])
+
+    return run
+
+
 def _bounded(percent: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in (b.slice(i, 1000) for b in batches for i in range(0, b.num_rows, 1000)):
@@ -374,10 +520,8 @@ class _Join:
         holders = self.sets.select("sid", "text_hash").join(involved, "sid", "left_semi").groupBy("sid").agg(F.min("text_hash").alias("text_hash"))
         sets = self.elements(holders)
         left, right = (sets.select(F.col("sid").alias(s), F.col("elements").alias(f"set_{s}")) for s in "ab")
-        both = likely.join(left, "a").join(right, "b")
-        shared = F.size(F.array_intersect("set_a", "set_b"))
-        union = F.size("set_a") + F.size("set_b") - shared
-        return both.where(shared * 100 >= union * self.percent).select("a", "b")
+        both = likely.join(left, "a").join(right, "b").select("a", "b", "set_a", "set_b")
+        return both.mapInArrow(_probed(self.percent), "a long, b long")
 
     def elements(self, holders: DataFrame) -> DataFrame:
         """``sid`` and ``elements`` of the texts with the ``text_hash`` of the holders."""
@@ -434,7 +578,7 @@ class _Join:
         near = (F.col("component") == F.col("c")) & (F.abs(F.col("class") - F.col("next")) <= 1)
         cut = cut.join(other, near).groupBy("component", "class", "blocks").agg(F.collect_list("other").alias("others"))
         own = F.coalesce(F.expr(f"class * {1 << 32} + pmod(xxhash64(sid), blocks)"), F.lit(0))
-        dealt = linked.join(F.broadcast(cut), ["component", "class"], "left").withColumn("block", own)
+        dealt = linked.join(cut, ["component", "class"], "left").withColumn("block", own)
         dealt = dealt.withColumn("other", F.explode(F.coalesce("others", F.array(F.lit(0).cast("long")))))
         dealt = dealt.select(
             "component", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), "block", "sid", "copies"
@@ -453,40 +597,50 @@ class _Join:
     def links(self) -> DataFrame:
         """Links (a, b) between set names that connect every component of similar sets."""
         sets = self.sets.where("tokens IS NOT NULL")
-        posts = sets.select(F.explode("tokens").alias("token"), "sid", F.lit(False).alias("long")).unionAll(
-            sets.select(F.explode("leads").alias("token"), "sid", F.lit(True).alias("long"))
+        named = sets.select("sid", "n", F.explode("tokens").alias("post"), F.lit(False).alias("long")).unionAll(
+            sets.select("sid", "n", F.explode(F.filter("hot", lambda p: F.array_contains("leads", p["token"]))).alias("post"), F.lit(True))
         )
-        lists = written(posts.repartition("token").mapInArrow(_lists, "token long, sid long, long boolean"), "lists")
+        posts = named.select("post.token", "sid", "long", "n", "post.at")
+        lists = written(posts.repartition("token").sortWithinPartitions("token").mapInArrow(_lists, _LIST), "lists")
         proposed = lists.where("long IS NULL").select(F.col("token").alias("a"), F.col("sid").alias("b")).unionAll(
             sets.select(F.explode("leaders").alias("a"), F.col("sid").alias("b")).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
         )
         proposed = written(proposed.distinct(), "proposed")
         first = written(self.verified(proposed), "links")
-        known = components(first)
-        # Second step: who cannot leave out the long lists, and pairs between components.
-        in_long = lists.where("long").groupBy("sid").agg(F.count(F.lit(1)).alias("in_long"))
-        sized = sets.dropDuplicates(["sid"]).select("sid", "n", F.size("hot").alias("hot"), "tokens", F.col("hot").alias("hot_tokens"))
-        # A partner may be as small as PERCENT of the set: leave out no more than it may.
-        spare = F.ceil(F.ceil(F.col("n") * self.percent / 100) * EXTRA)
-        heavy = sized.join(in_long, "sid", "left").where(F.col("hot") + F.coalesce("in_long", F.lit(0)) > spare)
-        heavy_posts = heavy.select(F.explode(F.concat("tokens", "hot_tokens")).alias("token"), "sid")
-        candidates = lists.where("NOT long").select("token", "sid").unionAll(heavy_posts)
-        labeled = candidates.join(known, F.col("sid") == F.col("vertex"), "left").select(
-            "token", "sid", F.coalesce("component", "sid").alias("component")
+        known = written(components(first), "components")
+        # Which long lists each set has posted, and whether it may skip them all.
+        in_long = lists.where("long").groupBy("sid").agg(F.collect_list(F.struct("token", "at")).alias("listed"))
+        sized = sets.select("sid", "n", "hot", "folded").dropDuplicates(["sid"]).join(in_long, "sid", "left")
+        sized = sized.withColumn("hot", F.array_distinct(F.concat("hot", F.coalesce("listed", F.array().cast(_POST))))).drop("listed")
+        sized = sized.join(known, F.col("sid") == F.col("vertex"), "left").select(
+            "sid", "n", "hot", "folded", F.coalesce("component", "sid").alias("component")
         )
-        labeled = written(labeled, "posts")
-        spread = labeled.groupBy("token").agg(
+        sized = written(sized, "sized")
+        of_set = sized.select(F.col("sid").alias("s"), F.size("hot").alias("hot"), "component")
+        short = lists.where("NOT long").join(of_set, F.col("sid") == F.col("s"))
+        short = short.select("token", "sid", "n", F.col("at").cast("long").alias("at"), F.col("hot").cast("long").alias("hot"), "component")
+        received = short.repartition("token").sortWithinPartitions("token").mapInArrow(
+            _partners_in_lists(self.percent), "own long, others array<long>, needed array<long>"
+        )
+        merged = received.repartition("own").sortWithinPartitions("own").mapInArrow(_occurrences, "a long, b long")
+        # A partner may be as small as PERCENT of the set: skip no more than it may.
+        spare = F.ceil(F.ceil(F.col("n") * self.percent / 100) * EXTRA)
+        heavy = sized.where(F.size("hot") > spare)
+        members = written(heavy.select(F.explode("hot").alias("post"), "sid", "n", "folded", "component").select("post.*", "sid", "n", "folded", "component"), "long")
+        spread = members.groupBy("token").agg(
             F.min("component").alias("one"), F.max("component").alias("other"), F.count(F.lit(1)).alias("size")
         )
-        blocks = F.ceil(F.col("size") / BLOCK).cast("int")
-        mixed = spread.where("one <> other").select(F.col("token").alias("t"), blocks.alias("blocks"))
-        listed = labeled.join(mixed, F.col("token") == F.col("t")).withColumn("block", F.pmod(F.xxhash64("sid"), F.col("blocks")).cast("int"))
+        mixed = spread.where("one <> other").select(F.col("token").alias("t"), F.ceil(F.col("size") / BLOCK).cast("int").alias("blocks"))
+        listed = members.join(mixed, F.col("token") == F.col("t")).withColumn("block", F.pmod(F.xxhash64("sid"), F.col("blocks")).cast("int"))
         pieces = listed.withColumn("with", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-        pieces = pieces.select("token", F.least("block", "with").alias("low"), F.greatest("block", "with").alias("high"), "block", "sid", "component")
-        of_size = sized.select(F.col("sid").alias("s"), "n")
-        pieces = pieces.join(of_size, F.col("sid") == F.col("s")).select("token", "low", "high", "block", "sid", "n", "component")
-        pairs = pieces.repartition("token", "low", "high").mapInArrow(_block_pairs(self.percent), "a long, b long").distinct()
-        second = self.verified(written(pairs.join(proposed, ["a", "b"], "left_anti"), "pairs"))
+        piece = ["token", "low", "high"]
+        pieces = pieces.select(
+            "token", F.least("block", "with").alias("low"), F.greatest("block", "with").alias("high"), "block", "sid", "n",
+            F.col("at").cast("long").alias("at"), "component", "folded",
+        )
+        met = pieces.repartition(*piece).sortWithinPartitions(*piece).mapInArrow(_block_pairs(self.percent), "a long, b long")
+        pairs = merged.unionAll(met).distinct().join(proposed, ["a", "b"], "left_anti")
+        second = self.verified(written(pairs, "pairs"))
         return first.unionAll(second)
 
 
@@ -517,21 +671,22 @@ def one_of_each(
 
 
 def near_copies(
-    docs: DataFrame, *, key: str = "doc_id", text: str = "text", words: int = WORDS, percent: int = PERCENT, links: bool = False
+    docs: DataFrame, *, key: str = "doc_id", text: str = "text", words: int = WORDS, percent: int = PERCENT
 ) -> DataFrame:
-    """``key``, ``n_shingles`` and ``component_id`` of every row; with ``links`` also ``n_links``.
+    """``key``, ``n_shingles``, ``component_id`` and ``n_links`` of every row.
 
     Documents link when their sets are similar; ``component_id`` is the smallest key reachable by links, the own one
-    included. ``n_links`` counts all other rows a row links with, copies and members of its component alike; without
-    it only links that span each component are looked for. Documents without words (or text) have 0 shingles and link
+    included. ``n_links`` counts all other rows a row links with, copies included. Documents without words (or text) have 0 shingles and link
     with nothing, not even with each other. Repeated rows are rows of one component; rows with a null key take part and
     get the smallest key of their component, if any. An empty table gives no rows.
     """
     join = _Join(docs, key, text, words, percent)
-    named = join.counted() if links else join.grouped()
+    named = join.counted()
     groups = named.where("group IS NOT NULL").groupBy(F.col("group").alias("g"))
     groups = groups.agg(F.min("key").alias("smallest"), F.count(F.lit(1)).alias("size")).where("size > 1")
     return named.join(groups, F.col("group") == F.col("g"), "left").select(
-        F.col("key").alias(key), F.col("n").alias("n_shingles"), F.coalesce("smallest", "key").alias("component_id"),
-        *["n_links"] * links,
-    )
+        F.col("key").alias(key),
+        F.col("n").alias("n_shingles"),
+        F.coalesce("smallest", "key").alias("component_id"),
+        "n_links",
+    )

@@ -40,14 +40,17 @@ class Union:
 
 
 def plain_components(docs):
+    """Rows (doc_id, n_shingles, component_id, n_links) by comparing all pairs."""
     sets = {i: set_of(t) for i, t in docs}
-    union, ids = Union(sets), sorted(sets)
+    union, ids, links = Union(sets), sorted(sets), dict.fromkeys(sets, 0)
     for n, i in enumerate(ids):
         for j in ids[n + 1 :]:
             both = len(sets[i] & sets[j])
             if both and 100 * both >= 80 * (len(sets[i]) + len(sets[j]) - both):
                 union.join(i, j)
-    return sorted((i, len(sets[i]), union.root(i)) for i in ids)
+                links[i] += 1
+                links[j] += 1
+    return sorted((i, len(sets[i]), union.root(i), links[i]) for i in ids)
 
 
 def check(spark, docs):
@@ -133,8 +136,8 @@ def test_overlap_bound_never_lies_below():
 
 def test_odd_rows(spark, odd):
     got = J.near_copies(odd)
-    assert got.columns == ["doc_id", "n_shingles", "component_id"] and got.count() == odd.count()
-    rows = [tuple(r) for r in got.collect()]
+    assert got.columns == ["doc_id", "n_shingles", "component_id", "n_links"] and got.count() == odd.count()
+    rows = [tuple(r)[:3] for r in got.collect()]
     assert {r[2] for r in rows if r[0] in (5, 7)} == {5}
     assert (None, 1, None) in rows and (None, 0, None) in rows
     assert J.near_copies(odd.limit(0)).count() == 0
@@ -160,27 +163,41 @@ def test_query_against_all_pairs(spark):
 def test_every_link_is_counted(spark, monkeypatch, block, elements):
     monkeypatch.setattr(J, "BLOCK", block)
     monkeypatch.setattr(J, "ELEMENTS", elements)
-    monkeypatch.setattr(J, "ROWS", 16)
-    monkeypatch.setattr(J, "COLUMNS", 50)
     draw = random.Random(9)
     group, small = words(draw, 120), words(draw, 9)
     docs = [edited(draw, group, draw.randint(0, 4))[: draw.randint(90, 120)] for _ in range(60)]
     docs += [small, small, small, small + ["x"], [], [], *[words(draw, 30) for _ in range(5)]]
     texts = [(i, " ".join(d)) for i, d in enumerate(docs)]
-    sets = {i: set_of(t) for i, t in texts}
-    links = {
-        i: sum(1 for j in sets if i != j and sets[i] and 100 * len(sets[i] & sets[j]) >= 80 * len(sets[i] | sets[j])) for i in sets
-    }
-    got = J.near_copies(spark.createDataFrame(texts, "doc_id long, text string"), links=True).collect()
-    assert {r.doc_id: r.n_links for r in got} == links and sum(links.values()) > 500
-    assert sorted(tuple(r)[:3] for r in got) == plain_components(texts)
+    want = plain_components(texts)
+    got = J.near_copies(spark.createDataFrame(texts, "doc_id long, text string")).collect()
+    assert sorted(map(tuple, got)) == want and sum(r[3] for r in want) > 500
+
+
+def test_merged_lists_count_what_sets_share():
+    draw = np.random.default_rng(5)
+    core = np.unique(draw.integers(-(2**62), 2**62, 120))
+    sets = [np.unique(np.concatenate((draw.permutation(core)[: draw.integers(60, 121)], draw.integers(0, 300, draw.integers(0, 60))))) for _ in range(70)]
+    for block in (sets[:1], sets[:2], sets[:50], sets[40:]):
+        merger = J.Merger(block)
+        for x in sets:
+            assert merger.shared(x).tolist() == [len(np.intersect1d(x, y)) for y in block]
+
+
+def test_whole_groups():
+    import pyarrow as pa
+
+    draw = random.Random(2)
+    values = sorted(draw.randrange(12) for _ in range(200))
+    batches = [pa.RecordBatch.from_arrays([pa.array(values[i : i + 7]), pa.array(range(i, min(200, i + 7)))], ["a", "b"]) for i in range(0, 200, 7)]
+    tables = list(J.whole_groups(iter(batches), 1))
+    assert [v for t in tables for v in t.column(0).to_pylist()] == values and len(tables) > 5
+    ends = [(t.column(0)[0].as_py(), t.column(0)[-1].as_py()) for t in tables]
+    assert all(a[1] < b[0] for a, b in zip(ends, ends[1:]))
 
 
 def test_links_of_odd_rows(spark, odd):
-    got = J.near_copies(odd, links=True)
-    assert got.columns == ["doc_id", "n_shingles", "component_id", "n_links"] and got.count() == odd.count()
-    assert {r.n_links for r in got.collect() if r.component_id == 5} == {3}
-    assert J.near_copies(odd.limit(0), links=True).count() == 0
+    got = J.near_copies(odd).collect()
+    assert {r.n_links for r in got if r.component_id == 5} == {3}
 
 
 # --- vectors -----------------------------------------------------------------------------------

@@ -75,5 +75,5 @@ def test_stages_survive_odd_rows(spark, odd):
 
 def test_all_are_registered():
     names = [n for n in entry.queries() if n.startswith("op")] + ["pipeline"]
-    assert sorted(int(n[2:].split("_")[0]) for n in names[:-1]) == list(range(1, 11))
+    assert sorted(int(n[2:].split("_")[0]) for n in names[:-1]) == list(range(1, 14))
     assert set(names) <= set(entry.queries()) and "op7_warc" in entry.oracle_sql()
