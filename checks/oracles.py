@@ -376,6 +376,16 @@ def _pii(table: str, columns: list[str], min_ratio: float) -> str:
     )
 
 
+def _incidents(which: str) -> str:
+    return f"""WITH e AS (SELECT *, CASE WHEN ts - lag(ts) OVER w < INTERVAL 720 MINUTE THEN 0 ELSE 1 END AS begins
+                          FROM tele WHERE coalesce(idle_minutes > 90, false) OR coalesce(fault_code <> '', false)
+                          WINDOW w AS (PARTITION BY vehicle_id ORDER BY ts, event_id)),
+                    n AS (SELECT *, sum(begins) OVER (PARTITION BY vehicle_id ORDER BY ts, event_id) AS number FROM e)
+               SELECT vehicle_id, min(ts) AS begin_ts, max(ts) AS end_ts, count(*) AS readings, max(idle_minutes) AS peak_idle_minutes,
+                      count(*) FILTER (WHERE fault_code <> '') AS faults
+               FROM n GROUP BY vehicle_id, number{which}"""
+
+
 _ORACLES: dict[str, tuple[str, str]] = {
     # sources
     "dim_site": ("sites", "SELECT * REPLACE (CAST(opened_date AS VARCHAR) AS opened_date) FROM sites"),
@@ -712,6 +722,29 @@ _ORACLES: dict[str, tuple[str, str]] = {
                   count(*) AS total_rentals
            FROM fact GROUP BY ROLLUP (category, class_name, vehicle_id)""",
     ),
+    "vehicles_by_geography": (
+        "fact",
+        """SELECT pickup_state AS state, pickup_city AS city, pickup_site_name AS site_name,
+                  CAST(3 - grouping(pickup_state) - grouping(pickup_city) - grouping(pickup_site_name) AS INTEGER) AS depth,
+                  count(DISTINCT vehicle_id) AS active_vehicles
+           FROM fact GROUP BY ROLLUP (pickup_state, pickup_city, pickup_site_name)""",
+    ),
+    "maintained_revenue_by_site_month": (
+        "revenue_by_month",
+        "SELECT * REPLACE (CAST(revenue_month AS VARCHAR) AS revenue_month) FROM revenue_by_month",
+    ),
+    "maintained_one_way_flows": (
+        "flows sites",
+        """SELECT f.*, o.latitude AS pickup_latitude, o.longitude AS pickup_longitude,
+                  d.latitude AS return_latitude, d.longitude AS return_longitude
+           FROM flows f LEFT JOIN sites o ON f.pickup_site_id = o.site_id
+           LEFT JOIN sites d ON f.return_site_id = d.site_id""",
+    ),
+    "committed_events": (
+        "tele",
+        """SELECT CAST(CAST(ts AS DATE) AS VARCHAR) AS event_date, count(*) AS events, CAST(sum(idle_minutes) AS BIGINT) AS idle_sum
+           FROM tele WHERE ts >= TIMESTAMP '2024-01-15' GROUP BY 1""",
+    ),
     "revenue_forecast": (
         "fact",
         """SELECT pickup_city, CAST(step AS INTEGER) AS step,
@@ -975,6 +1008,27 @@ _ORACLES: dict[str, tuple[str, str]] = {
         """SELECT CAST(CAST(ts AS DATE) AS VARCHAR) AS event_date, count(*) AS events, count(*) AS stamped,
                   CAST(sum(odometer_miles) AS BIGINT) AS odometer_sum FROM tele GROUP BY 1""",
     ),
+    "incidents": ("tele", _incidents("")),
+    "stream_incidents": (
+        "tele",
+        _incidents(
+            """ HAVING max(ts) + INTERVAL 720 MINUTE
+                       <= (SELECT date_trunc('milliseconds', max(ts)) FROM tele) - INTERVAL 10 MINUTE"""
+        ),
+    ),
+    "stream_presence": (
+        "tele",
+        """WITH r AS (SELECT vehicle_id, event_id, ts, odometer_miles AS miles,
+                          lag(odometer_miles) OVER w AS previous, lead(ts) OVER w AS next,
+                          (SELECT date_trunc('milliseconds', max(ts)) FROM tele WHERE vehicle_id IS NOT NULL) - INTERVAL 10 MINUTE AS mark
+                   FROM tele WHERE vehicle_id IS NOT NULL
+                   WINDOW w AS (PARTITION BY vehicle_id ORDER BY ts, CAST(event_id AS VARCHAR)))
+           SELECT vehicle_id, 'reading' AS what, CAST(event_id AS VARCHAR) AS event_id, ts AS at, miles, previous AS previous_miles,
+                  miles - previous AS miles_change FROM r WHERE ts <= mark
+           UNION ALL
+           SELECT vehicle_id, 'silent', NULL, ts + INTERVAL 240 MINUTE, miles, NULL, NULL FROM r
+           WHERE ts <= mark AND least(coalesce(next, mark), mark) - ts > INTERVAL 240 MINUTE""",
+    ),
     "stream_enriched_events": (
         "tele vehicles sites",
         """SELECT t.event_id, t.vehicle_id, v.current_site_id AS fleet_site_id, coalesce(s.latitude, 47.6062) AS site_latitude,

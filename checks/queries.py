@@ -5,7 +5,7 @@ from __future__ import annotations
 import uuid
 from collections.abc import Callable
 from datetime import datetime
-from functools import reduce
+from functools import partial, reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -15,13 +15,16 @@ from motorpool.functions.money import exact_sum, price_columns
 from motorpool.functions.text import formatted_key
 from motorpool.lazy import LazyTables
 from motorpool.operators import cleaning, filters, gold, graph, joins, policy, quality, ranking, rollups
-from motorpool.plans import medallion, report, semantic
+from motorpool.plans import medallion, report, semantic, thin_gold
+from motorpool.plans.lattice import Cuboid
 from motorpool.schemas import ENTITIES, EVENT, RENTALS, VEHICLES, Entity
 from motorpool.session import configure, shared_dir
 from motorpool.sources import events as feed
 from motorpool.sources import tables
+from motorpool.sources.commits import CommittedTable
 from motorpool.sources.views import Fleet, event_columns
-from motorpool.streaming import jobs, rules
+from motorpool.streaming import incidents as runs
+from motorpool.streaming import jobs, presence, rules
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -374,8 +377,22 @@ def spike_check(f: Fleet) -> DataFrame:
 # --- measures and report ----------------------------------------------------------------------
 
 
-def _model(f: Fleet) -> semantic.Model:
-    """The fleet model over views; each question builds and reads only what it needs."""
+def _kept(f: Fleet, df: DataFrame) -> DataFrame:
+    """The rows stored in the shared folder and read again."""
+    path = f"{_work_dir(f.spark)}/stored"
+    df.write.parquet(path)
+    return f.spark.read.schema(df.schema).parquet(path)
+
+
+def _rental_months(f: Fleet) -> Cuboid:
+    return thin_gold.rental_months(_fact(f, *thin_gold.COLUMNS), lambda df: _kept(f, df))
+
+
+def _model(f: Fleet, *, stored: bool = False) -> semantic.Model:
+    """The fleet model over views; each question builds and reads only what it needs.
+
+    With ``stored`` rentals are grouped by site and month once, and all that can be derived from that is.
+    """
 
     def maintenance() -> DataFrame:
         return gold.kpi_maintenance_cost(f["maintenance"], f["sites"])
@@ -383,6 +400,12 @@ def _model(f: Fleet) -> semantic.Model:
     def vehicles() -> DataFrame:
         return gold.dim_vehicle(f["vehicles"], f["vehicle_classes"])
 
+    derived: dict[str, DataFrame] = {}
+    cuboids: dict[str, list[Cuboid]] = {}
+    if stored:
+        months = _rental_months(f)
+        derived = thin_gold.tables(months.data, gold.dim_site(f["sites"]), vehicles())
+        cuboids = {"fact_rental": [months]}
     return semantic.fleet_model(
         LazyTables(
             {
@@ -402,7 +425,9 @@ def _model(f: Fleet) -> semantic.Model:
                 "agg_maintenance_cost_by_site": lambda: rollups.agg_maintenance_cost_by_site(maintenance(), f["sites"]),
                 "agg_telematics_freshness": lambda: rollups.agg_telematics_freshness(f["telematics"], AS_OF),
             }
-        )
+            | {name: partial(derived.__getitem__, name) for name in derived}
+        ),
+        cuboids,
     )
 
 
@@ -484,7 +509,7 @@ SITE_MEASURES = (
 
 @query
 def measures_site_by_state(f: Fleet) -> DataFrame:
-    return _plain(_rounded(semantic.evaluate(_model(f), SITE_MEASURES, by=["dim_site.state"]), 4))
+    return _plain(_rounded(semantic.evaluate(_model(f, stored=True), SITE_MEASURES, by=["dim_site.state"]), 4))
 
 
 @query
@@ -524,7 +549,7 @@ def _grants(f: Fleet) -> DataFrame:
 
 @query
 def kpi_cards(f: Fleet) -> DataFrame:
-    return _plain(_rounded(report.kpi_cards(_model(f)), 4))
+    return _plain(_rounded(report.kpi_cards(_model(f, stored=True)), 4))
 
 
 SLICER = {"dim_site.state": ["ASIA", "EUROPE"]}
@@ -533,7 +558,7 @@ SLICER = {"dim_site.state": ["ASIA", "EUROPE"]}
 @query
 def kpi_cards_sliced(f: Fleet) -> DataFrame:
     """The cards under a slicer; events are not related to sites and stay whole."""
-    return _plain(_rounded(report.kpi_cards(_model(f), filters=SLICER), 4))
+    return _plain(_rounded(report.kpi_cards(_model(f, stored=True), filters=SLICER), 4))
 
 
 @query
@@ -593,6 +618,66 @@ def rentals_by_fleet_hierarchy(f: Fleet) -> DataFrame:
     return _plain(report.hierarchy(_model(f), "fact_rental", levels, "Total Rentals"))
 
 
+@query
+def vehicles_by_geography(f: Fleet) -> DataFrame:
+    """A distinct count drilled: a vehicle rented in two cities counts once in their state."""
+    levels = semantic.HIERARCHIES["Geography"]
+    return _plain(report.hierarchy(_model(f), "fact_rental", levels, "Active Vehicles"))
+
+
+# --- aggregates kept up batch by batch --------------------------------------------------------
+
+STATE_FACT = "rental_id long, pickup_site_id int, return_site_id int, is_one_way boolean, pickup_ts timestamp_ntz, revenue_usd double, rental_days int"
+
+
+def _maintained(f: Fleet) -> thin_gold.Maintained:
+    """All rentals in four batches: a third of them wrong or missing at first, corrected later, and some withdrawn."""
+    fact = _kept(f, _fact(f, *thin_gold.COLUMNS))
+    kept = thin_gold.Maintained(f.spark, f"{_work_dir(f.spark)}/thin", STATE_FACT)
+    hashed = F.pmod(F.xxhash64("rental_id"), F.lit(9))
+    wrong = {"revenue_usd": F.col("revenue_usd") * 2 + 0.01, "pickup_site_id": F.lit(0), "rental_days": F.col("rental_days") + 40}
+    first = fact.where(hashed != 1).withColumns({c: F.when(hashed == 2, v).otherwise(F.col(c)) for c, v in wrong.items()})
+    kept.apply(first, "rentals", 0)
+    corrected = fact.where(hashed.isin(1, 2))
+    kept.apply(corrected, "rentals", 1)
+    kept.apply(corrected, "rentals", 1)  # delivered twice
+    never = fact.where(hashed == 3).withColumn("rental_id", -F.col("rental_id") - 1)
+    kept.apply(never, "rentals", 2)
+    kept.apply(never.withColumn("deleted", F.lit(True)), "rentals", 3)
+    return kept
+
+
+@query
+def maintained_revenue_by_site_month(f: Fleet) -> DataFrame:
+    monthly = thin_gold.revenue_by_site_month(_maintained(f).states(), gold.dim_site(f["sites"]))
+    return text_dates(monthly, "revenue_month")
+
+
+@query
+def maintained_one_way_flows(f: Fleet) -> DataFrame:
+    kept = _maintained(f)
+    kept.compact()
+    return thin_gold.one_way_flows(kept.states(), gold.dim_site(f["sites"]))
+
+
+@query
+def committed_events(f: Fleet) -> DataFrame:
+    """Events landed in weekly commits, gathered into larger files, the first two weeks expired: what each day has."""
+    kept = ("event_id", "vehicle_id", "ts", "idle_minutes")
+    events = f["events"].select(*kept)
+    shape = ", ".join(f"{n} {t}" for n, t in events.dtypes)
+    landed = CommittedTable(f.spark, f"{_work_dir(f.spark)}/events", {"events": shape}, times={"events": "ts"})
+    week = F.floor((F.dayofyear("ts") - 1) / 7)
+    for n in range(5):
+        rows = events.where(week == n if n < 4 else week >= n)
+        landed.append({"events": rows}, "feed", n)
+        landed.append({"events": rows}, "feed", n)  # delivered twice
+    landed.expire("events", "2024-01-15")
+    landed.compact("events", 64 << 20)
+    day = F.col("ts").cast("date").cast("string").alias("event_date")
+    return landed.read("events").groupBy(day).agg(F.count("*").alias("events"), F.sum("idle_minutes").alias("idle_sum"))
+
+
 def _forecast(f: Fleet, by: list[str]) -> DataFrame:
     series = rollups.agg_revenue_by_site_month(_fact(f, *SITE_FACT))
     trend = report.forecast_linear(series, by, "revenue_month", "total_revenue_usd")
@@ -966,6 +1051,15 @@ def spike_windows(f: Fleet) -> DataFrame:
     return jobs.spike_windows(f["events"], "10 minutes", min_avg_idle=45.0)
 
 
+GAP_MINUTES, ELEVATED_MINUTES = 720, 90
+
+
+@query
+def incidents(f: Fleet) -> DataFrame:
+    """Elevated readings of a vehicle less than twelve hours apart, as one incident."""
+    return runs.incidents(f["events"], GAP_MINUTES, ELEVATED_MINUTES)
+
+
 # --- streams: the event table replayed file by file, then read back ----------------------------
 
 
@@ -1069,3 +1163,15 @@ def stream_enriched_events(f: Fleet) -> DataFrame:
     return _run(
         f, enriched.select("event_id", "vehicle_id", "fleet_site_id", "site_latitude", "site_longitude", "vehicle_known")
     )
+
+
+@query
+def stream_incidents(f: Fleet) -> DataFrame:
+    """The incidents that are over when the newest event has come."""
+    return _run(f, runs.stream_incidents(_event_stream(f), GAP_MINUTES, "10 minutes", ELEVATED_MINUTES))
+
+
+@query
+def stream_presence(f: Fleet) -> DataFrame:
+    """Readings in order with the one before, and vehicles silent for four hours."""
+    return _run(f, presence.presence(_event_stream(f), 240, "10 minutes"))

@@ -5,14 +5,15 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 from datetime import datetime
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from motorpool.functions import calendar
+from motorpool.functions import calendar, states
 from motorpool.functions.money import percent, usd_sum
+from motorpool.functions.states import Aggregate
 from motorpool.functions.text import not_empty
 from motorpool.operators.filters import freshness_minutes, in_range
 from motorpool.operators.gold import fleet_size, rental_count, rental_totals
@@ -34,7 +35,7 @@ def agg_revenue_by_site_month(fact: DataFrame, unique: bool = False) -> DataFram
     )
 
 
-def _utilization(rented: DataFrame, vehicles: DataFrame, geo: DataFrame, site_col: str) -> DataFrame:
+def utilization(rented: DataFrame, vehicles: DataFrame, geo: DataFrame, site_col: str) -> DataFrame:
     fleet = fleet_size(vehicles, site_col).withColumnRenamed(site_col, "pickup_site_id")
     available = F.col("fleet_size") * F.col("days_in_month")
     return (
@@ -59,7 +60,7 @@ def agg_fleet_utilization_by_site_month(
         rental_count(unique).alias("total_rentals"),
         F.sum("rental_days").alias("total_rented_days"),
     )
-    return _utilization(rented, vehicles, geo, site_col)
+    return utilization(rented, vehicles, geo, site_col)
 
 
 def days_by_month(fact: DataFrame) -> DataFrame:
@@ -101,7 +102,7 @@ def fleet_utilization_prorated(
             F.sum("days").alias("total_rented_days"),
         )
     )
-    return _utilization(rented, vehicles, geo, site_col)
+    return utilization(rented, vehicles, geo, site_col)
 
 
 def agg_idle_vehicles_by_site(vehicles: DataFrame, geo: DataFrame) -> DataFrame:
@@ -177,11 +178,11 @@ def spike_check(events: DataFrame, idle_limit: int = IDLE_LIMIT_MINUTES) -> Data
     )
 
 
-def drill(fact: DataFrame, levels: Sequence[str], measures: Sequence[Column]) -> DataFrame:
+def drill(fact: DataFrame, levels: Sequence[str], measures: Mapping[str, Aggregate]) -> DataFrame:
     """Measures at every depth of a hierarchy, from the grand total down.
 
     ``depth`` is 0 for the total and grows with each level opened; it tells a total apart from
-    a member that is itself null.
+    a member that is itself null. Rows are grouped once, by the finest level; the other depths
+    are merged from its states, so facts are never multiplied and distinct counts are allowed.
     """
-    depth = F.lit(len(levels)) - F.bit_count(F.grouping_id())
-    return fact.rollup(*levels).agg(depth.cast("int").alias("depth"), *measures)
+    return states.opened(states.partial(fact, levels, list(measures.values())), levels, measures)

@@ -49,10 +49,10 @@ def hierarchy(
     others = {t for t, _ in m.parts if t != table}
     if others:
         raise ValueError(f"{measure} also reads {sorted(others)} and cannot be drilled along {table}")
-    rows = context(model, table, levels, filters or {}, ())
+    rows = context(model, table, levels, filters or {})
     names = [c.replace(".", "__") for c in levels]
     parts = [f"_part{i}" for i in range(len(m.parts))]
-    opened = drill(rows, names, [aggregate().alias(p) for p, (_, aggregate) in zip(parts, m.parts)])
+    opened = drill(rows, names, {p: aggregate for p, (_, aggregate) in zip(parts, m.parts)})
     opened = opened.withColumn(measure, m.combine(*[F.col(p) for p in parts])).drop(*parts)
     return opened.withColumnsRenamed({n: c.split(".")[1] for n, c in zip(names, levels)})
 

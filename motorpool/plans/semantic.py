@@ -9,17 +9,19 @@ from __future__ import annotations
 
 from collections import deque
 from collections.abc import Callable, Mapping, Sequence
-from dataclasses import dataclass, replace
+from dataclasses import dataclass, field, replace
 from functools import partial, reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from motorpool.functions import money
-from motorpool.functions.money import exact_sum, safe_div
+from motorpool.functions import money, states
+from motorpool.functions.money import safe_div
+from motorpool.functions.states import Aggregate
 from motorpool.lazy import LazyTables
 from motorpool.operators import policy
 from motorpool.operators.joins import keep
+from motorpool.plans.lattice import Cuboid, smallest
 
 
 @dataclass(frozen=True)
@@ -34,7 +36,7 @@ class Relationship:
     active: bool = True
 
 
-Part = tuple[str, Callable[[], Column]]
+Part = tuple[str, Aggregate]
 
 
 @dataclass(frozen=True)
@@ -53,9 +55,12 @@ class Measure:
 
 @dataclass(frozen=True)
 class Model:
+    """``cuboids`` are stored groupings of tables; questions they can answer do not read the table."""
+
     tables: Mapping[str, DataFrame]
     relationships: tuple[Relationship, ...]
     measures: Mapping[str, Measure]
+    cuboids: Mapping[str, Sequence[Cuboid]] = field(default_factory=dict)
 
     def steps(self, use: Sequence[str]) -> list[Relationship]:
         """Relationships in force; one named in ``use`` replaces its active sibling."""
@@ -95,13 +100,15 @@ def _flat(table: str, column: str) -> str:
     return f"{table}__{column}"
 
 
-def star(model: Model, table: str, columns: Sequence[str], use: Sequence[str] = ()) -> DataFrame:
-    """A table with the named dimension columns (``dim.column``) joined on.
+def star(
+    model: Model, table: str, columns: Sequence[str], use: Sequence[str] = (), rows: DataFrame | None = None
+) -> DataFrame:
+    """A table, or ``rows`` in its place, with the named dimension columns (``dim.column``) joined on.
 
     Each dimension is joined once, reduced to its key and the columns in use. Rows without a
     dimension row are kept, with nulls. Joined columns are called ``dim__column``.
     """
-    df = model.tables[table]
+    df = model.tables[table] if rows is None else rows
     needed: dict[str, set[str]] = {}
     links: dict[str, Relationship] = {}
     for column in columns:
@@ -140,8 +147,10 @@ def _condition(column: str, wanted: object) -> Column:
     return col == F.lit(wanted)
 
 
-def context(model: Model, table: str, by: Sequence[str], filters: Filters, use: Sequence[str]) -> DataFrame:
-    """The rows of ``table`` in the filter context.
+def context(
+    model: Model, table: str, by: Sequence[str], filters: Filters, use: Sequence[str] = (), rows: DataFrame | None = None
+) -> DataFrame:
+    """The rows of ``table``, or of ``rows`` in its place, in the filter context.
 
     As in any star model a filter on a table that ``table`` is not related to leaves it alone,
     while grouping by an unrelated column is an error. A filter on a table or column that the
@@ -151,13 +160,40 @@ def context(model: Model, table: str, by: Sequence[str], filters: Filters, use:
         known = model.tables.get(_split(c)[0])
         if known is None or _split(c)[1] not in known.columns:
             raise KeyError(f"the model has no column {c}")
-    reaching = {c: v for c, v in filters.items() if model.path(table, _split(c)[0], use) is not None}
-    df = star(model, table, list(dict.fromkeys([*by, *reaching])), use)
+    reaching = _reaching(model, table, filters, use)
+    df = star(model, table, list(dict.fromkeys([*by, *reaching])), use, rows)
     for column, wanted in reaching.items():
         df = df.filter(_condition(column, wanted))
     return df
 
 
+def _reaching(model: Model, table: str, filters: Filters, use: Sequence[str]) -> Filters:
+    return {c: v for c, v in filters.items() if model.path(table, _split(c)[0], use) is not None}
+
+
+def _own_columns(model: Model, table: str, columns: Sequence[str], use: Sequence[str]) -> list[str]:
+    """The columns of ``table`` through which dimension columns are reached."""
+    found = []
+    for column in columns:
+        dim, name = _split(column)
+        chain = model.path(table, dim, use)
+        found.append(chain[0].fact_key if chain else name)
+    return found
+
+
+def grouped(
+    model: Model, table: str, by: Sequence[str], aggregates: Mapping[str, Aggregate], filters: Filters, use: Sequence[str]
+) -> DataFrame:
+    """Aggregates of one table per group, from the smallest stored grouping that can answer, else from its rows."""
+    keys = [_flat(*_split(c)) for c in by]
+    columns = _own_columns(model, table, [*by, *_reaching(model, table, filters, use)], use)
+    stored = smallest(model.cuboids.get(table, ()), columns, list(aggregates.values()))
+    if stored is not None:
+        return states.merged(context(model, table, by, filters, use, stored.data), keys, aggregates)
+    rows = context(model, table, by, filters, use)
+    return rows.groupBy(*keys).agg(*[a().alias(n) for n, a in aggregates.items()])
+
+
 def evaluate(
     model: Model,
     measures: Sequence[str],
@@ -175,25 +211,24 @@ def evaluate(
     filters = filters or {}
     chosen = [model.measures[m] for m in measures]
     leading = {m.parts[0][0] for m in chosen}
-    per_table: dict[str, list[Column]] = {}
+    per_table: dict[str, dict[str, Aggregate]] = {}
     for m in chosen:
         for i, (table, aggregate) in enumerate(m.parts):
-            per_table.setdefault(table, []).append(aggregate().alias(f"{m.name}#{i}"))
+            per_table.setdefault(table, {})[f"{m.name}#{i}"] = aggregate
 
-    grouped: list[DataFrame] = []
+    whole: list[DataFrame] = []
     coarser: list[tuple[list[str], DataFrame]] = []
     for table, aggregates in per_table.items():
         reach = [c for c in by if model.path(table, _split(c)[0], use) is not None]
         if reach != list(by) and table in leading:
             raise NoPathError(f"{table} has no relationship to {sorted(set(by) - set(reach))}")
-        rows = context(model, table, reach, filters, use)
-        part = rows.groupBy(*[_flat(*_split(c)) for c in reach]).agg(*aggregates)
+        part = grouped(model, table, reach, aggregates, filters, use)
         if reach == list(by):
-            grouped.append(part)
+            whole.append(part)
         else:
             coarser.append((reach, part))
     keys = [_flat(*_split(c)) for c in by]
-    joined = _meet(grouped, keys)
+    joined = _meet(whole, keys)
     for reach, part in coarser:
         joined = _attach(joined, part, [_flat(*_split(c)) for c in reach])
 
@@ -256,7 +291,16 @@ def secure(model: Model, dim: str, column: str, mapping: DataFrame, user: str) -
         chain = model.path(name, dim)
         return _follow(model, df, chain, visible()) if chain else policy.deny(df)
 
-    return replace(model, tables=LazyTables({name: partial(seen, name) for name in model.tables}))
+    def cut(name: str, stored: Cuboid) -> Cuboid | None:
+        if name == dim:
+            return replace(stored, data=policy.allowed_dim(stored.data, column, mapping, user)) if column in stored.keys else None
+        chain = model.path(name, dim)
+        if not chain or chain[0].fact_key not in stored.keys:
+            return None
+        return replace(stored, data=_follow(model, stored.data, chain, visible()))
+
+    cuboids = {name: [c for c in (cut(name, s) for s in own) if c] for name, own in model.cuboids.items()}
+    return replace(model, tables=LazyTables({name: partial(seen, name) for name in model.tables}), cuboids=cuboids)
 
 
 def _follow(model: Model, df: DataFrame, chain: Sequence[Relationship], visible: DataFrame) -> DataFrame:
@@ -304,20 +348,12 @@ TENTHS: Display = partial(money.display_number, digits=1)
 
 
 def _of(table: str) -> Callable[..., Measure]:
-    def measure(name: str, aggregate: Callable[[], Column], display: Display = COUNT) -> Measure:
+    def measure(name: str, aggregate: Aggregate, display: Display = COUNT) -> Measure:
         return Measure(name, ((table, aggregate),), display=display)
 
     return measure
 
 
-def _sum(column: str) -> Callable[[], Column]:
-    return lambda: F.sum(column)
-
-
-def _usd(column: str) -> Callable[[], Column]:
-    return lambda: exact_sum(column).cast("double")
-
-
 def _ratio(name: str, top: Part, bottom: Part, display: Display = PERCENT) -> Measure:
     return Measure(name, (top, bottom), safe_div, display)
 
@@ -330,47 +366,47 @@ def _fleet_measures() -> dict[str, Measure]:
         _of("agg_maintenance_cost_by_site"),
         _of("agg_telematics_freshness"),
     )
-    rows: Part = ("fact_rental", lambda: F.count(F.lit(1)))
+    rows: Part = ("fact_rental", states.row_count())
     # A count over no rows is blank, not zero.
-    one_way: Part = ("fact_rental", lambda: F.nullif(F.count_if("is_one_way"), F.lit(0)))
-    earned: Part = ("fact_rental", _usd("revenue_usd"))
-    available = lambda: F.sum(F.col("fleet_size") * F.col("days_in_month"))
+    one_way: Part = ("fact_rental", states.count_where("is_one_way"))
+    earned: Part = ("fact_rental", states.usd("revenue_usd"))
+    available = states.total("fleet_days", lambda: F.col("fleet_size") * F.col("days_in_month"))
     listed = [
         Measure("Total Rentals", (rows,)),
         Measure("Total Revenue", (earned,), display=WHOLE_USD),
         _ratio("Revenue per Rental", earned, rows, CENTS),
-        _ratio("Revenue per Site", earned, ("dim_site", lambda: F.count_distinct("site_id")), WHOLE_USD),
-        rental("Average Rental Duration", lambda: F.avg("rental_days"), TENTHS),
-        rental("Total Miles Driven", _sum("miles_driven")),
-        rental("Active Vehicles", lambda: F.count_distinct("vehicle_id")),
+        _ratio("Revenue per Site", earned, ("dim_site", states.distinct("site_id")), WHOLE_USD),
+        rental("Average Rental Duration", states.mean("rental_days"), TENTHS),
+        rental("Total Miles Driven", states.total("miles_driven")),
+        rental("Active Vehicles", states.distinct("vehicle_id")),
         Measure("One-Way Rentals", (one_way,)),
         _ratio("One-Way Rental %", one_way, rows),
-        revenue("Site Revenue", _usd("total_revenue_usd"), WHOLE_USD),
-        month("Monthly Revenue", _usd("total_revenue_usd"), WHOLE_USD),
+        revenue("Site Revenue", states.usd("total_revenue_usd"), WHOLE_USD),
+        month("Monthly Revenue", states.usd("total_revenue_usd"), WHOLE_USD),
         _ratio(
             "Fleet Utilization %",
-            ("agg_fleet_utilization_by_site_month", _sum("total_rented_days")),
+            ("agg_fleet_utilization_by_site_month", states.total("total_rented_days")),
             ("agg_fleet_utilization_by_site_month", available),
         ),
-        idle("Idle Vehicle Count", _sum("idle_vehicles")),
+        idle("Idle Vehicle Count", states.total("idle_vehicles")),
         _ratio(
             "Idle Vehicle %",
-            ("agg_idle_vehicles_by_site", _sum("idle_vehicles")),
-            ("agg_idle_vehicles_by_site", _sum("vehicles_at_site")),
+            ("agg_idle_vehicles_by_site", states.total("idle_vehicles")),
+            ("agg_idle_vehicles_by_site", states.total("vehicles_at_site")),
         ),
-        flows("One-Way Trips", _sum("one_way_trips")),
-        repair("Maintenance Cost", _usd("total_maintenance_cost_usd"), WHOLE_USD),
-        tele("Telematics Vehicles Tracked", lambda: F.count_distinct("vehicle_id")),
-        tele("Avg Telematics Freshness (min)", lambda: F.avg("minutes_since_last_snapshot"), TENTHS),
-        tele("Max Telematics Idle (min)", lambda: F.max("max_idle_minutes"), TENTHS),
-        repair("Labor Cost", _usd("total_labor_cost_usd"), WHOLE_USD),
-        repair("Parts Cost", _usd("total_parts_cost_usd"), WHOLE_USD),
-        repair("Maintenance Events", _sum("maintenance_events")),
-        idle("Fleet Size", _sum("vehicles_at_site")),
-        idle("Vehicles In Maintenance", _sum("maintenance_vehicles")),
-        flows("One-Way Revenue", _usd("one_way_revenue_usd"), WHOLE_USD),
-        use("Rented Vehicle-Days", _sum("total_rented_days")),
-        revenue("Avg Revenue per Rental", lambda: F.avg("avg_revenue_per_rental_usd"), CENTS),
+        flows("One-Way Trips", states.total("one_way_trips")),
+        repair("Maintenance Cost", states.usd("total_maintenance_cost_usd"), WHOLE_USD),
+        tele("Telematics Vehicles Tracked", states.distinct("vehicle_id")),
+        tele("Avg Telematics Freshness (min)", states.mean("minutes_since_last_snapshot"), TENTHS),
+        tele("Max Telematics Idle (min)", states.largest("max_idle_minutes"), TENTHS),
+        repair("Labor Cost", states.usd("total_labor_cost_usd"), WHOLE_USD),
+        repair("Parts Cost", states.usd("total_parts_cost_usd"), WHOLE_USD),
+        repair("Maintenance Events", states.total("maintenance_events")),
+        idle("Fleet Size", states.total("vehicles_at_site")),
+        idle("Vehicles In Maintenance", states.total("maintenance_vehicles")),
+        flows("One-Way Revenue", states.usd("one_way_revenue_usd"), WHOLE_USD),
+        use("Rented Vehicle-Days", states.total("total_rented_days")),
+        revenue("Avg Revenue per Rental", states.mean("avg_revenue_per_rental_usd"), CENTS),
     ]
     return {m.name: m for m in listed}
 
@@ -378,9 +414,9 @@ def _fleet_measures() -> dict[str, Measure]:
 MEASURES = _fleet_measures()
 
 
-def fleet_model(tables: Mapping[str, DataFrame]) -> Model:
-    """The fleet model over gold and aggregate tables, by their names."""
+def fleet_model(tables: Mapping[str, DataFrame], cuboids: Mapping[str, Sequence[Cuboid]] | None = None) -> Model:
+    """The fleet model over gold and aggregate tables, by their names, and stored groupings of them."""
     present = set(tables)
     links = tuple(r for r in RELATIONSHIPS if {r.fact, r.dim} <= present)
     usable = {n: m for n, m in MEASURES.items() if {t for t, _ in m.parts} <= present}
-    return Model(tables, links, usable)
+    return Model(tables, links, usable, cuboids or {})

@@ -16,6 +16,24 @@ from motorpool.operators.cleaning import rental_days
 
 E = F.expr
 
+# Fixed: columns of the order tables. With them no query has to open a file before it is planned.
+BASE_SCHEMAS = {
+    "region": "r_regionkey int, r_name string",
+    "nation": "n_nationkey int, n_name string, n_regionkey int",
+    "customer": "c_custkey long, c_name string, c_nationkey int, c_acctbal double, c_mktsegment string",
+    "supplier": "s_suppkey long, s_name string, s_nationkey int, s_acctbal double",
+    "part": "p_partkey long, p_name string, p_brand string, p_type string, p_size int, p_retailprice double",
+    "orders": (
+        "o_orderkey long, o_custkey long, o_orderstatus string, o_totalprice double, o_orderdate timestamp_ntz,"
+        " o_orderpriority string"
+    ),
+    "lineitem": (
+        "l_orderkey long, l_partkey long, l_suppkey long, l_linenumber int, l_quantity double, l_extendedprice double,"
+        " l_discount double, l_tax double, l_returnflag string, l_linestatus string, l_shipdate timestamp_ntz"
+    ),
+    "events": "event_id long, ts timestamp_ntz, user_id long, event_type string, value double, props string",
+}
+
 
 class Fleet(LazyTables):
     """The fleet views of one data directory, by name."""
@@ -29,7 +47,8 @@ class Fleet(LazyTables):
     def base(self, name: str) -> DataFrame:
         """One of the underlying tables, listed once."""
         if name not in self._read:
-            self._read[name] = self.spark.read.parquet(f"{self.directory}/{name}.parquet")
+            read = self.spark.read.schema(BASE_SCHEMAS[name]) if name in BASE_SCHEMAS else self.spark.read
+            self._read[name] = read.parquet(f"{self.directory}/{name}.parquet")
         return self._read[name]
 
 

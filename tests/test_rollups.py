@@ -4,6 +4,7 @@ from datetime import date
 
 from pyspark.sql import functions as F
 
+from motorpool.functions import states
 from motorpool.operators import ranking, rollups
 from motorpool.operators.joins import site_geo
 from tests.conftest import rows, ts
@@ -97,7 +98,7 @@ def test_spike_summary_is_closed_on_both_ends(spark):
 
 
 def test_drill_tells_totals_from_null_members(golden):
-    opened = rollups.drill(golden["fact_rental"], ["pickup_state", "class_name"], [F.count("*").alias("n")])
+    opened = rollups.drill(golden["fact_rental"], ["pickup_state", "class_name"], {"n": states.row_count()})
     got = rows(opened, "depth", "pickup_state", "class_name", "n")
     assert (0, None, None, 6) in got
     assert (1, "OR", None, 3) in got
