@@ -376,6 +376,43 @@ def _pii(table: str, columns: list[str], min_ratio: float) -> str:
     )
 
 
+def _smoothed(city: str) -> str:
+    key = f"{city}, " if city else ""
+    by = city or "true"
+    return f"""WITH RECURSIVE s AS (
+                 SELECT pickup_site_id AS site, {by} AS k, CAST(year(pickup_ts) * 12 + month(pickup_ts) - 1 AS INTEGER) AS m,
+                        CAST(round({SUM_USD}, 2) AS DECIMAL(18,2)) AS y
+                 FROM fact f WHERE pickup_ts IS NOT NULL GROUP BY ALL),
+               t AS (SELECT k, m, CAST(sum(y) AS DOUBLE) AS y FROM s GROUP BY ALL),
+               r AS (SELECT k, min(m) AS lo, max(m) AS hi FROM t GROUP BY k),
+               c AS (SELECT k, hi, CAST(unnest(range(lo, hi + 1)) AS INTEGER) AS m FROM r),
+               d AS (SELECT c.k, any_value(hi) AS hi, list(coalesce(t.y, 0.0::DOUBLE) ORDER BY c.m) AS y
+                     FROM c LEFT JOIN t ON c.k IS NOT DISTINCT FROM t.k AND c.m = t.m GROUP BY c.k),
+               p AS (SELECT row_number() OVER () - 1 AS i, a, b, g
+                     FROM (VALUES {", ".join(f"({a}::DOUBLE, {b}::DOUBLE, {g}::DOUBLE)" for a in (0.2, 0.5, 0.8) for b in (0.05, 0.2) for g in (0.1, 0.4))}) AS v(a, b, g)),
+               h AS (SELECT k, hi, y, i, a, b, g, len(y) AS n,
+                            list_reduce(y[1:12], lambda u, w: u + w) / 12.0::DOUBLE AS m1,
+                            list_reduce(y[13:24], lambda u, w: u + w) / 12.0::DOUBLE AS m2
+                     FROM d, p WHERE len(y) > 24),
+               f2 AS (SELECT k, hi, y, i, a, b, g, n, 13 AS pos, m1 AS level, (m2 - m1) / 12.0::DOUBLE AS trend,
+                             list_transform(y[1:12], lambda v: v - m1) AS season, 0.0::DOUBLE AS error FROM h
+                      UNION ALL
+                      SELECT k, hi, y, i, a, b, g, n, pos + 1, moved,
+                             b * (moved - level) + (1 - b) * trend,
+                             list_append(season[2:12], g * (v - moved) + (1 - g) * before),
+                             error + (v - (level + trend + before)) * (v - (level + trend + before))
+                      FROM (SELECT *, a * (v - before) + (1 - a) * (level + trend) AS moved
+                            FROM (SELECT *, y[pos] AS v, season[1] AS before FROM f2 WHERE pos <= n))),
+               w AS (SELECT *, row_number() OVER (PARTITION BY k ORDER BY error, i) AS place FROM f2 WHERE pos = n + 1)
+               SELECT {"k AS " + key if city else ""}CAST(step AS INTEGER) AS step,
+                      CAST(make_date(CAST((hi + step) // 12 AS BIGINT), CAST((hi + step) % 12 + 1 AS BIGINT), 1) AS VARCHAR) AS month,
+                      round(level + step * trend + season[step], 2) AS forecast,
+                      round(level + step * trend + season[step] - 1.96 * sqrt(error / (n - 12)) * sqrt(step), 2) AS lower,
+                      round(level + step * trend + season[step] + 1.96 * sqrt(error / (n - 12)) * sqrt(step), 2) AS upper,
+                      a AS alpha, b AS beta, g AS gamma
+               FROM w, (SELECT unnest([1, 2, 3]) AS step) WHERE place = 1"""
+
+
 def _incidents(which: str) -> str:
     return f"""WITH e AS (SELECT *, CASE WHEN ts - lag(ts) OVER w < INTERVAL 720 MINUTE THEN 0 ELSE 1 END AS begins
                           FROM tele WHERE coalesce(idle_minutes > 90, false) OR coalesce(fault_code <> '', false)
@@ -684,6 +721,20 @@ _ORACLES: dict[str, tuple[str, str]] = {
         """SELECT pickup_site_id, total_revenue_usd, row_number() OVER (ORDER BY total_revenue_usd DESC, pickup_site_id) AS position
            FROM revenue_by_site""",
     ),
+    "revenue_by_month_in_order": (
+        "revenue_by_month",
+        """SELECT pickup_site_id, CAST(revenue_month AS VARCHAR) AS revenue_month, total_rentals,
+                  row_number() OVER (ORDER BY pickup_site_id, revenue_month) AS position
+           FROM revenue_by_month""",
+    ),
+    "formatted_measures": (
+        "fact",
+        f"""SELECT pickup_state AS state, format('{{:,}}', count(*)) AS total_rentals,
+                   '$' || format('{{:,.0f}}', {SUM_USD}) AS total_revenue,
+                   '$' || format('{{:,.2f}}', {SUM_USD} / count(*)) AS revenue_per_rental,
+                   format('{{:,.1f}}', count(*) FILTER (WHERE is_one_way) / CAST(count(*) AS DOUBLE) * 100) || '%' AS one_way_rental_pct
+            FROM fact f GROUP BY 1""",
+    ),
     "idle_vehicles_in_order": (
         "vehicles sites",
         """SELECT *, row_number() OVER (ORDER BY idle_vehicles DESC, site_name) AS position
@@ -745,6 +796,8 @@ _ORACLES: dict[str, tuple[str, str]] = {
         """SELECT CAST(CAST(ts AS DATE) AS VARCHAR) AS event_date, count(*) AS events, CAST(sum(idle_minutes) AS BIGINT) AS idle_sum
            FROM tele WHERE ts >= TIMESTAMP '2024-01-15' GROUP BY 1""",
     ),
+    "revenue_forecast_smoothed": ("fact", _smoothed("pickup_city")),
+    "revenue_forecast_smoothed_total": ("fact", _smoothed("")),
     "revenue_forecast": (
         "fact",
         """SELECT pickup_city, CAST(step AS INTEGER) AS step,
@@ -897,11 +950,11 @@ _ORACLES: dict[str, tuple[str, str]] = {
     "layer_reconciliation": (
         "rentals payments paid",
         """WITH a AS (SELECT pickup_site_id, CAST(sum(total_amount_usd) AS DOUBLE) AS revenue,
-                             CAST(count(DISTINCT p.rental_id) AS DOUBLE) AS rentals
+                             CAST(count(DISTINCT p.rental_id) FILTER (WHERE total_amount_usd > 0) AS DOUBLE) AS rentals
                       FROM payments p JOIN rentals r ON p.rental_id = r.rental_id GROUP BY 1),
-                b AS (SELECT pickup_site_id, CAST(sum(CAST(m.revenue_usd AS DECIMAL(18,4))) AS DOUBLE) AS revenue,
-                             CAST(count(*) AS DOUBLE) AS rentals
-                      FROM rentals r JOIN paid m ON r.rental_id = m.rental_id WHERE m.revenue_usd > 0 GROUP BY 1),
+                b AS (SELECT pickup_site_id, CAST(sum(CAST(coalesce(m.revenue_usd, 0) AS DECIMAL(18,4))) AS DOUBLE) AS revenue,
+                             CAST(count(*) FILTER (WHERE m.revenue_usd > 0) AS DOUBLE) AS rentals
+                      FROM rentals r LEFT JOIN paid m ON r.rental_id = m.rental_id GROUP BY 1),
                 pair AS (SELECT coalesce(a.pickup_site_id, b.pickup_site_id) AS pickup_site_id, a.revenue AS r1,
                                 b.revenue AS r2, a.rentals AS n1, b.rentals AS n2
                          FROM a FULL JOIN b ON a.pickup_site_id = b.pickup_site_id)
@@ -910,6 +963,13 @@ _ORACLES: dict[str, tuple[str, str]] = {
            FROM (SELECT pickup_site_id, 'revenue' AS measure, r1 AS l, r2 AS r FROM pair
                  UNION ALL SELECT pickup_site_id, 'rentals', n1, n2 FROM pair)""",
     ),
+    "differing_rows": (
+        "rentals",
+        """SELECT rental_id, customer_id, miles_driven, 'left' AS side FROM rentals WHERE rental_id % 1000 = 7 OR rental_id = 11
+           UNION ALL
+           SELECT rental_id, customer_id, CASE WHEN rental_id % 1000 = 7 THEN coalesce(miles_driven, 0) + 1 ELSE miles_driven END, 'right'
+           FROM rentals WHERE rental_id % 1000 = 7 OR rental_id = 12""",
+    ),
     "one_answer_two_ways": (
         "idle",
         """SELECT count(*) AS left_rows, count(*) AS right_rows, 0::BIGINT AS differing_rows
@@ -965,6 +1025,10 @@ _ORACLES: dict[str, tuple[str, str]] = {
         """SELECT * EXCLUDE (phone) REPLACE (CAST(join_date AS VARCHAR) AS join_date, '***' AS email) FROM customers
            WHERE home_city = 'ASIA-2'""",
     ),
+    "sql_functions": (
+        "customers",
+        "SELECT customer_id, '***@masked.invalid' AS email, home_city FROM customers WHERE home_city = 'ASIA-0'",
+    ),
     "policy_set_denied": (
         "rentals",
         "SELECT 'applied' AS rule, '***@masked.invalid' AS status, count(*) AS visible_rentals FROM rentals",
@@ -1044,5 +1108,7 @@ def all_oracles() -> dict[str, str]:
     for name, (views, body) in _ORACLES.items():
         sql = _with(views, body)
         # An oracle with its own WITH continues the list of views.
+        if body.lstrip().startswith("WITH RECURSIVE "):
+            sql = sql.replace("\nWITH RECURSIVE ", "\nWITH ", 1).replace("WITH ", "WITH RECURSIVE ", 1)
         out[name] = sql.replace("\nWITH ", ",\n", 1) if views and body.lstrip().startswith("WITH ") else sql
     return out

@@ -580,6 +580,21 @@ def sites_by_revenue_in_order(f: Fleet) -> DataFrame:
     return _placed(ranking.ordered(kpi, "total_revenue_usd", ["pickup_site_id"]))
 
 
+@query
+def revenue_by_month_in_order(f: Fleet) -> DataFrame:
+    """Monthly revenue ordered by site and month."""
+    monthly = rollups.agg_revenue_by_site_month(_fact(f, *SITE_FACT)).select("pickup_site_id", "revenue_month", "total_rentals")
+    return text_dates(_placed(monthly.orderBy("pickup_site_id", "revenue_month")), "revenue_month")
+
+
+@query
+def formatted_measures(f: Fleet) -> DataFrame:
+    """Measures as a reader sees them, each in its own format."""
+    model = _model(f)
+    names = ["Total Rentals", "Total Revenue", "Revenue per Rental", "One-Way Rental %"]
+    return _plain(semantic.formatted(model, semantic.evaluate(model, names, by=["dim_site.state"])))
+
+
 @query
 def idle_vehicles_in_order(f: Fleet) -> DataFrame:
     return _placed(ranking.ordered(graph.idle_vehicles_by_site(_graph(f)), "idle_vehicles", ["site_name"]))
@@ -690,6 +705,23 @@ def revenue_forecast(f: Fleet) -> DataFrame:
     return _forecast(f, ["pickup_city"])
 
 
+@query
+def revenue_forecast_smoothed(f: Fleet) -> DataFrame:
+    """Level, trend and season per city."""
+    return _smoothed(f, ["pickup_city"])
+
+
+@query
+def revenue_forecast_smoothed_total(f: Fleet) -> DataFrame:
+    return _smoothed(f, [])
+
+
+def _smoothed(f: Fleet, by: list[str]) -> DataFrame:
+    series = rollups.agg_revenue_by_site_month(_fact(f, *SITE_FACT))
+    found = report.forecast_smoothed(series, by, "revenue_month", "total_revenue_usd")
+    return text_dates(found.withColumns({c: F.round(c, 2) for c in ("forecast", "lower", "upper")}), "month")
+
+
 @query
 def revenue_forecast_total(f: Fleet) -> DataFrame:
     return _forecast(f, [])
@@ -893,19 +925,33 @@ def _by_entity(build: Callable[[Entity], DataFrame]) -> DataFrame:
 
 @query
 def layer_reconciliation(f: Fleet) -> DataFrame:
-    """Payments by pickup site against the paid rentals of the fact."""
+    """All payments by pickup site against all rentals of the fact."""
     site = f["rentals"].select("rental_id", "pickup_site_id")
-    paid = f["payments"].join(site, "rental_id").withColumnRenamed("total_amount_usd", "revenue_usd")
-    fact = _fact(f, "rental_id", "pickup_site_id", "revenue_usd").filter("revenue_usd > 0")
+    sides = (
+        f["payments"].join(site, "rental_id").withColumnRenamed("total_amount_usd", "revenue_usd"),
+        _fact(f, "rental_id", "pickup_site_id", "revenue_usd"),
+    )
     measures = {
         "revenue": exact_sum("revenue_usd"),
-        "rentals": F.count_distinct("rental_id"),
+        # The fact has unpaid rentals too, with nothing to add.
+        "rentals": F.count_distinct(F.when(F.col("revenue_usd") > 0, F.col("rental_id"))),
     }
     # Each rental is rounded to cents in the fact, so totals may drift by cents.
-    found = quality.reconcile(paid, fact, ["pickup_site_id"], measures, tolerance=0.02)
+    found = quality.reconcile(*sides, ["pickup_site_id"], measures, tolerance=0.02)
     return found.withColumns({c: F.round(c, 2) for c in ("left_total", "right_total", "difference")})
 
 
+@query
+def differing_rows(f: Fleet) -> DataFrame:
+    """A copy of the rentals with some rows changed, one lost and one twice: found by digests of buckets."""
+    left = f["rentals"].select("rental_id", "customer_id", "miles_driven")
+    changed = F.when(F.col("rental_id") % 1000 == 7, F.coalesce("miles_driven", F.lit(0)) + 1).otherwise(F.col("miles_driven"))
+    right = left.withColumn("miles_driven", changed)
+    copies = F.expr("case rental_id when 11 then array() when 12 then array(1, 1) else array(1) end")
+    right = right.withColumn("copy", F.explode(copies)).drop("copy")
+    return quality.same_rows(left, right, by=["rental_id"])
+
+
 @query
 def one_answer_two_ways(f: Fleet) -> DataFrame:
     """Idle vehicles per site as a measure and as a graph question."""
@@ -999,6 +1045,15 @@ def policy_set(f: Fleet) -> DataFrame:
     return text_dates(policy.apply_policies(f["customers"], "customers", who, rules_), "join_date")
 
 
+@query
+def sql_functions(f: Fleet) -> DataFrame:
+    """The row filter and the mask as SQL functions, for a principal who sees one city and no addresses."""
+    who = policy.Principal("cem", frozenset({"managers_asia"}))
+    policy.create_sql_functions(f.spark, who, (("managers_asia", "ASIA-0"),), {"privacy"})
+    seen = "SELECT customer_id, mask_email(email) AS email, home_city FROM {customers} WHERE rentals_site_filter(home_city)"
+    return f.spark.sql(seen, customers=f["customers"])
+
+
 @query
 def policy_set_denied(f: Fleet) -> DataFrame:
     """What is left under a rule that can be applied, and under rules that cannot: those deny the table."""

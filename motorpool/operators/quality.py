@@ -149,11 +149,45 @@ def fingerprint(df: DataFrame) -> DataFrame:
     )
 
 
-def same_rows(left: DataFrame, right: DataFrame) -> DataFrame:
-    """Rows that one side has more often than the other; empty when both are equal."""
+# Parts a table is cut into by hash when it is compared by digests.
+DIGEST_BUCKETS = 4096
+
+
+def digests(df: DataFrame, by: Sequence[str] = (), buckets: int = DIGEST_BUCKETS) -> DataFrame:
+    """Per hash bucket of ``by`` (of whole rows if empty): rows and two order-free hashes of their content.
+
+    Rows are added up where they are read, so each task sends at most one row per bucket.
+    """
+    columns = [F.col(f"`{c}`") for c in sorted(df.columns)]
+    bucket = F.pmod(F.xxhash64(F.lit(3), *([F.col(f"`{c}`") for c in by] or columns)), F.lit(buckets)).cast("int")
+    return df.groupBy(bucket.alias("bucket")).agg(
+        F.count(F.lit(1)).alias("rows"),
+        F.bit_xor(F.xxhash64(*columns)).alias("hash_xor"),
+        F.sum(F.xxhash64(F.lit(7), *columns).cast("decimal(20,0)")).alias("hash_sum"),
+    )
+
+
+def differing_buckets(left: DataFrame, right: DataFrame, by: Sequence[str] = (), buckets: int = DIGEST_BUCKETS) -> DataFrame:
+    """The buckets in which two tables differ, at most ``buckets`` rows."""
+    sides = [digests(df, by, buckets).withColumn("sides", F.lit(1)) for df in (left, right)]
+    both = sides[0].unionByName(sides[1]).groupBy("bucket", "rows", "hash_xor", "hash_sum").agg(F.sum("sides").alias("sides"))
+    return both.where("sides = 1").select("bucket").distinct()
+
+
+def same_rows(left: DataFrame, right: DataFrame, by: Sequence[str] = (), buckets: int = DIGEST_BUCKETS) -> DataFrame:
+    """Rows that one side has more often than the other; empty when both are equal.
+
+    Digests of hash buckets are compared first, and rows only of the buckets that differ: equal tables exchange their
+    digests alone. With ``by`` (the key of both tables) a changed row marks one bucket, else two.
+    """
     right = right.select(*left.columns)
-    only_left = left.exceptAll(right).withColumn("side", F.lit("left"))
-    return only_left.unionByName(right.exceptAll(left).withColumn("side", F.lit("right")))
+    # One small number for each bucket that differs: bounded by ``buckets``, whatever the tables hold.
+    wanted = F.broadcast(differing_buckets(left, right, by, buckets).withColumnRenamed("bucket", "_bucket"))
+    columns = [F.col(f"`{c}`") for c in by or sorted(left.columns)]
+    own = F.pmod(F.xxhash64(F.lit(3), *columns), F.lit(buckets)).cast("int") == F.col("_bucket")
+    a, b = (df.join(wanted, own, "left_semi") for df in (left, right))
+    only_left = a.exceptAll(b).withColumn("side", F.lit("left"))
+    return only_left.unionByName(b.exceptAll(a).withColumn("side", F.lit("right")))
 
 
 def compare(left: DataFrame, right: DataFrame) -> DataFrame:

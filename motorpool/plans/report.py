@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from itertools import product
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -110,3 +111,80 @@ def forecast_linear(
         "slope",
         "r2",
     )
+
+
+# Smoothing of level, trend and season that are tried for each series.
+GRID = tuple(product((0.2, 0.5, 0.8), (0.05, 0.2), (0.1, 0.4)))
+
+
+def forecast_smoothed(
+    series: DataFrame,
+    by: Sequence[str],
+    month: str,
+    value: str,
+    horizon: int = 3,
+    season: int = 12,
+    z: float = 1.96,
+    grid: Sequence[tuple[float, float, float]] = GRID,
+) -> DataFrame:
+    """Level, trend and additive season of each series, smoothed month by month and carried ``horizon`` months on.
+
+    Rows are summed to one value per series (``by``) and month first; months without a row count as zero. Level, trend
+    and season start from the first two seasons, and every later month moves them on. Each setting of ``grid`` is tried,
+    and the one with the smallest squared one-step errors (the first of equals) is used. The band is ``z`` times the
+    root of their mean, wider with the step. Series of two seasons or less get no rows. All values of a series, one for
+    each month, are one array: the fold over it needs no Python and no join.
+    """
+    months = calendar.month_number(month).cast("int")
+    totals = series.groupBy(*by, months.alias("_m")).agg(exact_sum(value).cast("double").alias("_y"))
+    whole = totals.where("_m IS NOT NULL").groupBy(*by).agg(
+        F.min("_m").alias("_from"), F.max("_m").alias("_to"), F.map_from_entries(F.collect_list(F.struct("_m", "_y"))).alias("_of")
+    )
+    filled = F.transform(F.sequence("_from", "_to"), lambda m: F.coalesce(F.try_element_at("_of", m), F.lit(0.0)))
+    rows = whole.select(*by, "_to", filled.alias("_y")).where(F.size("_y") > 2 * season)
+
+    def total(array: Column) -> Column:
+        return F.aggregate(array, F.lit(0.0), lambda a, v: a + v)
+
+    first, second = (total(F.slice("_y", 1 + k * season, season)) / F.lit(float(season)) for k in (0, 1))
+    settings = F.array(*[
+        F.struct(F.lit(i).alias("i"), *[F.lit(float(v)).alias(n) for n, v in zip(("a", "b", "g"), s)]) for i, s in enumerate(grid)
+    ])
+    tried = rows.withColumns({"_level": first, "_trend": (second - first) / F.lit(float(season)), "_p": F.explode(settings)})
+    start = F.struct(
+        F.col("_level").alias("level"),
+        F.col("_trend").alias("trend"),
+        F.transform(F.slice("_y", 1, season), lambda v: v - F.col("_level")).alias("season"),
+        F.lit(0.0).alias("error"),
+    )
+    p = F.col("_p")
+
+    def move(s: Column, y: Column) -> Column:
+        old = F.get(s["season"], F.lit(0))
+        level = p["a"] * (y - old) + (1 - p["a"]) * (s["level"] + s["trend"])
+        miss = y - (s["level"] + s["trend"] + old)
+        return F.struct(
+            level.alias("level"),
+            (p["b"] * (level - s["level"]) + (1 - p["b"]) * s["trend"]).alias("trend"),
+            F.concat(F.slice(s["season"], 2, season - 1), F.array(p["g"] * (y - level) + (1 - p["g"]) * old)).alias("season"),
+            (s["error"] + miss * miss).alias("error"),
+        )
+
+    later = F.slice("_y", season + 1, F.size("_y") - season)
+    fitted = tried.withColumn("_s", F.aggregate(later, start, move)).withColumn("_n", F.size("_y") - season)
+    best = fitted.groupBy(*by).agg(F.min_by(F.struct("_s", "_n", "_to", "_p"), F.struct("_s.error", "_p.i")).alias("_best"))
+    steps = best.withColumn("step", F.explode(F.sequence(F.lit(1), F.lit(horizon))))
+    state, step = F.col("_best._s"), F.col("step")
+    line = state["level"] + step * state["trend"] + F.get(state["season"], (step - 1) % season)
+    band = z * F.sqrt(state["error"] / F.col("_best._n")) * F.sqrt(step.cast("double"))
+    return steps.select(
+        *by,
+        "step",
+        F.add_months(F.lit("2000-01-01").cast("date"), F.col("_best._to") - (12 * 2000 + 1) + step).alias("month"),
+        line.alias("forecast"),
+        (line - band).alias("lower"),
+        (line + band).alias("upper"),
+        F.col("_best._p.a").alias("alpha"),
+        F.col("_best._p.b").alias("beta"),
+        F.col("_best._p.g").alias("gamma"),
+    )

@@ -102,3 +102,19 @@ def test_personal_data_is_found_by_column(silver, spark):
 def test_whole_values_are_searched(spark):
     late = spark.createDataFrame([("x" * 100_000 + " me@example.com",)], "note string")
     assert rows(quality.classify_pii(late).filter("is_pii"), "kind") == [("email",)]
+
+
+def test_equal_tables_exchange_digests_only(spark):
+    """No rows meet unless a bucket differs; a changed row marks its bucket alone."""
+    left = spark.range(20_000).selectExpr("id", "id % 7 as v", "cast(id as double) / 3 as d").repartition(5)
+    right = spark.range(20_000).selectExpr("id", "id % 7 as v", "cast(id as double) / 3 as d").repartition(3)
+    assert quality.differing_buckets(left, right).count() == 0 and quality.same_rows(left, right).count() == 0
+    changed = right.selectExpr("id", "if(id = 77, 99, v) as v", "d")
+    assert quality.differing_buckets(left, changed, ["id"]).count() == 1
+    assert rows(quality.same_rows(left, changed, ["id"]), "id", "v", "side") == [(77, 0, "left"), (77, 99, "right")]
+    assert quality.differing_buckets(left, changed).count() == 2
+    assert rows(quality.same_rows(left, changed), "id", "v", "side") == [(77, 0, "left"), (77, 99, "right")]
+    twice = right.union(right.where("id = 5"))
+    assert rows(quality.same_rows(left, twice, buckets=8), "id", "side") == [(5, "right")]
+    some_null = spark.createDataFrame([(None, 1), (2, None)], "k int, v int")
+    assert quality.same_rows(some_null, some_null).count() == 0 and quality.same_rows(some_null, some_null.limit(0)).count() == 2
