@@ -25,8 +25,9 @@ from pyspark.sql import functions as F
 from motorpool.llm.common import written
 
 PARTS, ENTRIES, ROUNDS, SCALE = 4, 256, 4, 1024
-# Coefficients added for all entries before the first ones go, and added between later cuts.
-FIRST, STEP = 4, 4
+# Coefficients added between two looks at which entries are out, and the share of entries that has to be left for these
+# to be listed one by one; until then it is faster to go on with the whole table.
+STEP, LISTED = 4, 1 / 8
 # Parts compared at once: a table of so many rows and all entries stays in the cache of a core.
 ROWS = 512
 # Whole numbers above 64 bits travel as pieces of so many bits; a double times 2^10 has 1,034 bits at most.
@@ -57,18 +58,23 @@ def nearest(x: np.ndarray, entries: np.ndarray) -> tuple[np.ndarray, np.ndarray]
     """For each transformed row the nearest transformed entry (the first of equal ones) and their squared distance
     times the row length."""
     n, width = x.shape
-    first = min(FIRST, width)
     total = np.zeros((n, len(entries)), x.dtype)
-    for c in range(first):
-        apart = x[:, c, None] - entries[None, :, c]
-        total += apart * apart
-    # The entry that leads so far, measured in full, is what the others have to beat.
-    lead = total.argmin(axis=1)
-    rest = x[:, first:] - entries[lead, first:]
-    least = total[np.arange(n), lead] + (rest * rest).sum(axis=1)
-    row, entry = np.nonzero(total <= least[:, None])
+    least = None
+    for c in range(0, width, STEP):
+        for i in range(c, min(c + STEP, width)):
+            apart = x[:, i, None] - entries[None, :, i]
+            total += apart * apart
+        # The entry that leads so far, measured in full, is what the others have to beat.
+        lead = total.argmin(axis=1)
+        rest = x[:, c + STEP :] - entries[lead, c + STEP :]
+        full = total[np.arange(n), lead] + (rest * rest).sum(axis=1)
+        least = full if least is None else np.minimum(least, full)
+        left = total <= least[:, None]
+        if left.mean() <= LISTED:
+            break
+    row, entry = np.nonzero(left)
     total = total[row, entry]
-    for c in range(first, width, STEP):
+    for c in range(c + STEP, width, STEP):
         apart = x[row, c : c + STEP] - entries[entry, c : c + STEP]
         total = total + (apart * apart).sum(axis=1)
         keep = total <= least[row]
