@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import uuid
+import weakref
 from collections.abc import Callable, Iterable, Iterator, Sequence
 from pathlib import Path
 
@@ -15,6 +16,8 @@ from motorpool.session import configure, shared_dir
 
 # Text handled at once inside a task, in bytes: bounds the Python memory of every operator.
 STRETCH_BYTES = 4 << 20
+# Where stored tables lie, as long as anybody holds them.
+_places: weakref.WeakKeyDictionary[DataFrame, str] = weakref.WeakKeyDictionary()
 
 
 def prepared(spark: SparkSession) -> SparkSession:
@@ -45,7 +48,18 @@ def written(df: DataFrame, what: str) -> DataFrame:
     """The rows stored in the shared folder and read again: cuts the lineage and survives lost executors."""
     path = scratch(df.sparkSession, what)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    stored = df.sparkSession.read.schema(df.schema).parquet(path)
+    _places[stored] = path
+    return stored
+
+
+def discard(*stored: DataFrame) -> None:
+    """Delete what :func:`written` has stored, once all that was made of it is stored as well."""
+    for df in stored:
+        spark, path = df.sparkSession, _places.pop(df, None)
+        if path is not None:
+            found = spark._jvm.org.apache.hadoop.fs.Path(path)
+            found.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(found, True)
 
 
 def text_or_empty(column: str) -> Column:

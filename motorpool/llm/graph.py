@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from motorpool.llm.common import written
+from motorpool.llm.common import discard, written
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -25,18 +25,21 @@ def components(edges: DataFrame) -> DataFrame:
         return spark.createDataFrame([], "vertex long, component long")
     while True:
         both = left.unionAll(left.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        up = both.groupBy("a").agg(F.min("b").alias("to")).where("to < a")
-        up = written(up, "hooks")
-        twice = up.alias("x").join(up.alias("y"), F.col("x.to") == F.col("y.a"), "left")
+        once = written(both.groupBy("a").agg(F.min("b").alias("to")).where("to < a"), "hooks")
+        twice = once.alias("x").join(once.alias("y"), F.col("x.to") == F.col("y.a"), "left")
         up = written(twice.select(F.col("x.a").alias("a"), F.coalesce("y.to", "x.to").alias("to")), "hooks")
-        state = written(
+        moved = written(
             state.join(up, F.col("component") == F.col("a"), "left").select("vertex", F.coalesce("to", "component").alias("component")),
             "components",
         )
+        drawn = left
         for end in ("a", "b"):
-            moved = up.select(F.col("a").alias("__from"), "to")
-            left = left.join(moved, F.col(end) == F.col("__from"), "left").withColumn(end, F.coalesce("to", end)).drop("__from", "to")
-        ordered = left.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-        left = written(ordered.where("a <> b").distinct(), "edges")
+            step = up.select(F.col("a").alias("__from"), "to")
+            drawn = drawn.join(step, F.col(end) == F.col("__from"), "left").withColumn(end, F.coalesce("to", end)).drop("__from", "to")
+        ordered = drawn.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+        rest = written(ordered.where("a <> b").distinct(), "edges")
+        discard(once, up, left, state)
+        left, state = rest, moved
         if left.isEmpty():
+            discard(left)
             return state

@@ -32,7 +32,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from motorpool.llm.common import stretches, text_or_empty, written
+from motorpool.llm.common import discard, stretches, text_or_empty, written
 from motorpool.llm.graph import components
 
 WORDS, PERCENT = 5, 80
@@ -243,23 +243,25 @@ def whole_groups(batches: Iterator[pa.RecordBatch], columns: int) -> Iterator[pa
         yield pa.Table.from_batches(held)
 
 
-_LIST = "token long, sid long, long boolean, n long, at int"
+# The place of a posting is kept as -1 - at where its list is long.
+_LIST = "token long, sid long, at int"
 
 
 def _lists(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """From postings by token: those of tokens with several sets, and proposals (sid, sid, null).
+    """From postings by token: those of tokens with several sets, and proposals (sid, sid, no place).
 
     A token has at most one posting for each batch that has found it long, and LONG for any other batch.
     """
     for table in whole_groups(batches, 1):
-        token, sid, n, at = (table.column(i).to_numpy() for i in (0, 1, 3, 4))
-        known_long = table.column(2).to_numpy()
+        token, sid, at = (table.column(i).to_numpy() for i in range(3))
         order = np.lexsort((sid, token))
-        token, sid, known_long, n, at = (c[order] for c in (token, sid, known_long, n, at))
+        token, sid, at = (c[order] for c in (token, sid, at))
+        known_long = at < 0
+        at = np.where(known_long, -1 - at, at)
         new = np.concatenate(([True], (token[1:] != token[:-1]) | (sid[1:] != sid[:-1])))
         group = np.cumsum(np.concatenate(([True], token[1:] != token[:-1]))) - 1
         is_long = np.bincount(group, known_long) > 0
-        token, sid, group, n, at = (c[new] for c in (token, sid, group, n, at))
+        token, sid, group, at = (c[new] for c in (token, sid, group, at))
         count = np.bincount(group)
         is_long |= count > LONG
         first = np.cumsum(count) - count
@@ -279,14 +281,13 @@ def _lists(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             proposals.append(np.stack([np.minimum(leader[own], members), np.maximum(leader[own], members)]))
         pairs = np.unique(np.concatenate(proposals, axis=1), axis=1)
         pairs = pairs[:, pairs[0] != pairs[1]]
-        names = ["token", "sid", "long", "n", "at"]
+        names, at = ["token", "sid", "at"], np.where(listed, -1 - at, at).astype(np.int32)
         for i in range(0, int(keep.sum()), 100_000):
             part = np.flatnonzero(keep)[i : i + 100_000]
-            yield pa.RecordBatch.from_arrays([pa.array(c[part]) for c in (token, sid, is_long[group], n, at)], names)
+            yield pa.RecordBatch.from_arrays([pa.array(c[part]) for c in (token, sid, at)], names)
         for i in range(0, pairs.shape[1], 100_000):
             a, b = pairs[:, i : i + 100_000]
-            none = [pa.nulls(len(a), k) for k in (pa.bool_(), pa.int64(), pa.int32())]
-            yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), *none], names)
+            yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), pa.nulls(len(a), pa.int32())], names)
 
 
 def _partners_in_lists(percent: int):
@@ -490,6 +491,11 @@ def _bounded(percent: int):
     return run
 
 
+def _ends(pairs: DataFrame) -> DataFrame:
+    """The sets that occur in pairs, once each."""
+    return pairs.select(F.col("a").alias("sid")).unionAll(pairs.select(F.col("b").alias("sid"))).distinct()
+
+
 class _Join:
     def __init__(self, docs: DataFrame, key: str, text: str, words: int, percent: int) -> None:
         self.words, self.percent = words, percent
@@ -509,23 +515,29 @@ class _Join:
         return np.sort(best.select("token").toArrow().column(0).to_numpy().astype(np.int64).view(np.uint64))
 
     def verified(self, pairs: DataFrame) -> DataFrame:
-        """The pairs (a, b) whose sets are similar."""
+        """The pairs (a, b) whose sets are similar, stored."""
         meta = self.sets.where("tokens IS NOT NULL").select("sid", "n", "buckets")
-        involved = pairs.select(F.explode(F.array("a", "b")).alias("sid")).distinct()
-        meta = written(meta.join(involved, "sid", "left_semi").dropDuplicates(["sid"]), "meta")
+        meta = written(meta.join(_ends(pairs), "sid", "left_semi").dropDuplicates(["sid"]), "meta")
         sides = [meta.select(F.col("sid").alias(s), F.col("n").alias(f"n_{s}"), F.col("buckets").alias(f"buckets_{s}")) for s in "ab"]
         known = pairs.join(sides[0], "a").join(sides[1], "b").select("a", "b", "n_a", "n_b", "buckets_a", "buckets_b")
         likely = written(known.mapInArrow(_bounded(self.percent), "a long, b long"), "likely")
-        involved = likely.select(F.explode(F.array("a", "b")).alias("sid")).distinct()
-        holders = self.sets.select("sid", "text_hash").join(involved, "sid", "left_semi").groupBy("sid").agg(F.min("text_hash").alias("text_hash"))
+        discard(meta)
+        holders = self.sets.select("sid", "text_hash").join(_ends(likely), "sid", "left_semi").groupBy("sid").agg(F.min("text_hash").alias("text_hash"))
         sets = self.elements(holders)
         left, right = (sets.select(F.col("sid").alias(s), F.col("elements").alias(f"set_{s}")) for s in "ab")
         both = likely.join(left, "a").join(right, "b").select("a", "b", "set_a", "set_b")
-        return both.mapInArrow(_probed(self.percent), "a long, b long")
+        found = written(both.mapInArrow(_probed(self.percent), "a long, b long"), "links")
+        discard(likely)
+        return found
 
     def elements(self, holders: DataFrame) -> DataFrame:
-        """``sid`` and ``elements`` of the texts with the ``text_hash`` of the holders."""
-        texts = self.rows.join(holders.select("text_hash").distinct(), "text_hash", "left_semi").select("text_hash", "text")
+        """``sid`` and ``elements`` of the texts with the ``text_hash`` of the holders.
+
+        Up to BROADCAST_ROWS hashes go to where the texts are; more are joined by shuffling.
+        """
+        wanted = written(holders.select("text_hash").distinct(), "wanted")
+        few = wanted.count() <= BROADCAST_ROWS
+        texts = self.rows.join(F.broadcast(wanted) if few else wanted, "text_hash", "left_semi").select("text_hash", "text")
         words = self.words
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -545,25 +557,28 @@ class _Join:
 
     def grouped(self) -> DataFrame:
         """``key``, ``text_hash``, ``n`` and ``group`` of every row; rows without words have no group."""
-        found = written(components(written(self.links(), "links")), "components")
+        first, known, second = self.links()
+        found = components(first.unionAll(second))
+        discard(first, known, second)
         named = self.sets.select("key", "text_hash", "n", "sid").join(found, F.col("sid") == F.col("vertex"), "left")
         return named.select("key", "text_hash", "n", F.coalesce("component", "sid").alias("group"))
 
     def counted(self) -> DataFrame:
         """``key``, ``n``, ``group`` and ``n_links`` of every row: how many other rows its set is similar to.
 
-        Links never leave a component, so all pairs of distinct sets inside each are compared, but for those whose
-        sizes rule them out. Large components are cut into blocks of sets of like sizes, each pair of blocks a piece.
+        The links between the components that long lists have shown are all listed; those inside one are counted here,
+        among all its distinct sets, but for those whose sizes rule them out. Large components are cut into blocks of
+        sets of like sizes, each pair of blocks a piece.
         """
-        found = written(components(written(self.links(), "links")), "components")
+        first, found, second = self.links()
+        groups = components(first.unionAll(second))
         named = self.sets.where("sid IS NOT NULL").groupBy("sid").agg(
             F.count(F.lit(1)).alias("copies"), F.min("text_hash").alias("text_hash"), F.max("n").alias("n")
         )
         # A little wider than the largest ratio of similar sizes: partners are in the same class or the next.
         width = max(log(100 / self.percent), 0.001) * 1.001
         size_class = F.floor(F.log("n") / width)
-        members = named.join(found, F.col("sid") == F.col("vertex"), "left").withColumn("class", size_class).drop("vertex")
-        members = written(members, "members")
+        members = written(named.join(found, F.col("sid") == F.col("vertex"), "left").withColumn("class", size_class).drop("vertex"), "members")
         linked = members.where("component IS NOT NULL")
         classes = linked.groupBy("component", "class").agg(F.count(F.lit(1)).alias("size"), F.sum("n").alias("total"))
         classes = written(classes, "classes")
@@ -586,39 +601,47 @@ class _Join:
         pieces = dealt.join(self.elements(linked), "sid").select("component", "low", "high", "block", "sid", "copies", "elements")
         piece = ["component", "low", "high"]
         compared = pieces.repartition(*piece).sortWithinPartitions(*piece).mapInArrow(_partners(self.percent), "sid long, partners long")
-        partners = compared.groupBy("sid").agg(F.sum("partners").alias("partners"))
-        links = members.join(partners, "sid", "left").select(
-            F.col("sid").alias("s"), F.coalesce("component", "sid").alias("group"),
+        copies = members.select(F.col("sid").alias("c"), "copies")
+        between = [
+            second.join(copies, F.col(other) == F.col("c")).select(F.col(own).alias("sid"), F.col("copies").alias("partners"))
+            for own, other in (("a", "b"), ("b", "a"))
+        ]
+        partners = compared.unionAll(between[0]).unionAll(between[1]).groupBy("sid").agg(F.sum("partners").alias("partners"))
+        counts = members.join(partners, "sid", "left").join(groups, F.col("sid") == F.col("vertex"), "left").select(
+            F.col("sid").alias("s"), groups["component"].alias("group"),
             (F.col("copies") - 1 + F.coalesce("partners", F.lit(0))).alias("n_links"),
         )
-        rows = self.sets.select("key", "n", "sid").join(written(links, "counts"), F.col("sid") == F.col("s"), "left")
+        counts = written(counts.withColumn("group", F.coalesce("group", "s")), "counts")
+        discard(members, classes, groups, first, found, second)
+        rows = self.sets.select("key", "n", "sid").join(counts, F.col("sid") == F.col("s"), "left")
         return rows.select("key", "n", "group", F.coalesce("n_links", F.lit(0).cast("long")).alias("n_links"))
 
-    def links(self) -> DataFrame:
-        """Links (a, b) between set names that connect every component of similar sets."""
+    def links(self) -> tuple[DataFrame, DataFrame, DataFrame]:
+        """Links (a, b) that long lists propose, the components they make, and all links between sets of different
+        such components; all stored."""
         sets = self.sets.where("tokens IS NOT NULL")
-        named = sets.select("sid", "n", F.explode("tokens").alias("post"), F.lit(False).alias("long")).unionAll(
-            sets.select("sid", "n", F.explode(F.filter("hot", lambda p: F.array_contains("leads", p["token"]))).alias("post"), F.lit(True))
-        )
-        posts = named.select("post.token", "sid", "long", "n", "post.at")
-        lists = written(posts.repartition("token").sortWithinPartitions("token").mapInArrow(_lists, _LIST), "lists")
-        proposed = lists.where("long IS NULL").select(F.col("token").alias("a"), F.col("sid").alias("b")).unionAll(
+        of_lead = F.filter("hot", lambda p: F.array_contains("leads", p["token"]))
+        short = sets.select("sid", F.explode("tokens").alias("post")).select("post.token", "sid", "post.at")
+        leads = sets.select("sid", F.explode(of_lead).alias("post")).select("post.token", "sid", (-1 - F.col("post.at")).alias("at"))
+        posts = short.unionAll(leads).repartition("token").sortWithinPartitions("token")
+        lists = written(posts.mapInArrow(_lists, _LIST), "lists")
+        proposed = lists.where("at IS NULL").select(F.col("token").alias("a"), F.col("sid").alias("b")).unionAll(
             sets.select(F.explode("leaders").alias("a"), F.col("sid").alias("b")).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
         )
         proposed = written(proposed.distinct(), "proposed")
-        first = written(self.verified(proposed), "links")
-        known = written(components(first), "components")
+        first = self.verified(proposed)
+        known = components(first)
         # Which long lists each set has posted, and whether it may skip them all.
-        in_long = lists.where("long").groupBy("sid").agg(F.collect_list(F.struct("token", "at")).alias("listed"))
+        in_long = lists.where("at < 0").groupBy("sid").agg(F.collect_list(F.struct("token", (-1 - F.col("at")).alias("at"))).alias("listed"))
         sized = sets.select("sid", "n", "hot", "folded").dropDuplicates(["sid"]).join(in_long, "sid", "left")
         sized = sized.withColumn("hot", F.array_distinct(F.concat("hot", F.coalesce("listed", F.array().cast(_POST))))).drop("listed")
         sized = sized.join(known, F.col("sid") == F.col("vertex"), "left").select(
             "sid", "n", "hot", "folded", F.coalesce("component", "sid").alias("component")
         )
         sized = written(sized, "sized")
-        of_set = sized.select(F.col("sid").alias("s"), F.size("hot").alias("hot"), "component")
-        short = lists.where("NOT long").join(of_set, F.col("sid") == F.col("s"))
-        short = short.select("token", "sid", "n", F.col("at").cast("long").alias("at"), F.col("hot").cast("long").alias("hot"), "component")
+        of_set = sized.select(F.col("sid").alias("s"), "n", F.size("hot").cast("long").alias("hot"), "component")
+        short = lists.where("at >= 0").join(of_set, F.col("sid") == F.col("s"))
+        short = short.select("token", "sid", "n", F.col("at").cast("long").alias("at"), "hot", "component")
         received = short.repartition("token").sortWithinPartitions("token").mapInArrow(
             _partners_in_lists(self.percent), "own long, others array<long>, needed array<long>"
         )
@@ -640,8 +663,11 @@ class _Join:
         )
         met = pieces.repartition(*piece).sortWithinPartitions(*piece).mapInArrow(_block_pairs(self.percent), "a long, b long")
         pairs = merged.unionAll(met).distinct().join(proposed, ["a", "b"], "left_anti")
-        second = self.verified(written(pairs, "pairs"))
-        return first.unionAll(second)
+        pairs = written(pairs, "pairs")
+        discard(lists, proposed, sized, members)
+        second = self.verified(pairs)
+        discard(pairs)
+        return first, known, second
 
 
 def one_of_each(
