@@ -5,13 +5,14 @@ character q-grams with it, and all of them within k diagonals of each other. Sha
 bands of diagonals; only bands that reach the count are aligned, within the band, to learn the true distance. Short
 items share too few q-grams for that and are found exactly, between borders of words.
 
-Both sides are compared in a plain form: lower case, everything but letters and digits as one blank, and "s" for "ß"
-and runs of "s", so that upper case ("SS") and decoration hide nothing.
+Both sides are compared in a plain form: lower case, letters without their accents (composed or not), everything but
+letters and digits as one blank, and "s" for "ß" and runs of "s", so that upper case ("SS") and decoration hide nothing.
 """
 
 from __future__ import annotations
 
 import functools
+import unicodedata
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -25,14 +26,12 @@ from motorpool.llm.common import per_row, stretches, text_or_empty
 Q = 8
 # Edits allowed for each character of an item; items shorter than this are matched without any, on borders of words.
 EDIT_RATE, LEAST_CHARS = 0.08, 32
-# Short items with fewer words and fewer characters than this are phrases any text may hold, and match nothing.
-SHORT_WORDS, SHORT_CHARS = 3, 24
-# From here on (East Asian scripts) signs stand without blanks: each has borders, and two count as a word.
+# From here on (East Asian scripts) signs stand without blanks: each has borders.
 UNSPACED = 0x2E80
 # Text handled at once, and benchmark text handled in one pass over the documents (its index is broadcast, about
 # thirty times as large): more items take more passes.
 TEXT_BYTES, ITEM_BYTES = 2 << 20, 4 << 20
-GAP = 1  # between documents; no plain form contains it
+GAP, MARK = 1, 2  # between documents, and accents that follow their letter; no plain form contains them
 TABLE_BITS = 22
 # An item in which a q-gram occurs more often than this is too repetitive for diagonals to tell places apart.
 REPEATS = 16
@@ -46,7 +45,10 @@ def _plain_codes() -> np.ndarray:
     for c in range(0x110000):
         sign = chr(c)
         if sign.isalnum():
-            table[c] = ord(sign.lower()[0])
+            base, *marks = unicodedata.normalize("NFD", sign.lower()[0])
+            table[c] = ord(base if all(map(unicodedata.combining, marks)) else sign.lower()[0])
+        elif unicodedata.combining(sign):
+            table[c] = MARK
     table[[0xDF, 0x1E9E]] = ord("s")
     return table
 
@@ -65,10 +67,11 @@ def plain(texts: list[str]) -> Plain:
     codes = _plain_codes()[np.frombuffer(joined.encode("utf-32-le", "surrogatepass"), dtype=np.uint32)]
     ends = np.cumsum([len(t) + 1 for t in texts])
     codes[ends - 1] = GAP
+    place = np.flatnonzero(codes != MARK)
+    codes = codes[place]
     before = np.concatenate(([GAP], codes[:-1]))
     keep = (codes != 0) & ~((codes == ord("s")) & (before == ord("s"))) | (codes == 0) & (before > GAP)
-    place = np.flatnonzero(keep)
-    return Plain(codes[place], place, np.concatenate(([0], ends[:-1])))
+    return Plain(codes[keep], place[keep], np.concatenate(([0], ends[:-1])))
 
 
 def grams(codes: np.ndarray) -> np.ndarray:
@@ -103,15 +106,8 @@ class Items:
     short: dict[bytes, list[int]]  # codes of short items, which come after all others in ``ids``
 
 
-def _says_enough(form: np.ndarray) -> bool:
-    unspaced = int((form >= UNSPACED).sum())
-    spaced = (form > GAP) & (form < UNSPACED)
-    words = int((spaced & ~np.concatenate(([False], spaced[:-1]))).sum())
-    return words + unspaced // 2 >= SHORT_WORDS or len(form) + unspaced >= SHORT_CHARS
-
-
 def index(items: list[tuple[int, str]], rate: float = EDIT_RATE, least: int = LEAST_CHARS) -> Items:
-    """Items whose plain form is shorter than ``least`` are short; those that say too little are left out."""
+    """Items whose plain form is shorter than ``least`` are short; one without letters and digits has no form."""
     ids, codes = [], []
     brief: list[tuple[int, np.ndarray]] = []
     for item_id, text in items:
@@ -121,7 +117,7 @@ def index(items: list[tuple[int, str]], rate: float = EDIT_RATE, least: int = LE
         if len(form) >= max(least, Q):
             ids.append(item_id)
             codes.append(form)
-        elif _says_enough(form):
+        elif len(form):
             brief.append((item_id, form))
     short: dict[bytes, list[int]] = {}
     for item_id, form in brief:
@@ -248,8 +244,7 @@ def _short(form: Plain, items: Items) -> Iterator[tuple[int, int, int]]:
 def matches(texts: list[str], items: Items) -> list[tuple[int, int, int, int, int]]:
     """(text, item, start, end, edits) of every place where an item stands, in code points of the text.
 
-    Of places of one item that overlap the one with the fewest edits counts, the first of equals; a repetitive item
-    is reported once for each stretch that looks like it.
+    Of places of one item that overlap the one with the fewest edits counts, the first of equals.
     """
     if not items.ids or not texts:
         return []
@@ -261,7 +256,9 @@ def matches(texts: list[str], items: Items) -> list[tuple[int, int, int, int, in
         pattern, k = items.codes[i], int(items.budget[i])
         # Each document the stretch touches is tried by itself.
         cuts = gaps[(gaps >= low) & (gaps < high)]
-        for a, b in zip([low, *(cuts + 1)], [*cuts, high]):
+        todo = list(zip([low, *(cuts + 1).tolist()], [*cuts.tolist(), high]))
+        while todo:
+            a, b = todo.pop()
             text = form.codes[a:b]
             if len(text) + k < len(pattern):
                 continue
@@ -278,6 +275,8 @@ def matches(texts: list[str], items: Items) -> list[tuple[int, int, int, int, in
             first, last = form.place[a + start], form.place[a + end - 1]
             t = int(np.searchsorted(form.text, first, side="right")) - 1
             found.setdefault((t, i), []).append((int(first - form.text[t]), int(last - form.text[t]) + 1, edits))
+            # The stretch may hold the item again, left or right of here.
+            todo += [(a, a + start), (a + end, b)]
     for i, start, end in _short(form, items):
         first, last = form.place[start], form.place[end - 1]
         t = int(np.searchsorted(form.text, first, side="right")) - 1
@@ -320,7 +319,7 @@ def leaks(
     """One row for each place where an item stands in a document: ``key``, ``item_id``, ``start``, ``end``, ``edits``.
 
     Every whole text is searched for every item, those with fewer than ``least`` plain characters without edits and on
-    borders of words, down to SHORT_WORDS words or SHORT_CHARS characters; shorter ones match nothing. Null texts and items match
+    borders of words, however short; an item without letters and digits matches nothing. Null texts and items match
     nothing; equal items are each reported; repeated documents give repeated rows; documents without a match give none.
     The benchmark passes through the driver in portions of ITEM_BYTES, each broadcast for one pass over the documents.
     """

@@ -89,17 +89,36 @@ def test_every_place_and_every_item():
 
 
 def test_short_items_are_found_exactly_and_on_borders():
-    index = L.index([(1, "What is DNA?"), (2, "who is it"), (3, "光合作用是什么"), (4, "a b c"), (5, "is it"), (6, "What is DNA?")])
+    index = L.index([(1, "What is DNA?"), (2, "who is it"), (3, "光合作用是什么"), (4, "a b c"), (5, "is it"), (6, "What is DNA?"), (7, "?!")])
     texts = ["Q: WHAT is -- DNA! what is dna", "what is dnas, somewhat is dna", "请问光合作用是什么意思", "who is", "it", "ba b c; a b c", "", "is it"]
     found = [(t, index.ids[i], texts[t][a:b], k) for t, i, a, b, k in L.matches(texts, index)]
     assert sorted(found) == [
         (0, 1, "WHAT is -- DNA", 0), (0, 1, "what is dna", 0), (0, 6, "WHAT is -- DNA", 0), (0, 6, "what is dna", 0),
-        (2, 3, "光合作用是什么", 0), (5, 4, "a b c", 0),
+        (2, 3, "光合作用是什么", 0), (5, 4, "a b c", 0), (7, 5, "is it", 0),
     ]
     both = L.index([(1, ITEM), (2, "three seas and has")])
     assert {(both.ids[m[1]], m[4]) for m in L.matches([ITEM], both)} == {(1, 0), (2, 0)}
 
 
+def test_accents_composed_or_not():
+    import unicodedata
+
+    item = "Où est né l'élève dont le frère a gagné à Besançon près de la forêt?"
+    index = L.index([(1, item), (2, "さがしています"), (3, "대한민국의 수도는 어디입니까 그리고 왜 그렇습니까 하고 물었다 그는")])
+    for form in ("NFC", "NFD"):
+        text = unicodedata.normalize(form, f"Dit-il: {item} Oui.")
+        assert [(m[1], m[4], text[m[2] : m[3]]) for m in L.matches([text], index)] == [(0, 0, unicodedata.normalize(form, item[:-1]))]
+    assert L.matches([unicodedata.normalize("NFD", "「さがしています」")], index)
+    assert L.matches(["대한민국의 수도는 어디입니까 그리고 왜 그렇습니까 하고 물었다 그는"], index)
+
+
+def test_every_place_of_a_repetitive_item():
+    item = "ab cd " * 30
+    for text, n in ((f"{item}-- {item}", 2), (f"{item} {'zz ' * 300} {item}", 2), (f"{item * 3}", 3), (f"x {item} y {item[:-30]} z {item}", 2)):
+        found = L.matches([text], L.index([(1, item)]))
+        assert len(found) == n and all(a[3] <= b[2] for a, b in zip(found, found[1:])), text
+
+
 def test_documents_with_a_short_item_go(spark):
     bench = spark.createDataFrame([(1, "What is DNA?")], "item_id long, text string")
     docs = spark.createDataFrame([(1, "so what is DNA, then"), (2, "what is RNA"), (3, None)], "doc_id long, text string")
