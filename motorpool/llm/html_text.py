@@ -5,7 +5,8 @@ the next, less further out. The sum of an element is discounted by the share of
 or main part around the best element is kept, with those of its siblings that score well or read like text; on a page
 without one, all but the lists of links around the best element. Elements that are never part of an article (navigation,
 scripts, notices, adverts, comments ...) are cut from the tree first; those only their name or a form speaks against are
-not cut if they hold the article.
+not cut if they hold the article, nor inside one if the name says something else as well. Reader comments, by name or by
+heading, never count as the article, however long they are. All steps go over the tree a fixed number of times.
 """
 
 from __future__ import annotations
@@ -55,19 +56,46 @@ START = {"article": 25.0, "main": 20.0, "section": 4.0, "div": 5.0, "pre": 3.0,
 START |= dict.fromkeys(("address", "ol", "ul", "dl", "dd", "dt", "li"), -3.0)
 START |= dict.fromkeys(("h1", "h2", "h3", "h4", "h5", "h6", "th"), -5.0)
 ARTICLES = frozenset(("article", "main"))
-# How much the name of an element speaks against it: a word among others, or nothing else.
-PARTLY, WHOLLY = 1, 2
+# How much the name of an element speaks against it: a word among others, or nothing else; or it holds comments.
+PARTLY, WHOLLY, COMMENTS = 1, 2, 3
+# Words of a name that say nothing about what an element holds.
+NEUTRAL = frozenset(
+    "area bar block bottom box button buttons col column container group holder icon icons inner item items left link links"
+    " list module outer panel region right row section slot top unit wrap wrapper zone".split()
+)
+REMARKS = frozenset("comment comments disqus replies respond".split())
+# A name that ends so tells what may be done with comments, not that they are here.
+SETTINGS = frozenset("open closed enabled disabled allowed on off count".split())
+REMARKS_HEADING = re.compile(r"(?:\d[\d,. ]*)?(?:(?:reader|user|all|your) )?comments?(?: ?\(\d+\))?:?", re.I)
+MAY_HEAD_REMARKS = re.compile(r"comment[^<]{0,20}</h[1-6]", re.I)
+# How far a paragraph passes points.
+LEVELS = 8
 HEADINGS = frozenset(("h1", "h2", "h3"))
+HEADS = HEADINGS | {"h4", "h5", "h6"}
+# What a heading can mark as comments.
+REMARK_PARTS = frozenset("div section aside ol ul".split())
 
 
 class Element:
-    __slots__ = ("tag", "parent", "parts", "dropped", "doubt", "score", "text", "links")
+    __slots__ = ("tag", "parent", "parts", "dropped", "doubt", "score", "text", "links", "block")
 
     def __init__(self, tag: str, parent: Element | None, dropped: bool, doubt: int = 0) -> None:
         self.tag, self.parent, self.dropped, self.doubt = tag, parent, dropped, doubt
         self.parts: list[Element | str] = []
         self.score: float | None = None
         self.text = self.links = 0
+        # The nearest block element, itself included.
+        self.block: Element = self if tag in BLOCK or parent is None else parent.block
+
+
+def elements(root: Element) -> list[Element]:
+    """All elements, each after its parent, in page order."""
+    found, stack = [], [root]
+    while stack:
+        node = stack.pop()
+        found.append(node)
+        stack += [part for part in reversed(node.parts) if not isinstance(part, str)]
+    return found
 
 
 def _unwanted(tag: str, attributes: str, inside: set[str]) -> bool:
@@ -88,14 +116,24 @@ def _unwanted(tag: str, attributes: str, inside: set[str]) -> bool:
     return False
 
 
+def _remarks(tag: str, name: str) -> bool:
+    """Whether a class or id says that reader comments are here; an article has to be called nothing else."""
+    told = [[w.lower() for w in WORD.findall(token)] for token in name.split()]
+    about = [bool(REMARKS.intersection(words)) and words[-1] not in SETTINGS for words in told]
+    return any(about) and (all(about) or tag not in ARTICLES)
+
+
 def _doubt(tag: str, attributes: str) -> int:
     doubt = PARTLY if tag == "form" else 0
     if not attributes or tag in ("html", "body"):
         return doubt
     for name, a, b, c in ATTRIBUTE.findall(attributes):
         if name.lower() in ("class", "id"):
-            words = [w.lower() in UNLIKELY for w in WORD.findall(a or b or c)]
-            doubt = max(doubt, any(words) and (WHOLLY if all(words) else PARTLY))
+            words = [w.lower() for w in WORD.findall(a or b or c)]
+            if UNLIKELY.isdisjoint(words):
+                continue
+            wholly = all(w in UNLIKELY or w in NEUTRAL for w in words)
+            doubt = max(doubt, COMMENTS if _remarks(tag, a or b or c) else WHOLLY if wholly else PARTLY)
     return doubt
 
 
@@ -104,7 +142,7 @@ def parse(page: str) -> Element:
     root = Element("html", None, False)
     at, here, length = 0, root, len(page)
     open_tags: dict[str, int] = {}
-    doubtful: list[Element] = []
+    doubtful = MAY_HEAD_REMARKS.search(page) is not None
 
     def close(until: Element) -> None:
         nonlocal here
@@ -157,8 +195,7 @@ def parse(page: str) -> Element:
         inside = {t for t in ("article", "main") if open_tags.get(t)}
         node = Element(tag, here, here.dropped or _unwanted(tag, attributes, inside), _doubt(tag, attributes))
         here.parts.append(node)
-        if node.doubt and not node.dropped:
-            doubtful.append(node)
+        doubtful = doubtful or bool(node.doubt) and not node.dropped
         if tag in VOID:
             continue
         if tag in RAW:
@@ -171,7 +208,7 @@ def parse(page: str) -> Element:
         here = node
         open_tags[tag] = open_tags.get(tag, 0) + 1
     if doubtful:
-        _settle(root, doubtful)
+        _settle(root)
     return root
 
 
@@ -181,58 +218,69 @@ def _above(node: Element) -> Iterator[Element]:
         yield node
 
 
-def _settle(root: Element, doubtful: list[Element]) -> None:
-    """Cut the doubtful elements, given in page order, but for those that hold the article.
+def _settle(root: Element) -> None:
+    """Cut the doubtful elements, but for those that hold the article.
 
     These are or contain an article or main part that nothing speaks against, or hold most of the points of a page that
     has no such part elsewhere. What has no other name than an unlikely one has to be the only one, or hold nearly all.
+    Inside an article only such a name cuts. Comments stay only around the only article there is.
     """
-    points: dict[int, float] = {}
-    total = 0.0
-    articles: dict[int, Element] = {}
+    points: dict[Element, float] = {}
+    begun = {root}
     for text, node, _ in blocks(root):
-        worth = _points(text)
-        total += worth
-        for e in (node, *_above(node)):
-            points[id(e)] = points.get(id(e), 0.0) + worth
-            if e.tag in ARTICLES and e.doubt != WHOLLY:
-                articles[id(e)] = e
-    # Of each article what is around it, and what of that is doubtful, from the inside out.
-    around = {i: {id(e) for e in _above(a)} for i, a in articles.items()}
-    doubts = {i: [e for e in _above(a) if e.doubt] for i, a in articles.items()}
-    holders: set[int] = set()
-    for article in articles.values():
-        for e in () if article.doubt else _above(article):
-            holders.add(id(e))
-            if e.doubt == WHOLLY:
-                break
-    for node in doubtful:
-        if any(e.dropped for e in _above(node)):
+        points[node] = points.get(node, 0.0) + _points(text)
+        outer = node.parent
+        if node.tag in HEADS and outer not in begun and outer.tag in REMARK_PARTS and REMARKS_HEADING.fullmatch(text):
+            outer.doubt = COMMENTS
+        while node is not None and node not in begun:
+            begun.add(node)
+            node = node.parent
+    every = elements(root)
+    holder: set[Element] = set()
+    for e in reversed(every):
+        if e.parent is None:
             continue
-        outer = {id(e) for e in _above(node)}
-        elsewhere = any(
-            (node.doubt == WHOLLY or not a.doubt) and i not in outer and a is not node and id(node) not in around[i]
-            and all(id(e) in outer for e in doubts[i])
-            for i, a in articles.items()
-        )
-        holds = node.tag in ARTICLES or id(node) in holders
-        share = points.get(id(node), 0.0) / (total or 1.0)
-        if node.doubt == WHOLLY:
-            kept = not elsewhere and (holds or share > 0.9)
-        else:
-            kept = holds or share > 0.5 and not elsewhere
-        node.dropped = not kept
-    _inherit(root)
-
-
-def _inherit(root: Element) -> None:
-    stack = [root]
-    while stack:
-        node = stack.pop()
-        for part in node.parts:
-            if not isinstance(part, str):
-                part.dropped = part.dropped or node.dropped
-                stack.append(part)
+        if e in points:
+            points[e.parent] = points.get(e.parent, 0.0) + points[e]
+        if _is_article(e, points) and not e.doubt or e in holder and e.doubt < WHOLLY:
+            holder.add(e.parent)
+    total = points.get(root, 0.0) or 1.0
+    # For every element its nearest doubtful one above, and the articles (all, undoubted) with each as the nearest.
+    nearest: dict[Element, Element | None] = {root: None}
+    held: dict[Element | None, list[int]] = {None: [0, 0]}
+    for e in every[1:]:
+        nearest[e] = e.parent if e.parent.doubt else nearest[e.parent]
+        if _is_article(e, points):
+            counts = held.setdefault(nearest[e], [0, 0])
+            counts[0] += 1
+            counts[1] += not e.doubt
+    # Seen from an element: the articles that no doubtful element hides but those around it, and those around it.
+    seen: dict[Element, tuple[list[int], list[int]]] = {root: (held[None], [0, 0])}
+    for e in every[1:]:
+        shown, around = seen[e.parent]
+        article = _is_article(e, points)
+        own = [article, article and not e.doubt]
+        if e.doubt and not e.dropped and not e.parent.dropped:
+            kind = 0 if e.doubt >= WHOLLY else 1
+            elsewhere = shown[kind] - around[kind] - own[kind] > 0
+            holds = e.tag in ARTICLES or e in holder
+            share = points.get(e, 0.0) / total
+            if e.doubt == COMMENTS:
+                kept = e in holder and not elsewhere
+            elif e.doubt == WHOLLY:
+                kept = not elsewhere and (holds or share > 0.9)
+            elif around[0] and e.tag != "form":
+                kept = True
+            else:
+                kept = holds or share > 0.5 and not elsewhere
+            e.dropped = not kept
+        e.dropped = e.dropped or e.parent.dropped
+        below = held.get(e, (0, 0)) if e.doubt else (0, 0)
+        seen[e] = ([x + y for x, y in zip(shown, below)], [x + y for x, y in zip(around, own)])
+
+
+def _is_article(e: Element, points: dict[Element, float]) -> bool:
+    return e.tag in ARTICLES and e.doubt < WHOLLY and points.get(e, 0.0) > 0
 
 
 def blocks(root: Element) -> Iterator[tuple[str, Element, int]]:
@@ -264,23 +312,17 @@ def blocks(root: Element) -> Iterator[tuple[str, Element, int]]:
                 linked += len(part.strip())
         elif part.dropped:
             if part.tag in BLOCK and (got := flush()):
-                yield got[0], _holder(node), got[1]
+                yield got[0], node.block, got[1]
         elif part.tag == "br":
             parts.append("\n")
         elif part.tag in BLOCK:
             if got := flush():
-                yield got[0], _holder(node), got[1]
+                yield got[0], node.block, got[1]
             stack.append([part, 0, link])
         elif part.tag not in VOID:
             stack.append([part, 0, link or part.tag == "a"])
 
 
-def _holder(node: Element) -> Element:
-    while node.tag not in BLOCK:
-        node = node.parent
-    return node
-
-
 def _points(text: str) -> float:
     return min(1.0, len(text) / 25) + text.count(",") + min(len(text) / 100, 3.0)
 
@@ -290,23 +332,26 @@ def main_text(page: str) -> str:
 
     Of containers that score alike the first in the page is best. A page that is plain text is its own article.
     """
-    paragraphs = list(blocks(parse(page)))
+    root = parse(page)
+    paragraphs = list(blocks(root))
     candidates: dict[int, Element] = {}
     for text, node, linked in paragraphs:
         points = _points(text) * (0.25 if node.tag in ("li", "td", "th") else 1.0)
         up, level = node if node.tag in ("div", "article", "section", "main", "html", "td") else node.parent or node, 0
-        while up is not None:
+        while up is not None and level < LEVELS:
             if up.score is None:
                 up.score = START.get(up.tag, 0.0)
                 candidates[id(up)] = up
             up.score += points / (1, 2)[level] if level < 2 else points / (level * 3)
             up, level = up.parent, level + 1
-        while node is not None:
-            node.text += len(text)
-            node.links += linked
-            node = node.parent
+        node.text += len(text)
+        node.links += linked
     if not candidates:
         return ""
+    every = elements(root)
+    for e in reversed(every[1:]):
+        e.parent.text += e.text
+        e.parent.links += e.links
 
     def value(e: Element) -> float:
         return (e.score or 0.0) * (1 - e.links / max(e.text, 1))
@@ -331,16 +376,11 @@ def main_text(page: str) -> str:
             if reads or sibling.score is not None and value(sibling) >= least:
                 kept.add(id(sibling))
 
-    def inside(e: Element | None) -> bool:
-        while e is not None:
-            if id(e) in linked_lists:
-                return False
-            if id(e) in kept:
-                return True
-            e = e.parent
-        return False
-
-    return "\n\n".join(text for text, node, _ in paragraphs if inside(node))
+    inside: dict[Element, bool] = {}
+    for e in every:
+        within = e.parent is not None and inside[e.parent]
+        inside[e] = id(e) not in linked_lists and (id(e) in kept or within)
+    return "\n\n".join(text for text, node, _ in paragraphs if inside[node])
 
 
 def extract(pages: DataFrame, *, key: str = "page_id", url: str = "url", page: str = "html") -> DataFrame:

@@ -69,6 +69,59 @@ def test_all_sections_of_an_article():
         assert len(got) == 43 and got[0] == "T" and got[-2:] == ["Note", "Two, three words."]
 
 
+@pytest.mark.parametrize("name", ['id="related-work"', 'class="how-ads-work"', 'class="social-impact"', 'class="sharing economy"'])
+def test_one_word_of_a_name_cuts_nothing_inside_an_article(name):
+    body = f"<article><p>{LONG}</p><section {name}><p>{LONG}more.</p></section><p {name}>{LONG}last.</p></article>"
+    assert main_text(page(body)).split("\n\n") == [LONG.strip(), f"{LONG}more.", f"{LONG}last."]
+
+
+@pytest.mark.parametrize(
+    "remarks",
+    [
+        '<div class="comment-list">{}</div>',
+        '<div class="comments">{}</div>',
+        '<section id="disqus_thread">{}</section>',
+        '<div class="thread"><h3>Comments</h3>{}</div>',
+        '<div class="thread"><h4>12 comments</h4>{}</div>',
+        '<div class="article-comments">{}</div>',
+    ],
+)
+def test_reader_comments_never_count(remarks):
+    said = "".join(f"<p>{LONG}I say {i}.</p>" for i in range(9))
+    story = f"<p>{LONG}</p><p>{LONG}end.</p>"
+    for body in (f"<div id=story>{story}</div>{remarks}", f"<article>{story}{remarks}</article>", f"<main><article>{story}</article>{remarks}</main>"):
+        assert main_text(page(body.format(said))).split("\n\n") == [LONG.strip(), f"{LONG}end."]
+
+
+@pytest.mark.parametrize("name", ["ad-slot", "ad container", "share-buttons", "related-links", "social bar"])
+def test_names_that_say_nothing_else_cut_inside_an_article_too(name):
+    body = f'<article><p>{LONG}</p><div class="{name}"><p>{LONG}</p></div></article>'
+    assert main_text(page(body)) == LONG.strip()
+
+
+def test_comments_may_be_open_on_an_article():
+    for name in ("post comments-open", "content comments-open"):
+        for tag in ("article", "div"):
+            assert main_text(page(f'<{tag} class="{name}"><p>{LONG}</p><p>{LONG}so.</p></{tag}>')).count("\n\n") == 1
+
+
+def test_time_grows_with_the_page():
+    import time
+
+    def spent(n, open_tag):
+        body = "".join(f"{open_tag}<p>{LONG}{i}</p>" for i in range(n))
+        return min(_timed(lambda: main_text(body), time.process_time) for _ in range(3))
+
+    for open_tag in ("<div>", '<div class="how-ads-work">', "<b>"):
+        assert spent(2000, open_tag) < 3.5 * spent(1000, open_tag), open_tag
+
+
+def _timed(run, clock):
+    started = clock()
+    run()
+    return clock() - started
+
+
 @pytest.mark.parametrize("text", ["just words, no markup", "", "<", "<p", "</p></div>", "<!--", "<a href='x", "&#xD800; &bogus;", "<p>" * 5000])
 def test_whatever_the_markup(text):
     main_text(text)
