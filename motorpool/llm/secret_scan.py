@@ -8,6 +8,7 @@ pattern matches and elsewhere, from a bounded sample of documents, and decoded b
 from __future__ import annotations
 
 import re
+from bisect import bisect_left
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -108,10 +109,16 @@ def features(texts: list[str]) -> Tokens:
     text = np.searchsorted(offsets, start, side="right") - 1
     length = end - start
     # Counts within tokens and, of the same signs, between them (what follows a token stands before the next one).
-    counted = [np.add.reduceat(table[sign], edges) for table in (_COUNT_A, _COUNT_B)]
+    # Three counters go together, unless a token is so long that one would run into the next.
+    apart = np.diff(edges, append=len(sign)).max() > int(_MASK)
+    counted = [np.add.reduceat(table[sign], edges) for table in (() if apart else (_COUNT_A, _COUNT_B))]
 
     def part(which: int, field: int, gaps: bool = False) -> np.ndarray:
-        return ((counted[which][1 if gaps else 0 :: 2] >> np.uint64(21 * field)) & _MASK).astype(np.int64)
+        shift = np.uint64(21 * field)
+        if apart:
+            of_signs = ((_COUNT_A, _COUNT_B)[which] >> shift & _MASK).astype(np.int64)
+            return np.add.reduceat(of_signs[sign], edges)[1 if gaps else 0 :: 2]
+        return ((counted[which][1 if gaps else 0 :: 2] >> shift) & _MASK).astype(np.int64)
 
     digits, uppers, hexes, lowers, signs, wide = (part(w, f) for w in (0, 1) for f in range(3))
     assigned, quoted = (np.concatenate(([0], part(1, f, gaps=True)[:-1] > 0)).astype(np.int64) for f in (1, 2))
@@ -353,6 +360,18 @@ def train(docs: DataFrame, *, key: str = "doc_id", text: str = "text", sample: i
     return fit(table, np.stack([np.frombuffer(r[1], np.int8) for r in got]))
 
 
+def _merged(found: list[tuple[int, int, str]]) -> tuple[list[int], list[int]]:
+    """Starts and ends of what the spans cover together, in order."""
+    starts, ends = [], []
+    for a, b, _ in sorted(found):
+        if ends and a < ends[-1]:
+            ends[-1] = max(ends[-1], b)
+        else:
+            starts.append(a)
+            ends.append(b)
+    return starts, ends
+
+
 def spans(texts: list[str], field: Field) -> list[list[tuple[int, int, str]]]:
     """All spans of each text by start, then kind: the base ones, and the tagged runs that touch none of them.
 
@@ -362,14 +381,17 @@ def spans(texts: list[str], field: Field) -> list[list[tuple[int, int, str]]]:
     if field.emit.any():
         tokens = features(texts)
         tag = field.tags(tokens)
+        taken = [_merged(f) for f in found]
         begins = np.flatnonzero((tag == BEGIN) | (tag == INSIDE) & (np.concatenate(([OUTSIDE], tag[:-1])) == OUTSIDE))
         for i in begins.tolist():
             j = i + 1
             while j < len(tag) and tag[j] == INSIDE and tokens.text[j] == tokens.text[i]:
                 j += 1
-            own, a, b = found[tokens.text[i]], int(tokens.start[i]), int(tokens.end[j - 1])
-            if all(b <= x or y <= a for x, y, _ in own):
-                own.append((a, b, "tagged"))
+            own, a, b = tokens.text[i], int(tokens.start[i]), int(tokens.end[j - 1])
+            starts, ends = taken[own]
+            before = bisect_left(starts, b)  # tagged runs do not touch each other
+            if not before or ends[before - 1] <= a:
+                found[own].append((a, b, "tagged"))
     return [sorted(f, key=lambda s: (s[0], KINDS.index(s[2]), s[1])) for f in found]
 
 

@@ -84,6 +84,60 @@ def test_stretches_between_sure_tokens_give_the_best_path():
             assert np.isclose(value(best), value(got[at]))
 
 
+def test_a_very_long_token_counts_right():
+    short, long = (S.features(["9" * n, "a1"]).features for n in (5000, (1 << 21) + 3))
+    assert (short[:, :7] == long[:, :7]).all()
+
+
+def test_time_of_spans_grows_with_the_text():
+    import time
+
+    field = some_field()
+    line = 'token = "0123456789abcdef01234567" credential = "Xk29fLq8ZtW03mNvB7yRaa" over lazy dogs\n'
+
+    def spent(n):
+        started = time.process_time()
+        assert len(S.spans([line * n], field)[0]) >= 2 * n
+        return time.process_time() - started
+
+    spent(100)
+    assert min(spent(8000) for _ in range(2)) < 3.5 * min(spent(4000) for _ in range(2))
+
+
+SHAPES = {
+    "bearer": lambda d: "Authorization: Bearer " + "".join(d.choice(list("ABCDEFGHJKabcdefghjk0123456789-_"), 40)),
+    "credential": lambda d: 'credential = "' + "".join(d.choice(list("ABCDEFGHJKLMNPQRSTabcdefghkmnpqrst23456789"), 24)) + '"',
+    "prefixed": lambda d: "key: sk_live_" + "".join(d.choice(list("abcdefghijkABCDEFGHIJK0123456789"), 28)),
+    "upper hex": lambda d: "signature=" + "".join(d.choice(list("0123456789ABCDEF"), 40)),
+}
+
+
+def test_tagged_spans_of_planted_secrets(spark):
+    """Secrets of shapes the patterns do not know, planted into documents of the table: how many are tagged, and what else."""
+    # A table in which the patterns find something to learn from: some hundred documents of 10,000.
+    docs = spark.read.parquet(f"{DATA}/../sf0.1/documents.parquet")
+    field = S.train(docs)
+    draw, texts = np.random.default_rng(12), sorted(r.text or "" for r in docs.where("doc_id % 20 = 0").collect())
+    hit = dict.fromkeys(SHAPES, 0)
+    wrong = planted = 0
+    for turn in range(40):
+        for name, make in SHAPES.items():
+            text = texts[int(draw.integers(len(texts)))]
+            cut = text.find(" ", int(draw.integers(max(1, len(text)))))
+            at = cut if cut >= 0 else len(text)
+            secret = make(draw)
+            value = re.split(r'[ ="]+', secret.rstrip('"'))[-1]
+            new = f"{text[:at]} {secret} {text[at:]}"
+            low = new.index(value, at)
+            found = S.spans([new], field)[0]
+            touching = [s for s in found if s[0] < low + len(value) and s[1] > low]
+            hit[name] += bool(touching)
+            wrong += sum(k == "tagged" and s not in touching for s in found for k in s[2:])
+            planted += 1
+    print(f"tagged {hit} of 40 each, {wrong} others in {planted} documents")
+    assert sum(hit.values()) >= 0.4 * planted and wrong <= 0.05 * planted
+
+
 def digest(parts):
     return hashlib.sha256(",".join(parts).encode()).hexdigest()
 
