@@ -9,6 +9,7 @@ is decided by the exact cosine in double precision. Nothing is lost on the way;
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Iterator
 from dataclasses import dataclass
 from math import ceil, sqrt
@@ -30,6 +31,8 @@ SUBSPACES, CODES = 8, 256
 # Vectors of a cell compared by one task; larger cells are cut into blocks, and every query visits all of them.
 BLOCK = 4096
 QUERIES = 64
+# Vectors whose probes are worked out at once.
+PROBED = 1024
 
 
 def centres(x: np.ndarray, k: int, rounds: int = 10) -> np.ndarray:
@@ -49,11 +52,10 @@ def nearest(x: np.ndarray, points: np.ndarray) -> np.ndarray:
     return ((points * points).sum(axis=1) - 2 * x @ points.T).argmin(axis=1)
 
 
-def _units(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def _units(x: np.ndarray) -> np.ndarray:
     # Scaled first, so that very large and very small components neither overflow nor vanish.
-    top = np.abs(x).max(axis=1, keepdims=True)
-    length = np.sqrt(((x / top) ** 2).sum(axis=1, keepdims=True))
-    return x / top / length, (top * length)[:, 0]
+    scaled = x / np.abs(x).max(axis=1, keepdims=True)
+    return scaled / np.sqrt((scaled**2).sum(axis=1, keepdims=True))
 
 
 @dataclass
@@ -67,9 +69,14 @@ class Quantiser:
         """The own cell of each vector, and for each vector and cell whether a partner may lie there."""
         apart = (self.coarse**2).sum(axis=1) - 2 * unit @ self.coarse.T
         own = apart.argmin(axis=1)
-        between = np.sqrt(((self.coarse[:, None] - self.coarse[None]) ** 2).sum(axis=2))
         reach = sqrt(max(0.0, 2 - 2 * least)) + 1e-9
-        return own, apart - apart[np.arange(len(unit)), own][:, None] <= 2 * reach * between[own] + 1e-9
+        return own, apart - apart[np.arange(len(unit)), own][:, None] <= 2 * reach * self.between[own] + 1e-9
+
+    @functools.cached_property
+    def between(self) -> np.ndarray:
+        """Distances of the centres, worked out once in each task; a little more than they are."""
+        squares = (self.coarse**2).sum(axis=1)
+        return np.sqrt(np.maximum(squares[:, None] + squares - 2 * self.coarse @ self.coarse.T, 0)) + 1e-6
 
     def padded(self, x: np.ndarray) -> np.ndarray:
         count, _, width = self.books.shape
@@ -93,13 +100,14 @@ class Quantiser:
         return total
 
 
-@dataclass
+@dataclass(eq=False)
 class Model:
     """Quantisers by label and width. A label that the sample does not show has one cell."""
 
     coarse: dict[tuple[str, int], np.ndarray]
     books: dict[int, np.ndarray]
 
+    @functools.lru_cache(maxsize=4)
     def of(self, label: str, width: int) -> Quantiser:
         books = self.books.get(width)
         if books is None:
@@ -114,7 +122,7 @@ def fit(rows: list[tuple[str, np.ndarray]], total: int) -> Model:
         by_label.setdefault((label, len(vector)), []).append(vector)
     coarse, rest = {}, {}
     for (label, width), vectors in by_label.items():
-        unit = _units(np.array(vectors, dtype=float))[0]
+        unit = _units(np.array(vectors, dtype=float))
         cells = max(1, min(round(total * len(unit) / len(rows) / CELL), len(unit) // PER_CENTRE))
         coarse[label, width] = centres(unit, cells)
         rest.setdefault(width, []).append(unit - coarse[label, width][nearest(unit, coarse[label, width])])
@@ -153,9 +161,11 @@ def _assign(shared, least: float, kind: str):
             groups: dict[tuple[str, int], list[int]] = {}
             for i, (label, width) in enumerate(zip(labels, widths.tolist())):
                 groups.setdefault((label, width), []).append(i)
-            for (label, width), members in groups.items():
+            # A table of vectors by cells is held at a time: not too many vectors at once.
+            parts = [(name, rows[k : k + PROBED]) for name, rows in groups.items() for k in range(0, len(rows), PROBED)]
+            for (label, width), members in parts:
                 x = np.stack([flat[starts[i] : starts[i + 1]] for i in members]).astype(float)
-                unit, _ = _units(x)
+                unit = _units(x)
                 quantiser = model.of(label, width)
                 own, near = quantiser.probes(unit, least)
                 code, left = quantiser.codes(unit, own)
@@ -244,12 +254,12 @@ def _search(shared, least: float, kind: str):
                 if held is None:
                     x = np.stack([np.frombuffer(r[8], kind) for r in index]).astype(float)
                     held = (
-                        x, _units(x)[1], np.array([r[6] for r in index]), np.array([r[7] for r in index]),
+                        _units(x), np.array([r[6] for r in index]), np.array([r[7] for r in index]),
                         np.stack([np.frombuffer(r[9], np.uint8) for r in index]), np.array([r[10] for r in index]),
                     )
-                x, x_length, x_id, x_copies, code, left = held
+                x, x_id, x_copies, code, left = held
                 y = np.stack([np.frombuffer(r[8], kind) for r in part]).astype(float)
-                unit, y_length = _units(y)
+                unit = _units(y)
                 y_id, y_copies = np.array([r[6] for r in part]), np.array([r[7] for r in part])
                 own = np.array([r[5] for r in part]) == key[2]
                 q, i = np.nonzero(quantiser.bounds(unit, key[2], code, left) >= least - 1e-9)
@@ -257,7 +267,7 @@ def _search(shared, least: float, kind: str):
                 q, i = q[keep], i[keep]
                 if not len(q):
                     continue
-                exact = np.einsum("nd,nd->n", y[q] / y_length[q, None], x[i] / x_length[i, None])
+                exact = np.einsum("nd,nd->n", unit[q], x[i])
                 q, i = q[exact >= least], i[exact >= least]
                 for a, b, n, m, same in zip(y_id[q].tolist(), x_id[i].tolist(), x_copies[i].tolist(), y_copies[q].tolist(), own[q].tolist()):
                     links[a] = links.get(a, 0) + n
