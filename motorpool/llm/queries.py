@@ -149,6 +149,80 @@ FROM b
 """
 
 
+OP3_SQL = """
+WITH RECURSIVE e AS (
+  SELECT vec_id, label, v, sqrt(list_dot_product(v, v)) AS size
+  FROM (SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS v FROM embeddings)
+  WHERE label IS NOT NULL AND len(v) > 0 AND len(list_filter(v, lambda x: x IS NOT NULL AND isfinite(x))) = len(v)
+    AND len(list_filter(v, lambda x: x <> 0)) > 0
+), linked AS (
+  SELECT a.vec_id AS a, b.vec_id AS b FROM e a JOIN e b ON a.label = b.label AND a.vec_id <> b.vec_id AND len(a.v) = len(b.v)
+  WHERE list_dot_product(list_transform(a.v, lambda x: x / a.size), list_transform(b.v, lambda x: x / b.size)) >= 0.93
+), reach AS (
+  SELECT vec_id AS v, vec_id AS c FROM embeddings UNION SELECT l.b, r.c FROM reach r JOIN linked l ON r.v = l.a
+)
+SELECT m.vec_id, coalesce(n.n, 0) AS n_links, m.component_id, m.vec_id = m.component_id AS kept
+FROM (SELECT v AS vec_id, min(c) AS component_id FROM reach GROUP BY v) m
+LEFT JOIN (SELECT a, count(*) AS n FROM linked GROUP BY a) n ON m.vec_id = n.a
+"""
+
+OP10_SQL = r"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, list_filter(regexp_split_to_array(
+    translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w
+  FROM documents
+), s AS (
+  SELECT doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [array_to_string(w, ' ')]
+    ELSE list_distinct(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' '))) END AS s
+  FROM w
+), e AS (
+  SELECT doc_id, len(s) AS n, unnest(s) AS x FROM s
+), p AS (
+  SELECT a.doc_id AS a, b.doc_id AS b FROM e a JOIN e b ON a.x = b.x AND a.doc_id <> b.doc_id
+  GROUP BY a.doc_id, b.doc_id, a.n, b.n HAVING 100 * count(*) >= 80 * (a.n + b.n - count(*))
+), reach AS (
+  SELECT doc_id AS v, doc_id AS c FROM documents UNION SELECT p.b, r.c FROM reach r JOIN p ON r.v = p.a
+)
+SELECT s.doc_id, CAST(len(s.s) AS BIGINT) AS n_shingles, m.c AS component_id, coalesce(l.n, 0) AS n_links
+FROM s JOIN (SELECT v, min(c) AS c FROM reach GROUP BY v) m ON s.doc_id = m.v
+LEFT JOIN (SELECT a, count(*) AS n FROM p GROUP BY a) l ON s.doc_id = l.a
+"""
+
+
+def _op13_sql() -> str:
+    """Four rounds of nearest entries and floored means, written out one after another."""
+    ctes = [
+        """x AS (SELECT vec_id, label, list_transform(embedding, lambda v: CAST(floor(1024 * CAST(v AS DOUBLE)) AS BIGINT)) AS v
+              FROM embeddings WHERE embedding IS NOT NULL
+                AND len(list_filter(embedding, lambda v: v IS NOT NULL AND isfinite(v))) = len(embedding))""",
+        """parts AS MATERIALIZED (SELECT vec_id, label, p, v[p * (len(v) // 4) + 1:(p + 1) * (len(v) // 4)] AS v
+                  FROM x, (SELECT unnest([0, 1, 2, 3]) AS p))""",
+        """b0 AS MATERIALIZED (SELECT p, e, v FROM (SELECT p, v, row_number() OVER (PARTITION BY p ORDER BY vec_id) - 1 AS e FROM parts)
+                WHERE e < 256)""",
+    ]
+    for i in range(5):
+        ctes.append(
+            f"""a{i} AS MATERIALIZED (SELECT vec_id, label, p, v, min(d) % 256 AS e, min(d) // 256 AS d
+                  FROM (SELECT t.*, 256 * CAST(list_sum(list_transform(list_zip(t.v, b.v), lambda z: (z[1] - z[2]) * (z[1] - z[2]))) AS BIGINT) + b.e AS d
+                        FROM parts t JOIN b{i} b ON t.p = b.p) GROUP BY vec_id, label, p, v)"""
+        )
+        if i < 4:
+            ctes.append(
+                f"""b{i + 1} AS MATERIALIZED (SELECT b.p, b.e, coalesce(m.v, b.v) AS v FROM b{i} b
+                    LEFT JOIN (SELECT p, e, list(CAST(floor(s / n) AS BIGINT) ORDER BY k) AS v
+                               FROM (SELECT p, e, k, CAST(sum(c) AS BIGINT) AS s, count(*) AS n
+                                     FROM (SELECT p, e, unnest(v) AS c, generate_subscripts(v, 1) AS k FROM a{i}) GROUP BY p, e, k)
+                               GROUP BY p, e) m ON b.p = m.p AND b.e = m.e)"""
+            )
+    return "WITH " + ",\n".join(ctes) + """
+SELECT vec_id, code, error, CAST(sum(error) OVER (PARTITION BY label) AS BIGINT) AS label_error,
+  (SELECT sha256(string_agg(CAST(c AS VARCHAR), ',' ORDER BY p, e, k))
+   FROM (SELECT p, e, unnest(v) AS c, generate_subscripts(v, 1) AS k FROM b4)) AS codebooks_sha256
+FROM (SELECT vec_id, label, string_agg(printf('%02x', CAST(e AS INTEGER)), '' ORDER BY p) AS code, CAST(sum(d) AS BIGINT) AS error
+      FROM a4 GROUP BY vec_id, label)
+"""
+
+
 QUERIES: dict[str, Query] = {
     f.__name__: f
     for f in (
@@ -167,4 +241,9 @@ QUERIES: dict[str, Query] = {
         op13_vector_codes,
     )
 }
-SQL: dict[str, str] = {"op7_warc": OP7_SQL}
+SQL: dict[str, str] = {
+    "op3_embedding_dedup": OP3_SQL,
+    "op7_warc": OP7_SQL,
+    "op10_shingle_join": OP10_SQL,
+    "op13_vector_codes": _op13_sql(),
+}

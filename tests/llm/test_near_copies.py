@@ -244,7 +244,7 @@ def test_odd_vectors(spark):
     rows = [
         (1, [1.0, 0.0], 1), (2, [2.0, 0.0], 1), (3, [1.0, 0.0], 2), (4, [1.0, 0.0], None), (5, None, 1), (6, [0.0, 0.0], 1), (7, [], 1),
         (8, [1.0, None], 1), (9, [float("nan"), 1.0], 1), (10, [float("inf"), 1.0], 1), (11, [1.0, 0.0, 0.0], 1), (12, [-1.0, 0.0], 1),
-        (13, [1.0, 0.01], 1), (14, [1e-200, 0.0], 1), (15, [1e200, 0.0], 1), (16, [-0.0, 1.0], 2), (17, [0.0, 1.0], 2), (18, [3.0], 5),
+        (13, [1.0, 0.01], 1), (14, [1e-200, 0.0], 1), (15, [1.7e308, 1e307], 1), (16, [-0.0, 1.0], 2), (17, [0.0, 1.0], 2), (18, [3.0], 5),
     ]
     df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int").selectExpr("*", "1 as id", "2 as key", "3 as vector")
     got = {r.vec_id: (r.n_links, r.component_id, r.kept) for r in V.near_vectors(df).collect()}
