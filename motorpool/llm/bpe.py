@@ -15,7 +15,7 @@ from collections.abc import Iterable
 import ahocorasick
 from pyspark.sql import DataFrame
 
-from motorpool.llm.common import hex_sha256, per_text
+from motorpool.llm.common import hex_sha256, keeps, per_text
 from motorpool.llm.pretokens import Unknown, pretokens
 
 NEVER = 1 << 62
@@ -182,6 +182,9 @@ def encoder(path: str) -> PrefixEncoder:
     return PrefixEncoder(path)
 
 
+keeps(__name__, encoder.cache_clear)
+
+
 def encode_documents(docs: DataFrame, tokenizer_path: str, *, key: str = "doc_id", text: str = "text") -> DataFrame:
     """Encode every whole text, decode the ids again, and return ``key``, ``ids`` and ``decoded``.
 

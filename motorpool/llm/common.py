@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import hashlib
 import uuid
 import weakref
@@ -62,6 +64,37 @@ def discard(*stored: DataFrame) -> None:
             found.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(found, True)
 
 
+_kept: dict[str, Callable[[], None]] = {}
+_owner = [""]
+
+
+def keeps(owner: str, forget: Callable[[], None]) -> None:
+    """Name what clears the caches an operator keeps in the worker process between tasks."""
+    _kept[owner] = forget
+
+
+def claim(owner: str) -> None:
+    """Called by a task when it begins: what other operators have cached in this worker goes, and free memory with it.
+
+    Workers outlive tasks, and several operators in a row would else add up there.
+    """
+    if _owner[0] != owner:
+        for name, forget in _kept.items():
+            if name != owner:
+                forget()
+        _owner[0] = owner
+        gc.collect()
+    release()
+
+
+def release() -> None:
+    """Give memory that is free, but still held by allocators, back to the system."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
+
+
 def text_or_empty(column: str) -> Column:
     return F.coalesce(F.col(column).cast("string"), F.lit(""))
 
@@ -73,6 +106,7 @@ def hex_sha256(data: bytes | str) -> str:
 def stretches(batches: Iterable[pa.RecordBatch], text: int = 1, limit: int = STRETCH_BYTES) -> Iterator[pa.RecordBatch]:
     """Cut Arrow batches so that column ``text`` of a piece holds about ``limit`` bytes or a single row."""
     for batch in batches:
+        release()
         column, start, n = batch.column(text), 0, batch.num_rows
         if column.nbytes <= limit:
             if n:
@@ -84,6 +118,7 @@ def stretches(batches: Iterable[pa.RecordBatch], text: int = 1, limit: int = STR
             if held >= limit or i == n - 1:
                 yield batch.slice(start, i + 1 - start)
                 start, held = i + 1, 0
+    release()
 
 
 def per_text(
@@ -102,6 +137,7 @@ def per_text(
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark.sql.pandas.types import to_arrow_type
 
+        claim(build.__module__)
         of = build()
         types = [to_arrow_type(f.dataType) for f in fields]
         for batch in stretches(batches):
@@ -124,6 +160,7 @@ def per_row(
     place = df.columns.index(text)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        claim(build.__module__)
         of = build()
         for batch in stretches(batches, text=place, limit=limit):
             done = of([t or "" for t in batch.column(place).to_pylist()], batch)

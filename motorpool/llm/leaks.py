@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from motorpool.llm.common import per_row, stretches, text_or_empty
+from motorpool.llm.common import claim, per_row, stretches, text_or_empty
 
 Q = 8
 # Edits allowed for each character of an item; items shorter than this are matched without any, on borders of words.
@@ -30,7 +30,7 @@ EDIT_RATE, LEAST_CHARS = 0.08, 32
 UNSPACED = 0x2E80
 # Text handled at once, and benchmark text handled in one pass over the documents (its index is broadcast, about
 # thirty times as large): more items take more passes.
-TEXT_BYTES, ITEM_BYTES = 2 << 20, 4 << 20
+TEXT_BYTES, ITEM_BYTES = 1 << 20, 4 << 20
 GAP, MARK = 1, 2  # between documents, and accents that follow their letter; no plain form contains them
 TABLE_BITS = 22
 # An item in which a q-gram occurs more often than this is too repetitive for diagonals to tell places apart.
@@ -331,6 +331,7 @@ def leaks(
         shared = docs.sparkSession.sparkContext.broadcast(index(portion, rate, least))
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
+            claim(__name__)
             items = shared.value
             for batch in stretches(batches, limit=TEXT_BYTES):
                 keys = batch.column(0)

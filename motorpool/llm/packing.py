@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from motorpool.llm.bpe import byte_signs
-from motorpool.llm.common import stretches, text_or_empty
+from motorpool.llm.common import claim, keeps, stretches, text_or_empty
 from motorpool.llm.pretokens import PATTERN, _assigned
 
 # Tokens a task holds back, so that later sequences still have pieces to choose from.
@@ -85,6 +85,9 @@ def ids_of(path: str) -> Ids:
     return Ids(path)
 
 
+keeps(__name__, ids_of.cache_clear)
+
+
 @dataclass(frozen=True)
 class Piece:
     """Ids ``start`` to ``start + length`` of the item with number ``item``, the first ``free`` of which bear no loss."""
@@ -223,6 +226,7 @@ def pack(
     schema = docs.sparkSession.createDataFrame([], f"`{key}` {kind}, {_PIECES}{', ids array<long>' * ids}").schema
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        claim(__name__)
         from pyspark import TaskContext
 
         of = ids_of(tokenizer_path).of

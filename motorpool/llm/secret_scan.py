@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from motorpool.llm.common import hex_sha256, per_row, stretches, text_or_empty
+from motorpool.llm.common import claim, hex_sha256, per_row, stretches, text_or_empty
 
 # Fixed patterns of the base kinds.
 ASSIGN = re.compile(r"(password|passwd|secret|token|api_?key)[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9+/_.=-]+)", re.I | re.A)
@@ -348,6 +348,7 @@ def train(docs: DataFrame, *, key: str = "doc_id", text: str = "text", sample: i
     chosen = rows.join(F.broadcast(wanted), ["order", "hash"], "left_semi").dropDuplicates(["order", "hash"]).select("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        claim(__name__)
         for batch in stretches(batches, text=0):
             table, tag = windows(batch.column(0).to_pylist())
             yield pa.RecordBatch.from_pydict({"table": [t.tobytes() for t in table], "tag": [t.tobytes() for t in tag]})
@@ -412,8 +413,9 @@ def scan(docs: DataFrame, *, key: str = "doc_id", text: str = "text", field: Fie
     shape = f"`{key}` {kind}, n_assign long, n_access long, n_hex long, base_sha256 string, spans string"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        claim(__name__)
         model = shared.value
-        for batch in stretches(batches, limit=2 << 20):
+        for batch in stretches(batches, limit=1 << 20):
             texts = batch.column(1).to_pylist()
             found = spans(texts, model)
             base = [[s for s in f if s[2] != "tagged"] for f in found]
@@ -466,4 +468,4 @@ def without_secrets(
 
         return clean
 
-    return per_row(docs, text, build, limit=2 << 20)
+    return per_row(docs, text, build, limit=1 << 20)

@@ -32,7 +32,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from motorpool.llm.common import discard, stretches, text_or_empty, written
+from motorpool.llm.common import claim, discard, stretches, text_or_empty, written
 from motorpool.llm.graph import components
 
 WORDS, PERCENT = 5, 80
@@ -146,6 +146,7 @@ def _elements(words: int):
     """All elements of the distinct sets of a task."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        claim(__name__)
         seen: set[int] = set()
         for batch in stretches(batches, text=0):
             found = [e for e in (shingles(t, words) for t in batch.column(0).to_pylist()) if len(e)]
@@ -182,6 +183,7 @@ def _describe(words: int, percent: int, shared):
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        claim(__name__)
         common = shared.value
         seen: set[int] = set()
         for batch in stretches(batches, text=2):
@@ -295,6 +297,7 @@ def _partners_in_lists(percent: int):
     fit in size and position, and how often such a pair has to occur in all short lists."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        claim(__name__)
         for table in whole_groups(batches, 1):
             token, sid, n, at, hot, component = (table.column(i).to_numpy() for i in range(6))
             order = np.lexsort((sid, n, token))
@@ -347,6 +350,7 @@ def _block_pairs(percent: int):
     pair of its blocks."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        claim(__name__)
         for table in whole_groups(batches, 3):
             token, low, high, block, sid, n, at, component = (table.column(i).to_numpy() for i in range(8))
             counts = np.frombuffer(b"".join(table.column(8).to_pylist()), "<u2").reshape(-1, BUCKETS)
@@ -434,6 +438,7 @@ def _partners(percent: int):
     similar set of the piece, in the same block if low is high, else in the other one."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        claim(__name__)
         for table in whole_groups(batches, 3):
             component, low, high, block, sid, copies = (table.column(i).to_numpy() for i in range(6))
             every = [np.sort(e.values.to_numpy()) for e in table.column(6)]
@@ -464,6 +469,7 @@ def _probed(percent: int):
     """The pairs (a, b, elements of each) that reach the least overlap, by binary search of one in the other."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        claim(__name__)
         for batch in batches:
             keep = []
             for x, y in zip(batch.column(2), batch.column(3)):
@@ -480,6 +486,7 @@ def _probed(percent: int):
 
 def _bounded(percent: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        claim(__name__)
         for batch in (b.slice(i, 1000) for b in batches for i in range(0, b.num_rows, 1000)):
             n, m, x, y = (batch.column(i).to_pylist() for i in range(2, 6))
             keep = [
@@ -541,6 +548,7 @@ class _Join:
         words = self.words
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            claim(__name__)
             seen: set[int] = set()
             for batch in stretches(batches):
                 names, sets = [], []

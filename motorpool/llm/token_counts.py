@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from motorpool.llm.common import stretches, text_or_empty, written
+from motorpool.llm.common import claim, keeps, stretches, text_or_empty, written
 from motorpool.llm.pretokens import Unknown, pretokens
 
 CACHE_SCHEMA = "content binary, tokenizer string, n_tokens long"
@@ -107,6 +107,9 @@ def counter(path: str) -> WordCounter | PieceCounter:
     return WordCounter(path)
 
 
+keeps(__name__, counter.cache_clear)
+
+
 class _WholeTexts(WordCounter):
     def count_all(self, texts: list[str]) -> list[int]:
         return [len(e.ids) for e in self.tokenizer.encode_batch(texts, add_special_tokens=False)]
@@ -120,6 +123,7 @@ def read_cache(spark: SparkSession, path: str) -> DataFrame:
 
 def _encode(path: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        claim(__name__)
         of = counter(path)
         seen: set[bytes] = set()
         for batch in stretches(batches):

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from motorpool.llm.common import per_row, stretches, text_or_empty
+from motorpool.llm.common import claim, per_row, stretches, text_or_empty
 
 # Labelled training rows used, of each class at most.
 ROWS_PER_CLASS = 4000
@@ -281,6 +281,7 @@ def score(
     kind = docs.schema[key].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        claim(__name__)
         of = shared.value
         for batch in stretches(batches):
             scores = [of.score(t) for t in batch.column(1).to_pylist()]
