@@ -121,6 +121,39 @@ def test_long_lists_found_inside_one_task(spark, monkeypatch):
     assert sorted(map(tuple, J.near_copies(df).collect())) == plain_components(texts)
 
 
+def test_a_group_of_loosely_near_copies_never_becomes_pairs(spark, monkeypatch):
+    """Copies further apart than the threshold fall into many components that share their long lists."""
+    monkeypatch.setattr(J, "LONG", 6)
+    monkeypatch.setattr(J, "LEADERS", 1)
+    draw, listed, verified = random.Random(11), [], J._Join.verified
+    monkeypatch.setattr(J._Join, "verified", lambda self, pairs: listed.append(pairs.count()) or verified(self, pairs))
+    group = words(draw, 120)
+    texts = [(i, " ".join(edited(draw, group, draw.randint(2, 3)))) for i in range(200)]
+    df, expected = spark.createDataFrame(texts, "doc_id long, text string").repartition(4), plain_components(texts)
+    assert sorted(map(tuple, J.near_copies(df).collect())) == expected
+    assert sum(listed) < 5 * len(texts)
+    del listed[:]
+    assert sorted(r.doc_id for r in J.one_of_each(df).collect()) == sorted({r[2] for r in expected})
+    assert sum(listed) < 5 * len(texts)
+
+
+def test_forest_connects_with_as_few_edges_as_it_takes():
+    draw = np.random.default_rng(7)
+    for n, m in [(1, 0), (2, 5), (40, 30), (300, 4000)]:
+        forest, union, kept, edges = J.Forest(n), Union(range(n)), Union(range(n)), 0
+        for _ in range(4):
+            a, b = draw.integers(0, n, (2, m))
+            for x, y in zip(a.tolist(), b.tolist()):
+                union.join(x, y)
+            used = forest.grow(a, b)
+            edges += len(used)
+            for x, y in zip(a[used].tolist(), b[used].tolist()):
+                kept.join(x, y)
+        roots = [union.root(i) for i in range(n)]
+        assert [kept.root(i) for i in range(n)] == roots == forest.root.tolist()
+        assert edges == n - len(set(roots))
+
+
 def test_words_as_the_contract_has_them(spark):
     check(spark, [(1, "A b\tc\x0bd\x0ce"), (2, "a B c D E"), (3, "a b c d e"), (4, "É b c d e"), (5, "é b c d e"), (6, "a b"), (7, "A  B "), (8, ""), (9, " \n"), (10, "\x1ca")])
 
