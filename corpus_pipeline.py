@@ -39,7 +39,7 @@ def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The token ids of every document, with the columns of ``documents`` but the text."""
     prepared(spark)
     rows = docs.select(F.struct("doc_id", "lang", "source", "n_chars").alias("row"), "text")
-    found = bpe.encode_documents(rows, public_tokenizers.path(TOKENIZER), key="row")
+    found = bpe.encode_ids(rows, public_tokenizers.path(TOKENIZER), key="row")
     return found.select("row.*", F.size("ids").cast("long").alias("n_tokens"), "ids")
 
 

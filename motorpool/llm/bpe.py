@@ -10,9 +10,11 @@ from __future__ import annotations
 
 import functools
 import json
+from array import array
 from collections.abc import Iterable
 
 import ahocorasick
+import numpy as np
 from pyspark.sql import DataFrame
 
 from motorpool.llm.common import hex_sha256, keeps, per_text
@@ -21,6 +23,8 @@ from motorpool.llm.pretokens import Unknown, pretokens
 NEVER = 1 << 62
 # Entries a worker keeps of words and of pairs before it starts anew.
 CACHE = 400_000
+# Words a worker keeps as packed ids.
+PACKED = 100_000
 
 
 def byte_signs() -> dict[str, int]:
@@ -60,6 +64,7 @@ class PrefixEncoder:
         self.automaton.make_automaton()
         self.pairs: dict[int, bool] = {}
         self.words: dict[str, tuple[str, int, bytes]] = {}
+        self.packed: dict[str, bytes] = {}
 
     def _rank(self, token: int) -> int:
         return self.made[token][0] if token in self.made else -1
@@ -161,6 +166,25 @@ class PrefixEncoder:
                 found += [words.get(w) or self.known(w) for w in self.cut(piece)]
         return found
 
+    def pack(self, word: str) -> bytes:
+        """Ids of one word as 32-bit numbers, kept for the next time."""
+        found = self.packed.get(word)
+        if found is None:
+            if len(self.packed) >= PACKED:
+                self.packed.clear()
+            found = self.packed[word] = array("i", self.word(word)).tobytes()
+        return found
+
+    def numbers(self, text: str) -> np.ndarray:
+        """Ids of a text without what decoding needs: four bytes an id, and no text of them is kept."""
+        found, packed = [], self.packed
+        for piece, special in self.pieces(text):
+            if special is not None:
+                found.append(array("i", [special]).tobytes())
+            elif piece:
+                found += [packed.get(w) or self.pack(w) for w in self.cut(piece)]
+        return np.frombuffer(b"".join(found), np.int32)
+
     def encode(self, text: str) -> list[int]:
         return [int(i) for ids, n, _ in self.encoded(text) if n for i in ids.split(",")]
 
@@ -204,6 +228,16 @@ def encode_documents(docs: DataFrame, tokenizer_path: str, *, key: str = "doc_id
     return per_text(docs, key, text, "ids array<int>, decoded string", build)
 
 
+def encode_ids(docs: DataFrame, tokenizer_path: str, *, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """``key`` and ``ids`` of every whole text, as above, without decoding them."""
+
+    def build():
+        of = encoder(tokenizer_path)
+        return lambda t: (of.numbers(t),)
+
+    return per_text(docs, key, text, "ids array<int>", build)
+
+
 def encoding_digests(docs: DataFrame, tokenizer_path: str, *, key: str = "doc_id", text: str = "text") -> DataFrame:
     """``key``, ``n_tokens`` and SHA-256 of the ids (decimal, joined by commas) and of the decoded text.
 

@@ -30,6 +30,22 @@ def test_odd_texts_encode_as_the_library_does(text):
     assert encoder(TOKENIZER).decode(ids) == LIBRARY.decode(ids, skip_special_tokens=False) == text
 
 
+@pytest.mark.parametrize("text", [t or "" for t in ODD_TEXTS])
+def test_packed_ids_are_the_ids(text, monkeypatch):
+    monkeypatch.setattr(bpe, "PACKED", 3)
+    of = encoder(TOKENIZER)
+    of.packed.clear()
+    assert of.numbers(text).tolist() == ids_of(text) and of.numbers(text).itemsize == 4
+    assert len(of.packed) <= 3
+
+
+def test_ids_alone_come_without_the_decoded_text(spark, odd):
+    found = bpe.encode_ids(odd, TOKENIZER)
+    both = bpe.encode_documents(odd, TOKENIZER).select("doc_id", "ids")
+    assert found.columns == ["doc_id", "ids"] and found.dtypes == both.dtypes
+    assert sorted(map(tuple, found.collect()), key=str) == sorted(map(tuple, both.collect()), key=str)
+
+
 @settings(max_examples=300, deadline=None)
 @given(st.text(alphabet=" \n\t'sdtlvermab.!?0129éüñA漢　 ​<|>endoftxt", max_size=60))
 def test_random_texts_encode_as_the_library_does(text):
