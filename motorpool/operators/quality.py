@@ -181,8 +181,9 @@ def same_rows(left: DataFrame, right: DataFrame, by: Sequence[str] = (), buckets
     digests alone. With ``by`` (the key of both tables) a changed row marks one bucket, else two.
     """
     right = right.select(*left.columns)
-    # One small number for each bucket that differs: bounded by ``buckets``, whatever the tables hold.
-    wanted = F.broadcast(differing_buckets(left, right, by, buckets).withColumnRenamed("bucket", "_bucket"))
+    # One small number for each bucket that differs: never more than ``buckets``, whatever the tables hold. The limit cuts
+    # nothing; it tells Spark so before it plans the joins.
+    wanted = differing_buckets(left, right, by, buckets).withColumnRenamed("bucket", "_bucket").limit(buckets)
     columns = [F.col(f"`{c}`") for c in by or sorted(left.columns)]
     own = F.pmod(F.xxhash64(F.lit(3), *columns), F.lit(buckets)).cast("int") == F.col("_bucket")
     a, b = (df.join(wanted, own, "left_semi") for df in (left, right))

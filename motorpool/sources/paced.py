@@ -30,8 +30,8 @@ def number_events(events: DataFrame, path: str, order: Sequence[str] = ("ts", "e
     stored = spark.read.parquet(f"{path}/ranges")
     before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
     sizes = stored.groupBy("_part").count().withColumn("_before", F.coalesce(F.sum("count").over(before), F.lit(0)))
-    # One row per range, as many as there are files.
-    numbered = stored.join(F.broadcast(sizes.drop("count")), "_part").withColumn(NUMBER, F.col("_before") + F.col("_place"))
+    # One row per range, never more than there are files: the limit cuts nothing, but Spark plans the join by it.
+    numbered = stored.join(sizes.drop("count").limit(files), "_part").withColumn(NUMBER, F.col("_before") + F.col("_place"))
     numbered.drop("_part", "_place", "_before").write.parquet(f"{path}/numbered")
     return spark.read.parquet(f"{path}/numbered")
 
