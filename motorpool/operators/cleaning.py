@@ -57,6 +57,11 @@ def latest_per(df: DataFrame, key: str | Sequence[str], ts: str) -> DataFrame:
     return dedup(df, key, [F.col(ts).desc_nulls_last()])
 
 
+def _number(col: Column) -> Column:
+    """Text to double. Only text that may be a number is tried: a parse that fails costs an exception per value."""
+    return F.when(col.rlike("[0-9]|(?i:nan|inf)"), col).try_cast("double")
+
+
 def _cast(df: DataFrame, column: str, dtype: str) -> Column:
     source = df.schema[column].dataType
     col = F.col(column)
@@ -70,9 +75,11 @@ def _cast(df: DataFrame, column: str, dtype: str) -> Column:
         col = F.when(~F.isnan(col) & (F.lit(not whole) | (col == F.rint(col))), col)
     elif whole and isinstance(source, T.StringType):
         # "2500.0" is how a nullable integer looks in some CSV exports; "2500.7" is not one. A plain cast would cut it.
-        number = col.try_cast("double")
+        number = _number(col)
         as_whole = F.when(number == F.rint(number), number.try_cast(dtype))
         return F.when(col.contains("."), as_whole).otherwise(F.coalesce(col.try_cast(dtype), as_whole))
+    elif dtype == "double" and isinstance(source, T.StringType):
+        return _number(col)
     return col.try_cast(dtype)
 
 

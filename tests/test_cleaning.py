@@ -94,3 +94,10 @@ def test_whole_numbers_are_never_cut(spark):
     assert [r.n for r in cast_columns(df, {"n": "long"}).collect()] == [2500, 2500, None, 12, 1000, None, None, 2**63 - 1, -3]
     numbers = spark.createDataFrame([(2500.0,), (2500.7,), (float("nan"),), (None,)], "n double")
     assert [r.n for r in cast_columns(numbers, {"n": "int"}).collect()] == [2500, None, None, None]
+
+
+def test_numbers_in_odd_text_are_read_as_by_a_cast(spark):
+    texts = ["1.5", " 2 ", "1e3", ".5", "n/a", "no", "", None, "NaN", "nan", "inf", "-Infinity", "+INF", "infin", "0x1p3", "1,5", "x1", "\u0661"]
+    df = spark.createDataFrame([(t, t) for t in texts], "t string, n string")
+    both = cleaning.cast_columns(df, {"n": "double"}).select("t", F.col("t").try_cast("double").alias("plain"), "n")
+    assert rows(both.filter("not (plain <=> n)")) == [] and both.filter("n is not null").count() >= 9

@@ -31,6 +31,22 @@ def test_iso_text_round_trip_and_bad_text(spark):
     assert [r.back for r in got] == ["2024-02-29T23:59:59Z", None, None, None]
 
 
+def test_iso_text_of_any_shape_parses_as_by_the_pattern(spark):
+    texts = """2024-02-29T23:59:59Z 2023-02-29T00:00:00Z 0000-01-01T00:00:00Z 0001-01-01T00:00:00Z 2024-01-01T24:00:00Z
+        2024-01-01T23:59:60Z 2024-13-01T00:00:00Z 1582-10-10T12:00:00Z +12024-01-01T00:00:00Z 2024-01-01t10:00:00z 2024-01-01
+        2024-01-01T10:00:00 2024-01-01T10:00:00.5Z 2024-01-01T10:00:00+01:00 2024-03-31T02:30:00Z -2024-01-01T00:00:00Z""".split()
+    texts += ["2024-01-01T10:00:00Z\n", " 2024-01-01T10:00:00Z", "2024-01-01 10:00:00Z", "no date", "", None]
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    plain = F.try_to_timestamp("t", F.lit(calendar.ISO_UTC))
+    try:
+        for zone in ("UTC", "Europe/Berlin"):
+            spark.conf.set("spark.sql.session.timeZone", zone)
+            both = df.select("t", plain.alias("plain"), calendar.parse_iso("t").alias("got"))
+            assert rows(both.filter("not (plain <=> got)")) == [] and both.filter("got is not null").count() >= 5
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", "UTC")
+
+
 def test_months(spark):
     df = spark.createDataFrame([(ts("2024-02-10T00:00"),), (ts("2023-02-10T00:00"),)], "t timestamp")
     got = rows(df, calendar.month_of("t").cast("string"), calendar.days_in_month("t"))

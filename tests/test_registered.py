@@ -51,3 +51,17 @@ def test_the_fleet_tells_its_grains_apart(spark):
     sites = fleet["sites"].selectExpr("count(*)", "count(distinct city)", "count(distinct state)").first()
     assert sites[0] > sites[1] > sites[2] > 1
     assert fleet["events"].filter("vehicle_id is null").count() > 0
+
+
+@pytest.mark.parametrize("name", list(queries.ENTITIES))
+def test_raw_text_repeats_rows_but_reads_each_table_once(spark, name):
+    from motorpool.sources.views import Fleet
+
+    def reads(df):
+        return df._jdf.queryExecution().optimizedPlan().toString().count("Relation [")
+
+    fleet = Fleet(spark, DATA)
+    raw = queries._raw_text(fleet, queries.ENTITIES[name])
+    assert raw.columns[: len(fleet[name].columns)] == fleet[name].columns and "copy" not in raw.columns
+    assert raw.count() == 2 * fleet[name].count() and raw.distinct().count() <= fleet[name].count()
+    assert reads(raw) == reads(fleet[name]) > 0
